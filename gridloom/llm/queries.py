@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .exact_dedup import op7_exact_dedup
 from .mixing import op3_mixing
+from .repeats import op10_suffix_dedup
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_mixing": op3_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
