@@ -12,9 +12,6 @@ hash occurs once per block at most, so a hash that a third of all rows carry doe
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -22,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
 BLOCK_BYTES = 2 << 20
 
 
@@ -29,28 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, the warehouse, or a temporary folder if Spark is local."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        path = tempfile.mkdtemp(prefix="gridloom-")
-    else:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/gridloom-checkpoints"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Cuts the lineage: writes ``df`` to a new folder in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def owners(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from .decontaminate import op1_decontaminate
 from .exact_dedup import op7_exact_dedup
 from .mixing import op3_mixing
+from .near_join import op4_ngram_jaccard
+from .quality import op9_quality
 from .repeats import op10_suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mixing": op3_mixing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
