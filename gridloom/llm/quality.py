@@ -1,9 +1,10 @@
 """Quality classifier by compression (operator 9).
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled texts. A text is compressed with both,
-in chunks of some kilobytes (in a longer chunk the text itself takes the dictionary's place); the difference of the
-sizes, divided by their sum, is the only feature. Logistic regression on labelled texts that the dictionaries haven't
-seen calibrates it.
+in chunks of some kilobytes (in a longer chunk the text itself takes the dictionary's place). The difference of the
+sizes is normalised by their sum and by the text's size; the compressed share of the text tells how much such a
+difference means (a text of one repeated word hardly differs). Logistic regression of these on labelled texts that the
+dictionaries haven't seen calibrates the score.
 
 Training takes bounded samples (``Bounds``) in order of a hash of the ids; scoring maps over whole texts, no shuffle.
 """
@@ -38,7 +39,7 @@ class Bounds:
 class Model:
     bad: bytes
     good: bytes
-    weights: tuple[float, float]
+    weights: tuple[float, ...]
     bounds: Bounds
 
     def compressors(self):
@@ -50,30 +51,36 @@ class Model:
             found.append(zstandard.ZstdCompressor(level=self.bounds.level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
         return found
 
-    def difference(self, compressors, text: bytes) -> float:
+    def features(self, compressors, text: bytes) -> tuple[float, float, float]:
+        """Difference over sum, sum over text, difference over text; zeros for an empty text."""
         sizes = [0, 0]
         for at in range(0, len(text), self.bounds.chunk_bytes):
             chunk = text[at : at + self.bounds.chunk_bytes]
             for k, c in enumerate(compressors):
                 sizes[k] += len(c.compress(chunk))
-        return (sizes[0] - sizes[1]) / max(1, sum(sizes))
+        difference, total, n = sizes[0] - sizes[1], sum(sizes), max(1, len(text))
+        return difference / max(1, total), min(1.0, total / 2 / n), difference / n
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logit(weights, x: np.ndarray) -> np.ndarray:
+    return weights[0] + x @ np.array(weights[1:])
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton's steps, slightly ridged; without both classes the smoothed share of good ones."""
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
-        return float(np.log(share / (1 - share))), 0.0
-    rows, w = np.c_[np.ones(len(x)), x], np.zeros(2)
+        return float(np.log(share / (1 - share))), 0.0, 0.0, 0.0
+    rows, w, ridge = np.c_[np.ones(len(x)), x], np.zeros(4), np.diag([1e-6, 1e-3, 1e-3, 1e-3])
     for _ in range(60):
         p = _sigmoid(rows @ w)
         v = p * (1 - p) + 1e-9
-        w = w + np.linalg.solve(rows.T @ (rows * v[:, None]) + 1e-4 * np.eye(2), rows.T @ (y - p) - 1e-4 * w)
-    return float(w[0]), float(w[1])
+        w = w + np.linalg.solve(rows.T @ (rows * v[:, None]) + ridge, rows.T @ (y - p) - ridge @ w)
+    return tuple(map(float, w))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -101,10 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     training = {k: [p.encode() for r in rows if r["fold"] == 0 and r["label"] == k for p in r["pieces"]] for k in (0, 1)}
     for samples in training.values():  # the training is sensitive to order: shuffle, but always alike
         samples.sort(key=zlib.crc32)
-    model = Model(_dictionary(training[0], bounds.dictionary_bytes), _dictionary(training[1], bounds.dictionary_bytes), (0.0, 0.0), bounds)
+    model = Model(_dictionary(training[0], bounds.dictionary_bytes), _dictionary(training[1], bounds.dictionary_bytes), (0.0,) * 4, bounds)
     seen = [r for r in rows if r["fold"] == 2] or [r for r in rows]
     c = model.compressors()
-    x = np.array([model.difference(c, "".join(r["pieces"]).encode()) for r in seen], float)
+    x = np.array([model.features(c, "".join(r["pieces"]).encode()) for r in seen], float).reshape(-1, 3)
     return Model(model.bad, model.good, _fit(x, np.array([r["label"] for r in seen], float)), bounds)
 
 
@@ -119,8 +126,8 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
         own = Model(*held.value, w, bounds)
         c = own.compressors()
         for b in batches:
-            x = np.array([own.difference(c, t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(w[0] + w[1] * x), pa.float64())], names=["id", "score"])
+            x = np.array([own.features(c, t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(_logit(w, x)), pa.float64())], names=["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
 
