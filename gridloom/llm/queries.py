@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .exact_dedup import op7_exact_dedup
+from .html_text import op8_html_text
 from .mixing import op3_mixing
 from .near_join import op4_ngram_jaccard
 from .quality import op9_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
