@@ -5,15 +5,21 @@ from __future__ import annotations
 from .decontaminate import op1_decontaminate
 from .exact_dedup import op7_exact_dedup
 from .html_text import op8_html_text
+from .licences import op2_licence_scan
 from .mixing import op3_mixing
 from .near_join import op4_ngram_jaccard
 from .quality import op9_quality
 from .repeats import op10_suffix_dedup
+from .secrets import op5_secret_scan
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_licence_scan": op2_licence_scan,
     "op3_mixing": op3_mixing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
