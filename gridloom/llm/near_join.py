@@ -10,9 +10,11 @@ document frequency and one hash, by document frequency and another hash, by a th
    done. The others enter the index, one row per prefix shingle that recurs, once per distinct set (equal sets have
    one representative, found by partial aggregation).
 3. Candidates of a bucket (documents with one prefix shingle): in a group of near copies, all pairs would be its
-   square. All members first meet a few hashed pivots; after verification and components, only members of different
-   components of a bucket still have to meet, and there only those outside of its largest component with the rest.
-   No link between different components is lost, and links within one don't change it.
+   square. All members first meet two pivots, the one with the smallest share of shingles of its own, which is next to
+   all others, and a hashed one; after verification and components, only members of different components of a bucket
+   still have to meet, and there only those outside of its largest component with the rest. No link between different
+   components is lost, and links within one don't change it. Where two documents share a shingle at places i and j of
+   their orders, and none before, they share no more than what follows: pairs for which that isn't enough don't meet.
 4. Components of the links are found by joins; nothing but sizes and counts reaches the driver.
 """
 
@@ -27,9 +29,10 @@ from ..plans.graph import connected_components
 from .common import MESSAGE, answered, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, table, text_blocks, unpack, written
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-PIVOTS = (11, 12)  # seeds
+SEEDS = (11, 12)  # of hashes by which pivots are picked
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MAX_WORDS_KEPT = 1 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 class WordHashes(dict):
@@ -144,8 +147,10 @@ def _index_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, perce
     return written(both.applyInArrow(rows, f"id {id_type}, at long, n long, key_1 long, key_2 long, {arrays}"), "sets")
 
 
-def _close(percent: int):
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+def _may_link(percent: int):
+    """By sizes, and by what can be shared from places at_a and at_b on."""
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,25 +165,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _pivot_pairs(index: DataFrame, percent: int) -> DataFrame:
     """Every member of a bucket with the bucket's pivots."""
-    pivot = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), F.col("rep")).alias("h"), F.col("rep"), F.col("n")))
-    pivots = index.groupBy("token").agg(F.count("*").alias("members"), F.array(*[pivot(s) for s in PIVOTS]).alias("pivots"))
-    pivots = pivots.filter("members > 1").select("token", F.explode(F.array_distinct("pivots")).alias("p"))
-    met = index.join(pivots.select("token", F.col("p.rep").alias("other"), F.col("p.n").alias("n_b")), "token").withColumnRenamed("n", "n_a")
-    met = met.filter((F.col("rep") != F.col("other")) & _close(percent))
+    hashed = lambda seed: F.xxhash64(F.lit(seed), F.col("rep")).alias("h")
+    own = (F.col("own") / F.col("n")).alias("share")
+    pivots = index.groupBy("token").agg(
+        F.count("*").alias("members"),
+        F.min(F.struct(own, hashed(SEEDS[0]), "rep", "n", "at")).alias("p"),
+        F.min(F.struct(hashed(SEEDS[1]), "rep", "n", "at")).alias("q"),
+    ).filter("members > 1")
+    pick = lambda c: F.struct(F.col(f"{c}.rep").alias("other"), F.col(f"{c}.n").alias("n_b"), F.col(f"{c}.at").alias("at_b"))
+    pivots = pivots.select("token", F.explode(F.array_distinct(F.array(pick("p"), pick("q")))).alias("x")).select("token", "x.*")
+    met = index.withColumnsRenamed({"n": "n_a", "at": "at_a"}).join(pivots, "token").filter((F.col("rep") != F.col("other")) & _may_link(percent))
     return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def _rest_pairs(index: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket whose components still differ: members outside of its largest component with all others."""
     known = index.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = written(known.select("token", "rep", "n", "component"), "buckets")
+    known = written(known.select("token", "rep", "n", "at", "component"), "buckets")
     groups = known.groupBy("token", "component").count()
     mixed = groups.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("n_groups")).filter("n_groups > 1").drop("n_groups")
     open_rows = known.join(mixed, "token")
-    outside = open_rows.filter("component <> major").select("token", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-    met = outside.join(open_rows.withColumnRenamed("n", "n_b"), "token")
+    outside = open_rows.filter("component <> major").select("token", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c"))
+    met = outside.join(open_rows.withColumnsRenamed({"n": "n_b", "at": "at_b"}), "token")
     once = (F.col("component") == F.col("major")) | (F.col("x") < F.col("rep"))
-    met = met.filter((F.col("c") != F.col("component")) & once & _close(percent))
+    met = met.filter((F.col("c") != F.col("component")) & once & _may_link(percent))
     return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
@@ -194,8 +204,10 @@ def near_components(docs: DataFrame, id_col="doc_id", text_col="text", n_words:
     sets = rows.filter("first IS NOT NULL")
     reps = written(sets.groupBy("key_1", "key_2", "n").agg(F.min("at").alias("rep")), "reps")
     members = sets.select("id", "at", "n", "key_1", "key_2").join(reps, ["key_1", "key_2", "n"]).select("id", "at", "n", "rep")
-    index = sets.join(reps.select(F.col("rep").alias("at")), "at", "left_semi").select(F.explode("first").alias("token"), F.col("at").alias("rep"), "n")
-    index = written(index, "index")
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    index = sets.join(reps.select(F.col("rep").alias("at")), "at", "left_semi")
+    index = index.select(F.posexplode("first").alias("k", "token"), F.col("at").alias("rep"), "n", (prefix - F.size("first")).alias("own"))
+    index = written(index.select("token", "rep", "n", "own", (F.col("own") + F.col("k")).alias("at")), "index")
     links = _verify(_pivot_pairs(index, percent), sets, percent)
     labels = connected_components(links, "a", "b")
     more = _verify(_rest_pairs(index, labels, percent), sets, percent)
@@ -209,6 +221,25 @@ def near_components(docs: DataFrame, id_col="doc_id", text_col="text", n_words:
     return alone.unionByName(linked)
 
 
+def drop_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", n_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` of which one stays per component, the one with the smallest id (null ids
+    come last), with all their columns. Rows are told apart by id and text; of repeated rows one stays."""
+    packed = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("print")).alias("__key"), F.col(text_col).alias("__text"))
+    found = near_components(packed, "__key", "__text", n_words, percent)
+    best = written(found, "components").withColumn("same", F.col("id") == F.col("component_id"))
+    gone = best.filter("NOT same").select("id").distinct()
+    small = gone.count() * 64 <= BROADCAST_BYTES
+    gone = gone.select(F.col("id.own_id").alias("__id"), F.col("id.print").alias("__print"))
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__print"))
+    left = docs.join(F.broadcast(gone) if small else gone, on, "left_anti")
+    again = best.filter("same").groupBy("id").count().filter("count > 1").select(F.col("id.own_id").alias("__id"), F.col("id.print").alias("__print"))
+    again = written(again, "again")
+    if not again.limit(1).count():
+        return left
+    ones = left.join(again, on).dropDuplicates(["__id", "__print"]).select(*docs.columns)
+    return left.join(again, on, "left_anti").unionByName(ones)
+
+
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
