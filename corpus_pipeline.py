@@ -1,8 +1,7 @@
 """A training-corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's
-docs. All but the last return the columns of documents; the last returns every document as often as the mix takes it,
-with ``copy`` (0, 1, ...) to tell the copies apart.
+docs. All return the columns of documents; the last returns every document as often as the mix takes it.
 """
 
 from __future__ import annotations

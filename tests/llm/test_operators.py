@@ -1,0 +1,372 @@
+"""Operators against brute-force versions, and their defined results in odd cases."""
+
+import collections
+import hashlib
+import html
+import json
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontaminate, exact_dedup, html_text, licences, mixing, near_join, quality, repeats, secrets, suffix, toxicity
+from gridloom.llm.common import golomb_decode, golomb_encode, occurrences, table
+from gridloom.llm.queries import ORACLE_SQL, QUERIES
+
+lower = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+
+
+# ---- building blocks -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_golomb_code(n):
+    rng = np.random.default_rng(n)
+    x = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+    assert (golomb_decode(golomb_encode(x)) == x).all()
+    dense = np.unique(rng.integers(0, 3 * n + 1, n, dtype=np.uint64))
+    assert (golomb_decode(golomb_encode(dense)) == dense).all()
+
+
+def test_occurrences():
+    a, b = np.array([1, 3], np.uint64), np.array([3, 4], np.uint64)
+    assert [x.tolist() for x in occurrences([a, b])] == [[1, 2], [2, 1]]
+
+
+@pytest.mark.parametrize("alphabet,n", [(1, 700), (2, 1500), (40, 1500)])
+def test_suffix_array_and_common_prefixes(alphabet, n):
+    rng = np.random.default_rng(alphabet)
+    text = rng.integers(97, 97 + alphabet, n).astype(np.uint8)
+    text[-450:] = text[:450]
+    b = text.tobytes()
+    packed = suffix.pack_bytes(text)
+    sa = suffix.larsson_sadakane(packed, 8, n)
+    assert sa.tolist() == sorted(range(n), key=lambda i: b[i:])
+    lcp = suffix.kasai(packed, sa, 400)
+    for r in random.Random(1).sample(range(1, n), 60):
+        i, j = sa[r], sa[r - 1]
+        k = 0
+        while k < 400 and max(i, j) + k < n and b[i + k] == b[j + k]:
+            k += 1
+        assert lcp[i] == k
+
+
+# ---- 1 ---------------------------------------------------------------------------------------------------------
+
+
+def brute_contamination(docs, items, window=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = word.findall(lower(t or ""))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows[tuple(w[k : k + window])].add(str(i))
+    out = []
+    for d, t in docs:
+        w = word.findall(lower(t or ""))
+        hit, found = [0] * len(w), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                got = windows.get(tuple(w[k : k + n]))
+                if got:
+                    found |= got
+                    hit[k : k + n] = [1] * n
+        out.append((d, len(w), sum(hit), tuple(sorted(found))))
+    return out
+
+
+def test_contamination_against_brute_force(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    want = sorted(brute_contamination([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()]))
+    got = sorted((r.id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == want and any(x[2] for x in got)
+
+
+def test_contamination_edges(spark, edge_docs, no_docs):
+    items = [(1, "Word"), (2, None), (3, "--- !!"), (4, " ".join(f"passage{i}" for i in range(5, 40))), (4, "text that is here"), (None, "ünïcode"), (5, "w1x1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
+    want = collections.Counter((d, n, h, f) for d, n, h, f in brute_contamination(rows, [("" if i is None else i, t) for i, t in items]))
+    found = decontaminate.contamination(edge_docs, bench)
+    assert collections.Counter((r.id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == want
+    eight = found.filter("id = 8").first()
+    assert [(m.item_id, m.item_word, m.doc_word, m.n_words) for m in eight.matches] == [("4", 0, 6, 35)]
+    assert decontaminate.contamination(no_docs, bench).count() == 0
+    assert decontaminate.contamination(edge_docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    clean = decontaminate.drop_contaminated(edge_docs, bench)
+    assert clean.columns == edge_docs.columns and clean.count() == sum(v for (d, n, h, f), v in want.items() if not h)
+
+
+# ---- 3 ---------------------------------------------------------------------------------------------------------
+
+
+def brute_targets(totals, weights=(5, 2, 1), cap=3.0):
+    names = sorted(totals, key=lambda s: (s is None, s))
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    whole, fixed = sum(totals.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        left = whole - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * totals[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: cap * totals[s] for s in over}
+
+
+def test_targets(spark):
+    totals = {"a": 10, "b": 1000, "c": 500, None: 7, "d": 3000}
+    sizes = spark.createDataFrame([(s, n) for s, n in totals.items()], "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    assert got == pytest.approx(brute_targets(totals))
+    assert sum(got.values()) == pytest.approx(sum(totals.values()))
+
+
+def test_mixing(spark, sf_dir):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    a, b = (sorted(map(tuple, mixing.mix_sources(docs).collect())) for _ in range(2))
+    assert a == b and len(a) == docs.count()
+    taken, target, size = collections.Counter(), {}, collections.Counter()
+    for i, s, n, whole, t, k in a:
+        assert 0 <= k <= 3
+        taken[s] += n * k
+        size[s] += n
+        target[s] = t
+    assert target == pytest.approx(brute_targets(dict(size)))
+    assert all(abs(taken[s] - target[s]) <= 0.5 * target[s] for s in target)
+    assert sum(taken.values()) == pytest.approx(sum(size.values()), rel=0.1)
+
+
+def test_mixing_edges(spark, edge_docs, no_docs):
+    got = mixing.mix_sources(edge_docs).collect()
+    assert len(got) == edge_docs.count()
+    assert {r["size"] for r in got if r.id in (3, 4, 5)} == {0}
+    assert len({r.copies for r in got if r.id == 9}) == 1
+    assert mixing.mix_sources(no_docs).count() == 0
+    assert mixing.take_mix(edge_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).columns == edge_docs.columns
+
+
+# ---- 4 ---------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, n=4, percent=85):
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    sets = []
+    for _, t in rows:
+        w = word.findall(lower(t or ""))
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    lead = list(range(len(rows)))
+
+    def find(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                lead[max(a, b)] = min(a, b)
+    ids = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        ids[find(i)].append(d)
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    return collections.Counter((rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows)))
+
+
+def test_near_components_against_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = collections.Counter((r.id, r.n, r.component_id) for r in near_join.near_components(docs).withColumnRenamed("n_shingles", "n").collect())
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_components_of_a_family(spark):
+    """Many near copies of one text, of which some only link through others, and a passage that all the rest share."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for _ in range(k % 5):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, " ".join(base[:40] + [f"own{rng.randrange(10**6)}" for _ in range(30 + k)])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.id, r.n_shingles, r.component_id) for r in near_join.near_components(docs).collect())
+    assert got == brute_components(rows)
+
+
+def test_near_components_edges(spark, edge_docs, no_docs):
+    got = collections.Counter((r.id, r.n_shingles, r.component_id) for r in near_join.near_components(edge_docs).collect())
+    assert got == brute_components([(r.doc_id, r.text) for r in edge_docs.collect()])
+    assert near_join.near_components(no_docs).count() == 0
+    kept = near_join.drop_near_copies(edge_docs)
+    assert kept.columns == edge_docs.columns
+    assert sorted(r.doc_id for r in kept.filter("doc_id IN (1, 2, 6, 7, 8, 9, 11, 12)").collect()) == [1, 6, 8, 11]
+    assert kept.filter("doc_id IN (3, 4, 5)").count() == 3
+
+
+# ---- 7 ---------------------------------------------------------------------------------------------------------
+
+
+def test_exact_copies(spark, edge_docs, no_docs):
+    rows = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in edge_docs.collect()]
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[t].append(d)
+    want = collections.Counter((d, min((x for x in groups[t] if x is not None), default=None), len(groups[t]), hashlib.sha256(t.encode()).digest()) for d, t in rows)
+    found = exact_dedup.find_copies(edge_docs).collect()
+    assert collections.Counter((r.id, r.keep_id, r.group_size, bytes(r.digest)) for r in found) == want
+    assert sum(r.kept for r in found) == len(groups)
+    assert exact_dedup.find_copies(no_docs).count() == 0
+    left = exact_dedup.drop_copies(edge_docs)
+    assert left.columns == edge_docs.columns and left.count() == len(groups)
+
+
+# ---- 8 ---------------------------------------------------------------------------------------------------------
+
+
+def test_pages(spark, sf_dir):
+    for r, got in zip(table(spark, sf_dir, "pages").orderBy("page_id").collect(), html_text.extract(table(spark, sf_dir, "pages")).orderBy("id").collect()):
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|br)>", article))
+        assert got.text == "\n".join(b for b in blocks if b) and got.url == r.url and got.conforms
+
+
+def test_page_parts(spark):
+    page = """<html><body><header class=top>Site</header><nav>menu</nav><div class="cookie-notice">We use cookies</div><main><h1>Title &amp; more</h1>
+    <p>One <b>two</b> three<p>Four<ul><li>a<li>b</ul><table><tr><td>x<td>y</table><aside>side</aside><form>f<input></form><script>if (a < b) "</p>"</script></main>
+    <section id="comments"><p>nice</p></section><footer>foot</footer></body></html>"""
+    rows = [(1, "http://h.example/1", page), (2, None, None), (3, "not a url", ""), (4, "http://h.example/2", "plain &lt; text 1 < 2"), (1, "http://h.example/1", page)]
+    got = {r.id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Title & more\nOne two three\nFour\na\nb\nx\ny", 2: "", 3: "", 4: "plain < text 1 < 2"}
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrapper_is_a_union_free_expression():
+    pages = [f"<body><ul>{'<li>x</li>' * k}</ul>{'<div class=ad>buy</div>' * (k % 2)}<article><p>{k}</p></article></body>" for k in (1, 3, 2)]
+    assert json.loads(html_text.infer(pages))["expression"] == "<body><ul>(<li>#</li>)+</ul>(<div.ad>#</div>)?<article><p>#</p></article></body>"
+
+
+# ---- 9 ---------------------------------------------------------------------------------------------------------
+
+
+def test_quality_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    found = QUERIES["op9_quality"](spark, sf_dir)
+    seen = found.join(table(spark, sf_dir, "labels"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in seen]) > 0.95
+    assert all(0 <= r.score <= 1 for r in seen)
+
+
+def test_quality_edges(spark, edge_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (8, 0), (9, None), (None, 1), (8, 0)], "doc_id long, quality int")
+    model = quality.train(edge_docs, labels)
+    assert quality.score(edge_docs, model).count() == edge_docs.count()
+    assert quality.score(no_docs, quality.train(no_docs, labels.limit(0))).count() == 0
+    assert {round(r.score, 3) for r in quality.score(edge_docs, quality.train(edge_docs, labels.limit(0))).collect()} == {0.5}
+    assert quality.keep_good(edge_docs, model).columns == edge_docs.columns
+
+
+# ---- 10 --------------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(rows, length=400):
+    texts = [(t or "").encode() for _, t in rows]
+    seen = collections.Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    out = []
+    for (d, _), b in zip(rows, texts):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return collections.Counter(out)
+
+
+def as_rows(found):
+    return collections.Counter((r.id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found.collect())
+
+
+def test_repeats_against_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    assert as_rows(repeats.find_repeats(docs)) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_repeats_edges(spark, edge_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in edge_docs.collect() if r.doc_id not in (6, 7)]
+    rows += [(20, "ab" * 900), (21, "x" * 399), (22, "y" * 401), (23, "z" * 400), (24, "é" * 350), (25, " ".join(str(i) for i in range(300)) + "|" + " ".join(str(i) for i in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert as_rows(repeats.find_repeats(docs)) == brute_repeats(rows)
+    assert repeats.find_repeats(no_docs).count() == 0
+    twins = repeats.find_repeats(edge_docs.filter("doc_id IN (6, 7)")).collect()
+    assert all(r.n_bytes - r.n_removed <= 4 for r in twins)
+
+
+def test_repeats_over_many_shards(spark, monkeypatch):
+    """A passage in several shards, with near copies around it, so that runs of one anchor differ."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(120)
+    rows = [(k, f"{text(50)} {passage[: 500 + 7 * k]} {text(40)}") for k in range(40)]
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_rows(repeats.find_repeats(docs)) == brute_repeats(rows)
+
+
+# ---- 2, 5, 6 ---------------------------------------------------------------------------------------------------
+
+
+def test_licences(spark, edge_docs, no_docs):
+    model = licences.train(edge_docs)
+    texts = [("Apache", "Licensed under the Apache License, Version 2.0."), ("GPL", "This work is licensed under the GNU General Public License, version 3."), ("MIT", "Released under the MIT License."), ("CC-BY-NC", "Licensed under CC BY-NC 4.0.")]
+    docs = spark.createDataFrame([(k, f"some words\n{t}\n\nmore of the public") for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for r in licences.scan(docs, model).collect():
+        assert [(x.paragraph, x.family, x.confirmed) for x in r.licences] == [(1, texts[r.id][0], True)] and r.n_paragraphs == 3
+    assert sum(x.confirmed for r in licences.scan(edge_docs, model).collect() for x in r.licences) == 0
+    assert licences.scan(no_docs, licences.train(no_docs)).count() == 0
+
+
+def test_secrets(spark, edge_docs, no_docs):
+    dictionary = secrets.corpus_words(edge_docs)
+    model = secrets.train(spark, dictionary)
+    made = secrets.labelled_findings(seed=99, n=400)
+    docs = spark.createDataFrame([(k, f'{b}{c}" end', p) for k, (c, b, p, _) in enumerate(made)], "doc_id long, text string, source string")
+    found = {(r.id, r.candidate): r.probability >= 0.5 for r in secrets.scan(docs, model, dictionary).collect()}
+    right = [found[k, c] == bool(y) for k, (c, _, _, y) in enumerate(made) if (k, c) in found]
+    assert len(right) > 300 and np.mean(right) > 0.95
+    assert secrets.scan(edge_docs, model, dictionary).filter("probability >= 0.5").count() == 0
+    assert secrets.scan(no_docs, model, dictionary).count() == 0
+
+
+def test_toxicity(spark, edge_docs, no_docs):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weak = toxicity.weak_categories(docs, labels)
+    part = weak.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    chain = toxicity.train(docs, part, ["insult", "contempt", "toxic"])
+    held = toxicity.score(docs, chain).withColumnRenamed("toxic", "p").join(weak.drop("insult", "contempt"), F.col("id") == F.col("doc_id")).filter(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).collect()
+    hits = [(r.p >= 0.5, bool(r.toxic)) for r in held]
+    assert np.mean([a == b for a, b in hits]) > 0.95
+    assert toxicity.score(edge_docs, chain).count() == edge_docs.count() and toxicity.score(no_docs, chain).count() == 0
+
+
+# ---- registered queries ----------------------------------------------------------------------------------------
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_exact_dedup_query_against_sql(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = c.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({ORACLE_SQL['op7_exact_dedup']})").fetchall()
+    got = QUERIES["op7_exact_dedup"](spark, sf_dir).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
