@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN = F.lit(float("nan"))
+def nan() -> Column:
+    return F.lit(float("nan"))
 
 
 def gt(a: Column, b: Column) -> Column:
@@ -18,7 +19,7 @@ def lt(a: Column, b: Column) -> Column:
 
 def divide(a: Column, b: Column) -> Column:
     """a / b with x / 0 = infinity of x's sign and 0 / 0 = NaN; Spark's ANSI mode would raise an error."""
-    zero = F.when(F.isnan(a) | (a == 0), NAN).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    zero = F.when(F.isnan(a) | (a == 0), nan()).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
     return F.when(b == 0, zero).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 

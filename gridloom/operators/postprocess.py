@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guards import NAN, divide, gt, lt, negative, positive
+from ..functions.guards import nan, divide, gt, lt, negative, positive
 
 DEFAULT_PROBABILITY = 0.0010000000474974513  # fixed value: 0.001 in single precision
 FLOW, THREAT, TMP_THREAT = "FLOW_", "MAX_THREAT_1_FLOW_", "MAX_TMP_THREAT_FLOW_"
@@ -54,7 +54,7 @@ def branch_ratings(ratings: DataFrame, monitoring: DataFrame, mode: str = "n") -
 
 def load_percent(flow: Column, forward: Column, reverse: Column) -> Column:
     """100 * flow / rating; with different ratings by the flow's sign, so that a flow of 0 gives NaN."""
-    rating = F.when(forward == reverse, forward).when(gt(flow, F.lit(0.0)), forward).when(lt(flow, F.lit(0.0)), reverse).otherwise(F.when(F.isnan(flow), NAN).otherwise(F.lit(0.0)))
+    rating = F.when(forward == reverse, forward).when(gt(flow, F.lit(0.0)), forward).when(lt(flow, F.lit(0.0)), reverse).otherwise(F.when(F.isnan(flow), nan()).otherwise(F.lit(0.0)))
     return divide(flow * 100, rating)
 
 

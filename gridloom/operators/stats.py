@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.guards import NAN
+from ..functions.guards import nan
 from ..sources.series import computation_range
 
 OVERLOAD_SHARE = 0.3  # fixed value: assumed share of branches in overload
@@ -22,10 +22,10 @@ def series_stats(ts: DataFrame, names: list[str] | None = None, ranges=None, ver
         rows = rows.filter(F.col("name").isin(names))
     spoiled = F.max(F.isnan("value"))
     per = rows.groupBy("name", "version").agg(
-        F.sum("value").alias("s"), F.when(spoiled, NAN).otherwise(F.min("value")).alias("lo"), F.when(spoiled, NAN).otherwise(F.max("value")).alias("hi"), F.avg("value").alias("m"))
+        F.sum("value").alias("s"), F.when(spoiled, nan()).otherwise(F.min("value")).alias("lo"), F.when(spoiled, nan()).otherwise(F.max("value")).alias("hi"), F.avg("value").alias("m"))
     spoiled = F.max(F.isnan("lo"))
     total = per.groupBy("name").agg(
-        F.sum("s").alias("sum"), F.when(spoiled, NAN).otherwise(F.min("lo")).alias("min"), F.when(spoiled, NAN).otherwise(F.max("hi")).alias("max"), F.avg("m").alias("avg"))
+        F.sum("s").alias("sum"), F.when(spoiled, nan()).otherwise(F.min("lo")).alias("min"), F.when(spoiled, nan()).otherwise(F.max("hi")).alias("max"), F.avg("m").alias("avg"))
     return total.join(upper_median(rows), "name")
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import postprocess as post
 from ..sources import results as res
+from ..functions.guards import nan
 from .registry import query
 
 r6 = lambda c: F.round(c, 6)
-NAN = F.lit(float("nan"))
 # every ninth flow is missing
 FLOWS = "SELECT branch, version, point, CASE WHEN (point + CAST(substr(branch, 4) AS INT)) % 9 = 0 THEN CAST('NaN' AS DOUBLE) ELSE flow END AS flow FROM flows"
 OUT = "SELECT branch, version, point, flow * 2 AS flow FROM f"
@@ -17,7 +17,7 @@ OUT = "SELECT branch, version, point, flow * 2 AS flow FROM f"
 
 def flows(t):
     hole = (F.col("point") + F.substring("branch", 4, 9).cast("int")) % 9 == 0
-    return t.flows.withColumn("flow", F.when(hole, NAN).otherwise(F.col("flow")))
+    return t.flows.withColumn("flow", F.when(hole, nan()).otherwise(F.col("flow")))
 
 
 def _rated(watched: str, normal: str, other: str) -> str:
@@ -179,7 +179,7 @@ def f17_angles(t):
 
 @query("f18_fill_preventive", "SELECT name, version, point, CASE WHEN point % 2 = 0 AND CAST(substr(id, 6) AS INT) % 3 <> 0 THEN 1 ELSE value END AS value FROM init", "hvdc", "ts", init=_INIT)
 def f18(t):
-    some = _init(t).filter(F.substring("id", 6, 9).cast("int") % 3 != 0).select("name", "version", "point", F.when(F.col("point") % 2 == 0, F.lit(1.0)).otherwise(NAN).alias("value"))
+    some = _init(t).filter(F.substring("id", 6, 9).cast("int") % 3 != 0).select("name", "version", "point", F.when(F.col("point") % 2 == 0, F.lit(1.0)).otherwise(nan()).alias("value"))
     return post.fill_preventive(some, _init(t))
 
 
@@ -187,7 +187,7 @@ def f18(t):
 def f19(t):
     before = _init(t).select(F.lit("hvdc").alias("kind"), "id", "version", "point", "value")
     c = F.broadcast(t.contingency.select(F.col("id").alias("contingency"), "num"))  # five contingencies
-    after = before.join(c).withColumn("value", F.when((F.col("point") + F.col("num")) % 2 == 0, F.lit(1.0)).otherwise(NAN)).drop("num")
+    after = before.join(c).withColumn("value", F.when((F.col("point") + F.col("num")) % 2 == 0, F.lit(1.0)).otherwise(nan())).drop("num")
     return post.fill_curative(after, before)
 
 

@@ -24,7 +24,7 @@ BINDINGS = {
         GROUP BY s_nationkey, ascii(l_returnflag) % 3, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP)""",
     "ts": """
         SELECT n.name, v.version, i.point, i.instant, coalesce(c.value, 0.0) AS value
-        FROM (SELECT DISTINCT name FROM {cells}) n CROSS JOIN (SELECT DISTINCT version FROM {cells}) v CROSS JOIN {idx} i
+        FROM (SELECT concat('ts_', CAST(n_nationkey AS STRING)) AS name FROM {nation}) n CROSS JOIN (SELECT DISTINCT version FROM {cells}) v CROSS JOIN {idx} i
         LEFT JOIN {cells} c ON c.name = n.name AND c.version = v.version AND c.instant = i.instant""",
     # an hourly store: some series have version -1 only
     "ev": """
