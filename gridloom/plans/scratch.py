@@ -8,17 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+OWN: dict[str, str] = {}  # folders by application, where the cluster names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, the warehouse, or a temporary folder if Spark is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    master = spark.sparkContext.master
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app in OWN:
+        return OWN[app]
     if master.startswith("local") and not master.startswith("local-cluster"):
         path = tempfile.mkdtemp(prefix="gridloom-")
     else:
         path = f"{spark.conf.get('spark.sql.warehouse.dir')}/gridloom-checkpoints"
-    spark.conf.set("spark.checkpoint.dir", path)
+    OWN[app] = path
     return path
 
 
