@@ -6,7 +6,7 @@ places that follow each other on one diagonal make up a longest verbatim match.
 match is lost, nothing is shuffled, and memory is that of one shard.
 
 The benchmark goes to the tasks in broadcast blocks of bounded size. Its own size is checked: beyond
-MAX_BENCHMARK_BYTES it has to be passed in parts, with one call for each.
+MAX_BENCHMARK_BYTES the frozen documents are passed over once for each part of it, and the parts' results are joined.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .suffix import larsson_sadakane, narrow
 
 SHARD_BYTES = 4 << 20
@@ -183,15 +183,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     """
     spark = docs.sparkSession
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
-    blocks, longest, total = [], window, 0
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks, longest, total, done = [], window, 0, []
     for items, size in _benchmark_blocks(benchmark, item_col, item_text_col, BLOCK_BYTES):
+        if blocks and total + size > MAX_BENCHMARK_BYTES:
+            if not done:
+                rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "documents").select(F.struct("row", "id").alias("id"), "text")
+            done.append(_part(rows, window, blocks, longest, f"struct<row:bigint,id:{id_type}>"))
+            blocks, longest, total = [], window, 0
         total += size
-        if total > MAX_BENCHMARK_BYTES:
-            raise ValueError(f"the benchmark is over {MAX_BENCHMARK_BYTES} bytes: pass it in parts, one call for each")
         longest = max(longest, *(len(w) for _, w in items))
         blocks.append(spark.sparkContext.broadcast(items))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(window, blocks, longest), f"id {id_type}, {FOUND}")
+    if not done:
+        return rows.mapInArrow(_scan(window, blocks, longest), f"id {id_type}, {FOUND}")
+    done.append(_part(rows, window, blocks, longest, f"struct<row:bigint,id:{id_type}>"))
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    joined = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"))
+    hit = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["doc_word"], m["doc_word"] + m["n_words"] - 1))))
+    return joined.select(F.col("id.id").alias("id"), "n_words", F.size(hit).cast("long").alias("n_hit"), "items", "matches")
+
+
+def _part(rows: DataFrame, window: int, blocks: list, longest: int, id_type: str) -> DataFrame:
+    """Written results for some blocks of the benchmark, which then leave memory."""
+    found = written(rows.mapInArrow(_scan(window, blocks, longest), f"id {id_type}, {FOUND}"), "matches")
+    for b in blocks:
+        b.destroy()
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:

@@ -142,7 +142,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
     hold most of a template. Works on an empty table, too."""
     keyed = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col).cast("string"), 1, 4000).alias("t")).filter("t IS NOT NULL")
     least = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(BACKGROUND).collect()]  # hashes only: every task sends its own candidates
-    texts = [r["t"].encode() for r in sorted(keyed.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).collect())] if least else []
+    texts = [r["t"].encode() for r in sorted(keyed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("t").alias("t")).collect())] if least else []
     rng = random.Random(7)
     lines = sorted({line for t in texts for line in t.split(b"\n") if line.strip()})
     rng.shuffle(lines)

@@ -84,6 +84,15 @@ def test_contamination_against_brute_force(spark, sf_dir):
     assert got == want and any(x[2] for x in got)
 
 
+def test_contamination_with_a_large_benchmark(spark, sf_dir, monkeypatch):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    flat = lambda found: sorted((r.id, r.n_words, r.n_hit, tuple(r["items"]), tuple(sorted(map(tuple, r.matches)))) for r in found.collect())
+    whole = flat(decontaminate.contamination(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 2500)
+    assert flat(decontaminate.contamination(docs, bench)) == whole
+
+
 def test_contamination_edges(spark, edge_docs, no_docs):
     items = [(1, "Word"), (2, None), (3, "--- !!"), (4, " ".join(f"passage{i}" for i in range(5, 40))), (4, "text that is here"), (None, "ünïcode"), (5, "w1x1")]
     bench = spark.createDataFrame(items, "item_id long, text string")
