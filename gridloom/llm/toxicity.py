@@ -101,17 +101,19 @@ def rows_to_matrix(rows: list[tuple[dict, int]], vocabulary: dict[bytes, int], k
 
 
 def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndarray, categories) -> Chain:
-    seen: dict[bytes, np.ndarray] = {}
-    size = labels.sum(0)
+    size, marked = labels.sum(0), labels.any(1)
+    first: Counter = Counter()  # only features of rows with a category: the others speak against all of them
+    for (words, _), hit in zip(rows, marked):
+        if hit:
+            first.update({f for w in words for f in features_of(w)})
+    names = sorted(f for f, k in first.items() if k >= MIN_ROWS)
+    at = {f: k for k, f in enumerate(names)}
+    del first
+    c = np.zeros((len(names), labels.shape[1] + 1))
     for (words, _), y in zip(rows, labels):
-        for f in {f for w in words for f in features_of(w)}:
-            c = seen.get(f)
-            if c is None:
-                c = seen[f] = np.zeros(labels.shape[1] + 1)
-            c[:-1] += y
-            c[-1] += 1
-    names = [f for f, c in seen.items() if c[-1] >= MIN_ROWS]
-    c = np.array([seen[f] for f in names]).reshape(len(names), labels.shape[1] + 1)
+        own = list({at[f] for w in words for f in features_of(w) if f in at})
+        c[own, :-1] += y
+        c[own, -1] += 1
     total = max(1, len(rows))
     share = c[:, -1:] / total
     z = np.abs(c[:, :-1] - share * size) / np.sqrt(np.maximum(1e-9, share * (1 - share) * size * (1 - size / total)) + 0.3)
