@@ -241,3 +241,8 @@ def merged_tags(own: DataFrame, dependencies: DataFrame, stored: DataFrame) -> D
     """(name, tag, parameter) of calculated series: their own and those of the series that they read."""
     read = dependencies.join(stored.withColumnRenamed("name", "needs"), "needs").select("name", "tag", "parameter")
     return own.unionByName(read).distinct()
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Series with their users' metadata (name and any columns of strings, numbers or booleans); none gives nulls."""
+    return rows.join(metadata, "name", "left")
