@@ -130,3 +130,12 @@ def test_zones_of_a_long_chain(spark):
     assert got[30] == (0, True) and got[31] == (31, False) and got[60] == (31, False)
     bridged = network.zones(branches, spark.createDataFrame([(2, 50)], "node1 int, node2 int"))
     assert {r.zone for r in bridged.collect()} == {0}
+
+
+def test_conditions_as_text_and_as_columns(spark):
+    rows = [(f"g{k}", "GENERATOR", "it's", "s", True, True, 0.0, 0.0, float(k), 0.0, 0.0, 0.0) for k in range(5)]
+    gens = spark.createDataFrame(rows, COLUMNS)
+    text = Rule("GENERATOR", "a'b\\c", where="voltage_level = 'it\\'s' AND max_p > 1", key="max_p * 2", ignore_limits=True)
+    column = Rule("GENERATOR", "a'b\\c", where=(F.col("voltage_level") == "it's") & (F.col("max_p") > 1), key=F.col("max_p") * 2, ignore_limits=True)
+    found = [sorted(map(tuple, mapping.build_mapping([r], gens).collect())) for r in (text, column)]
+    assert found[0] == found[1] and len(found[0]) == 3 and found[0][0][3] == "a'b\\c"
