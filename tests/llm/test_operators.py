@@ -255,6 +255,23 @@ def test_page_parts(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body><div class='layout has-sidebar'><article class='post category-social'><header><h1>T</h1></header><p>x<br>y</p><div class='share-buttons'>Share</div></article></div><div class=sidebar>s</div></body>", "T\nx\ny"),
+        ("<body><article><p>long enough main text</p></article><section class=reader-comments><article class=comment><p>a comment that is much longer than the article's main text</p></article></section></body>", "long enough main text"),
+        ("<div id=menu>m</div><div id=content><p>a</p><p>b &lt; c</p></div><div class='footer'>f</div>", "a\nb < c"),
+        ("<p>one<p>two<div class=ad>buy<p>now</div>three", "one\ntwo\nthree"),
+        ("<main><p>a<!-- <p>hidden</p> -->b</p><style>p{}</style><noscript>n</noscript><p hidden>h</p><pre> c   d </pre></main>", "ab\nc d"),
+        ("<article><p>un<b>clo<i>sed", "unclosed"),
+        ("<article><blockquote>q</blockquote><h2>s</h2><ol><li>1<li>2</ol><form><label>mail<input></label></form><figure><img><figcaption>cap</figcaption></figure></article>", "q\ns\n1\n2\ncap"),
+    ],
+)
+def test_kinds_of_pages(page, text):
+    assert html_text.main_text(page, None)[0] == text
+    assert html_text.main_text(page, json.loads(html_text.infer([page])))[0] == text
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = [f"<body><ul>{'<li>x</li>' * k}</ul>{'<div class=ad>buy</div>' * (k % 2)}<article><p>{k}</p></article></body>" for k in (1, 3, 2)]
     assert json.loads(html_text.infer(pages))["expression"] == "<body><ul>(<li>#</li>)+</ul>(<div.ad>#</div>)?<article><p>#</p></article></body>"
