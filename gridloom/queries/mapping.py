@@ -86,7 +86,7 @@ BASE = "SELECT id, type, x.variable, x.base FROM equipment CROSS JOIN LATERAL (V
 
 
 def mapping(t):
-    return m.build_mapping(RULES, t.equipment)
+    return t.once("mapping", lambda: m.build_mapping(RULES, t.equipment))
 
 
 def matches(t):
@@ -94,7 +94,7 @@ def matches(t):
 
 
 def scaled(t):
-    return m.scale_down(mapping(t), t.ts)
+    return m.scale_down(mapping(t), t.kept_ts)
 
 
 def limited(t):
@@ -125,7 +125,7 @@ def a15(t):
 
 @query("a16_mapping_status", "SELECT DISTINCT name, name IN (SELECT series FROM mapping) AS mapped FROM ts", "ts", "equipment", **M)
 def a16(t):
-    return src.mapping_status(t.ts, mapping(t))
+    return src.mapping_status(t.kept_ts, mapping(t))
 
 
 _TAGS = "SELECT rule_id AS row_id, series AS name, type AS tag, id AS parameter FROM candidates"
@@ -134,7 +134,7 @@ _TAGS = "SELECT rule_id AS row_id, series AS name, type AS tag, id AS parameter
 @query("a17_tags", "SELECT name, tag, parameter FROM (SELECT *, row_number() OVER (PARTITION BY name, tag ORDER BY row_id, parameter) AS n FROM tags WHERE name IN (SELECT name FROM ts)) WHERE n = 1", "ts", "equipment", **M, tags=_TAGS)
 def a17(t):
     rows = m.rule_matches(RULES, t.equipment).select(F.col("series").alias("name"), F.col("type").alias("tag"), F.col("id").alias("parameter"), F.struct("rule_id", "id").alias("row_id"))
-    return src.tag(rows, t.ts)
+    return src.tag(rows, t.kept_ts)
 
 
 @query("a19_variant_deltas", """
@@ -143,7 +143,7 @@ def a17(t):
             SELECT s.version, s.point, s.variable, s.id FROM scaled s LEFT JOIN base b ON b.id = s.id AND b.variable = s.variable WHERE abs(s.value - coalesce(b.base, 0)) > 0.001) GROUP BY version, point, variable) d
     ON d.version = p.version AND d.point = p.point""", "ts", "equipment", **S, base=BASE)
 def a19(t):
-    deltas = res.variant_deltas(scaled(t), m.base_values(t.equipment), t.ts)
+    deltas = res.variant_deltas(scaled(t), m.base_values(t.equipment), t.kept_ts)
     ids = F.array_join(F.filter(F.split("items", ";"), lambda x: x.startswith("eq_")), ";")
     return deltas.select("version", "point", "key", "n", ids.alias("items"))
 
@@ -152,12 +152,12 @@ def a19(t):
 def a20(t):
     from ..operators.postprocess import contingency_probability
 
-    return contingency_probability(t.contingency, t.ts)
+    return contingency_probability(t.contingency, t.kept_ts)
 
 
 @query("s7_constant_series", "SELECT d.version, g.series, g.variable, bool_and(g.variable <> 'targetP' AND g.type <> 'LOAD' AND d.s < 1e-6) AS is_constant FROM (SELECT DISTINCT series, variable, type FROM mapping) g JOIN (SELECT name, version, stddev_pop(value) AS s FROM ts GROUP BY name, version) d ON d.name = g.series GROUP BY d.version, g.series, g.variable", "ts", "equipment", **M)
 def s7(t):
-    return stats.split_constant(t.ts, mapping(t))
+    return stats.split_constant(t.kept_ts, mapping(t))
 
 
 @query("e1_classify", STATUS, "equipment")
@@ -215,13 +215,13 @@ def e9(t):
 
 @query("e10_nan_guard", "SELECT name, version, point FROM ts WHERE CAST(substr(name, 4) AS INT) % 7 = 3 AND point % 11 = 2 AND name IN (SELECT series FROM mapping)", "ts", "equipment", **M)
 def e10(t):
-    spoiled = t.ts.withColumn("value", F.when((F.substring("name", 4, 9).cast("int") % 7 == 3) & (F.col("point") % 11 == 2), F.lit(float("nan"))).otherwise(F.col("value")))
+    spoiled = t.kept_ts.withColumn("value", F.when((F.substring("name", 4, 9).cast("int") % 7 == 3) & (F.col("point") % 11 == 2), F.lit(float("nan"))).otherwise(F.col("value")))
     return m.bad_values(spoiled, mapping(t)).select("name", "version", "point")
 
 
 @query("e11_empty_filter", f"SELECT CAST(r.rule_id AS INT) AS rule_id, r.series, version, point, value, r.level FROM ts JOIN (SELECT {len(RULES) - 2} AS rule_id, 'ts_16' AS series, 'ERROR' AS level UNION ALL SELECT {len(RULES) - 1}, 'ts_17', 'INFO') r ON r.series = ts.name WHERE value <> 0", "ts")
 def e11(t):
-    return m.empty_rules(RULES[-2:], t.equipment, t.ts).withColumn("rule_id", F.col("rule_id") + len(RULES) - 2)
+    return m.empty_rules(RULES[-2:], t.equipment, t.kept_ts).withColumn("rule_id", F.col("rule_id") + len(RULES) - 2)
 
 
 _HVDC_VALUES = "SELECT t.version, t.point, 'HVDC_LINE' AS type, x.variable, t.name AS series, h.id, t.value - x.less AS value FROM ts t JOIN hvdc h ON t.name = concat('ts_', CAST(h.num % 25 AS STRING)) CROSS JOIN (SELECT 'maxP' AS variable, 400 AS less UNION ALL SELECT 'minP', 600 UNION ALL SELECT 'activePowerSetpoint', 500) x WHERE t.point < 6 AND h.num < 50"
@@ -230,7 +230,7 @@ _HVDC_VALUES = "SELECT t.version, t.point, 'HVDC_LINE' AS type, x.variable, t.na
 def hvdc_values(t):
     kinds = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(k).alias("less")) for v, k in (("maxP", 400), ("minP", 600), ("activePowerSetpoint", 500))])).alias("x")
     lines = t.hvdc.filter("num < 50").select("id", F.concat(F.lit("ts_"), (F.col("num") % 25).cast("string")).alias("series"))
-    rows = t.ts.filter("point < 6").withColumnRenamed("name", "series").join(lines, "series").select("version", "point", "series", "id", "value", kinds)
+    rows = t.kept_ts.filter("point < 6").withColumnRenamed("name", "series").join(lines, "series").select("version", "point", "series", "id", "value", kinds)
     return rows.select("version", "point", F.lit("HVDC_LINE").alias("type"), "x.variable", "series", "id", (F.col("value") - F.col("x.less")).alias("value"))
 
 
@@ -241,7 +241,7 @@ def e12(t):
 
 @query("e13_tap_clamp", "SELECT t.version, t.point, p.id, CAST(greatest(p.low_tap, least(p.high_tap, CAST(trunc(t.value / 100 - 5) AS INT))) AS INT) AS tap FROM ts t JOIN pst p ON t.name = concat('ts_', CAST(p.num AS STRING))", "ts", "pst")
 def e13(t):
-    rows = t.ts.join(t.pst.select("id", F.concat(F.lit("ts_"), F.col("num").cast("string")).alias("name")), "name").withColumn("value", F.col("value") / 100 - 5)
+    rows = t.kept_ts.join(t.pst.select("id", F.concat(F.lit("ts_"), F.col("num").cast("string")).alias("name")), "name").withColumn("value", F.col("value") / 100 - 5)
     return m.clamp_tap(rows.select("version", "point", "id", "value"), t.pst)[0]
 
 
@@ -296,7 +296,7 @@ def e21(t):
     SELECT g.version, g.point, g.series, c.change, t.value AS asked, round(g.applied, 6) AS applied FROM (SELECT version, point, series, sum(corrected) AS applied FROM corrected_rows WHERE series IS NOT NULL GROUP BY version, point, series) g
     JOIN (SELECT DISTINCT version, point, series, change FROM corrected_rows WHERE change IS NOT NULL) c ON c.version = g.version AND c.point = g.point AND c.series = g.series JOIN ts t ON t.name = g.series AND t.version = g.version AND t.point = g.point""", "ts", "equipment", **C)
 def e22(t):
-    return lim.scaling_log(corrected(t), t.ts).withColumn("applied", r6("applied"))
+    return lim.scaling_log(corrected(t), t.kept_ts).withColumn("applied", r6("applied"))
 
 
 @query("e23_scaling_synthesis", "SELECT DISTINCT version, series, 'change' AS kind, change AS code FROM corrected_rows WHERE change IS NOT NULL UNION SELECT DISTINCT version, series, 'violation', violation FROM corrected_rows WHERE violation IS NOT NULL", "ts", "equipment", **C)
@@ -342,7 +342,7 @@ _OUTAGES = "SELECT 'out' AS name, version, point, CASE WHEN point % 3 = 0 THEN '
 @query("e28_planned_outages", "SELECT concat('out_', x.id) AS name, version, point, x.id, CASE WHEN value LIKE concat('%', x.id, '%') THEN CAST(0 AS DOUBLE) ELSE 1 END AS value FROM o CROSS JOIN (SELECT 'eq_0' AS id UNION ALL SELECT 'eq_3') x", "ts", o=_OUTAGES)
 def e28(t):
     value = F.when(F.col("point") % 3 == 0, "eq_0,eq_3").when(F.col("point") % 3 == 1, "eq_3")
-    return m.planned_outages(t.ts.filter("name = 'ts_0'").select(F.lit("out").alias("name"), "version", "point", value.alias("value")))
+    return m.planned_outages(t.kept_ts.filter("name = 'ts_0'").select(F.lit("out").alias("name"), "version", "point", value.alias("value")))
 
 
 @query("e29_declare_unmapped", IGNORED, "equipment")
@@ -366,7 +366,7 @@ def e32(t):
     g = t.equipment.filter("type = 'GENERATOR'")
     row = lambda cond, k, s, n, gone: g.filter(cond).select(F.lit(k).alias("row_id"), F.lit("targetP").alias("variable"), "id", F.lit(s).cast("string").alias("series"), F.lit(n).cast("double").alias("number"), F.lit(gone).alias("removed"))
     rows = row("true", 1, "ts_0", None, False).union(row("true", 2, "ts_1", None, False)).union(row("num % 2 = 0", 3, None, 42.0, False)).union(row("num % 5 = 0", 4, None, None, True))
-    return m.direct_series(rows, t.ts)
+    return m.direct_series(rows, t.kept_ts)
 
 
 @query("e33_equipment_series", """
@@ -374,7 +374,7 @@ def e32(t):
     FROM base b CROSS JOIN (SELECT DISTINCT version, point FROM ts WHERE point < 5) p LEFT JOIN scaled s ON s.id = b.id AND s.variable = b.variable AND s.version = p.version AND s.point = p.point WHERE b.type <> 'LOAD' AND b.variable IN ('targetP', 'maxP')""", "ts", "equipment", **S, base=BASE)
 def e33(t):
     asked = t.equipment.filter("type <> 'LOAD'").select("id", F.explode(F.array(F.lit("targetP"), F.lit("maxP"))).alias("variable"))
-    return m.equipment_series(scaled(t), asked, t.equipment, t.ts.filter("point < 5")).withColumn("value", r6("value"))
+    return m.equipment_series(scaled(t), asked, t.equipment, t.kept_ts.filter("point < 5")).withColumn("value", r6("value"))
 
 
 @query("e34_group_series", """
@@ -382,7 +382,7 @@ def e33(t):
     FROM equipment e CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN scaled s ON s.id = e.id AND s.variable = 'targetP' AND s.version = p.version AND s.point = p.point
     WHERE e.type = 'GENERATOR' AND e.connected AND e.in_main_cc GROUP BY 1, 2, 3""", "ts", "equipment", **S)
 def e34(t):
-    return m.group_series(scaled(t), t.equipment, "GENERATOR", "substation", t.ts, name="all").withColumn("value", F.round("value", 5))
+    return m.group_series(scaled(t), t.equipment, "GENERATOR", "substation", t.kept_ts, name="all").withColumn("value", F.round("value", 5))
 
 
 @query("e35_network_at_point", """
@@ -440,7 +440,7 @@ def e40(t):
     FROM (SELECT x.series, x.type, x.variable, sum(b.base) AS power, string_agg(x.id, ',' ORDER BY x.id) AS equipment FROM mapping x LEFT JOIN base b ON b.id = x.id AND b.variable = x.variable GROUP BY 1, 2, 3) g
     JOIN (SELECT name, min(lo) AS lo, max(hi) AS hi, avg(m) AS a FROM (SELECT name, version, min(value) AS lo, max(value) AS hi, avg(value) AS m FROM ts GROUP BY name, version) GROUP BY name) s ON s.name = g.series""", "ts", "equipment", **M, base=BASE)
 def e41(t):
-    return rep.series_report(mapping(t), t.ts, t.equipment).withColumn("average_power", r6("average_power")).withColumn("network_power", F.round("network_power", 5))
+    return rep.series_report(mapping(t), t.kept_ts, t.equipment).withColumn("average_power", r6("average_power")).withColumn("network_power", F.round("network_power", 5))
 
 
 @query("e42_equipment_to_series", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans.scratch import written
 from ..sources.bindings import bind, with_bindings
 
 QUERIES: dict = {}
@@ -9,14 +10,23 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The bindings of one data folder: ``t.ts`` is the DataFrame of binding ts."""
+    """The bindings of one data folder: ``t.ts`` is the DataFrame of binding ts, ``t.kept_ts`` the same as a written table,
+    for queries that read it in several branches."""
 
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir, self._kept = spark, sf_dir, {}
 
     def __getattr__(self, name):
         if name not in self._kept:
-            self._kept[name] = bind(self.spark, self.sf_dir, name)
+            kept = name.startswith("kept_")
+            df = bind(self.spark, self.sf_dir, name.removeprefix("kept_"))
+            self._kept[name] = written(df, name) if kept else df
+        return self._kept[name]
+
+    def once(self, name: str, build):
+        """The table that ``build`` gives, written when first asked for."""
+        if name not in self._kept:
+            self._kept[name] = written(build(), name)
         return self._kept[name]
 
 
