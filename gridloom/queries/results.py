@@ -205,7 +205,7 @@ _FILES = 3
 
 def result_lines(t):
     """Lines of result files: base-case flows and flows after outages 1 and 2; the file of variant 2 has an unknown outage."""
-    f = t.flows.filter(f"point < {_FILES}").withColumn("file", F.concat(F.lit("result_s"), F.col("point").cast("string")))
+    f = t.kept_flows.filter(f"point < {_FILES}").withColumn("file", F.concat(F.lit("result_s"), F.col("point").cast("string")))
     one = lambda line: f.select("file", F.col("point").alias("variant"), line.alias("line"))
     value = F.col("flow").cast("int").cast("string")
     branch = lambda tag, *cells: F.concat_ws(";", F.lit(tag), F.lit(""), F.col("branch"), *cells, F.lit(""))
@@ -222,5 +222,5 @@ def result_lines(t):
         ('MAX_THREAT_2_NAME_' || branch, 'string', 'cty_a'), ('MAX_THREAT_2_FLOW_' || branch, 'double', '-1')) x(name, kind, value)
     UNION ALL SELECT DISTINCT point, 'ERROR_CODE', 'double', '0' FROM flows WHERE point < 2 UNION ALL SELECT x.v, 'ERROR_CODE', 'double', '1' FROM (SELECT 2 AS v UNION ALL SELECT 3) x""", "flows")
 def a18(t):
-    expected = t.flows.filter("point <= 3").select(F.col("point").alias("variant")).distinct()
+    expected = t.kept_flows.filter("point <= 3").select(F.col("point").alias("variant")).distinct()
     return res.ingest_result_records(result_lines(t), expected)
