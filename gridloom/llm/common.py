@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import written
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 1 << 16  # of a block at most: places in it have 16 bits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def owners(spark: SparkSession) -> int:
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Freezes (id, text) into the written table (block, ids, sizes, body): some ``block_bytes`` of UTF-8 a block
-    (one document at least), compressed. A null text counts as empty."""
+    (one document at least, BLOCK_ROWS at most), compressed. A null text counts as empty."""
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def pack(batches):
@@ -55,7 +56,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
             id_kind = batch.schema.field(0).type
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 t = t or b""
-                if texts and held + len(t) > block_bytes:
+                if texts and (held + len(t) > block_bytes or len(texts) == BLOCK_ROWS):
                     yield row(id_kind)
                     number, ids, texts, held = number + 1, [], [], 0
                 ids.append(i)
@@ -75,6 +76,14 @@ def unpack(sizes, body) -> list[bytes]:
     return [whole[e - n : e] for e, n in zip(ends, sizes)]
 
 
+def first_row(block: int) -> int:
+    """The number of a block's first row: 23 bits of the partition, 24 of the block in it, 16 of the row."""
+    part, number = block >> 32, block & 0xFFFFFFFF
+    if part >> 23 or number >> 24:
+        raise OverflowError(f"block {number} of partition {part}")
+    return part << 40 | number << 16
+
+
 # ---- hashing ---------------------------------------------------------------------------------------------------
 
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # the 64-bit finaliser of MurmurHash3

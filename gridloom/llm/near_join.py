@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
-from .common import MESSAGE, answered, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, table, text_blocks, unpack, written
+from .common import MESSAGE, answered, first_row, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, table, text_blocks, unpack, written
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEEDS = (11, 12)  # of hashes by which pivots are picked
@@ -123,7 +123,7 @@ def _index_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, perce
             tokens, _ = tokens_of(sets)
             code = np.frombuffer(b"".join(replies_in_order(got)), np.uint8) if got.num_rows else np.empty(0, np.uint8)
             ids.append(block.column("ids")[i].values)
-            at = int(block.column("block")[i].as_py()) << 24
+            at = first_row(block.column("block")[i].as_py())
             for k, s in enumerate(sets):
                 n = len(s)
                 keys = [int(np.bitwise_xor.reduce(mix(s + np.uint64(x)))) if n else 0 for x in (1, 2)]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, exact_dedup, html_text, licences, mixing, near_join, quality, repeats, secrets, suffix, toxicity
+from gridloom.llm import common, decontaminate, exact_dedup, html_text, licences, mixing, near_join, quality, repeats, secrets, suffix, toxicity
 from gridloom.llm.common import golomb_decode, golomb_encode, occurrences, table
 from gridloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -208,6 +208,19 @@ def test_near_components_of_a_family(spark):
     assert got == brute_components(rows)
 
 
+def test_near_components_of_many_partitions(spark, monkeypatch):
+    """Rows are told apart in every partition and block, also in those from 128 on."""
+    word = lambda x: F.concat(F.lit(x), (F.col("doc_id") % 220).cast("string"))
+    docs = spark.range(0, 440, 1, 220).select(F.col("id").alias("doc_id"))
+    docs = docs.withColumn("text", F.concat_ws(" ", *[word(x) for x in "abcdef"]))
+    got = sorted((r.id, r.component_id, r.at) for r in near_join.near_components(docs).collect())
+    assert [x[:2] for x in got] == [(k, k % 220) for k in range(440)] and len({x[2] for x in got}) == 440
+    monkeypatch.setattr(common, "BLOCK_ROWS", 3)
+    found = near_join.near_components(docs.coalesce(2)).collect()
+    assert sorted((r.id, r.component_id) for r in found) == [(k, k % 220) for k in range(440)] and len({r.at for r in found}) == 440
+    assert common.first_row((1 << 23) - 1 << 32 | (1 << 24) - 1) + 0xFFFF == (1 << 63) - 1
+
+
 def test_near_components_edges(spark, edge_docs, no_docs):
     got = collections.Counter((r.id, r.n_shingles, r.component_id) for r in near_join.near_components(edge_docs).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in edge_docs.collect()])
