@@ -285,6 +285,16 @@ def test_kinds_of_pages(page, text):
     assert html_text.main_text(page, json.loads(html_text.infer([page])))[0] == text
 
 
+def test_pages_nested_deeply(spark):
+    """Thousands of blocks that are never closed, once alone on a host and once with others of the host."""
+    deep = "<body><nav>menu</nav><article><h1>Title</h1>" + "<div>part " * 5000
+    text = "\n".join(["Title", *["part"] * 5000])
+    assert html_text.main_text(deep, json.loads(html_text.infer([deep]))) == (text, True)
+    rows = [(1, "http://a/1", deep), (2, "http://b/1", deep), (3, "http://b/2", "<body><article><p>short</p></article></body>")]
+    got = {r.id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: text, 2: text, 3: "short"}
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = [f"<body><ul>{'<li>x</li>' * k}</ul>{'<div class=ad>buy</div>' * (k % 2)}<article><p>{k}</p></article></body>" for k in (1, 3, 2)]
     assert json.loads(html_text.infer(pages))["expression"] == "<body><ul>(<li>#</li>)+</ul>(<div.ad>#</div>)?<article><p>#</p></article></body>"
