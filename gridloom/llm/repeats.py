@@ -102,7 +102,7 @@ def _anchor_runs(text: np.ndarray, doc_ends: np.ndarray, length: int):
     return first, count, gram_hash[own[new]], hashes.of(first, first + count - 1 + length)
 
 
-def _slices(texts: list[bytes]):
+def _slices(texts: list[bytes], length: int):
     """The texts one after the other; a text over SLICE bytes alone, in overlapping slices. (offset, text, ends)."""
     offset, part, ends, held = 0, [], [], 0
     for t in texts:
@@ -110,7 +110,7 @@ def _slices(texts: list[bytes]):
             yield offset, b"".join(part), ends
             offset, part, ends, held = offset + held, [], [], 0
         if len(t) > SLICE:
-            for at in range(0, max(1, len(t) - LENGTH + 1), SLICE - LENGTH + 1):
+            for at in range(0, max(1, len(t) - length + 1), SLICE - length + 1):
                 yield offset + at, t[at : at + SLICE], [len(t[at : at + SLICE])]
             offset += len(t)
             continue
@@ -123,7 +123,7 @@ def _slices(texts: list[bytes]):
 
 def _runs(texts: list[bytes], length: int) -> np.ndarray:
     found = []
-    for offset, text, ends in _slices(texts):
+    for offset, text, ends in _slices(texts, length):
         first, count, anchor, whole = _anchor_runs(np.frombuffer(text, np.uint8), np.array(ends, np.int64), length)
         found.append(np.rec.fromarrays([first + offset, count, anchor, whole], dtype=RUN))
     return np.concatenate(found) if found else np.empty(0, RUN)

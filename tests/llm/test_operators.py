@@ -356,6 +356,13 @@ def test_repeats_edges(spark, edge_docs, no_docs):
     assert all(r.n_bytes - r.n_removed <= 4 for r in twins)
 
 
+def test_slices_hold_every_window(monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 1000)
+    for length in (400, 600):
+        parts = [(at, len(t)) for at, t, _ in repeats._slices([b"x" * 3700], length)]
+        assert {at + k for at, n in parts for k in range(n - length + 1)} == set(range(3700 - length + 1))
+
+
 def test_repeats_over_many_shards(spark, monkeypatch):
     """A passage in several shards, with near copies around it, so that runs of one anchor differ."""
     rng = random.Random(5)
