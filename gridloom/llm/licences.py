@@ -6,6 +6,9 @@ the unknown class, on paragraphs of the corpus itself and on sentences that spea
 temperature fitted on held-out variants calibrates it. A prediction is confirmed by comparing the paragraph with the
 family's templates: the share of the closest template's word pairs that it contains.
 
+A line is a paragraph. Notices that are wrapped over lines are found as runs of adjacent lines (no blank one between) in
+which half of a template's word pairs stand close together, also across line ends; a run is classified and confirmed whole.
+
 Only n-grams of templates are features, so a paragraph with none of their words is unknown without further work.
 Training takes a bounded sample of paragraphs (``BACKGROUND``); scoring maps over whole texts, no shuffle.
 """
@@ -71,20 +74,77 @@ def _pairs(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))}
 
 
+class Runs:
+    """Runs of adjacent lines that hold a template only together."""
+
+    def __init__(self, templates: dict[str, list[set[bytes]]]):
+        self.sizes = [len(t) for ts in templates.values() for t in ts]
+        self.pairs: dict[bytes, dict[bytes, list[int]]] = {}
+        for k, t in enumerate(t for ts in templates.values() for t in ts):
+            for pair in t:
+                first, _, second = pair.partition(b" ")
+                self.pairs.setdefault(first, {}).setdefault(second, []).append(k)
+
+    def of(self, lines: list[list[bytes]]) -> list[tuple[int, int]]:
+        """(first, last) of runs of at least two of the adjacent ``lines``, given as words; the most alike come first."""
+        hits: dict[int, list[tuple[int, int, tuple[bytes, bytes]]]] = {}  # by template: (place, line where the pair starts, pair)
+        ends, at, before = [], 0, (b"", 0)
+        for k, words in enumerate(lines):
+            for w in words:
+                for t in self.pairs.get(before[0], {}).get(w, ()):
+                    hits.setdefault(t, []).append((at, before[1], (before[0], w)))
+                at, before = at + 1, (w, k)
+            ends.append(at)
+        out = []
+        for t, found in hits.items():
+            need, width = CONFIRM * self.sizes[t], 2 * self.sizes[t] + 8
+            if len(found) < need:
+                continue
+            low, inside, best = 0, {}, None
+            for place, _, pair in found:
+                inside[pair] = inside.get(pair, 0) + 1
+                while place - found[low][0] > width or inside[found[low][2]] > 1:  # a pair that comes again isn't needed twice
+                    gone = found[low][2]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    low += 1
+                if len(inside) >= need:
+                    if best and found[low][0] > best[3]:
+                        out.append(best)
+                        best = None
+                    if not best or len(inside) / self.sizes[t] > best[0]:
+                        best = (len(inside) / self.sizes[t], found[low][1], int(np.searchsorted(ends, place, "right")), place)
+            if best:
+                out.append(best)
+        return [(a, b) for _, a, b, _ in sorted(out, key=lambda x: (-x[0], x[1], x[2])) if b > a]
+
+
+def blocks_of(text: bytes) -> list[list[bytes]]:
+    """The lines of a text that aren't blank, in lists of adjacent ones."""
+    out: list[list[bytes]] = [[]]
+    for line in text.split(b"\n"):
+        if line.strip():
+            out[-1].append(line)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
 class Classifier:
     """Classes are the families in order and UNKNOWN, last. weights: one row per feature, the bias last."""
 
     def __init__(self, families, vocabulary, weights, temperature, templates):
         self.families, self.vocabulary, self.weights, self.temperature, self.templates = families, vocabulary, weights, temperature, templates
         self.single = {w for w in vocabulary if b" " not in w}
+        self.runs = Runs(templates)
 
     def logits(self, words: list[bytes]) -> np.ndarray:
         at = [self.vocabulary[g] for g in grams(words) if g in self.vocabulary]
         return (self.weights[at].sum(0) + self.weights[-1]) / self.temperature
 
-    def of(self, paragraph: bytes):
+    def of(self, words: list[bytes]):
         """(family, probability, likeness), or None for a paragraph without any word of a template."""
-        words = split_words(paragraph)
         if self.single.isdisjoint(words):
             return None
         z = self.logits(words)
@@ -97,6 +157,23 @@ class Classifier:
         return self.families[k], float(p[k]), max(len(own & t) / len(t) for t in self.templates[self.families[k]])
 
 
+    def notices(self, lines: list[bytes]) -> list[tuple]:
+        """(line, family, probability, likeness) of adjacent lines, and of runs that are more alike than each of their lines."""
+        words = [split_words(x) for x in lines]
+        found = {k: (k, *got) for k, w in enumerate(words) if (got := self.of(w)) and got[0] != UNKNOWN}
+        if len(lines) > 1:
+            taken: set[int] = set()
+            for a, b in self.runs.of(words):
+                at = range(a, b + 1)
+                got = self.of([w for x in words[a : b + 1] for w in x]) if taken.isdisjoint(at) else None
+                if got and got[0] != UNKNOWN and got[2] >= CONFIRM and all(got[2] > found[k][3] for k in at if k in found):
+                    taken.update(at)
+                    for k in at:
+                        found.pop(k, None)
+                    found[a] = (a, *got)
+        return [found[k] for k in sorted(found)]
+
+
 def _softmax_fit(rows: list[list[int]], y: np.ndarray, m: int, classes: int, rounds: int = 200) -> np.ndarray:
     """Multinomial logistic regression by gradient steps with a running scale per weight; rows are lists of features."""
     flat = np.array([j for r in rows for j in r], np.int64)
@@ -144,9 +221,11 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
     least = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(BACKGROUND).collect()]  # hashes only: every task sends its own candidates
     texts = [r["t"].encode() for r in sorted(keyed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("t").alias("t")).collect())] if least else []
     rng = random.Random(7)
-    lines = sorted({line for t in texts for line in t.split(b"\n") if line.strip()})
-    rng.shuffle(lines)
     templates = {f: [_pairs(split_words(t.encode())) for t in ts] for f, ts in TEMPLATES.items()}
+    blocks, runs = [b for t in texts for b in blocks_of(t)], Runs(templates)
+    wrapped = {x for b in blocks if len(b) > 1 for first, last in runs.of([split_words(x) for x in b]) for x in b[first : last + 1]}
+    lines = sorted({x for b in blocks for x in b} - wrapped)
+    rng.shuffle(lines)
     plain = [x for x in lines[: 3 * BACKGROUND] if all(len(_pairs(split_words(x)) & t) < CONFIRM * len(t) for ts in templates.values() for t in ts)]
     families = list(TEMPLATES)
     names = [*families, UNKNOWN]
@@ -170,7 +249,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
 
 def scan(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n_paragraphs, licences) per row of ``docs``: paragraphs are lines that aren't blank; licences has (paragraph,
-    family, probability, likeness, confirmed) for those that aren't unknown. Null and empty texts have no paragraphs; ids
+    family, probability, likeness, confirmed) for those that aren't unknown; a notice over several lines stands once, at its first. Null and empty texts have no paragraphs; ids
     may be null or repeated; an empty table gives no rows."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((model.families, model.vocabulary, model.weights, model.temperature, model.templates))
@@ -181,13 +260,12 @@ def scan(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text") -
         for b in batches:
             n, found = [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
-                lines = [x for x in (t or b"").split(b"\n") if x.strip()]
-                n.append(len(lines))
-                each = []
-                for k, x in enumerate(lines):
-                    got = own.of(x)
-                    if got and got[0] != UNKNOWN:
-                        each.append({"paragraph": k, "family": got[0], "probability": got[1], "likeness": got[2], "confirmed": got[2] >= CONFIRM})
+                at, each = 0, []
+                for lines in blocks_of(t or b""):
+                    for k, family, probability, likeness in own.notices(lines):
+                        each.append({"paragraph": at + k, "family": family, "probability": probability, "likeness": likeness, "confirmed": likeness >= CONFIRM})
+                    at += len(lines)
+                n.append(at)
                 found.append(each)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, pa.list_(row))], names=["id", "n_paragraphs", "licences"])
 

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import html
+import itertools
 import json
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -387,6 +389,24 @@ def test_licences(spark, edge_docs, no_docs):
     assert licences.scan(no_docs, licences.train(no_docs)).count() == 0
 
 
+def test_wrapped_licences(spark, edge_docs):
+    """Every longer template as a header of wrapped comment lines, between other lines, and two after each other."""
+    model = licences.train(edge_docs)
+    for width, (family, texts) in itertools.product((24, 48, 72), licences.TEMPLATES.items()):
+        for t in texts:
+            header = [f" * {x}".encode() for x in textwrap.wrap(t, width)]
+            if len(header) > 1:
+                around = [b"int main of the program", *header, b" */"]
+                got = model.notices(around)
+                sure = [x for x in got if x[3] >= licences.CONFIRM]
+                assert [x[1] for x in sure] == [family] and sure[0][0] <= len(header), (t, got)
+                assert sum(x[3] >= licences.CONFIRM for x in model.notices(around * 2)) == 2
+    mit = "\n".join(textwrap.wrap(licences.TEMPLATES["MIT"][2], 48))
+    docs = spark.createDataFrame([(1, f"code\n\n{mit}\n\nmore")], "doc_id long, text string")
+    [r] = licences.scan(docs, model).collect()
+    assert [(x.paragraph, x.family, x.confirmed) for x in r.licences] == [(1, "MIT", True)] and r.n_paragraphs == 2 + len(mit.split("\n"))
+
+
 def test_secrets(spark, edge_docs, no_docs):
     dictionary = secrets.corpus_words(edge_docs)
     model = secrets.train(spark, dictionary)
