@@ -279,6 +279,7 @@ def test_page_parts(spark):
         ("<p>one<p>two<div class=ad>buy<p>now</div>three", "one\ntwo\nthree"),
         ("<main><p>a<!-- <p>hidden</p> -->b</p><style>p{}</style><noscript>n</noscript><p hidden>h</p><pre> c   d </pre></main>", "ab\nc d"),
         ("<article><p>un<b>clo<i>sed", "unclosed"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><object>shown</object></article>", "Let x=1 be.\nshown"),
         ("<article><blockquote>q</blockquote><h2>s</h2><ol><li>1<li>2</ol><form><label>mail<input></label></form><figure><img><figcaption>cap</figcaption></figure></article>", "q\ns\n1\n2\ncap"),
     ],
 )
@@ -297,6 +298,80 @@ def test_pages_nested_deeply(spark):
     assert got == {1: text, 2: text, 3: "short"}
 
 
+def test_deep_and_wide_pages():
+    deep = "<body><article><h1>Title</h1>" + "<div>part " * 10_000
+    assert html_text.main_text(deep, json.loads(html_text.infer([deep, deep.replace("part", "other")])))[0].count("part") == 10_000
+    wide = ["<body><article>" + "".join(f"<p class=c{'x' * (k % 900)}y{p}>text {k}</p>" for k in range(3000)) + "</article></body>" for p in "ab"]
+    assert html_text.main_text(wide[0], json.loads(html_text.infer(wide)))[0].count("text") == 3000
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_common_sequence(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    pairs = html_text.common(a, b)
+    assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+
+
+def untold(k: int) -> tuple[str, str]:
+    """A page without telling elements or classes, and its main text."""
+    words = lambda n: " ".join(f"w{k}x{n}y{i}" for i in range(n))
+    paragraphs = [words(20 + i) for i in range(2 + k % 4)]
+    side = "".join(f"<div><a href=/{k}{i}>other story {k} {i}</a></div>" for i in range(30))
+    page = f"<body><div><div>The Daily Something, all that is said about anything</div><div>{side}</div></div><div><div><h2>Title {k}</h2>"
+    page += "".join(f"<p>{p}</p>" for p in paragraphs) + "<h3>Background</h3><p>" + words(12) + "</p></div><div>We use cookies on all of our pages, and you agree.</div></div></body>"
+    return page, "\n".join([f"Title {k}", *paragraphs, "Background", words(12)])
+
+
+def test_slots_tell_the_main_text():
+    """What is alike on all pages, and links, isn't worth anything; the rest is found without any tag or word that tells."""
+    pages = [untold(k) for k in range(6)]
+    wrapper = json.loads(html_text.infer([p for p, _ in pages]))
+    for page, text in [*pages, untold(7)]:
+        assert html_text.main_text(page, wrapper) == (text, True)
+    assert html_text.main_text(pages[0][0], wrapper | {"nodes": []}) == ("", False)
+
+
+def test_wrapper_decides():
+    """Emptied or turned flags of the wrapper change the texts; a group of doubtful name is kept if it varies as text does."""
+    page = lambda k: f"<body><nav>n</nav><article><p>one {k}</p><div class=share>Share this</div><div class=related-work>seen {k} before</div><p class=x>two {k}</p></article></body>"
+    wrapper = json.loads(html_text.infer([page(k) for k in range(4)]))
+    assert html_text.main_text(page(9), wrapper) == ("one 9\nseen 9 before\ntwo 9", True)
+    turned = [[*n[:4], html_text.OUTSIDE if n[0] == "#" else n[4]] for n in wrapper["nodes"]]
+    assert html_text.main_text(page(9), wrapper | {"nodes": turned})[0] == ""
+    assert html_text.main_text(page(9), wrapper | {"nodes": []})[0] == ""
+
+
+def test_page_of_another_template(spark):
+    rows = [(k, f"http://h/{k}", untold(k)[0]) for k in range(12)] + [(50, "http://h/50", "<body><table><tr><td><p>quite another page that nobody expects here</p><p>and more</p></td></tr></table></body>")]
+    got = {r.id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in range(12)} == {k: untold(k)[1] for k in range(12)}
+    assert got[50] == "quite another page that nobody expects here\nand more"
+
+
+def test_pages_with_clashing_columns(spark):
+    page = "<body><article><p>some text</p></article></body>"
+    docs = spark.createDataFrame([(1, "http://a/1", page, "x", "y", "z", 3), (1, "http://a/1", page, "x", "y", "z", 3), (None, None, page, None, None, None, None)], "page_id long, url string, html string, text string, host string, wrapper string, h int")
+    assert sorted((r.id or 0, r.text) for r in html_text.extract(docs).collect()) == [(0, "some text"), (1, "some text"), (1, "some text")]
+
+
+def test_html_query_against_brute_force(spark):
+    """The registered query on all pages of a table: the article's blocks, cut out by regular expressions."""
+    sf_dir = "/root/testdata/sf0.01"
+    want = {}
+    for r in table(spark, sf_dir, "pages").collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|br)>", article))
+        text = "\n".join(b for b in blocks if b)
+        want[r.page_id] = (r.url, text, len(text))
+    got = QUERIES["op8_html_text"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {r.page_id: (r.url, r.text, r.n_chars) for r in got} == want
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = [f"<body><ul>{'<li>x</li>' * k}</ul>{'<div class=ad>buy</div>' * (k % 2)}<article><p>{k}</p></article></body>" for k in (1, 3, 2)]
     assert json.loads(html_text.infer(pages))["expression"] == "<body><ul>(<li>#</li>)+</ul>(<div.ad>#</div>)?<article><p>#</p></article></body>"
