@@ -6,8 +6,9 @@ the same block whatever Spark does with splits, retries or lost executors.
 
 The exchange of hashes works on blocks: each block sends one sorted, coded list of hashes to every owner of a
 hash range, the owner answers with one reply per message, and the replies meet their block again by its number.
-Owners are as many as ``spark.sql.shuffle.partitions``, the setting by which a cluster sizes its shuffles. A
-hash occurs once per block at most, so a hash that a third of all rows carry doesn't make one owner hot.
+Owners are as many as ``spark.sql.shuffle.partitions``, or more if the blocks are so large that an owner would hold
+more than OWNER_BYTES. A hash occurs once per block at most, so a hash that a third of all rows carry doesn't make one
+owner hot; a block sends a message to an owner only if it has hashes of its range, so messages grow with the input.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
+from ..plans.spread import spread_join  # noqa: F401
 
 BLOCK_BYTES = 2 << 20
+OWNER_BYTES = 64 << 20  # of text, or of hashes, for each owner or task
+BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 1 << 16  # of a block at most: places in it have 16 bits
 
 
@@ -29,8 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def owners(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def owners(spark: SparkSession, n_bytes: int = 0) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // OWNER_BYTES))
+
+
+def by_block(df: DataFrame, n: int):
+    """Grouped by block, over n tasks if that is more than Spark would take."""
+    return (df.repartition(n, "block") if n > owners(df.sparkSession) else df).groupBy("block")
+
+
+def text_bytes(blocks: DataFrame) -> int:
+    return blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
 
 
 # ---- frozen text blocks ----------------------------------------------------------------------------------------

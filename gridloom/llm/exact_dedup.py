@@ -5,7 +5,8 @@
    group of copies that holds a third of all rows costs an owner one entry per block).
 3. Owners answer with a bitmap: which of them other blocks sent too. Most documents are settled by that.
 4. Only suspects' texts are shuffled, for verification of their bytes: grouped by the normalised text itself, with
-   partial aggregation before the shuffle, so that a hot group arrives as one row per task.
+   partial aggregation before the shuffle, so that a hot group arrives as one row per task. The verified groups go back
+   to their rows by a join that deals large groups to several tasks.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MESSAGE, answered, golomb_decode, golomb_encode, message_batch, occurrences, owner_slices, owners, replies_in_order, table, written
+from .common import BROADCAST_BYTES, MESSAGE, answered, by_block, golomb_decode, golomb_encode, message_batch, occurrences, owner_slices, owners, replies_in_order, spread_join, table, written
 
 BLOCK_ROWS = 8192
-BROADCAST_BYTES = 32 << 20  # of suspects' digests
 
 
 def normalised(text: Column) -> Column:
@@ -56,11 +56,13 @@ def find_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     Texts are equal when they are identical after each run of ASCII white space has become one space; null counts as
     empty. The row with the smallest id stays (null ids come last); of rows with the same id and text only one, so a
-    repeated row counts as a copy. An empty table gives no rows; other columns are left out.
+    repeated row counts as a copy. Texts may be of any length: whole texts are hashed and compared. An empty table gives no
+    rows; other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
-    n = owners(spark)
     blocks = _blocks(docs, id_col, text_col)
+    n_bytes = 64 * (blocks.select(F.sum(F.size("ids").cast("long"))).first()[0] or 0)  # digest, id, and what goes with them
+    n = owners(spark, n_bytes)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def send(batches):
@@ -87,13 +89,13 @@ def find_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             out.append(pa.table([block.column("ids")[i].values, pa.array(at, pa.int64()), pa.array(rows, pa.binary()), pa.array(suspect)], names=["id", "at", "digest", "suspect"]))
         return pa.concat_tables(out)
 
-    rows = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(settle, f"id {id_type}, at long, digest binary, suspect boolean")
+    rows = by_block(blocks, n).cogroup(by_block(replies, n)).applyInArrow(settle, f"id {id_type}, at long, digest binary, suspect boolean")
     rows = written(rows, "suspects")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "at")).alias("first")
     groups = written(rows.filter("suspect").groupBy("digest").agg(first), "groups")
     verified = _verified(docs, text_col, groups)
     found = groups.join(verified, "digest").select("digest", F.col("first.id").alias("keep_id"), F.col("first.at").alias("keep_at"), "group_size")
-    suspects = rows.filter("suspect").join(found, "digest")
+    suspects = spread_join(rows.filter("suspect"), found, ["digest"], "at")
     alone = rows.filter("NOT suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     return alone.unionByName(suspects.select("id", "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), "digest"))
 

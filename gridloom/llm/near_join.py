@@ -11,11 +11,17 @@ document frequency and one hash, by document frequency and another hash, by a th
    one representative, found by partial aggregation).
 3. Candidates of a bucket (documents with one prefix shingle): in a group of near copies, all pairs would be its
    square. All members first meet two pivots, the one with the smallest share of shingles of its own, which is next to
-   all others, and a hashed one; after verification and components, only members of different components of a bucket
-   still have to meet, and there only those outside of its largest component with the rest. No link between different
-   components is lost, and links within one don't change it. Where two documents share a shingle at places i and j of
-   their orders, and none before, they share no more than what follows: pairs for which that isn't enough don't meet.
-4. Components of the links are found by joins; nothing but sizes and counts reaches the driver.
+   all others, and a hashed one. Where two documents share a shingle at places i and j of their orders, and none before,
+   they share no more than what follows: pairs for which that isn't enough don't meet.
+4. Filters are intersected: pairs go on if their prefixes under the second and third order meet, too; only then are the
+   whole sets fetched and compared.
+5. In buckets that still hold documents of different components, those outside of the largest one meet the others if
+   they are at most NARROW. Wider buckets are cut by a second filter: members now share a prefix shingle of the first
+   and one of the third order. There they meet pivots of these smaller buckets, and what is still apart after that
+   meets all others outside of its component, in the smaller bucket. No link between different components is lost, and
+   links within one don't change it.
+6. Components of the links are found by joins; nothing but sizes and counts reaches the driver. Joins to a group or pivot
+   that many rows have deal it to several tasks.
 """
 
 from __future__ import annotations
@@ -26,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
-from .common import MESSAGE, answered, first_row, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, table, text_blocks, unpack, written
+from .common import (
+    BROADCAST_BYTES, MESSAGE, answered, by_block, first_row, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, spread_join, table, text_blocks,
+    text_bytes, unpack, written,
+)
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SEEDS = (11, 12)  # of hashes by which pivots are picked
+SEEDS = ((11, 12), (13, 14))  # of hashes by which pivots are picked, in the buckets of one and of two filters
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MAX_WORDS_KEPT = 1 << 20
-BROADCAST_BYTES = 32 << 20
+NARROW = 64
 
 
 class WordHashes(dict):
@@ -75,13 +84,13 @@ def _prefix(order: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _index_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int):
-    """Written (id, at, n, key_1, key_2, first, second, third, tokens): first are the recurring shingles of the prefix;
-    documents without one have null arrays."""
+    """Written (id, at, n, key_1, key_2, first, second, third, tokens): first, second and third are the recurring shingles of the
+    prefixes; documents without one have null arrays."""
     spark = docs.sparkSession
-    n_owners = owners(spark)
     blocks = text_blocks(docs, id_col, text_col)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
-    size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 1
+    size = text_bytes(blocks) or 1
+    n_owners = owners(spark, size)
     drop = np.uint64(64 - int(max(32, min(64, np.ceil(np.log2(size)) + 10))))  # so few collide that the order hardly suffers
 
     def sets_of(sizes, body, known):
@@ -135,15 +144,17 @@ def _index_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, perce
                     index = s[order][df[order] > 1]
                     if len(index):
                         first, full = index, s
-                        second = s[np.lexsort((mix(s), df))[:p]]
-                        third = s[np.argsort(mix(s + STEP))[:p]]
+                        order = np.lexsort((mix(s), df))[:p]
+                        second = s[order][df[order] > 1]
+                        order = np.argsort(mix(s + STEP))[:p]
+                        third = s[order][df[order] > 1]
                 signed = [None if x is None else x.view(np.int64) for x in (first, second, third, full)]
                 out.append((at + k, n, *(int(np.uint64(x).view(np.int64)) for x in keys), *signed))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
         names = ["id", "at", "n", "key_1", "key_2", "first", "second", "third", "tokens"]
         return pa.table([pa.concat_arrays(ids) if ids else pa.nulls(0), *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], names=names)
 
-    both = blocks.groupBy("block").cogroup(classes.groupBy("block"))
+    both = by_block(blocks, n_owners).cogroup(by_block(classes, n_owners))
     return written(both.applyInArrow(rows, f"id {id_type}, at long, n long, key_1 long, key_2 long, {arrays}"), "sets")
 
 
@@ -153,40 +164,61 @@ def _may_link(percent: int):
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
 
+def _with_sides(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``pairs`` (a, b) with columns of both documents."""
+    side = lambda x: sets.select(F.col("at").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    halves = [spread_join(pairs, side(x), [x], other) for x, other in (("a", "b"), ("b", "a"))]
+    return halves[0].join(halves[1], ["a", "b"])
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Written (a, b) of the pairs that are similar. Prefixes under the second and third order go first."""
-    side = lambda x: sets.select(F.col("at").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "second", "third", "tokens")])
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    filtered = joined.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    """Written (a, b) of the pairs that are similar. Whole sets are fetched only for pairs that no prefix rules out."""
+    pairs = written(pairs, "pairs")
+    meet = F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
+    pairs = written(_with_sides(pairs, sets, ("second", "third")).filter(meet).select("a", "b"), "candidates")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     alike = both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent
-    return written(filtered.filter(alike).select("a", "b"), "links")
+    return written(_with_sides(pairs, sets, ("n", "tokens")).filter(alike).select("a", "b"), "links")
 
 
-def _pivot_pairs(index: DataFrame, percent: int) -> DataFrame:
+def _pivot_pairs(index: DataFrame, percent: int, seeds: tuple[int, int]) -> DataFrame:
     """Every member of a bucket with the bucket's pivots."""
     hashed = lambda seed: F.xxhash64(F.lit(seed), F.col("rep")).alias("h")
     own = (F.col("own") / F.col("n")).alias("share")
     pivots = index.groupBy("token").agg(
         F.count("*").alias("members"),
-        F.min(F.struct(own, hashed(SEEDS[0]), "rep", "n", "at")).alias("p"),
-        F.min(F.struct(hashed(SEEDS[1]), "rep", "n", "at")).alias("q"),
+        F.min(F.struct(own, hashed(seeds[0]), "rep", "n", "at")).alias("p"),
+        F.min(F.struct(hashed(seeds[1]), "rep", "n", "at")).alias("q"),
     ).filter("members > 1")
     pick = lambda c: F.struct(F.col(f"{c}.rep").alias("other"), F.col(f"{c}.n").alias("n_b"), F.col(f"{c}.at").alias("at_b"))
-    pivots = pivots.select("token", F.explode(F.array_distinct(F.array(pick("p"), pick("q")))).alias("x")).select("token", "x.*")
-    met = index.withColumnsRenamed({"n": "n_a", "at": "at_a"}).join(pivots, "token").filter((F.col("rep") != F.col("other")) & _may_link(percent))
+    pivots = pivots.select("token", F.array_distinct(F.array(pick("p"), pick("q"))).alias("x"))
+    met = spread_join(index.withColumnsRenamed({"n": "n_a", "at": "at_a"}), pivots, ["token"], "rep")
+    met = met.select("rep", "n_a", "at_a", F.explode("x").alias("x")).select("rep", "n_a", "at_a", "x.*").filter((F.col("rep") != F.col("other")) & _may_link(percent))
     return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def _rest_pairs(index: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose components still differ: members outside of its largest component with all others."""
+def _open(index: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Written rows of the buckets that hold several components, with their component, the bucket's largest one, and how many
+    rows are outside of that."""
     known = index.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = written(known.select("token", "rep", "n", "at", "component"), "buckets")
+    known = written(known, "buckets")
     groups = known.groupBy("token", "component").count()
-    mixed = groups.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("n_groups")).filter("n_groups > 1").drop("n_groups")
-    open_rows = known.join(mixed, "token")
-    outside = open_rows.filter("component <> major").select("token", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c"))
-    met = outside.join(open_rows.withColumnsRenamed({"n": "n_b", "at": "at_b"}), "token")
+    major = F.max(F.struct("count", "component")).alias("major")
+    mixed = groups.groupBy("token").agg(major, F.sum("count").alias("members")).select("token", F.col("major.component").alias("major"), (F.col("members") - F.col("major.count")).alias("outside")).filter("outside > 0")
+    return written(spread_join(known, mixed, ["token"], "rep"), name)
+
+
+def _both_filters(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Open buckets cut smaller: each row once per prefix shingle of the third order."""
+    third = sets.select(F.col("at").alias("rep"), "third")
+    cut = rows.select("token", "rep", "n", "own", "at").join(third, "rep").select("token", "rep", "n", "own", "at", F.explode("third").alias("t"))
+    return written(cut.select(F.xxhash64("token", "t").alias("token"), "rep", "n", "own", "at"), "cut")
+
+
+def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Of open buckets: members outside of the largest component with all that are in other components than theirs."""
+    outside = rows.filter("component <> major").select("token", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c"))
+    met = outside.join(rows.withColumnsRenamed({"n": "n_b", "at": "at_b"}), "token")
     once = (F.col("component") == F.col("major")) | (F.col("x") < F.col("rep"))
     met = met.filter((F.col("c") != F.col("component")) & once & _may_link(percent))
     return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
@@ -198,25 +230,39 @@ def near_components(docs: DataFrame, id_col="doc_id", text_col="text", n_words:
 
     A document of fewer words has one shingle, all its words; one without words, or null, has none, links with nothing
     and is its own component. Repeated rows link with each other. Rows are told apart by ``at``, so ids may be null or
-    repeated; a component of null ids only has a null component_id. Empty tables give no rows.
+    repeated; a component of null ids only has a null component_id. Texts may be of any length, all their words count. Empty
+    tables give no rows. Other columns are left out, whatever their names.
     """
     rows = _index_rows(docs, id_col, text_col, n_words, percent)
     sets = rows.filter("first IS NOT NULL")
-    reps = written(sets.groupBy("key_1", "key_2", "n").agg(F.min("at").alias("rep")), "reps")
-    members = sets.select("id", "at", "n", "key_1", "key_2").join(reps, ["key_1", "key_2", "n"]).select("id", "at", "n", "rep")
+    keys = ["key_1", "key_2", "n"]
+    reps = written(sets.groupBy(*keys).agg(F.min("at").alias("rep"), F.min("id").alias("least")), "reps")
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     index = sets.join(reps.select(F.col("rep").alias("at")), "at", "left_semi")
     index = index.select(F.posexplode("first").alias("k", "token"), F.col("at").alias("rep"), "n", (prefix - F.size("first")).alias("own"))
     index = written(index.select("token", "rep", "n", "own", (F.col("own") + F.col("k")).alias("at")), "index")
-    links = _verify(_pivot_pairs(index, percent), sets, percent)
-    labels = connected_components(links, "a", "b")
-    more = _verify(_rest_pairs(index, labels, percent), sets, percent)
+    links = _verify(_pivot_pairs(index, percent, SEEDS[0]), sets, percent)
+    labels = connected_components(links, "a", "b", spread=True)
+    still = _open(index, labels, "open")
+    wide = still.filter(F.col("outside") > NARROW)
+    cut = _both_filters(wide, sets) if wide.limit(1).count() else None
+    pairs = _rest_pairs(still.filter(F.col("outside") <= NARROW), percent)
+    if cut is not None:
+        pairs = pairs.union(_pivot_pairs(cut, percent, SEEDS[1])).distinct()
+    more = _verify(pairs, sets, percent)
     if more.limit(1).count():
-        labels = connected_components(links.union(more), "a", "b")
-    of_rep = labels.select(F.col("node").alias("rep"), "component")
-    named = written(members.join(of_rep, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = named.join(least, "component").select("id", F.col("n").alias("n_shingles"), "component_id", "at")
+        links = links.union(more)
+        labels = connected_components(links, "a", "b", spread=True)
+    if cut is not None:
+        more = _verify(_rest_pairs(_open(cut, labels, "open"), percent), sets, percent)
+        if more.limit(1).count():
+            labels = connected_components(links.union(more), "a", "b", spread=True)
+    named = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named, "named")
+    groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = spread_join(named, groups, ["component"], "rep").select(*keys, "component_id")
+    members = written(sets.select("id", "at", *keys), "members")
+    linked = spread_join(members, named, keys, "at").select("id", F.col("n").alias("n_shingles"), "component_id", "at")
     alone = rows.filter("first IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "at")
     return alone.unionByName(linked)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, MESSAGE, answered, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, table, unpack, written
+from .common import BLOCK_BYTES, MESSAGE, answered, by_block, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, table, text_bytes, unpack, written
 from .suffix import kasai, larsson_sadakane, pack_bytes
 
 LENGTH = 400
@@ -238,13 +238,14 @@ def find_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int
 
     Strings are judged on the input; overlaps count, also of a string with itself further on; matches never cross
     documents. Null texts count as empty; texts under ``length`` bytes lose nothing; rows that are repeated are copies
-    of each other; ids aren't used, so they may be null or repeated. Empty tables give no rows.
+    of each other; ids aren't used, so they may be null or repeated. Texts may be of any length, longer ones go through in
+    overlapping slices. Empty tables give no rows. Other columns are left out, whatever their names.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    n = owners(docs.sparkSession)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     blocks = _blocks(docs, id_col, text_col, length)
+    n = owners(docs.sparkSession, text_bytes(blocks))
 
     def send_runs(batches):
         for batch in batches:
@@ -275,7 +276,7 @@ def find_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int
                 out += [(number, o, golomb_encode(keys[a:b])) for o, a, b in owner_slices(keys, n)]
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "owner", "body"])
 
-    state = written(blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(in_shard, MESSAGE), "state")
+    state = written(by_block(blocks, n).cogroup(by_block(codes, n)).applyInArrow(in_shard, MESSAGE), "state")
     merged = answered(state.filter("owner >= 0"), _merge)
     known = state.filter("owner < 0").withColumnRenamed("body", "reply").unionByName(merged)
     spans = "spans array<struct<start:int,end:int>>"
@@ -314,7 +315,7 @@ def find_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int
         return pa.table([pa.concat_arrays(ids) if ids else pa.array([]), *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], names=names)
 
     schema = f"id {id_type}, n_bytes long, n_removed long, {spans}, kept_sha256 string" + ", kept binary" * with_kept
-    return blocks.drop("runs").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, schema)
+    return by_block(blocks.drop("runs"), n).cogroup(by_block(known, n)).applyInArrow(finish, schema)
 
 
 def _merge(bodies: list[bytes]) -> list[bytes]:

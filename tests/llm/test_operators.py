@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import common, decontaminate, exact_dedup, html_text, licences, mixing, near_join, quality, repeats, secrets, suffix, toxicity
 from gridloom.llm.common import golomb_decode, golomb_encode, occurrences, table
 from gridloom.llm.queries import ORACLE_SQL, QUERIES
+from gridloom.plans import spread
 
 lower = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
 
@@ -86,6 +87,14 @@ def test_contamination_against_brute_force(spark, sf_dir):
     assert got == want and any(x[2] for x in got)
 
 
+def test_contamination_query_against_brute_force(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = brute_contamination([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    want = sorted((d, n, h, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), h > 0) for d, n, h, items in found)
+    got = QUERIES["op1_decontaminate"](spark, sf_dir).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_contamination_with_a_large_benchmark(spark, sf_dir, monkeypatch):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     flat = lambda found: sorted((r.id, r.n_words, r.n_hit, tuple(r["items"]), tuple(sorted(map(tuple, r.matches)))) for r in found.collect())
@@ -210,6 +219,23 @@ def test_near_components_of_a_family(spark):
     assert got == brute_components(rows)
 
 
+def test_near_components_of_wide_buckets(spark, monkeypatch):
+    """Composites of a few shared passages, most of them not alike: buckets are cut, and keys dealt to several tasks."""
+    monkeypatch.setattr(near_join, "NARROW", 1)
+    monkeypatch.setattr(spread, "SPREAD_ROWS", 3)
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(9)]
+    rows = [(k, " ".join(rng.sample(passages, 7 + k % 3)) + f" own{k // 2} end") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.id, r.n_shingles, r.component_id) for r in near_join.near_components(docs, percent=80).collect())
+    assert got == brute_components(rows, percent=80) and len({c for _, _, c in got}) > 5
+
+
+def test_near_query_against_brute_force(spark, sf_dir):
+    want = brute_components([(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()])
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op4_ngram_jaccard"](spark, sf_dir).collect()) == want
+
+
 def test_near_components_of_many_partitions(spark, monkeypatch):
     """Rows are told apart in every partition and block, also in those from 128 on."""
     word = lambda x: F.concat(F.lit(x), (F.col("doc_id") % 220).cast("string"))
@@ -423,6 +449,11 @@ def test_repeats_against_brute_force(spark, sf_dir):
     assert as_rows(repeats.find_repeats(docs)) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_repeats_query_against_brute_force(spark, sf_dir):
+    want = brute_repeats([(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()])
+    assert collections.Counter(map(tuple, QUERIES["op10_suffix_dedup"](spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == want
+
+
 def test_repeats_edges(spark, edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect() if r.doc_id not in (6, 7)]
     rows += [(20, "ab" * 900), (21, "x" * 399), (22, "y" * 401), (23, "z" * 400), (24, "é" * 350), (25, " ".join(str(i) for i in range(300)) + "|" + " ".join(str(i) for i in range(300)))]
