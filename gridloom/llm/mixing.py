@@ -2,13 +2,19 @@
 
 Every source gets a share of all words by its weight; a source can be repeated ``max_repeats`` times at most, and
 what it can't take goes to the others by weight. A document of a source with repetition rate r is emitted floor(r)
-times plus one Bernoulli copy with probability r - floor(r), seeded by hashes, so reruns agree. The draws of a bounded
-stratum (some documents of one source) are spread evenly in order of size around one hashed start: each is still a
-Bernoulli trial of that probability, but a source's taken words come much nearer to its target than with draws that
-know nothing of each other, which matters for small sources with a few long documents.
+times plus one Bernoulli copy, seeded by the hash of its id, with probability r - floor(r), so reruns agree.
+
+A source of few documents, of which one holds a good part of its words, can't come near its target by draws that know
+nothing of each other. The few documents that hold more than 1 / LARGE of their source (less than LARGE, whatever its size) are
+therefore drawn first, the largest first, each with the fraction that is then still open: words that the draws should still
+take over words that are still to be drawn. All other documents are drawn with the fraction that is open after these.
+Each document's probability is still the fraction f = t / w: after a draw of a document of s words, the open fraction is
+(t - s) / (w - s) with probability t / w and t / (w - s) otherwise, on average (t - s t / w) / (w - s) = t / w. Only where the
+open fraction leaves the range from 0 to 1, and is cut to it, does this not hold.
 
 Plan: one scan of the texts writes (id, size, source) without texts, aggregated by source with partial sums. Source
-totals are one row per source; the water level is found by aggregates over them, never on the driver row by row.
+totals are one row per source; the water level is found by aggregates over them, never on the driver row by row. What
+a row needs to know of its source is broadcast; texts aren't shuffled, also not to be emitted.
 """
 
 from __future__ import annotations
@@ -20,8 +26,8 @@ from pyspark.sql import Window
 from .common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-STRATUM_ROWS = 5_000
-BROADCAST_SOURCES = 100_000  # rows of (source, total, target): some 10 MB at most
+LARGE = 512
+BROADCAST_SOURCES = 2_000  # rows of a source's totals and draws of large documents: some 30 MB at most
 
 
 def words(text: Column) -> Column:
@@ -64,36 +70,73 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeats: float = 3.0
     return totals.select("source", "source_size", "n_rows", F.least(F.col("weight") * F.lit(level), F.col("cap")).alias("target"))
 
 
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Written (id, source, size)."""
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "sizes")
+
+
+def _chance(column: Column, seed: int) -> Column:
+    """Between 0 and 1, by the hash of an id."""
+    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def _plan(sizes: DataFrame, weights, max_repeats: float, seed: int) -> DataFrame:
+    """Written (source, n_rows, plan): a source's size, target, whole copies, draws of its large documents, and the fraction by
+    which the others are drawn."""
+    targets = written(source_targets(sizes, weights, max_repeats), "targets")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(float(max_repeats)))).otherwise(F.lit(1.0))
+    targets = targets.withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
+    large = _with_source(sizes, targets.select("source", "n_rows", F.struct("source_size").alias("plan")), F.col("source")).filter(F.col("size") * LARGE > F.col("__plan.source_size"))
+    large = large.groupBy("source", "id", "size").agg(F.count("*").alias("m")).select("source", F.struct((-F.col("size")).alias("order"), _chance(F.col("id"), seed).alias("u"), "id", "size", (F.col("size") * F.col("m")).alias("s")).alias("x"))
+    large = large.groupBy(F.col("source").alias("of")).agg(F.array_sort(F.collect_list("x")).alias("large"))  # less than LARGE of a source
+    both = targets.join(large, F.col("source").eqNullSafe(F.col("of")), "left")
+    id_type = sizes.schema["id"].dataType.simpleString()
+    drawn = f"""aggregate(large, named_struct('t', fraction * source_size, 'w', double(source_size), 'drawn', cast(array() as array<struct<id:{id_type},size:bigint,drawn:boolean>>)),
+        (a, x) -> named_struct('t', a.t - if(x.u < a.t / a.w, x.s, 0), 'w', a.w - x.s, 'drawn', concat(a.drawn, array(named_struct('id', x.id, 'size', x.size, 'drawn', x.u < a.t / a.w)))))"""
+    both = both.withColumn("d", F.expr(drawn))
+    rest = F.when(F.col("d.w") > 0, F.col("d.t") / F.nullif("d.w", F.lit(0.0)))
+    plan = F.struct("source_size", "target", F.floor("rate").alias("whole"), F.coalesce(rest, F.col("fraction")).alias("rest"), F.col("d.drawn").alias("large"))
+    return written(both.select("source", "n_rows", plan.alias("plan")), "plan")
+
+
+def _with_source(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
+    """``rows`` with __plan of their source. Plans of the sources with most rows are broadcast, BROADCAST_SOURCES at most; so
+    no source that is left to a shuffle has more than that part of all rows."""
+    p = plan.select(F.col("source").alias("__source"), "n_rows", F.col("plan").alias("__plan"))
+    n, total = p.agg(F.count("*"), F.sum("n_rows")).first()
+    on = source.eqNullSafe(F.col("__source"))
+    join = lambda left, own: left.join(own.drop("n_rows"), on).drop("__source")
+    if n <= BROADCAST_SOURCES:
+        return join(rows, F.broadcast(p))
+    many = F.broadcast(p.filter(F.col("n_rows") > total / BROADCAST_SOURCES))
+    return join(rows, many).unionByName(join(rows.join(many, on, "left_anti"), p))
+
+
+def _copies(id_column: Column, size: Column, seed: int) -> Column:
+    own = F.filter("__plan.large", lambda x: x["id"].eqNullSafe(id_column) & (x["size"] == size))
+    large = F.when(size * LARGE > F.col("__plan.source_size"), F.get(own, F.lit(0))["drawn"])
+    return F.col("__plan.whole") + F.coalesce(large, _chance(id_column, seed) < F.col("__plan.rest")).cast("long")
+
+
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), max_repeats=3.0, seed=17) -> DataFrame:
     """(id, source, size, source_size, target, copies): how often the mix takes each document.
 
-    Null or empty texts have size 0 and may be emitted as any other. A null source is a source of its own, last in
-    order. Rows with equal ids and sizes
-    (null ids too) are taken alike.
-    An empty table gives no rows. Extra columns are left out.
+    Null or empty texts have size 0 and may be emitted as any other; texts may be of any length. A null source is a source of
+    its own, last in order. Rows of a source with equal ids and sizes (null ids too) are taken alike; ties in size are
+    drawn in order of their hashes. An empty table gives no rows. Other columns are left out, whatever their names.
     """
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "sizes")
-    targets = written(source_targets(sizes, weights, max_repeats), "targets")
-    small = targets.count() <= BROADCAST_SOURCES
-    t = targets.withColumnRenamed("source", "s")
-    joined = sizes.join(F.broadcast(t) if small else t, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(1.0))
-    fraction = F.col("rate") - F.floor("rate")
-    stratum = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.ceil(F.col("n_rows") / STRATUM_ROWS))
-    order = F.dense_rank().over(Window.partitionBy("source", "stratum").orderBy("size", F.xxhash64(F.lit(seed + 1), F.col("id")), "id"))
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("stratum")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    spread = start + (F.col("order") - 1) * F.col("fraction")
-    drawn = (F.floor(spread + F.col("fraction")) - F.floor(spread)).cast("long")  # 1 with probability fraction
-    joined = joined.withColumn("rate", rate).withColumn("fraction", fraction).withColumn("stratum", stratum).withColumn("order", order)
-    return joined.select("id", "source", "size", "source_size", "target", F.least(F.floor("rate") + drawn, F.lit(int(max_repeats))).alias("copies"))
-
-
-def take_mix(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns."""
-    taken = mix_sources(docs, id_col=id_col, **options).filter("copies > 0").groupBy("id").agg(F.max("copies").alias("__copies"))
-    key = docs[id_col].eqNullSafe(taken["id"])
-    names = [docs[c] for c in docs.columns]
-    return docs.join(taken, key).select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    joined = _with_source(sizes, _plan(sizes, weights, max_repeats, seed), F.col("source"))
+    return joined.select("id", "source", "size", "__plan.source_size", "__plan.target", _copies(F.col("id"), F.col("size"), seed).alias("copies"))
+
+
+def take_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), max_repeats=3.0, seed=17) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as mix_sources says, with all their columns; repeated rows are
+    emitted for each."""
+    plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, max_repeats, seed)
+    joined = _with_source(docs, plan, F.col(source_col).cast("string"))
+    copies = _copies(F.col(id_col), words(F.col(text_col)), seed).cast("int")
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -159,13 +159,62 @@ def test_mixing(spark, sf_dir):
     assert sum(taken.values()) == pytest.approx(sum(size.values()), rel=0.1)
 
 
+def test_draws_have_their_probability(spark):
+    """Over many sources alike: every document is drawn as often as its source's fraction says, and taken words are nearer to
+    the target than by draws that know nothing of each other."""
+    n_words, many = [400, 300, 200, *[20 + k for k in range(40)]], 240
+    rows = [(s * 100 + k, "w " * n, f"s{s:03d}") for s in range(many) for k, n in enumerate(n_words)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("*", mixing._chance(F.col("id"), 17).alias("u")).collect()
+    total = sum(n_words)
+    copies, taken, free, target = collections.defaultdict(list), collections.Counter(), collections.Counter(), {}
+    for r in got:
+        rate = r.target / total
+        copies[round(rate, 6), r.id % 100].append(r.copies)
+        taken[r.source] += r.copies * r["size"]
+        free[r.source] += (int(rate) + (r.u < rate - int(rate))) * r["size"]
+        target[r.source] = r.target
+    for (rate, item), k in copies.items():
+        assert len(k) == many // 3 and abs(np.mean(k) - rate) < 4 * np.sqrt((rate % 1) * (1 - rate % 1) / len(k)) + 1e-6, (rate, item, np.mean(k))
+    off, alone = (np.mean([abs(x[s] / target[s] - 1) for s in target]) for x in (taken, free))
+    assert off < 0.5 * alone
+
+
+def test_mixing_query(spark):
+    """The registered query's own columns: exact but for the draws, which are held to their bounds."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in table(spark, sf_dir, "documents").collect()}
+    whole = collections.Counter()
+    for n, s in docs.values():
+        whole[s] += n
+    target, taken = brute_targets(dict(whole)), collections.Counter()
+    got = QUERIES["op3_mixing"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n, s = docs[r.doc_id]
+        assert (r["size"], r.source_size) == (n, whole[s]) and r.target == pytest.approx(target[s])
+        floor = int(min(3.0, target[s] / whole[s]) + 1e-9) * n
+        assert r.taken in (floor, floor + n) and r.taken <= 3 * n
+        taken[s] += r.taken
+    assert all(abs(taken[s] / target[s] - 1) < 0.15 for s in target), {s: taken[s] / target[s] for s in target}
+
+
+def test_many_sources_without_broadcast(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    want = sorted(map(tuple, mixing.mix_sources(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix_sources(docs).collect()), key=repr) == want
+
+
 def test_mixing_edges(spark, edge_docs, no_docs):
     got = mixing.mix_sources(edge_docs).collect()
     assert len(got) == edge_docs.count()
     assert {r["size"] for r in got if r.id in (3, 4, 5)} == {0}
     assert len({r.copies for r in got if r.id == 9}) == 1
     assert mixing.mix_sources(no_docs).count() == 0
-    assert mixing.take_mix(edge_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).columns == edge_docs.columns
+    mixed = mixing.take_mix(edge_docs)
+    assert mixed.columns == edge_docs.columns
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == +collections.Counter({i: sum(r.copies for r in got if r.id == i) for i in {r.id for r in got}})
+    assert mixing.take_mix(no_docs).count() == 0
 
 
 # ---- 4 ---------------------------------------------------------------------------------------------------------
