@@ -5,8 +5,8 @@ searches every suffix of the benchmark in it. Where a suffix agrees on a whole w
 places that follow each other on one diagonal make up a longest verbatim match. A document lies in one shard, so no
 match is lost, nothing is shuffled, and memory is that of one shard.
 
-The benchmark goes to the tasks in broadcast blocks of bounded size. Its own size is checked: beyond
-MAX_BENCHMARK_BYTES the frozen documents are passed over once for each part of it, and the parts' results are joined.
+The benchmark goes to the tasks in broadcast blocks of bounded size, as numbers of words. Its own size is checked: beyond
+MAX_BENCHMARK_BYTES of text the frozen documents are passed over once for each part of it, and the parts' results are joined.
 """
 
 from __future__ import annotations
@@ -33,6 +33,14 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(TO_WORDS).split()
 
 
+def _coded(items: list[tuple[str, list[bytes]]]):
+    """A block as it is broadcast: ids, words per item, each different word once, and the words as numbers of these. That is
+    four bytes for a word of the text, and less than the text as a whole."""
+    number: dict[bytes, int] = {}
+    flat = np.fromiter((number.setdefault(w, len(number)) for _, words in items for w in words), np.int32)
+    return [i for i, _ in items], np.array([len(w) for _, w in items], np.int64), b" ".join(number), flat
+
+
 def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """Lists of (item id as string, words) of some ``block_bytes``. Rows come to the driver one partition at a time."""
     block, held = [], 0
@@ -52,14 +60,13 @@ def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_by
 class Suffixes:
     """The suffixes of the items in a block of the benchmark, as numbers of the words of a shard."""
 
-    def __init__(self, items, number: dict, window: int):
-        self.ids = [i for i, _ in items]
-        flat = [w for _, words in items for w in words]
-        self.words = np.fromiter((number.get(w, -1) for w in flat), np.int64, len(flat))
-        sizes = np.array([len(words) for _, words in items])
+    def __init__(self, block, number: dict, window: int):
+        self.ids, sizes, words, flat = block
+        known = np.fromiter((number.get(w, -1) for w in words.split()), np.int64)
+        self.words = known[flat]
         ends = np.cumsum(sizes)
         self.start = ends - sizes
-        self.item = np.repeat(np.arange(len(items)), sizes)
+        self.item = np.repeat(np.arange(len(sizes)), sizes)
         self.left = ends[self.item] - np.arange(len(flat))  # words from here to the item's end
         self.need = np.minimum(window, sizes)[self.item]  # an item of fewer words is one window
 
@@ -179,7 +186,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     any occurrence of a window is hit. items: ids (as strings, sorted) of the items with occurring windows; matches:
     longest verbatim matches as (item_id, item_word, doc_word, n_words), counted in words from 0. Null texts have no
     words; items without words match nothing; a null item id counts as an empty string; repeated rows give repeated
-    results. Empty tables on either side give no matches. Extra columns are left out.
+    results. Texts may be of any length; one over SHARD_BYTES is a shard of its own. Empty tables on either side give no
+    matches. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
@@ -193,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
             blocks, longest, total = [], window, 0
         total += size
         longest = max(longest, *(len(w) for _, w in items))
-        blocks.append(spark.sparkContext.broadcast(items))
+        blocks.append(spark.sparkContext.broadcast(_coded(items)))
     if not done:
         return rows.mapInArrow(_scan(window, blocks, longest), f"id {id_type}, {FOUND}")
     done.append(_part(rows, window, blocks, longest, f"struct<row:bigint,id:{id_type}>"))

@@ -9,13 +9,18 @@ family's templates: the share of the closest template's word pairs that it conta
 A line is a paragraph. Notices that are wrapped over lines are found as runs of adjacent lines (no blank one between) in
 which half of a template's word pairs stand close together, also across line ends; a run is classified and confirmed whole.
 
-Only n-grams of templates are features, so a paragraph with none of their words is unknown without further work.
-Training takes a bounded sample of paragraphs (``BACKGROUND``); scoring maps over whole texts, no shuffle.
+The unknown class is learnt from the corpus, from notices of licences that are no family here (``FOREIGN``), and from
+sentences that use the same words otherwise (``NEITHER``).
+
+Only n-grams of templates and of these sentences are features, so a paragraph with none of the templates' words is unknown
+without further work. Training takes a bounded sample: PARAGRAPHS paragraphs, picked by hash from the whole text, of
+each of BACKGROUND rows; executors reduce them to features. Scoring maps over whole texts, no shuffle.
 """
 
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import split_words
 
-BACKGROUND = 2_000  # rows of the corpus from which unknown paragraphs are taken, a few of each
+BACKGROUND = 2_000  # rows of the corpus from which unknown paragraphs are taken
+PARAGRAPHS = 8  # of each of these rows
+FILLER = 30  # words of a paragraph that variants may be surrounded with
 VARIANTS = 60  # of each template
 CONFIRM = 0.5
 UNKNOWN = "unknown"
@@ -46,6 +53,19 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ],
+    "Boost": ["Distributed under the Boost Software License, Version 1.0."],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -57,6 +77,22 @@ TEMPLATES = {
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.", "Dedicated to the public domain under CC0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# The families' identifiers in the form "SPDX-License-Identifier: ...".
+SPDX = {
+    "Apache": ["Apache-2.0"], "MIT": ["MIT"], "BSD": ["BSD-3-Clause", "BSD-2-Clause"], "AGPL": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "EPL": ["EPL-2.0"], "ISC": ["ISC"], "Boost": ["BSL-1.0"],
+    "GPL": ["GPL-3.0-only", "GPL-2.0-or-later"], "LGPL": ["LGPL-2.1-or-later", "LGPL-3.0-only"], "MPL": ["MPL-2.0"], "CC-BY": ["CC-BY-4.0", "CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC0": ["CC0-1.0"],
+    "Unlicense": ["Unlicense"],
+}
+for _family, _names in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {x}" for x in _names]
+# Notices of licences that are none of the families.
+FOREIGN = [
+    "Licensed under the EUPL, Version 1.2 only.", "The contents of this file are subject to the terms of the Common Development and Distribution License.", "This file is distributed under the Artistic License 2.0.",
+    "Licensed under the Open Software License version 3.0.", "Released under the zlib/libpng license.", "This software is licensed under the Microsoft Public License.", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: EUPL-1.2",
+    "This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2.", "Licensed under the Academic Free License version 3.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Your use of this software is governed by the end user license agreement.", "SPDX-License-Identifier: LicenseRef-Proprietary",
+    "Licensed under the PostgreSQL License.", "This program is made available under the terms of the IBM Public License.", "Licensed under the Server Side Public License, version 1.",
+]
 # Sentences with the same words that name no family.
 NEITHER = [
     "All rights reserved.", "See the license file for details.", "The license of this software has not been decided.", "Version 2.0 was released in spring.",
@@ -74,6 +110,11 @@ def _pairs(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))}
 
 
+def _template(text: str) -> set[bytes]:
+    """The word pairs of a template; what all SPDX lines share tells nothing."""
+    return _pairs(split_words(text.encode())) - {b"spdx license", b"license identifier"}
+
+
 class Runs:
     """Runs of adjacent lines that hold a template only together."""
 
@@ -136,7 +177,7 @@ class Classifier:
 
     def __init__(self, families, vocabulary, weights, temperature, templates):
         self.families, self.vocabulary, self.weights, self.temperature, self.templates = families, vocabulary, weights, temperature, templates
-        self.single = {w for w in vocabulary if b" " not in w}
+        self.single = {w for ts in templates.values() for t in ts for pair in t for w in pair.split()}
         self.runs = Runs(templates)
 
     def logits(self, words: list[bytes]) -> np.ndarray:
@@ -197,10 +238,10 @@ def _softmax_fit(rows: list[list[int]], y: np.ndarray, m: int, classes: int, rou
     return w
 
 
-def _variants(rng: random.Random, background: list[bytes]):
-    """(family or UNKNOWN, paragraph) made from the fixed values."""
-    filler = [w for b in background for w in b.split()[:30]] or [b"text"]
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN, NEITHER)]:
+def _variants(rng: random.Random, filler: list[bytes]):
+    """(family or UNKNOWN, paragraph) made from the fixed values, with words of the corpus around some."""
+    filler = filler or [b"text"]
+    for family, texts in [*TEMPLATES.items(), (UNKNOWN, FOREIGN + NEITHER)]:
         for text in texts:
             words = text.encode().split()
             for k in range(VARIANTS):
@@ -214,26 +255,47 @@ def _variants(rng: random.Random, background: list[bytes]):
                 yield family, b" ".join(around[:cut] + own + around[cut:])
 
 
-def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
-    """From the fixed values and the paragraphs of BACKGROUND rows (least hashes of id), which count as unknown unless they
-    hold most of a template. Works on an empty table, too."""
-    keyed = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col).cast("string"), 1, 4000).alias("t")).filter("t IS NOT NULL")
+def _background(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[bytes, int], templates) -> list[tuple[list[int], list[bytes]]]:
+    """Of BACKGROUND rows (least hashes of id) PARAGRAPHS paragraphs each (least hashes of the whole text's), but none that
+    belongs to a notice or holds most of a template: (features, first words), in a fixed order."""
+    keyed = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
     least = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(BACKGROUND).collect()]  # hashes only: every task sends its own candidates
-    texts = [r["t"].encode() for r in sorted(keyed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("t").alias("t")).collect())] if least else []
+    if not least:
+        return []
+    rows = keyed.filter(F.col("h") <= least[-1])
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, templates))
+
+    def pick(batches):
+        vocabulary, templates = held.value
+        runs, sets = Runs(templates), [t for ts in templates.values() for t in ts]
+        for b in batches:
+            out: list[tuple] = []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                blocks = [[split_words(x) for x in lines] for lines in blocks_of(t)]
+                wrapped = [{k for first, last in runs.of(words) for k in range(first, last + 1)} if len(words) > 1 else () for words in blocks]
+                plain = [(zlib.crc32(b" ".join(w)), w) for words, gone in zip(blocks, wrapped) for k, w in enumerate(words) if k not in gone]
+                plain = [(c, w) for c, w in sorted(plain) if all(len(_pairs(w) & s) < CONFIRM * len(s) for s in sets)]
+                out += [(h, sorted({vocabulary[g] for g in grams(w) if g in vocabulary}), b" ".join(w[:FILLER])) for _, w in plain[:PARAGRAPHS]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.binary()))], names=["h", "features", "words"])
+
+    found = rows.mapInArrow(pick, "h long, features array<int>, words binary").collect()  # BACKGROUND * PARAGRAPHS rows at most, but for repeated ids
+    return [(list(f), bytes(w).split()) for _, f, w in sorted((r["h"], tuple(r["features"]), bytes(r["words"])) for r in found)]
+
+
+def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
+    """From the fixed values and a bounded sample of the corpus' paragraphs (see ``_background``), which count as unknown. Null
+    texts are left out, repeated rows count as often as they are there. Works on an empty table, too."""
     rng = random.Random(7)
-    templates = {f: [_pairs(split_words(t.encode())) for t in ts] for f, ts in TEMPLATES.items()}
-    blocks, runs = [b for t in texts for b in blocks_of(t)], Runs(templates)
-    wrapped = {x for b in blocks if len(b) > 1 for first, last in runs.of([split_words(x) for x in b]) for x in b[first : last + 1]}
-    lines = sorted({x for b in blocks for x in b} - wrapped)
-    rng.shuffle(lines)
-    plain = [x for x in lines[: 3 * BACKGROUND] if all(len(_pairs(split_words(x)) & t) < CONFIRM * len(t) for ts in templates.values() for t in ts)]
+    templates = {f: [_template(t) for t in ts] for f, ts in TEMPLATES.items()}
+    fixed = [t for ts in [*TEMPLATES.values(), FOREIGN] for t in ts]
+    vocabulary = {g: k for k, g in enumerate(sorted(set().union(*(grams(split_words(t.encode())) for t in fixed))))}
+    plain = _background(docs, id_col, text_col, vocabulary, templates)
     families = list(TEMPLATES)
     names = [*families, UNKNOWN]
-    samples = [*_variants(rng, plain), *((UNKNOWN, p) for p in plain)]
-    vocabulary = {g: k for k, g in enumerate(sorted(set().union(*(grams(split_words(t.encode())) for ts in TEMPLATES.values() for t in ts))))}
-    rows = [[vocabulary[g] for g in grams(split_words(p)) if g in vocabulary] for _, p in samples]
-    y = np.array([names.index(f) for f, _ in samples])
-    held = np.array([rng.random() < 0.2 for _ in samples])
+    variants = list(_variants(rng, [w for _, words in plain for w in words]))
+    rows = [[vocabulary[g] for g in grams(split_words(p)) if g in vocabulary] for _, p in variants] + [f for f, _ in plain]
+    y = np.array([names.index(f) for f, _ in variants] + [len(families)] * len(plain))
+    held = np.array([rng.random() < 0.2 for _ in rows])
     fit = lambda keep: _softmax_fit([r for r, k in zip(rows, keep) if k], y[keep], len(vocabulary), len(names))
     part = Classifier(families, vocabulary, fit(~held), 1.0, templates)
     z = np.array([part.weights[r].sum(0) + part.weights[-1] for r, h in zip(rows, held) if h])
@@ -249,8 +311,10 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
 
 def scan(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n_paragraphs, licences) per row of ``docs``: paragraphs are lines that aren't blank; licences has (paragraph,
-    family, probability, likeness, confirmed) for those that aren't unknown; a notice over several lines stands once, at its first. Null and empty texts have no paragraphs; ids
-    may be null or repeated; an empty table gives no rows."""
+    family, probability, likeness, confirmed) for those that aren't unknown; a notice over several lines stands once, at its
+    first. Of families that are equally likely the first in order counts. Null and empty texts have no paragraphs; texts and
+    paragraphs may be of any length; ids may be null or repeated, repeated rows give the same; an empty table gives no rows.
+    Other columns are left out, whatever their names."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((model.families, model.vocabulary, model.weights, model.temperature, model.templates))
     row = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())])

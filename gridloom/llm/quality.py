@@ -28,7 +28,7 @@ class Bounds:
     """What training reads at most, and sizes."""
 
     rows: int = 3_000  #: labelled rows of each class for the dictionaries, and twice as many for calibration
-    pieces: int = 16  #: of a training text, evenly spread over it
+    pieces: int = 8  #: of a text that dictionaries are trained on, evenly spread over it; calibration reads whole texts
     piece_chars: int = 2_048
     dictionary_bytes: int = 112 << 10
     chunk_bytes: int = 2_048
@@ -92,32 +92,50 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", bounds: Bounds = Bounds()) -> Model:
     """Learns from labelled rows only: fold 0 for dictionaries, fold 2 for calibration, where a row's fold is CRC-32 of its
-    id's text modulo 3; fold 1 is held out. Labels other than 0 and 1 and null ids are ignored; an id labelled twice
-    counts once (label 1 first)."""
-    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label"))
-    marked = marked.withColumn("fold", F.crc32(F.col("__id").cast("string")) % 3)
+    id's text modulo 3; fold 1 is held out. Dictionaries are cut from pieces of their texts (see Bounds); calibration compresses
+    whole texts, on the executors, as scoring does. Labels other than 0 and 1 and null ids are ignored; an id labelled twice
+    counts once (label 1 first). Without labelled rows all scores are 0.5."""
+    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
+    marked = marked.withColumn("__fold", F.crc32(F.col("__id").cast("string")) % 3)
     order = [F.xxhash64("__id"), F.col("__id")]
-    part = [marked.filter((F.col("fold") == 0) & (F.col("label") == k)).orderBy(*order).limit(bounds.rows) for k in (0, 1)]
-    part.append(marked.filter(F.col("fold") == 2).orderBy(*order).limit(2 * bounds.rows))
-    sample = part[0].unionByName(part[1]).unionByName(part[2])  # 4 * bounds.rows rows at most
+    part = [marked.filter((F.col("__fold") == 0) & (F.col("__label") == k)).orderBy(*order).limit(bounds.rows) for k in (0, 1)]
+    part.append(marked.filter(F.col("__fold") == 2).orderBy(*order).limit(2 * bounds.rows))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n = F.least(F.lit(bounds.pieces), F.ceil(F.length(text) / bounds.piece_chars)).cast("int")
     spread = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.substring(text, (k * F.length(text) / F.greatest(n, F.lit(1))).cast("int") + 1, F.lit(bounds.piece_chars)))
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select("__id", "label", "fold", spread.alias("pieces")).collect()
-    rows.sort(key=lambda r: (str(r["__id"]), r["pieces"]))
-    training = {k: [p.encode() for r in rows if r["fold"] == 0 and r["label"] == k for p in r["pieces"]] for k in (0, 1)}
+    learned = docs.join(F.broadcast(part[0].unionByName(part[1])), docs[id_col] == F.col("__id"))  # 2 * bounds.rows ids at most
+    rows = sorted(learned.select("__id", F.col("__label").alias("label"), spread.alias("pieces")).collect(), key=lambda r: (str(r["__id"]), r["pieces"]))
+    training = {k: [p.encode() for r in rows if r["label"] == k for p in r["pieces"]] for k in (0, 1)}
     for samples in training.values():  # the training is sensitive to order: shuffle, but always alike
         samples.sort(key=zlib.crc32)
     model = Model(_dictionary(training[0], bounds.dictionary_bytes), _dictionary(training[1], bounds.dictionary_bytes), (0.0,) * 4, bounds)
-    seen = [r for r in rows if r["fold"] == 2] or [r for r in rows]
-    c = model.compressors()
-    x = np.array([model.features(c, "".join(r["pieces"]).encode()) for r in seen], float).reshape(-1, 3)
-    return Model(model.bad, model.good, _fit(x, np.array([r["label"] for r in seen], float)), bounds)
+    found = _calibration(docs, part[2], model, id_col, text)
+    if not found:  # no row in that fold: those of the dictionaries have to do
+        found = _calibration(docs, part[0].unionByName(part[1]), model, id_col, text)
+    x, y = np.array([r[1:] for r in found], float).reshape(-1, 3), np.array([r[0] for r in found], float)
+    return Model(model.bad, model.good, _fit(x, y), bounds)
+
+
+def _calibration(docs: DataFrame, sample: DataFrame, model: Model, id_col: str, text) -> list[tuple]:
+    """(label, features of the whole text) of the sample's rows, three numbers each, in a fixed order."""
+    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id"))  # 2 * bounds.rows ids at most
+    held = docs.sparkSession.sparkContext.broadcast((model.bad, model.good))
+    w, bounds = model.weights, model.bounds
+
+    def run(batches):
+        own = Model(*held.value, w, bounds)
+        c = own.compressors()
+        for b in batches:
+            x = np.array([own.features(c, t) for t in b.column(1).cast(pa.binary()).to_pylist()], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(3)]], names=["label", "a", "b", "c"])
+
+    return sorted(map(tuple, rows.select(F.col("__label").cast("int").alias("label"), text.alias("text")).mapInArrow(run, "label int, a double, b double, c double").collect()))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, score) of whole texts; null counts as empty, and an empty text gets the score of no difference. One row per
-    row, repeated or null ids too; an empty table gives none. ``id_col`` may be a struct that carries other columns."""
+    row, repeated or null ids too; an empty table gives none. Texts may be of any length. ``id_col`` may be a struct that
+    carries other columns; the others are left out, whatever their names."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((model.bad, model.good))
     w, bounds = model.weights, model.bounds

@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives (operator 5).
 
-Candidates are strings of 16 and more letters, digits and a few signs. Features: length, entropy, how often character
+Candidates are strings of 16 and more letters, digits and a few signs, and what is assigned to a name that speaks of a
+secret, if it has six characters at least. Features: length, entropy, how often character
 kinds change and which, the share covered by words that the corpus uses, the kind of path, and the words before it. The
 forest is trained from labelled findings (``labelled_findings`` makes a bounded set of them from a seed, for the formats
 that public detectors describe; any table of the same columns may be passed instead) and removes false positives.
@@ -10,11 +11,11 @@ Plan: candidates are cut out per document on the executors; the forest's scores
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import string
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,12 +23,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/=_\-]{16,}")
+LONG = rb"[A-Za-z0-9+/=_\-]{16,}"
+ASSIGNED = rb"""(?i:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|credentials?)["']?[ \t]*(?::|=>?|:=)[ \t]*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"',;)}\]]{6,}))"""
+CANDIDATE = re.compile(ASSIGNED + rb"|(" + LONG + rb")")
 BEFORE = 40  # bytes
 FINDINGS = 2_000
 DICTIONARY = 5_000  # words
+CLASSES = 8  # of counts of words, for each doubling
 # fixed values: words that stand before secrets, words that stand before other strings, prefixes of keys
 NAMES = (b"token", b"secret", b"password", b"passwd", b"pwd", b"api_key", b"apikey", b"access_key", b"auth", b"credential", b"private_key", b"client_secret")
 OTHERS = (b"sha256", b"md5", b"commit", b"checksum", b"digest", b"uuid", b"id", b"hash", b"etag", b"build", b"example", b"placeholder")
@@ -36,8 +40,14 @@ CODE_PATHS = ("py", "js", "env", "yml", "yaml", "json", "cfg", "ini", "sh", "con
 FEATURES = ("length", "entropy", "digits", "upper", "lower", "signs", "changes", "letter_digit", "case_changes", "vowels", "repeats", "covered", "prefix", "assigned", "quoted", "named", "other", "code_path")
 
 
-def _kind(c: int) -> int:
-    return 0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3
+KINDS = np.array([0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 for c in range(256)], np.uint8)
+VOWELS = np.array([c in b"aeiouAEIOU" for c in range(256)])
+
+
+def candidates(text: bytes):
+    """(start, string) in order; none lies in another."""
+    for m in CANDIDATE.finditer(text):
+        yield m.start(m.lastindex), m[m.lastindex]
 
 
 def _covered(word: bytes, dictionary: set[bytes]) -> float:
@@ -50,21 +60,23 @@ def _covered(word: bytes, dictionary: set[bytes]) -> float:
 
 
 def features(candidate: bytes, before: bytes, path: str, dictionary: set[bytes]) -> list[float]:
+    """Of the whole candidate, whatever its length."""
     n = len(candidate)
-    kinds = [_kind(c) for c in candidate[:4096]]  # of a candidate that long, no feature changes any more
-    m = len(kinds)
-    share = [kinds.count(k) / m for k in range(4)]
-    freq = {c: candidate.count(c) / n for c in set(candidate)}
-    turns = list(zip(kinds, kinds[1:]))
+    letters = np.frombuffer(candidate, np.uint8)
+    kinds = KINDS[letters]
+    share = np.bincount(kinds, minlength=4) / n
+    freq = np.unique(letters, return_counts=True)[1] / n
+    a, b = kinds[:-1], kinds[1:]
+    turn, low_high = a != b, np.minimum(a, b) * 4 + np.maximum(a, b)
     low = before.lower()
     tail = low.rstrip(b" \"'")
     return [
-        float(min(n, 4096)), -sum(p * math.log2(p) for p in freq.values()), *share,
-        sum(a != b for a, b in turns) / m, sum({a, b} in ({0, 1}, {0, 2}) for a, b in turns) / m, sum({a, b} == {1, 2} for a, b in turns) / m,
-        sum(c in b"aeiouAEIOU" for c in candidate[:4096]) / m, max(freq.values()), _covered(candidate[:4096], dictionary), float(candidate.startswith(PREFIXES)),
-        float(tail.endswith((b"=", b":"))), float(before.endswith((b'"', b"'"))), float(any(w in low for w in NAMES)), float(any(w in low for w in OTHERS)),
+        float(n), float(-(freq * np.log2(freq)).sum()), *share.tolist(),
+        float(turn.sum() / n), float(np.isin(low_high, (1, 2)).sum() / n), float((low_high == 6).sum() / n),
+        float(VOWELS[letters].mean()), float(freq.max()), _covered(candidate, dictionary), float(candidate.startswith(PREFIXES)),
+        float(tail.endswith((b"=", b":", b">"))), float(before.endswith((b'"', b"'"))), float(any(w in low for w in NAMES)), float(any(w in low for w in OTHERS)),
         float(path.lower().rpartition(".")[2] in CODE_PATHS),
-    ]
+    ]
 
 
 def labelled_findings(seed: int = 5, n: int = FINDINGS) -> list[tuple[str, str, str, int]]:
@@ -73,7 +85,8 @@ def labelled_findings(seed: int = 5, n: int = FINDINGS) -> list[tuple[str, str,
     pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
     hexes, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     words = ["light", "house", "method", "stream", "report", "value", "number", "entry", "manager", "factory", "request", "handler", "service", "index", "table", "window"]
-    secrets = [lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(b64, rng.choice([40, 44, 64])), lambda: pick(alnum, rng.randrange(18, 48))]
+    password = lambda: rng.choice(words).capitalize()[: rng.randrange(2, 8)] + pick(string.digits, rng.randrange(1, 5)) + pick("!$#%&?*.", rng.randrange(0, 3)) + pick(alnum, rng.randrange(2, 8))
+    secrets = [lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(b64, rng.choice([40, 44, 64])), lambda: pick(alnum, rng.randrange(18, 48)), password, password]
     harmless = [
         lambda: (pick(hexes, rng.choice([32, 40, 64])), rng.choice(["sha256: ", "commit ", "md5 ", "checksum ", "etag ", "digest: "])),
         lambda: ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), rng.choice(["uuid ", "id: ", "build ", "in "])),
@@ -82,6 +95,8 @@ def labelled_findings(seed: int = 5, n: int = FINDINGS) -> list[tuple[str, str,
         lambda: (pick(string.digits, rng.randrange(16, 22)), rng.choice(["no. ", "card ", "call ", "id "])),
         lambda: ("YOUR_" + rng.choice(["API", "SECRET", "ACCESS"]) + "_KEY_GOES_HERE", rng.choice(["token = \"", "api_key = "])),
         lambda: ("".join(rng.choice(words).capitalize() for _ in range(rng.randrange(3, 7))), rng.choice(["class ", "new ", "use "])),
+        lambda: (rng.choice(words) + rng.choice(["", "s", "_", "()", "." + rng.choice(words)]) + rng.choice(words), rng.choice(["token = ", "secret: ", "password: ", "api_key = "])),
+        lambda: (rng.choice(["${" + rng.choice(words).upper() + "_TOKEN}", "changeme", "<password>", "xxxxxxxx", "********", "password", "os.environ[KEY]", "undefined"]), rng.choice(["password = \"", "token: ", "secret = '"])),
     ]
     found = []
     for k in range(n):
@@ -92,13 +107,21 @@ def labelled_findings(seed: int = 5, n: int = FINDINGS) -> list[tuple[str, str,
         else:
             c, before = rng.choice(harmless)()
             found.append((c, f"{rng.choice(words)} {before}", path, 0))
-    return [f for f in found if len(f[0]) >= 16]
+    return [f for f in found if len(f[0]) >= 6]
 
 
 def corpus_words(docs: DataFrame, text_col="text") -> set[bytes]:
-    """The DICTIONARY commonest words of 4 to 12 letters, counted over all documents."""
+    """The DICTIONARY commonest words of 4 to 12 letters, counted over all documents; ties by the word. Counts are written;
+    how many words have how large a count (one row per class of counts) tells below which no word can be among them, so
+    that tasks don't each send as many words as there are in the dictionary."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\b([a-z]{4,12})\b"), 1)).alias("w"))
-    return {r["w"].encode() for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()}
+    counts = written(words.groupBy("w").count().withColumn("class", F.floor(F.log2("count") * CLASSES).cast("int")), "words")
+    least, seen = 0, 0
+    for r in counts.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():  # some 8 * 40 rows at most
+        least, seen = r["class"], seen + r["n"]
+        if seen >= DICTIONARY:
+            break
+    return {r["w"].encode() for r in counts.filter(F.col("class") >= least).orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()}
 
 
 def train(spark: SparkSession, dictionary: set[bytes], findings=None, trees: int = 24, depth: int = 8) -> RandomForestClassificationModel:
@@ -109,7 +132,9 @@ def train(spark: SparkSession, dictionary: set[bytes], findings=None, trees: int
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, dictionary: set[bytes], id_col="doc_id", text_col="text", path_col="source") -> DataFrame:
     """(id, start, candidate, probability) of all candidates; start counts bytes. Null and empty texts have none, a null path
-    counts as ''; repeated rows give repeated findings; ids may be null; an empty table gives no rows."""
+    counts as ''; repeated rows give repeated findings; ids may be null; an empty table gives no rows. Texts and candidates
+    may be of any length. Other columns are left out, whatever their names. ``path_col`` is where a text comes from; what
+    has no extension of a file of code (as the sources of ``documents``) is taken for prose."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(dictionary)
 
@@ -117,9 +142,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, dictionary: se
         for b in batches:
             ids, rows = [], []
             for i, t, p in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                for m in CANDIDATE.finditer(t or b""):
+                for start, found in candidates(t or b""):
                     ids.append(i)
-                    rows.append((m.start(), m[0].decode(), *features(m[0], t[max(0, m.start() - BEFORE) : m.start()], p or "", held.value)))
+                    rows.append((start, found.decode(), *features(found, t[max(0, start - BEFORE) : start], p or "", held.value)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[k + 2] for r in rows], pa.float64()) for k in range(len(FEATURES))]], names=["id", "start", "candidate", *FEATURES])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))

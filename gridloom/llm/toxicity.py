@@ -2,7 +2,7 @@
 
 Categories are predicted one after the other; each logistic model sees the features of the text and the probabilities
 of the categories before it. Those are out-of-fold in training, so that a later model learns from predictions as good as
-the ones that it will get. Features are counts of words and of the starts of words (for languages that compound),
+the ones that it will get; for each fold the features are chosen anew. Features are counts of words and of the starts of words (for languages that compound),
 absolute and per word; those that don't go with any category in the sample are left out.
 
 Training takes a bounded sample of labelled rows (``ROWS``), in order of a hash of their ids, whose texts are reduced to
@@ -24,7 +24,7 @@ from .decontaminate import split_words
 
 ROWS = 9_000
 MIN_ROWS = 4  # a feature must be in as many rows of the sample
-KEPT = 256  # features
+KEPT = 256  # features of a model at most: of those found in the bounded sample; a parameter of ``train``
 STARTS = (4, 5, 6, 7, 8)  # bytes of a word
 FOLDS = 3
 #: Words by which the query's weak categories are told apart among rows labelled toxic.
@@ -100,7 +100,8 @@ def rows_to_matrix(rows: list[tuple[dict, int]], vocabulary: dict[bytes, int], k
     return x
 
 
-def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndarray, categories) -> Chain:
+def choose(rows: list[tuple[dict, int]], labels: np.ndarray, kept: int) -> dict[bytes, int]:
+    """The ``kept`` features at most that go most clearly with a category, by their place."""
     size, marked = labels.sum(0), labels.any(1)
     first: Counter = Counter()  # only features of rows with a category: the others speak against all of them
     for (words, _), hit in zip(rows, marked):
@@ -118,48 +119,59 @@ def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndar
     share = c[:, -1:] / total
     z = np.abs(c[:, :-1] - share * size) / np.sqrt(np.maximum(1e-9, share * (1 - share) * size * (1 - size / total)) + 0.3)
     best = z.max(1) if len(names) else np.empty(0)
-    chosen = sorted(np.flatnonzero(best > 3.5).tolist(), key=lambda i: (-best[i], names[i]))[:KEPT]
-    vocabulary = {names[i]: k for k, i in enumerate(chosen)}
-    x = rows_to_matrix(rows, vocabulary, {})
-    weights = []
+    chosen = sorted(np.flatnonzero(best > 3.5).tolist(), key=lambda i: (-best[i], names[i]))[:kept]
+    return {names[i]: k for k, i in enumerate(chosen)}
+
+
+def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndarray, categories, kept: int = KEPT) -> Chain:
+    """The models of the chain. Out-of-fold probabilities come from models whose features, too, were chosen without the fold."""
+    vocabulary = choose(rows, labels, kept)
+    x, parts = rows_to_matrix(rows, vocabulary, {}), []
+    for f in range(FOLDS):
+        rest = np.flatnonzero(folds != f) if (folds != f).any() else np.arange(len(rows))
+        own = choose([rows[i] for i in rest], labels[rest], kept)
+        parts.append((rest, np.flatnonzero(folds == f), rows_to_matrix(rows, own, {})))
+    weights, before = [], np.empty((len(rows), 0))  # out-of-fold probabilities of the categories so far
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        weights.append(_fit(x, y))
+        weights.append(_fit(np.c_[x, before], y))
         out_of_fold = np.zeros(len(y))
-        for f in range(FOLDS):
-            here = folds == f
-            w = _fit(x[~here], y[~here]) if (~here).any() else weights[-1]
-            out_of_fold[here] = _sigmoid(x[here] @ w[:-1] + w[-1])
-        x = np.c_[x, out_of_fold]
+        for rest, here, own in parts:
+            own = np.c_[own, before]
+            w = _fit(own[rest], y[rest])
+            out_of_fold[here] = _sigmoid(own[here] @ w[:-1] + w[-1])
+        before = np.c_[before, out_of_fold]
     return Chain(list(categories), vocabulary, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col="doc_id", text_col="text") -> Chain:
-    """Learns from at most ROWS labelled rows, of which half at most are without any category. ``labels`` has the id and one 0/1 column per category, in the
-    order of the chain, the overall one last; rows with a null in it or a null id are left out, repeated ids count once (1 first)."""
-    marks = [F.max(F.coalesce(F.col(c), F.lit(0)).cast("int")).alias(c) for c in categories]
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col="doc_id", text_col="text", kept: int = KEPT) -> Chain:
+    """Learns from at most ROWS labelled rows, of which a third at most have a category. ``labels`` has the id and one 0/1 column
+    per category, in the order of the chain, the overall one last; rows with a null in it or a null id are left out, other nulls
+    count as 0, repeated ids count once (1 first). Without labelled rows all probabilities are a half."""
+    marks = [F.max(F.coalesce(F.col(c), F.lit(0)).cast("int")).alias(f"__{c}") for c in categories]
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(categories[-1]).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*marks)
     order = [F.xxhash64("__id"), F.col("__id")]
-    some = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in categories])
+    some = reduce(lambda a, b: a | b, [F.col(f"__{c}") > 0 for c in categories])
     sample = marked.filter(some).orderBy(*order).limit(ROWS // 3).unionByName(marked.filter(~some).orderBy(*order).limit(ROWS - ROWS // 3))
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select(F.xxhash64("__id").alias("h"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in categories])
+    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select(F.xxhash64("__id").alias("h"), F.col(text_col).cast("string").alias("text"), *[F.col(f"__{c}").alias(c) for c in categories])
 
     def reduce_texts(batches):
         for b in batches:
             found = [counts(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
             words = [b" ".join(w + b"\0" + str(k).encode() for w, k in c.items()) for c, _ in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array([n for _, n in found], pa.int64()), *[b.column(k) for k in range(2, b.num_columns)]], names=["h", "words", "n", *categories])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array([n for _, n in found], pa.int64()), *[b.column(k) for k in range(2, b.num_columns)]], names=["__h", "__words", "__n", *categories])
 
-    got = rows.mapInArrow(reduce_texts, "h long, words binary, n long, " + ", ".join(f"{c} int" for c in categories)).collect()
-    got.sort(key=lambda r: (r["h"], bytes(r["words"])))
-    split = [({w.rpartition(b"\0")[0]: int(w.rpartition(b"\0")[2]) for w in bytes(r["words"]).split()}, r["n"]) for r in got]
+    got = rows.mapInArrow(reduce_texts, "__h long, __words binary, __n long, " + ", ".join(f"{c} int" for c in categories)).collect()
+    got.sort(key=lambda r: (r["__h"], bytes(r["__words"])))
+    split = [({w.rpartition(b"\0")[0]: int(w.rpartition(b"\0")[2]) for w in bytes(r["__words"]).split()}, r["__n"]) for r in got]
     y = np.array([[r[c] for c in categories] for r in got], float).reshape(len(got), len(categories))
-    return train_chain(split, y, np.array([r["h"] % FOLDS for r in got]), categories)
+    return train_chain(split, y, np.array([r["__h"] % FOLDS for r in got]), categories, kept)
 
 
 def score(docs: DataFrame, chain: Chain, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, one probability per category) of whole texts. Null and empty texts get the probabilities of no words; ids may
-    be null or repeated; an empty table gives no rows."""
+    """(id, one probability per category) of whole texts, of any length. Null and empty texts get the probabilities of no
+    words; ids may be null or repeated, repeated rows give the same; an empty table gives no rows. Other columns are left
+    out, whatever their names."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((chain.categories, chain.vocabulary, chain.weights))
 
