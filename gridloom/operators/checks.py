@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALLOWED = ("BRANCH", "GENERATOR", "HVDC_LINE", "LINE", "TWO_WINDINGS_TRANSFORMER", "TIE_LINE", "BUSBAR_SECTION", "SWITCH")
@@ -28,8 +28,16 @@ def check_contingency_refs(refs: DataFrame, contingencies: DataFrame) -> DataFra
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file, from 1."""
-    return spark.read.text(path).withColumn("m", F.monotonically_increasing_id()).withColumn("line_no", F.row_number().over(Window.orderBy("m"))).select("line_no", "value")  # a file of remedial actions is small
+    """(line_no, value) of a text file, from 1. Lines are numbered in their split; how many the splits before hold is one
+    number per split."""
+    rows = spark.read.text(path).withColumn("m", F.monotonically_increasing_id())
+    split = F.shiftright("m", 33)
+    offsets, before = [], 0
+    for r in rows.groupBy(split.alias("split")).count().orderBy("split").collect():
+        offsets += [F.lit(r["split"]), F.lit(before)]
+        before += r["count"]
+    start = F.element_at(F.create_map(*offsets), split) if offsets else F.lit(0)
+    return rows.select((start + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"), "value")
 
 
 def read_remedials(lines: DataFrame) -> DataFrame:

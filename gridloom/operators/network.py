@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.guards import negative, positive
 from ..plans.graph import connected_components
 
-THREAT_STEP = 1e-3  # fixed value: a threat must be larger by as much
 SMALL_VOLUME = 0.05  # fixed value: MW
 
 
@@ -25,17 +24,22 @@ def post_contingency_flows(lodf: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def top_threats(flows: DataFrame, n: int, ratings: DataFrame | None = None) -> DataFrame:
-    """(branch, version, point, rank, contingency, flow): the n largest absolute flows; of ties within a thousandth the first contingency
-    by name. With ratings (branch, rating) only flows over them. Spark keeps n rows per group before the shuffle."""
+    """(branch, version, point, rank, contingency, flow): the n largest absolute flows; of equal ones the first contingency by
+    name. With ratings (branch, rating) only flows over them. Spark keeps n rows per group before the shuffle.
+
+    A solver that keeps n threats while it goes through contingencies, and replaces the least one only by one that is
+    larger by more than a thousandth, gives the same but where two flows differ by less: there, which one it keeps depends on
+    the order of its contingencies; here it is the larger."""
     if ratings is not None:
         flows = flows.join(ratings, "branch").filter(F.abs("flow") > F.col("rating"))
-    w = Window.partitionBy("branch", "version", "point").orderBy(F.round(F.abs("flow") / THREAT_STEP).desc(), "contingency")
+    w = Window.partitionBy("branch", "version", "point").orderBy(F.abs("flow").desc(), "contingency")
     return flows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("branch", "version", "point", "rank", "contingency", "flow")
 
 
 def max_threat(flows: DataFrame) -> DataFrame:
-    """(branch, version, point, contingency, flow): the largest absolute flow, by an aggregate with partial results."""
-    top = F.min(F.struct((-F.round(F.abs("flow") / THREAT_STEP)).alias("k"), "contingency", "flow")).alias("t")
+    """(branch, version, point, contingency, flow): the largest absolute flow, as top_threats, by an aggregate with partial
+    results."""
+    top = F.min(F.struct((-F.abs("flow")).alias("k"), "contingency", "flow")).alias("t")
     return flows.groupBy("branch", "version", "point").agg(top).select("branch", "version", "point", "t.contingency", "t.flow")
 
 
@@ -115,9 +119,9 @@ def lost_pockets(branches: DataFrame, contingencies: DataFrame, node_power: Data
     solved together, keyed by contingency."""
     every = contingencies.select("contingency").distinct()
     nodes = branches.select(F.explode(F.array("node1", "node2")).alias("node")).distinct()
-    pairs = branches.filter("closed").select(F.col("id").alias("branch"), "node1", "node2").crossJoin(F.broadcast(every)).join(contingencies, ["contingency", "branch"], "left_anti")
+    pairs = branches.filter("closed").select(F.col("id").alias("branch"), "node1", "node2").crossJoin(every).join(contingencies, ["contingency", "branch"], "left_anti")
     found = connected_components(pairs, "node1", "node2", key=("contingency",))
-    placed = nodes.crossJoin(F.broadcast(every)).join(found, ["contingency", "node"], "left").withColumn("component", F.coalesce("component", "node"))
+    placed = nodes.crossJoin(every).join(found, ["contingency", "node"], "left").withColumn("component", F.coalesce("component", "node"))
     main = placed.groupBy("contingency", "component").count().groupBy("contingency").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"))
     out = placed.join(main, "contingency").filter("component <> main").join(node_power, "node", "left")
     return out.groupBy("contingency").agg(F.count("*").alias("n_nodes"), F.sum(F.coalesce("generation", F.lit(0.0))).alias("lost_generation"), F.sum(F.coalesce("load", F.lit(0.0))).alias("lost_load"))

@@ -19,6 +19,17 @@ def create(spark: SparkSession, header: list[str], rows: list[list[str]]) -> Dat
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{ROW} long, " + ", ".join(f"`{h}` string" for h in header))
 
 
+def create_from(rows: DataFrame, header: list[str], cells="cells", order=ROW) -> DataFrame:
+    """As ``create``, of a table of rows: ``cells`` is an array of strings, ``order`` the row's number. A row of another width
+    fails when the table is read."""
+    if len(set(header)) != len(header):
+        raise ValueError("duplicate header names")
+    wrong = F.raise_error(F.concat(F.lit("row size differs from header size in row "), F.col(order).cast("string")))
+    fits = F.when(F.size(cells) == len(header), F.col(cells)).otherwise(wrong)
+    found = rows.select(F.col(order).cast("long").alias(ROW), fits.alias("c"))
+    return found.select(ROW, *[F.col("c")[k].alias(h) for k, h in enumerate(header)])
+
+
 def names(table: DataFrame) -> list[str]:
     return [c for c in table.columns if c != ROW]
 

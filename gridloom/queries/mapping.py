@@ -175,6 +175,63 @@ def e3(t):
     return m.rule_matches(RULES, t.equipment).withColumn("key_number", r6("key_number"))
 
 
+# One type per twelfth of the suppliers; each type with its default variable, and a rule that maps another one.
+ALL_TYPES = {
+    "GENERATOR": "minP", "BATTERY": "maxP", "LOAD": "q0", "BOUNDARY_LINE": "q0", "HVDC_LINE": "maxP", "TWO_WINDINGS_TRANSFORMER": "disconnected", "LINE": "disconnected", "PST": "regulationMode",
+    "RATIO_TAP_CHANGER": "loadTapChangingCapabilities", "LCC_CONVERTER": "powerFactor", "VSC_CONVERTER": "voltageSetpoint", "SWITCH": "open",
+}
+DEFAULTS = {
+    "GENERATOR": "targetP", "BATTERY": "targetP", "LOAD": "p0", "BOUNDARY_LINE": "p0", "HVDC_LINE": "activePowerSetpoint", "TWO_WINDINGS_TRANSFORMER": "disconnected", "LINE": "disconnected", "PST": "currentTap",
+    "RATIO_TAP_CHANGER": "ratioTapPosition", "LCC_CONVERTER": "powerFactor", "VSC_CONVERTER": "voltageRegulatorOn", "SWITCH": "open",
+}
+TWELVE = "SELECT concat('eq_', CAST(s_suppkey AS STRING)) AS id, s_suppkey AS num, CASE s_suppkey % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(ALL_TYPES)) + " END AS type, s_suppkey % 7 <> 1 AS connected, s_suppkey % 5 <> 2 AS in_main_cc FROM supplier"
+_OF_TYPE = "SELECT {i} AS rule_id, type, '{v}' AS variable, '{series}' AS series, id FROM twelve WHERE type = '{x}' AND {main}{more}"
+_MAIN = ("GENERATOR", "BATTERY", "LOAD", "BOUNDARY_LINE")
+
+
+def _all_types_sql() -> str:
+    parts = []
+    for k, (x, v) in enumerate(ALL_TYPES.items()):
+        main = "connected AND in_main_cc" if x in _MAIN else "true"
+        parts.append(_OF_TYPE.format(i=2 * k, v=DEFAULTS[x], series=f"ts_{k}", x=x, main=main, more=""))
+        parts.append(_OF_TYPE.format(i=2 * k + 1, v=v, series=f"ts_{k + 12}", x=x, main=main, more=" AND num % 24 > 11"))
+    return " UNION ALL ".join(parts)
+
+
+def twelve(t):
+    kind = F.element_at(F.array(*map(F.lit, ALL_TYPES)), (F.col("s_suppkey") % 12 + 1).cast("int"))
+    return t.supplier.select(F.concat(F.lit("eq_"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").alias("num"), kind.alias("type"), (F.col("s_suppkey") % 7 != 1).alias("connected"), (F.col("s_suppkey") % 5 != 2).alias("in_main_cc"))
+
+
+def _twelve_rules() -> list[m.Rule]:
+    return [r for k, (x, v) in enumerate(ALL_TYPES.items()) for r in (m.Rule(x, f"ts_{k}"), m.Rule(x, f"ts_{k + 12}", (v,), where="num % 24 > 11"))]
+
+
+@query("e3_all_types", _all_types_sql(), twelve=TWELVE)
+def e3_all(t):
+    """Rules for all twelve types, by their default variable and another one."""
+    return m.rule_matches(_twelve_rules(), twelve(t)).select("rule_id", "type", "variable", "series", "id")
+
+
+@query("e3_all_values", """
+    SELECT t.version, t.point, g.type, g.variable, g.series, g.id, round(t.value / count(*) OVER (PARTITION BY t.version, t.point, g.type, g.variable, g.series), 6) AS value
+    FROM (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY variable, id ORDER BY rule_id DESC) AS n FROM all_matches) WHERE n = 1) g JOIN ts t ON t.name = g.series""", "ts", twelve=TWELVE, all_matches=_all_types_sql())
+def e3_values(t):
+    """Values of the twelve types: each group's series in equal shares."""
+    return m.scale_down(m.build_mapping(_twelve_rules(), twelve(t)), t.kept_ts).select("version", "point", "type", "variable", "series", "id", r6("value").alias("value"))
+
+
+@query("e13_mapped_taps", """
+    SELECT t.version, t.point, g.id, CAST(greatest(g.low_tap, least(g.high_tap, CAST(trunc(t.value / 100 - 5) AS INT))) AS INT) AS tap
+    FROM (SELECT id, concat('ts_', CAST(num AS STRING)) AS series, low_tap, high_tap FROM pst) g JOIN ts t ON t.name = g.series""", "ts", "pst")
+def e13_mapped(t):
+    """Taps as rules map them, one per transformer, instead of rows made for the check."""
+    equipment = t.pst.withColumns({"type": F.lit("PST"), "connected": F.lit(True), "in_main_cc": F.lit(True)})
+    mapped = m.build_mapping([m.Rule("PST", f"ts_{k}", where=f"num = {k}") for k in range(25)], equipment)
+    taps = m.scale_down(mapped, t.kept_ts.withColumn("value", F.col("value") / 100 - 5))
+    return m.clamp_tap(taps.filter("variable = 'currentTap'").select("version", "point", "id", "value"), t.pst)[0]
+
+
 @query("e4_default_variables", "SELECT type, variable, count(*) AS n FROM mapping GROUP BY type, variable", "equipment", **M)
 def e4(t):
     return mapping(t).groupBy("type", "variable").agg(F.count("*").alias("n"))
@@ -224,13 +281,13 @@ def e11(t):
     return m.empty_rules(RULES[-2:], t.equipment, t.kept_ts).withColumn("rule_id", F.col("rule_id") + len(RULES) - 2)
 
 
-_HVDC_VALUES = "SELECT t.version, t.point, 'HVDC_LINE' AS type, x.variable, t.name AS series, h.id, t.value - x.less AS value FROM ts t JOIN hvdc h ON t.name = concat('ts_', CAST(h.num % 25 AS STRING)) CROSS JOIN (SELECT 'maxP' AS variable, 400 AS less UNION ALL SELECT 'minP', 600 UNION ALL SELECT 'activePowerSetpoint', 500) x WHERE t.point < 6 AND h.num < 50"
+_HVDC_VALUES = "SELECT t.version, t.point, 'HVDC_LINE' AS type, x.variable, t.name AS series, h.id, t.value - x.less AS value FROM ts t JOIN hvdc h ON t.name = concat('ts_', CAST(h.num % 25 AS STRING)) CROSS JOIN (SELECT 'maxP' AS variable, 400 AS less UNION ALL SELECT 'minP', 600 UNION ALL SELECT 'activePowerSetpoint', 500) x"
 
 
 def hvdc_values(t):
     kinds = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(k).alias("less")) for v, k in (("maxP", 400), ("minP", 600), ("activePowerSetpoint", 500))])).alias("x")
-    lines = t.hvdc.filter("num < 50").select("id", F.concat(F.lit("ts_"), (F.col("num") % 25).cast("string")).alias("series"))
-    rows = t.kept_ts.filter("point < 6").withColumnRenamed("name", "series").join(lines, "series").select("version", "point", "series", "id", "value", kinds)
+    lines = t.hvdc.select("id", F.concat(F.lit("ts_"), (F.col("num") % 25).cast("string")).alias("series"))
+    rows = t.kept_ts.withColumnRenamed("name", "series").join(lines, "series").select("version", "point", "series", "id", "value", kinds)
     return rows.select("version", "point", F.lit("HVDC_LINE").alias("type"), "x.variable", "series", "id", (F.col("value") - F.col("x.less")).alias("value"))
 
 
@@ -371,10 +428,10 @@ def e32(t):
 
 @query("e33_equipment_series", """
     SELECT concat_ws('_', b.id, b.variable) AS name, p.version, p.point, b.id, b.variable, round(coalesce(s.value, b.base), 6) AS value
-    FROM base b CROSS JOIN (SELECT DISTINCT version, point FROM ts WHERE point < 5) p LEFT JOIN scaled s ON s.id = b.id AND s.variable = b.variable AND s.version = p.version AND s.point = p.point WHERE b.type <> 'LOAD' AND b.variable IN ('targetP', 'maxP')""", "ts", "equipment", **S, base=BASE)
+    FROM base b CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN scaled s ON s.id = b.id AND s.variable = b.variable AND s.version = p.version AND s.point = p.point WHERE b.type <> 'LOAD' AND b.variable IN ('targetP', 'maxP')""", "ts", "equipment", **S, base=BASE)
 def e33(t):
     asked = t.equipment.filter("type <> 'LOAD'").select("id", F.explode(F.array(F.lit("targetP"), F.lit("maxP"))).alias("variable"))
-    return m.equipment_series(scaled(t), asked, t.equipment, t.kept_ts.filter("point < 5")).withColumn("value", r6("value"))
+    return m.equipment_series(scaled(t), asked, t.equipment, t.kept_ts).withColumn("value", r6("value"))
 
 
 @query("e34_group_series", """
@@ -385,6 +442,39 @@ def e34(t):
     return m.group_series(scaled(t), t.equipment, "GENERATOR", "substation", t.kept_ts, name="all").withColumn("value", F.round("value", 5))
 
 
+@query("u1_filter", "SELECT id, series FROM equipment e JOIN (SELECT 'ts_1' AS series) s ON type = 'GENERATOR' AND connected AND in_main_cc AND (max_p > 500 OR id LIKE '%3')", "equipment")
+def u1(t):
+    """A condition that is a Column instead of text."""
+    where = (F.col("max_p") > 500) | F.col("id").endswith("3")
+    return m.build_mapping([m.Rule("GENERATOR", "ts_1", where=where)], t.equipment).select("id", "series")
+
+
+@query("u2_key", "SELECT id, round(max_p * 2 + num, 6) AS key_number FROM equipment WHERE type = 'GENERATOR' AND connected AND in_main_cc", "equipment")
+def u2(t):
+    """A key that is a Column instead of text."""
+    found = m.build_mapping([m.Rule("GENERATOR", "ts_1", key=F.col("max_p") * 2 + F.col("num"))], t.equipment)
+    return found.select("id", r6("key_number").alias("key_number"))
+
+
+@query("u4_observers", "SELECT 'points' AS observer, version, count(*) AS n FROM (SELECT DISTINCT version, point FROM scaled) GROUP BY version UNION ALL SELECT 'values', version, count(*) FROM scaled WHERE value > 0 GROUP BY version", "ts", "equipment", **S)
+def u4(t):
+    """Two functions that observe the mapped values: points per version, and values above zero."""
+    points = lambda v: v.select("version", "point").distinct().groupBy("version").count().select(F.lit("points").alias("observer"), "version", F.col("count").alias("n"))
+    above = lambda v: v.filter("value > 0").groupBy("version").count().select(F.lit("values").alias("observer"), "version", F.col("count").alias("n"))
+    a, b = m.observe(scaled(t), points, above)
+    return a.unionByName(b)
+
+
+@query("u6_group_names", """
+    SELECT concat('zone ', replace(e.substation, 'sub_', ''), '_', CASE WHEN e.num % 2 = 0 THEN 'HYDRO' ELSE 'OTHER' END, '_all_targetP') AS name, p.version, p.point, round(sum(coalesce(s.value, e.target_p)), 5) AS value
+    FROM equipment e CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN scaled s ON s.id = e.id AND s.variable = 'targetP' AND s.version = p.version AND s.point = p.point
+    WHERE e.type = 'GENERATOR' AND e.connected AND e.in_main_cc GROUP BY 1, 2, 3""", "ts", "equipment", **S)
+def u6(t):
+    """Groups and kinds of power under names of the user's own."""
+    group, kind = F.regexp_replace("substation", "sub_", "zone "), F.when(F.col("num") % 2 == 0, "HYDRO").otherwise("OTHER")
+    return m.group_series(scaled(t), t.equipment, "GENERATOR", group, t.kept_ts, name="all", power_type=kind).withColumn("value", F.round("value", 5))
+
+
 @query("e35_network_at_point", """
     SELECT e.id, e.type, e.connected, round(coalesce(g.tp, e.target_p), 6) AS target_p, e.min_p, round(coalesce(g.xp, e.max_p), 6) AS max_p, round(coalesce(g.p, e.fixed_p + e.variable_p), 6) AS p0, CASE WHEN g.p IS NOT NULL THEN 0 ELSE e.fixed_p END AS fixed_p, round(coalesce(g.p, e.variable_p), 6) AS variable_p
     FROM equipment e LEFT JOIN (SELECT id, max(value) FILTER (variable = 'targetP') AS tp, max(value) FILTER (variable = 'maxP') AS xp, max(value) FILTER (variable = 'p0') AS p FROM scaled WHERE version = 1 AND point = 7 GROUP BY id) g ON g.id = e.id""", "ts", "equipment", **S)

@@ -31,7 +31,7 @@ def n2(t):
     return threats(t).withColumn("flow", r6("flow"))
 
 
-_TOP = "SELECT branch, version, point, CAST(n AS INT) AS rank, contingency, round(flow, 6) AS flow FROM (SELECT *, row_number() OVER (PARTITION BY branch, version, point ORDER BY round(abs(flow) / 0.001) DESC, contingency) AS n FROM threats) WHERE n <= {}"
+_TOP = "SELECT branch, version, point, CAST(n AS INT) AS rank, contingency, round(flow, 6) AS flow FROM (SELECT *, row_number() OVER (PARTITION BY branch, version, point ORDER BY abs(flow) DESC, contingency) AS n FROM threats) WHERE n <= {}"
 
 
 @query("n3_top_threats", _TOP.format(3), "threats")
@@ -87,7 +87,7 @@ def _kinds(t):
 
 def _curative(t):
     c = t.contingency.select(F.col("id").alias("contingency"), F.col("num").alias("k"))
-    return _kinds(t).filter("num % 5 = 0").join(F.broadcast(c)).withColumn("value", F.col("value") * (F.col("k") - 2))  # five contingencies
+    return _kinds(t).filter("num % 5 = 0").crossJoin(c).withColumn("value", F.col("value") * (F.col("k") - 2))
 
 
 @query("n9_redispatch_volumes", """
@@ -137,13 +137,13 @@ ORACLE_SQL["n11_zones"] = _with_reach(
 )
 _POCKETS = """
     SELECT n.contingency, n.node, coalesce(min(least(r.b, n.node)), n.node) AS zone
-    FROM (SELECT c.n_nationkey AS contingency, x.node FROM nation c CROSS JOIN (SELECT node1 AS node FROM branch UNION SELECT node2 FROM branch) x WHERE c.n_nationkey < 5) n
+    FROM (SELECT c.n_nationkey AS contingency, x.node FROM nation c CROSS JOIN (SELECT node1 AS node FROM branch UNION SELECT node2 FROM branch) x) n
     LEFT JOIN reach r ON r.k = n.contingency AND r.a = n.node GROUP BY n.contingency, n.node"""
 ORACLE_SQL["n12_lost_pockets"] = _with_reach(
     f"""SELECT concat('cty_', CAST(z.contingency AS STRING)) AS contingency, count(*) AS n_nodes, sum(CAST(z.node AS DOUBLE)) AS lost_generation, sum(CAST(z.node * 2 AS DOUBLE)) AS lost_load
         FROM ({_POCKETS}) z JOIN (SELECT contingency, zone FROM (SELECT contingency, zone, row_number() OVER (PARTITION BY contingency ORDER BY count(*) DESC, zone) AS n FROM ({_POCKETS}) GROUP BY contingency, zone) WHERE n = 1) g ON g.contingency = z.contingency
         WHERE z.zone <> g.zone GROUP BY z.contingency""",
-    "SELECT c.n_nationkey AS k, x.a, x.b FROM nation c CROSS JOIN (SELECT id, node1 AS a, node2 AS b FROM branch WHERE closed UNION SELECT id, node2, node1 FROM branch WHERE closed) x WHERE c.n_nationkey < 5 AND x.id <> concat('br_', CAST(c.n_nationkey AS STRING))",
+    "SELECT c.n_nationkey AS k, x.a, x.b FROM nation c CROSS JOIN (SELECT id, node1 AS a, node2 AS b FROM branch WHERE closed UNION SELECT id, node2, node1 FROM branch WHERE closed) x WHERE x.id <> concat('br_', CAST(c.n_nationkey AS STRING))",
 ).replace("reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)", "reach(k, a, b) AS (SELECT k, a, b FROM edges UNION SELECT r.k, r.a, e.b FROM reach r JOIN edges e ON e.k = r.k AND e.a = r.b)")
 
 
@@ -188,21 +188,21 @@ def h1(t):
     return checks.check_contingencies(_contingencies(t), t.equipment)
 
 
-@query("h2_unknown_contingency_refs", "SELECT type AS kind, id, concat('cty_', CAST(num % 9 AS STRING)) AS contingency FROM equipment WHERE num % 9 > 4", "equipment", "contingency")
+@query("h2_unknown_contingency_refs", "SELECT type AS kind, id, concat('cty_', CAST(num % 9 * 6 AS STRING)) AS contingency FROM equipment WHERE num % 9 > 4", "equipment", "contingency")
 def h2(t):
-    refs = t.equipment.select(F.col("type").alias("kind"), "id", F.array(F.lit("cty_1"), F.concat(F.lit("cty_"), (F.col("num") % 9).cast("string"))).alias("contingencies"))
+    refs = t.equipment.select(F.col("type").alias("kind"), "id", F.array(F.lit("cty_1"), F.concat(F.lit("cty_"), (F.col("num") % 9 * 6).cast("string"))).alias("contingencies"))
     return checks.check_contingency_refs(refs, t.contingency)
 
 
 def remedial_lines(t):
     """A file's lines, one for each nation, some of them faulty."""
     k = F.col("n_nationkey")
-    line = F.concat(F.lit("cty_"), (k % 7).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("|br_"), k.cast("string"))).otherwise(F.lit("")), F.lit(";"), F.when(k % 11 == 5, "x").otherwise("1"), F.lit(";"), F.when(k % 2 == 0, "+").otherwise(""), F.lit("br_"), k.cast("string"), F.when(k % 8 == 3, "").otherwise(";"))
+    line = F.concat(F.lit("cty_"), (k % 7 * 6).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("|br_"), k.cast("string"))).otherwise(F.lit("")), F.lit(";"), F.when(k % 11 == 5, "x").otherwise("1"), F.lit(";"), F.when(k % 2 == 0, "+").otherwise(""), F.lit("br_"), k.cast("string"), F.when(k % 8 == 3, "").otherwise(";"))
     rows = t.nation.select((k + 2).alias("line_no"), line.alias("value"))
     return rows.union(t.nation.filter("n_nationkey = 0").select(F.lit(1).alias("line_no"), F.lit("NB;30;").alias("value")))
 
 
-@query("h3_remedial_lines", "SELECT n_nationkey + 2 AS line_no, concat('cty_', CAST(n_nationkey % 7 AS STRING)) AS contingency, CASE WHEN n_nationkey % 3 = 0 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS constraints, CASE WHEN n_nationkey % 2 = 1 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS opened, CASE WHEN n_nationkey % 2 = 0 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS closed FROM nation")
+@query("h3_remedial_lines", "SELECT n_nationkey + 2 AS line_no, concat('cty_', CAST(n_nationkey % 7 * 6 AS STRING)) AS contingency, CASE WHEN n_nationkey % 3 = 0 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS constraints, CASE WHEN n_nationkey % 2 = 1 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS opened, CASE WHEN n_nationkey % 2 = 0 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS closed FROM nation")
 def h3(t):
     r = checks.read_remedials(remedial_lines(t))
     return r.select("line_no", "contingency", F.array_join("constraints", "|").alias("constraints"), F.array_join("open", ";").alias("opened"), F.array_join("close", ";").alias("closed"))
@@ -216,7 +216,7 @@ def h4(t):
 @query("h5_remedial_refs", """
     SELECT n_nationkey + 2 AS line_no, concat('br_', CAST(n_nationkey AS STRING)) AS element, 'action is no branch or switch' AS problem FROM nation WHERE n_nationkey >= 20
     UNION ALL SELECT n_nationkey + 2, concat('br_', CAST(n_nationkey AS STRING)), 'constraint is not monitored' FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 4 IN (0, 1)
-    UNION ALL SELECT n_nationkey + 2, concat('cty_', CAST(n_nationkey % 7 AS STRING)), 'unknown contingency' FROM nation WHERE n_nationkey % 7 > 4""")
+    UNION ALL SELECT n_nationkey + 2, concat('cty_', CAST(n_nationkey % 7 * 6 AS STRING)), 'unknown contingency' FROM nation WHERE n_nationkey % 7 > 4""")
 def h5(t):
     known = t.branch.filter("node1 < 20").select("id", F.lit("LINE").alias("type"))
     return checks.check_remedial_refs(checks.read_remedials(remedial_lines(t)), known, t.monitoring, t.contingency)

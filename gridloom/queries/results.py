@@ -118,7 +118,7 @@ _PROB = "SELECT c.id AS contingency, p.version, p.point, coalesce(t.value, c.pro
 
 
 def _by_contingency(t):
-    return t.redispatch.join(F.broadcast(t.contingency.select(F.col("id").alias("contingency"))))  # five contingencies
+    return t.redispatch.crossJoin(t.contingency.select(F.col("id").alias("contingency")))
 
 
 @query("f11_curative_cost", "SELECT r.equipment, p.contingency, r.version, r.point, round((greatest(value, 0) * cost_up + abs(least(value, 0)) * cost_down) * p.probability, 6) AS cost FROM redispatch r JOIN c ON c.equipment = r.equipment JOIN prob p ON p.version = r.version AND p.point = r.point WHERE NOT isnan(value)", "redispatch", "costs", "contingency", "ts", c=_COSTS, prob=_PROB)
@@ -156,13 +156,13 @@ def f16(t):
     return post.postprocess([post.loading_series(loading(t), "basecase"), cost], "all").filter("NOT isnan(value)").withColumn("value", r6("value"))
 
 
-_INIT = "SELECT concat('HVDC_', h.id) AS name, h.id, p.version, p.point, coalesce(t.value, h.setpoint) AS value FROM hvdc h CROSS JOIN (SELECT DISTINCT version, point FROM ts WHERE point < 6) p LEFT JOIN ts t ON t.name = concat('ts_', CAST(h.num AS STRING)) AND t.version = p.version AND t.point = p.point WHERE h.num < 40"
+_INIT = "SELECT concat('HVDC_', h.id) AS name, h.id, p.version, p.point, coalesce(t.value, h.setpoint) AS value FROM hvdc h CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN ts t ON t.name = concat('ts_', CAST(h.num AS STRING)) AND t.version = p.version AND t.point = p.point"
 
 
 def _init(t):
-    controls = t.hvdc.filter("num < 40").select("id", F.lit("HVDC_").alias("prefix"), F.col("setpoint").alias("base"))
-    mapped = t.ts.select(F.regexp_replace("name", "ts_", "hvdc_").alias("id"), "version", "point", "value")
-    return post.optimized_init(controls, mapped, t.ts.filter("point < 6"))
+    controls = t.hvdc.select("id", F.lit("HVDC_").alias("prefix"), F.col("setpoint").alias("base"))
+    mapped = t.kept_ts.select(F.regexp_replace("name", "ts_", "hvdc_").alias("id"), "version", "point", "value")
+    return post.optimized_init(controls, mapped, t.kept_ts)
 
 
 @query("f17_optimized_init", "SELECT * FROM init", "hvdc", "ts", init=_INIT)
@@ -186,8 +186,8 @@ def f18(t):
 @query("f19_fill_curative", "SELECT 'hvdc' AS kind, i.id, c.id AS contingency, i.version, i.point, CASE WHEN (i.point + c.num) % 2 = 0 THEN 1 ELSE i.value END AS value FROM init i CROSS JOIN contingency c", "hvdc", "ts", "contingency", init=_INIT)
 def f19(t):
     before = _init(t).select(F.lit("hvdc").alias("kind"), "id", "version", "point", "value")
-    c = F.broadcast(t.contingency.select(F.col("id").alias("contingency"), "num"))  # five contingencies
-    after = before.join(c).withColumn("value", F.when((F.col("point") + F.col("num")) % 2 == 0, F.lit(1.0)).otherwise(nan())).drop("num")
+    c = t.contingency.select(F.col("id").alias("contingency"), "num")
+    after = before.crossJoin(c).withColumn("value", F.when((F.col("point") + F.col("num")) % 2 == 0, F.lit(1.0)).otherwise(nan())).drop("num")
     return post.fill_curative(after, before)
 
 
@@ -200,27 +200,72 @@ def f20(t):
 
 # ---- A18: result lines written from the flows ------------------------------------------------------------------
 
-_FILES = 3
+def _files(t):
+    """Flows with their values as text and the file that they are written to."""
+    return t.kept_flows.select("point", F.concat(F.lit("result_s"), F.col("point").cast("string")).alias("file"), F.col("point").alias("variant"), "branch", F.col("flow").cast("int").cast("string").alias("v"))
 
 
 def result_lines(t):
     """Lines of result files: base-case flows and flows after outages 1 and 2; the file of variant 2 has an unknown outage."""
-    f = t.kept_flows.filter(f"point < {_FILES}").withColumn("file", F.concat(F.lit("result_s"), F.col("point").cast("string")))
-    one = lambda line: f.select("file", F.col("point").alias("variant"), line.alias("line"))
-    value = F.col("flow").cast("int").cast("string")
-    branch = lambda tag, *cells: F.concat_ws(";", F.lit(tag), F.lit(""), F.col("branch"), *cells, F.lit(""))
-    rows = one(branch("R3 ", value)).union(one(branch("R3C ", F.when((F.col("point") == 2) & (F.col("branch") == "br_1"), "9").otherwise("1"), value)))
-    rows = rows.union(one(branch("R3B ", F.lit(""), F.lit(""), F.lit("2"), value, F.lit("1"), F.lit("-1"))))
-    fixed = F.explode(F.array(F.lit("R3 ;PAR LIGNE;LIGNE;TRANSIT N;"), F.lit("C4 ;INCIDENTS;NUMERO;TYPE;OUVRAGE;"), F.lit("C4 ;;    1;N-1L;cty_a;"), F.lit("C4 ;;    2;N-1L;cty_b;"), F.lit("C1 ;;0;")))
-    return rows.union(f.select("file", F.col("point").alias("variant"), fixed.alias("line")).distinct())
-
-
-@query("a18_ingest_results", f"""
-    SELECT point AS variant, x.name, x.kind, x.value FROM (SELECT * FROM flows WHERE point < 2) CROSS JOIN LATERAL (VALUES
+    lines = [
+        "concat('R3 ;;', branch, ';', v, ';')", "concat('R3C ;;', branch, ';', CASE WHEN point = 2 AND branch = 'br_1' THEN '9' ELSE '1' END, ';', v, ';')",
+        "concat('R3B ;;', branch, ';;;2;', v, ';1;-1;')",
+    ]
+    fixed = ["R3 ;PAR LIGNE;LIGNE;TRANSIT N;", "C4 ;INCIDENTS;NUMERO;TYPE;OUVRAGE;", "C4 ;;    1;N-1L;cty_a;", "C4 ;;    2;N-1L;cty_b;", "C1 ;;0;"]
+    f = _files(t)
+    return f.select("file", "variant", F.explode(F.array(*map(F.expr, lines))).alias("line")).union(f.select("file", "variant").distinct().select("file", "variant", F.explode(F.array(*map(F.lit, fixed))).alias("line")))
+
+
+@query("a18_ingest_results", """
+    SELECT point AS variant, x.name, x.kind, x.value FROM (SELECT * FROM flows WHERE point <> 2) CROSS JOIN LATERAL (VALUES
         ('FLOW_' || branch, 'double', CAST(CAST(flow AS INT) AS STRING)), ('FLOW_' || branch || '_cty_a', 'double', CAST(CAST(flow AS INT) AS STRING)),
         ('MAX_THREAT_1_NAME_' || branch, 'string', 'cty_b'), ('MAX_THREAT_1_FLOW_' || branch, 'double', CAST(CAST(flow AS INT) AS STRING)),
         ('MAX_THREAT_2_NAME_' || branch, 'string', 'cty_a'), ('MAX_THREAT_2_FLOW_' || branch, 'double', '-1')) x(name, kind, value)
-    UNION ALL SELECT DISTINCT point, 'ERROR_CODE', 'double', '0' FROM flows WHERE point < 2 UNION ALL SELECT x.v, 'ERROR_CODE', 'double', '1' FROM (SELECT 2 AS v UNION ALL SELECT 3) x""", "flows")
+    UNION ALL SELECT DISTINCT point, 'ERROR_CODE', 'double', '0' FROM flows WHERE point <> 2 UNION ALL SELECT x.v, 'ERROR_CODE', 'double', '1' FROM (SELECT 2 AS v UNION ALL SELECT max(point) + 1 FROM flows) x""", "flows")
 def a18(t):
-    expected = t.kept_flows.filter("point <= 3").select(F.col("point").alias("variant")).distinct()
+    """A file for every point; one more is expected that isn't there."""
+    points = t.kept_flows.select("point")
+    expected = points.distinct().union(points.agg((F.max("point") + 1).cast("int").alias("point"))).withColumnRenamed("point", "variant")
     return res.ingest_result_records(result_lines(t), expected)
+
+
+# Per branch and point one line of each kind of record: the line, and (name, value) of what it says. An empty cell says nothing
+# where it may be empty; 0 is the base case, other numbers are those of the file's list of outages.
+EACH = [
+    ("concat('C2 ;;', branch, ';x;', v, ';;')", [("'LOST_GEN_' || branch", "v")]),
+    ("concat('C2B ;;cty_z;', branch, ';', v, ';')", [("'LOST_LOAD_' || branch || '_cty_z'", "v")]),
+    ("concat('C5 ;;area_', branch, ';', v, ';')", [("'INIT_BAL_AREA_area_' || branch", "v")]),
+    ("concat('R1 ;;', branch, ';x;', v, ';;')", [("'INIT_BAL_LOAD_' || branch", "v")]),
+    ("concat('R1B ;1;', branch, ';', v, ';')", [("'LOAD_CUR_' || branch || '_cty_a'", "v")]),
+    ("concat('R1C ;group_', branch, ';', v, ';')", [("'LOAD_group_' || branch", "v")]),
+    ("concat('R2 ;;', branch, ';x;y;', v, ';8;')", [("'INIT_BAL_GEN_' || branch", "v"), ("'GEN_' || branch", "'8'")]),
+    ("concat('R2B ;2;', branch, ';', v, ';')", [("'GEN_CUR_' || branch || '_cty_b'", "v")]),
+    ("concat('R2C ;group_', branch, ';', v, ';')", [("'GEN_group_' || branch", "v")]),
+    ("concat('R2D ;1;', branch, ';', v, ';')", [("'BAT_CUR_' || branch || '_cty_a'", "v")]),
+    ("concat('R3 ;;', branch, ';', v, ';')", [("'FLOW_' || branch", "v")]),
+    ("concat('R3B ;;', branch, ';1;', v, ';2;', v, ';;;')", [("'MAX_TMP_THREAT_NAME_' || branch", "'cty_a'"), ("'MAX_TMP_THREAT_FLOW_' || branch", "v"), ("'MAX_THREAT_1_NAME_' || branch", "'cty_b'"), ("'MAX_THREAT_1_FLOW_' || branch", "v")]),
+    ("concat('R3C ;;', branch, ';2;', v, ';')", [("'FLOW_' || branch || '_cty_b'", "v")]),
+    ("concat('R4 ;;', branch, ';0;', v, ';')", [("'MV_' || branch", "v")]),
+    ("concat('R4B ;;', branch, ';2;x;unit;', v, ';9;')", [("'MV_POW_' || branch || '_cty_b_unit'", "v"), ("'MV_COST_' || branch || '_cty_b_unit'", "'9'")]),
+    ("concat('R5 ;;', branch, ';', v, ';3;')", [("'PST_' || branch", "v"), ("'PST_TAP_' || branch", "'3'")]),
+    ("concat('R5B ;1;', branch, ';', v, ';3;')", [("'PST_CUR_' || branch || '_cty_a'", "v"), ("'PST_CUR_TAP_' || branch || '_cty_a'", "'3'")]),
+    ("concat('R6 ;;', branch, ';', v, ';;')", [("'HVDC_' || branch", "v")]),
+    ("concat('R6B ;2;', branch, ';', v, ';')", [("'HVDC_CUR_' || branch || '_cty_b'", "v")]),
+    ("concat('R7 ;;', branch, ';', v, ';;1;2;')", [("'GEN_VOL_DOWN_' || branch", "v"), ("'GEN_CUR_VOL_DOWN_' || branch", "'1'"), ("'GEN_CUR_VOL_UP_' || branch", "'2'")]),
+    ("concat('R8B ;;', branch, ';', v, ';')", [("'LOSSES_' || branch", "v")]),
+    ("concat('R10;;', branch, ';x;open ', v, ';')", [("'TOPOLOGY_' || branch", "'open ' || v")]),
+]
+ONCE = ["C1 ;;0;", "C4 ;;    1;N-1L;cty_a;", "C4 ;;    2;N-1L;cty_b;", "R7 ;;BATTERY;5;;;6;", "R8 ;;12;", "R9 ;;1;2;3;4;5;;7;;"]
+SAID_ONCE = [("ERROR_CODE", 0), ("BAT_VOL_DOWN_BATTERY", 5), ("BAT_CUR_VOL_UP_BATTERY", 6), ("LOSSES", 12), ("GEN_COST", 1), ("BAT_COST", 2), ("LOAD_COST", 3), ("OVERLOAD_OUTAGES", 4), ("OVERLOAD_BASECASE", 5), ("BAT_CUR_COST", 7)]
+_SAID = ", ".join(f"({name}, '{'string' if '_NAME_' in name or 'TOPOLOGY' in name else 'double'}', {value})" for _, said in EACH for name, value in said)
+
+
+@query("a18_all_records", f"""
+    SELECT point AS variant, x.name, x.kind, x.value FROM (SELECT branch, point, CAST(CAST(flow AS INT) AS STRING) AS v FROM flows) CROSS JOIN LATERAL (VALUES {_SAID}) x(name, kind, value)
+    UNION ALL SELECT point, x.name, 'double', x.value FROM (SELECT DISTINCT point FROM flows) CROSS JOIN (VALUES {', '.join(f"('{n}', '{k}')" for n, k in SAID_ONCE)}) x(name, value)""", "flows")
+def a18_all(t):
+    """Every kind of record, each with its header line."""
+    f = _files(t)
+    each = f.select("file", "variant", F.explode(F.array(*[F.expr(line) for line, _ in EACH])).alias("line"))
+    once = [*ONCE, *[f"{tag};{marker};" for tag, marker in res.HEADERS.items()]]
+    return res.ingest_result_records(each.union(f.select("file", "variant").distinct().select("file", "variant", F.explode(F.array(*map(F.lit, once))).alias("line"))))

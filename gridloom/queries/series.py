@@ -106,6 +106,27 @@ def b1(t):
 _PAIR = "SELECT a.version, a.point, a.instant, a.value AS a, b.value AS b FROM ts a JOIN ts b ON a.version = b.version AND a.point = b.point WHERE a.name = 'ts_0' AND b.name = 'ts_1'"
 
 
+@query("b2_reference", "SELECT 'copy' AS name, version, point, value FROM ts WHERE name = 'ts_3'", "ts")
+def b2(t):
+    """A series by its name; the name of none is an error, whose text names it."""
+    try:
+        calculate(t.kept_ts, {"copy": series("ts_none")})
+    except ValueError:
+        return calculate(t.kept_ts, {"copy": series("ts_3")}).drop("instant")
+    raise AssertionError("a missing series was taken")
+
+
+_OPERATORS = """SELECT x.name, version, point, round(x.value, 6) AS value FROM p CROSS JOIN LATERAL (VALUES ('reversed', 1000 - a), ('times', 3 * a + b), ('over', CASE WHEN a = 0 THEN NULL ELSE 1000 / a END),
+    ('atleast', CASE WHEN a >= b THEN 1 ELSE 0 END), ('clamped', greatest(least(a - b, 100), -100)), ('minus', -(a * 0.5) + abs(b - 700))) x(name, value) WHERE x.value IS NOT NULL"""
+
+
+@query("u3_operators", _OPERATORS, "ts", p=_PAIR)
+def u3(t):
+    a, b = series("ts_0"), series("ts_1")
+    found = {"reversed": 1000 - a, "times": 3 * a + b, "over": 1000 / a, "atleast": a >= b, "clamped": (a - b).min(100).max(-100), "minus": -(a * 0.5) + (b - 700).abs()}
+    return calculate(t.ts, found).filter("abs(value) < double('infinity')").select("name", "version", "point", r6("value").alias("value"))
+
+
 @query("b3_arithmetic", """SELECT x.name, version, point, round(x.value, 6) AS value FROM p CROSS JOIN LATERAL (VALUES ('sum', a + b), ('difference', a - b * 2), ('product', a * b), ('ratio', CASE WHEN b - 600 = 0 THEN NULL ELSE a / (b - 600) END)) x(name, value) WHERE x.value IS NOT NULL""", "ts", p=_PAIR)
 def b3(t):
     a, b = series("ts_0"), series("ts_1")
@@ -182,6 +203,11 @@ def s8(t):
 # ---- D ---------------------------------------------------------------------------------------------------------
 
 
+@query("d1_create", "SELECT p_partkey AS row_id, p_brand AS brand, p_type AS kind FROM part")
+def d1(t):
+    return tables.create_from(t.part.select(F.col("p_partkey").alias("row_id"), F.array("p_brand", "p_type").alias("cells")), ["brand", "kind"])
+
+
 @query("d3_get", "SELECT 'brand:' || brand AS brand, 'kind:' || kind AS kind, 'size:' || size AS size FROM datatable", "datatable")
 def d3(t):
     return tables.get(t.datatable)

@@ -60,7 +60,7 @@ BINDINGS = {
     "contingency": """
         SELECT concat('cty_', CAST(n_nationkey AS STRING)) AS id, concat('br_', CAST(n_nationkey AS STRING)) AS element, n_nationkey AS num,
                CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey + 1 AS DOUBLE) / 128 END AS prob_base, CASE WHEN n_nationkey = 3 THEN 'ts_3' END AS prob_series
-        FROM {nation} WHERE n_nationkey < 5""",
+        FROM {nation}""",
     "ratings": """
         SELECT concat('br_', CAST(n_nationkey AS STRING)) AS branch, v.variable, CAST(10 + 2 * n_nationkey + v.extra AS DOUBLE) AS value
         FROM {nation} CROSS JOIN (SELECT 'thresholdN' AS variable, 0 AS extra UNION ALL SELECT 'thresholdNEndOr', 5 UNION ALL SELECT 'analysisThresholdN', 8
@@ -83,7 +83,7 @@ BINDINGS = {
     "redispatch": """
         SELECT e.id AS equipment, e.num, e.type, t.version, t.point,
                CASE WHEN (e.num + t.point) % 10 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST((e.num * 7 + t.point * 3) % 64 - 32 AS DOUBLE) END AS value
-        FROM {equipment} e CROSS JOIN (SELECT DISTINCT version, point FROM {ts} WHERE point < 12) t WHERE e.type = 'GENERATOR'""",
+        FROM {equipment} e CROSS JOIN (SELECT DISTINCT version, point FROM {ts}) t WHERE e.type = 'GENERATOR'""",
     "costs": """
         SELECT id AS equipment, CAST(num % 8 + 1 AS DOUBLE) AS cost_up, CASE WHEN num % 30 <> 0 THEN CAST(num % 4 + 1 AS DOUBLE) END AS cost_down, type FROM {equipment}""",
     "datatable": """

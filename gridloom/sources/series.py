@@ -14,31 +14,32 @@ TS = "name string, version int, point int, instant timestamp, value double"
 
 def read_ts_csv(spark: SparkSession, paths: list[str], sep: str = ";") -> tuple[DataFrame, DataFrame]:
     """(double series, string series) of files ``Time;Version;<series...>``. A column is double if all its non-empty cells
-    are numbers. Of a series in several files the last file's counts."""
-    doubles, strings, taken = [], [], set()
-    for path in reversed(paths):
-        raw = spark.read.csv(path, sep=sep, header=True)
-        names = [c for c in raw.columns if c not in KEYS]
-        typed = raw.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` AS double)").isNull()).alias(c) for c in names]).first() if names else {}
-        base = raw.select(F.to_timestamp("Time").alias("instant"), F.col("Version").cast("int").alias("version"), *[F.col(f"`{c}`") for c in names])
-        base = base.withColumn("point", (F.dense_rank().over(Window.partitionBy("version").orderBy("instant")) - 1).cast("int"))
-        for c in names:
-            if c in taken:
-                continue
-            taken.add(c)
-            is_text = typed[c] > 0
-            value = F.col(f"`{c}`") if is_text else F.expr(f"try_cast(`{c}` AS double)")
-            (strings if is_text else doubles).append(base.select(F.lit(c).alias("name"), "version", "point", "instant", value.alias("value")))
-
-    def together(parts, kind):
-        out = spark.createDataFrame([], f"name string, version int, point int, instant timestamp, value {kind}")
-        for p in parts:
-            out = out.unionByName(p)
-        return out
-
-    return together(doubles, "double"), together(strings, "string")
-
-
+    are numbers. Of a series in several files the last file's counts.
+
+    A file is scanned once, its columns become rows. Only headers are read beforehand, so what is text, and the points of
+    an index, are aggregates over these rows; a version's index is numbered over its distinct instants.
+    """
+    last: dict[str, int] = {}
+    raws = [spark.read.csv(path, sep=sep, header=True) for path in paths]
+    for k, raw in enumerate(raws):
+        last |= {c: k for c in raw.columns if c not in KEYS}
+    empty = spark.createDataFrame([], "file int, instant timestamp, version int, name string, cell string")
+    cells = empty
+    for k, raw in enumerate(raws):
+        own = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("cell")) for c in raw.columns if last.get(c) == k]
+        if own:
+            rows = raw.select(F.lit(k).alias("file"), F.to_timestamp("Time").alias("instant"), F.col("Version").cast("int").alias("version"), F.explode(F.array(*own)).alias("x"))
+            cells = cells.union(rows.select("file", "instant", "version", "x.name", "x.cell"))
+    number = F.expr("try_cast(cell AS double)")
+    kinds = cells.groupBy("name").agg(F.max(F.col("cell").isNotNull() & number.isNull()).alias("is_text"))
+    index = cells.select("file", "version", "instant").distinct()
+    index = index.withColumn("point", (F.row_number().over(Window.partitionBy("file", "version").orderBy("instant")) - 1).cast("int"))
+    rows = cells.join(index, ["file", "version", "instant"]).join(kinds, "name")
+    columns = ["name", "version", "point", "instant"]
+    return rows.filter("NOT is_text").select(*columns, number.alias("value")), rows.filter("is_text").select(*columns, F.col("cell").alias("value"))
+
+
+# The fields of the series format.
 JSON = """metadata struct<name:string,dataType:string,tags:array<map<string,string>>,
           regularIndex:struct<startTime:bigint,endTime:bigint,spacing:bigint>,irregularIndex:array<bigint>>,
           chunks array<struct<offset:int,length:int,uncompressedLength:int,values:array<string>,stepValues:array<string>,stepLengths:array<int>>>"""
@@ -106,6 +107,7 @@ def exists(ts: DataFrame, names: DataFrame) -> DataFrame:
 
 # ---- append ----------------------------------------------------------------------------------------------------
 
+# Names of the policies.
 THROW, OVERWRITE, APPEND = "THROW_EXCEPTION", "OVERWRITE", "APPEND"
 
 
@@ -134,7 +136,7 @@ def append_ts(stored: DataFrame, new: DataFrame, policy: str = THROW) -> DataFra
         bad = stored.join(keys, ["name", "version"], "left_semi").select("name", "version").distinct()
     elif policy == APPEND:
         if new.filter("instant IS NULL").limit(1).count():
-            raise ValueError("cannot append to a time series with infinite index")
+            raise ValueError("series without instants have no end to append at")
         bad = overlapping(stored, new)
     else:
         raise ValueError(f"unknown policy {policy}")
@@ -167,7 +169,7 @@ def export_wide(ts: DataFrame, names: list[str], versions: list[int] | None = No
     if versions is not None:
         rows = rows.filter(F.col("version").isin(versions))
     if check and not check_index_unicity(rows).first()["unique"]:
-        raise ValueError("time series must have the same index")
+        raise ValueError("the series to export differ in their instants")
     return rows.groupBy(F.col("instant").alias("Time"), F.col("version").alias("Version")).pivot("name", names).agg(F.first("value"))
 
 

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.series import TS
 
+KEYS = ["name", "version", "point"]
+
 
 def append_result_chunks(spark: SparkSession, source: str, store: str, checkpoint: str, refused: str):
-    """Appends chunks (files of TS rows in ``source``) to the Parquet ``store``, once per file whatever order they come in; points that are
-    stored already go to ``refused`` instead. Returns the query; it ends when all files are read."""
+    """Appends chunks to the Parquet ``store``, once per file whatever order they come in. A chunk is what a file in ``source`` of
+    TS rows holds of a series and version. One with a point that is stored already, or that it or a file before it (by
+    path) of the same batch holds too, goes to ``refused`` as a whole. Returns the query; it ends when all files are read."""
+    spark.createDataFrame([], TS).write.mode("ignore").parquet(f"{store}/batch=-1")  # so that there is a store to read
 
     def add(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates(["name", "version", "point"])
-        keys = ["name", "version", "point"]
-        try:
-            stored = spark.read.parquet(store).filter(F.col("batch") != number).select(*keys)
-        except Exception as e:  # the store doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = spark.createDataFrame([], "name string, version int, point int")
+        stored = spark.read.schema(f"{TS}, batch long").parquet(store).filter(F.col("batch") != number).select(*KEYS)
+        taken = batch.select(*KEYS).join(stored, KEYS, "left_semi").distinct().withColumn("taken", F.lit(True))
+        again = F.row_number().over(Window.partitionBy(*KEYS).orderBy("file")) > 1
+        rows = batch.withColumn("again", again).join(taken, KEYS, "left").withColumn("bad", F.col("again") | F.coalesce("taken", F.lit(False)))
+        bad = rows.filter("bad").select("file", "name", "version").distinct()
         # a batch that is run again overwrites its own part only
-        batch.join(stored, keys, "left_anti").write.mode("overwrite").parquet(f"{store}/batch={number}")
-        batch.join(stored, keys, "left_semi").write.mode("overwrite").parquet(f"{refused}/batch={number}")
+        chunk = ["file", "name", "version"]
+        batch.join(bad, chunk, "left_anti").drop("file").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        batch.join(bad, chunk, "left_semi").drop("file").write.mode("overwrite").parquet(f"{refused}/batch={number}")
 
-    stream = spark.readStream.schema(TS).parquet(source)
+    stream = spark.readStream.schema(TS).parquet(source).withColumn("file", F.col("_metadata.file_path"))
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
