@@ -33,9 +33,10 @@ def upper_median(rows: DataFrame) -> DataFrame:
     """(name, median). A first pass finds two values between which the median must be: those at some ranks before and
     behind it, by a sketch whose error in ranks is bounded by a part of that distance. The second counts what is below
     and orders only the distinct values in between, some 1 / 250 of a name's rows."""
-    bounds = rows.groupBy("name").agg(F.percentile_approx("value", [0.498, 0.502], 2_000).alias("b"), F.count("*").alias("n"))
-    near = rows.join(bounds, "name").filter("isnan(b[1]) OR value <= b[1]")  # NaN is larger than any other value
-    below = F.when(F.col("value") < F.col("b")[0], F.lit(None)).otherwise(F.col("value"))
+    finite = F.nanvl("value", F.lit(float("inf")))  # NaN is larger than any other value, which sketches don't know
+    bounds = rows.groupBy("name").agg(F.percentile_approx(finite, [0.498, 0.502], 2_000).alias("b"), F.count("*").alias("n"))
+    near = rows.join(bounds, "name").filter(finite <= F.col("b")[1])
+    below = F.when(finite < F.col("b")[0], F.lit(None)).otherwise(F.col("value"))
     counts = near.groupBy("name", "n", below.alias("value")).agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy("name").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("upto", upto).filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("name").agg(F.min("value").alias("median"))

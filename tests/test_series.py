@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.expressions import calculate, const, series
-from gridloom.operators import stats, tables
+from gridloom.operators import checks, network, stats, tables
+from gridloom.plans import spread
+from gridloom.plans.graph import connected_components
 from gridloom.sources import series as src
 from gridloom.streaming.append import append_result_chunks
 
@@ -124,5 +126,68 @@ def test_stream_of_chunks(spark, tmp_path):
     ts(spark, [("a", 1, 0, 1.0), ("a", 1, 2, 99.0)]).coalesce(1).write.mode("append").parquet(source)
     run()
     run()
-    assert sorted((r.point, r.value) for r in spark.read.parquet(store).collect()) == [(0, 1.0), (2, 3.0), (3, 4.0)]
-    assert [(r.point, r.value) for r in spark.read.parquet(str(tmp_path / "refused")).collect()] == [(2, 99.0)]
+    # the chunk with point 2 is refused as a whole
+    assert sorted((r.point, r.value) for r in spark.read.parquet(store).collect()) == [(2, 3.0), (3, 4.0)]
+    assert sorted((r.point, r.value) for r in spark.read.parquet(str(tmp_path / "refused")).collect()) == [(0, 1.0), (2, 99.0)]
+
+
+def test_stream_of_chunks_in_one_batch(spark, tmp_path):
+    """Of two files with a point in common the first by path is stored; other series of the second are chunks of their own."""
+    source = tmp_path / "in"
+    for name, rows in (("a", [("x", 1, 0, 1.0), ("x", 1, 1, 2.0)]), ("b", [("x", 1, 1, 9.0), ("x", 1, 2, 9.0), ("y", 1, 1, 5.0), ("z", 1, 0, 1.0), ("z", 1, 0, 2.0)])):
+        ts(spark, rows).coalesce(1).write.parquet(str(source / name))
+    args = [str(tmp_path / n) for n in ("store", "checkpoint", "refused")]
+    append_result_chunks(spark, f"{source}/*", *args).awaitTermination()
+    key = lambda path: sorted((r.name, r.point, r.value) for r in spark.read.parquet(path).collect())
+    assert key(args[0]) == [("x", 0, 1.0), ("x", 1, 2.0), ("y", 1, 5.0)]
+    assert key(args[2]) == [("x", 1, 9.0), ("x", 2, 9.0), ("z", 0, 1.0), ("z", 0, 2.0)]
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [float("nan"), 1.0, float("nan")], [5.0] * 900 + [1.0] * 100, [((k * 7919) % 10_007) / 8 for k in range(10_007)], [((k * 31) % 5_000) / 3 for k in range(5_000)]])
+def test_upper_median(spark, values):
+    rows = ts(spark, [("a", 1, k, v) for k, v in enumerate(values)] + [("b", 1, 0, 7.0)])
+    got = {r.name: r.median for r in stats.upper_median(rows).collect()}
+    want = sorted(values, key=lambda v: (v != v, v))[len(values) // 2]
+    assert got["b"] == 7.0 and (got["a"] == want or want != want and got["a"] != got["a"])
+
+
+def test_lines_of_several_splits(spark, tmp_path):
+    path = tmp_path / "lines.txt"
+    path.write_text("".join(f"line {k}\n" for k in range(1, 2001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "4k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            found = checks.read_lines(spark, str(path))
+            assert sorted((r.line_no, r.value) for r in found.collect()) == [(k, f"line {k}") for k in range(1, 2001)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_threats_by_flow(spark):
+    flows = spark.createDataFrame([("b", c, 1, 0, f) for c, f in (("c1", 10.0004), ("c2", -10.0006), ("c3", 10.0006), ("c4", 9.0))], "branch string, contingency string, version int, point int, flow double")
+    assert [(r["rank"], r.contingency) for r in network.top_threats(flows, 3).orderBy("rank").collect()] == [(1, "c2"), (2, "c3"), (3, "c1")]
+    assert [(r.contingency, r.flow) for r in network.max_threat(flows).collect()] == [("c2", -10.0006)]
+
+
+def test_table_from_rows(spark):
+    rows = spark.createDataFrame([(0, ["x", "1"]), (1, [None, "2"])], "row_id long, cells array<string>")
+    assert [(r.row_id, r.a, r.b) for r in tables.create_from(rows, ["a", "b"]).orderBy("row_id").collect()] == [(0, "x", "1"), (1, None, "2")]
+    with pytest.raises(ValueError):
+        tables.create_from(rows, ["a", "a"])
+    with pytest.raises(Exception, match="row size differs"):
+        tables.create_from(rows, ["a", "b", "c"]).collect()
+
+
+@pytest.mark.parametrize("rows", [2, 256])
+def test_spread_join(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(spread, "SPREAD_ROWS", rows)
+    left = spark.createDataFrame([("hot" if k % 3 else f"k{k % 5}", k) for k in range(300)] + [(None, 1)], "k string, n int")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("other", 4), (None, 5)], "k string, v int")
+    got = sorted(map(tuple, spread.spread_join(left, right, ["k"], "n").collect()))
+    assert got == sorted(map(tuple, left.join(right, ["k"]).collect())) and len(got) > 200
+    edges = spark.createDataFrame([(0, k) for k in range(1, 30)] + [(k, k + 1) for k in range(40, 60)], "src int, dst int")
+    plain = sorted(map(tuple, connected_components(edges).collect()))
+    assert sorted(map(tuple, connected_components(edges, spread=True).collect())) == plain
