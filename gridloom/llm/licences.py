@@ -31,7 +31,7 @@ from .common import table
 from .decontaminate import split_words
 
 BACKGROUND = 2_000  # rows of the corpus from which unknown paragraphs are taken
-PARAGRAPHS = 8  # of each of these rows
+PARAGRAPHS = 4  # of each of these rows
 FILLER = 30  # words of a paragraph that variants may be surrounded with
 VARIANTS = 60  # of each template
 CONFIRM = 0.5
@@ -215,23 +215,28 @@ class Classifier:
         return [found[k] for k in sorted(found)]
 
 
-def _softmax_fit(rows: list[list[int]], y: np.ndarray, m: int, classes: int, rounds: int = 200) -> np.ndarray:
-    """Multinomial logistic regression by gradient steps with a running scale per weight; rows are lists of features."""
-    flat = np.array([j for r in rows for j in r], np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def _softmax_fit(rows: list[tuple[int, ...]], y: np.ndarray, m: int, classes: int, rounds: int = 200) -> np.ndarray:
+    """Multinomial logistic regression by gradient steps with a running scale per weight; rows are features in order. Rows that
+    are alike count as one with their number as its weight; each class has the same weight in all."""
     share = np.array([(y == k).mean() for k in range(classes)])
-    each = (1 / np.maximum(share, 1e-9))[y] / classes
+    alike: dict[tuple, float] = {}
+    for r, k in zip(rows, y):
+        alike[r, k] = alike.get((r, k), 0.0) + 1 / max(share[k], 1e-9) / classes / len(rows)
+    rows, y, each = [r for r, _ in alike], np.array([k for _, k in alike]), np.array(list(alike.values()))
+    flat = np.array([j for r in rows for j in (*r, m)], np.int64)  # the bias is the last feature of every row
+    start = np.cumsum([0, *[len(r) + 1 for r in rows[:-1]]])
+    of = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    order = np.argsort(flat, kind="stable")
+    known, first = np.unique(flat[order], return_index=True)
+    of = of[order]
     w, scale, target = np.zeros((m + 1, classes)), np.full((m + 1, classes), 1e-3), np.eye(classes)[y]
     for _ in range(rounds):
-        z = np.zeros((len(rows), classes))
-        np.add.at(z, of, w[flat])
-        z += w[-1]
+        z = np.add.reduceat(w[flat], start)
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        d = (p - target) * each[:, None] / len(rows)
+        d = (p - target) * each[:, None]
         g = np.zeros_like(w)
-        np.add.at(g, flat, d[of])
-        g[-1] = d.sum(0)
+        g[known] = np.add.reduceat(d[of], first)
         g[:-1] += 1e-6 * w[:-1]
         scale += g * g
         w -= 0.5 * g / np.sqrt(scale)
@@ -293,12 +298,12 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
     families = list(TEMPLATES)
     names = [*families, UNKNOWN]
     variants = list(_variants(rng, [w for _, words in plain for w in words]))
-    rows = [[vocabulary[g] for g in grams(split_words(p)) if g in vocabulary] for _, p in variants] + [f for f, _ in plain]
+    rows = [tuple(sorted(vocabulary[g] for g in grams(split_words(p)) if g in vocabulary)) for _, p in variants] + [tuple(f) for f, _ in plain]
     y = np.array([names.index(f) for f, _ in variants] + [len(families)] * len(plain))
     held = np.array([rng.random() < 0.2 for _ in rows])
     fit = lambda keep: _softmax_fit([r for r, k in zip(rows, keep) if k], y[keep], len(vocabulary), len(names))
     part = Classifier(families, vocabulary, fit(~held), 1.0, templates)
-    z = np.array([part.weights[r].sum(0) + part.weights[-1] for r, h in zip(rows, held) if h])
+    z = np.array([part.weights[list(r)].sum(0) + part.weights[-1] for r, h in zip(rows, held) if h])
 
     def loss(t):
         s = z / t
