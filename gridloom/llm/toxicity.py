@@ -100,37 +100,64 @@ def rows_to_matrix(rows: list[tuple[dict, int]], vocabulary: dict[bytes, int], k
     return x
 
 
-def choose(rows: list[tuple[dict, int]], labels: np.ndarray, kept: int) -> dict[bytes, int]:
-    """The ``kept`` features at most that go most clearly with a category, by their place."""
-    size, marked = labels.sum(0), labels.any(1)
-    first: Counter = Counter()  # only features of rows with a category: the others speak against all of them
-    for (words, _), hit in zip(rows, marked):
-        if hit:
-            first.update({f for w in words for f in features_of(w)})
-    names = sorted(f for f, k in first.items() if k >= MIN_ROWS)
-    at = {f: k for k, f in enumerate(names)}
-    del first
-    c = np.zeros((len(names), labels.shape[1] + 1))
-    for (words, _), y in zip(rows, labels):
-        own = list({at[f] for w in words for f in features_of(w) if f in at})
-        c[own, :-1] += y
-        c[own, -1] += 1
-    total = max(1, len(rows))
-    share = c[:, -1:] / total
-    z = np.abs(c[:, :-1] - share * size) / np.sqrt(np.maximum(1e-9, share * (1 - share) * size * (1 - size / total)) + 0.3)
-    best = z.max(1) if len(names) else np.empty(0)
-    chosen = sorted(np.flatnonzero(best > 3.5).tolist(), key=lambda i: (-best[i], names[i]))[:kept]
-    return {names[i]: k for k, i in enumerate(chosen)}
+class Features:
+    """Features of the sample's rows, as far as enough rows with a category have them: the others speak against all of them."""
+
+    def __init__(self, rows: list[tuple[dict, int]], labels: np.ndarray):
+        self.labels, self.marked = labels, labels.any(1)
+        first: Counter = Counter()
+        for (words, _), hit in zip(rows, self.marked):
+            if hit:
+                first.update({f for w in words for f in features_of(w)})
+        self.names = sorted(f for f, k in first.items() if k >= MIN_ROWS)
+        at, known = {f: k for k, f in enumerate(self.names)}, {}
+        row, feature, count = [], [], []
+        for i, (words, _) in enumerate(rows):
+            own: Counter = Counter()
+            for w, k in words.items():
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = [at[f] for f in features_of(w) if f in at]
+                for j in ids:
+                    own[j] += k
+            row += [i] * len(own)
+            feature += own.keys()
+            count += own.values()
+        self.row, self.feature, self.count = np.array(row, np.int64), np.array(feature, np.int64), np.array(count, float)
+        self.words = np.array([max(1, n) for _, n in rows], float)
+
+    def choose(self, inside: np.ndarray, kept: int) -> np.ndarray:
+        """The ``kept`` features at most that, in the rows ``inside``, go most clearly with a category."""
+        here = inside[self.row]
+        row, feature, m = self.row[here], self.feature[here], len(self.names)
+        labels, total = self.labels[inside], max(1, int(inside.sum()))
+        size = labels.sum(0)
+        with_it = np.array([np.bincount(feature, self.labels[row, k], m) for k in range(self.labels.shape[1])]).reshape(self.labels.shape[1], m).T
+        share = np.bincount(feature, minlength=m)[:, None] / total
+        z = np.abs(with_it - share * size) / np.sqrt(np.maximum(1e-9, share * (1 - share) * size * (1 - size / total)) + 0.3)
+        best = np.where(np.bincount(feature, self.marked[row].astype(float), m) >= MIN_ROWS, z.max(1, initial=0), 0)
+        return np.array(sorted(np.flatnonzero(best > 3.5).tolist(), key=lambda i: (-best[i], self.names[i]))[:kept], np.int64)
+
+    def matrix(self, chosen: np.ndarray) -> np.ndarray:
+        """As rows_to_matrix, of all rows."""
+        m, column = len(chosen), np.full(len(self.names), -1)
+        column[chosen] = np.arange(m)
+        here = column[self.feature] >= 0 if len(self.feature) else np.empty(0, bool)
+        x = np.zeros((len(self.words), 2 * m))
+        x[self.row[here], column[self.feature[here]]] = self.count[here]
+        x[:, m:] = np.log1p(x[:, :m] * (200 / self.words)[:, None])
+        x[:, :m] = np.log1p(x[:, :m])
+        return x
 
 
 def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndarray, categories, kept: int = KEPT) -> Chain:
     """The models of the chain. Out-of-fold probabilities come from models whose features, too, were chosen without the fold."""
-    vocabulary = choose(rows, labels, kept)
-    x, parts = rows_to_matrix(rows, vocabulary, {}), []
+    found = Features(rows, labels)
+    chosen = found.choose(np.ones(len(rows), bool), kept)
+    x, parts = found.matrix(chosen), []
     for f in range(FOLDS):
-        rest = np.flatnonzero(folds != f) if (folds != f).any() else np.arange(len(rows))
-        own = choose([rows[i] for i in rest], labels[rest], kept)
-        parts.append((rest, np.flatnonzero(folds == f), rows_to_matrix(rows, own, {})))
+        rest = folds != f if (folds != f).any() else np.ones(len(rows), bool)
+        parts.append((rest, folds == f, found.matrix(found.choose(rest, kept))))
     weights, before = [], np.empty((len(rows), 0))  # out-of-fold probabilities of the categories so far
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
@@ -141,7 +168,7 @@ def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndar
             w = _fit(own[rest], y[rest])
             out_of_fold[here] = _sigmoid(own[here] @ w[:-1] + w[-1])
         before = np.c_[before, out_of_fold]
-    return Chain(list(categories), vocabulary, weights)
+    return Chain(list(categories), {found.names[i]: k for k, i in enumerate(chosen)}, weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col="doc_id", text_col="text", kept: int = KEPT) -> Chain:
