@@ -24,7 +24,13 @@ def _exported(t, gzip: bool) -> str:
     return path
 
 
-@query("a1_read_csv", f"SELECT name, version, CAST(dense_rank() OVER (PARTITION BY version ORDER BY instant) - 1 AS INT) AS point, instant, value FROM ({ALL})", "ts")
+@query(
+    "a1_read_csv",
+    f"""
+    SELECT name, version, CAST(dense_rank() OVER (PARTITION BY version
+    ORDER BY instant) - 1 AS INT) AS point, instant, value FROM ({ALL})""",
+    "ts",
+)
 def a1(t):
     return src.read_ts_csv(t.spark, [_exported(t, False)])[0]
 
@@ -60,7 +66,13 @@ def r1(t):
     return t.spark.read.parquet(store).select("name", "version", "point", "instant", "value")
 
 
-@query("u5_metadata", "SELECT DISTINCT t.name, n.n_name AS unit, n.n_regionkey = 0 AS kept FROM ts t LEFT JOIN nation n ON t.name = concat('ts_', CAST(n.n_nationkey AS STRING)) AND n.n_nationkey < 20", "ts")
+@query(
+    "u5_metadata",
+    """
+    SELECT DISTINCT t.name, n.n_name AS unit, n.n_regionkey = 0 AS kept
+    FROM ts t LEFT JOIN nation n ON t.name = concat('ts_', CAST(n.n_nationkey AS STRING)) AND n.n_nationkey < 20""",
+    "ts",
+)
 def u5(t):
     metadata = t.nation.filter("n_nationkey < 20").select(F.concat(F.lit("ts_"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("unit"), (F.col("n_regionkey") == 0).alias("kept"))
     return src.with_metadata(t.ts.select("name").distinct(), metadata)

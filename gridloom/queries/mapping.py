@@ -50,11 +50,13 @@ SCALED = """
         FROM mapping g JOIN ts t ON t.name = g.series LEFT JOIN ts s ON s.name = g.key_series AND s.version = t.version AND s.point = t.point)
       WINDOW w AS (PARTITION BY version, point, type, variable, series))"""
 MERGED = """
-    SELECT version, point, id, type, max(value) FILTER (variable = 'targetP') AS p, max(value) FILTER (variable = 'minP') AS min_p_mapped, max(value) FILTER (variable = 'maxP') AS max_p_mapped,
+    SELECT version, point, id, type, max(value) FILTER (variable = 'targetP') AS p, max(value) FILTER (variable = 'minP') AS min_p_mapped, max(value)
+    FILTER (variable = 'maxP') AS max_p_mapped,
            max(series) FILTER (variable = 'targetP') AS series, coalesce(bool_or(ignore_limits) FILTER (variable = 'targetP'), false) AS ignore_limits
     FROM scaled WHERE variable IN ('targetP', 'minP', 'maxP') GROUP BY version, point, id, type"""
 LIMITED = """
-    SELECT g.*, e.min_p AS base_min, e.max_p AS base_max, e.target_p AS base_p, coalesce(g.min_p_mapped, e.min_p) AS lo, coalesce(g.max_p_mapped, e.max_p) AS hi, coalesce(g.p, e.target_p) AS asked
+    SELECT g.*, e.min_p AS base_min, e.max_p AS base_max, e.target_p AS base_p, coalesce(g.min_p_mapped, e.min_p) AS lo, coalesce(g.max_p_mapped,
+    e.max_p) AS hi, coalesce(g.p, e.target_p) AS asked
     FROM merged g JOIN equipment e ON e.id = g.id"""
 OKS = "SELECT *, asked <= hi + 0.0001 AS okmax, asked >= lo - 0.0001 AS okmin FROM limited"
 SNAPPED = """
@@ -82,7 +84,9 @@ L = S | {"merged": MERGED, "limited": LIMITED}
 C = L | {"oks": OKS, "snapped": SNAPPED, "corrected_rows": CORRECTED}
 IGNORED = "SELECT id, type FROM equipment WHERE type = 'BATTERY' AND connected AND in_main_cc AND num % 5 = 0"
 STATUS = "SELECT id, type, CASE WHEN NOT connected THEN 'disconnected' WHEN NOT in_main_cc THEN 'out_of_main_cc' ELSE 'unmapped' END AS status FROM equipment"
-BASE = "SELECT id, type, x.variable, x.base FROM equipment CROSS JOIN LATERAL (VALUES ('targetP', target_p), ('minP', min_p), ('maxP', max_p), ('p0', p0), ('fixedActivePower', fixed_p), ('variableActivePower', variable_p)) x(variable, base)"
+BASE = """
+    SELECT id, type, x.variable, x.base FROM equipment CROSS JOIN LATERAL (VALUES ('targetP', target_p), ('minP', min_p), ('maxP', max_p), ('p0', p0),
+    ('fixedActivePower', fixed_p), ('variableActivePower', variable_p)) x(variable, base)"""
 
 
 def mapping(t):
@@ -114,10 +118,19 @@ def dependencies(t):
     return t.nation.filter("n_nationkey < 2").select(F.concat(F.lit("ts_"), F.col("n_nationkey").cast("string")).alias("name"), F.explode(F.array(F.lit("ts_20"), F.concat(F.lit("ts_"), (F.col("n_nationkey") + 2).cast("string")))).alias("needs"))
 
 
-DEPENDENCIES = "SELECT concat('ts_', CAST(n_nationkey AS STRING)) AS name, unnest(['ts_20', concat('ts_', CAST(n_nationkey + 2 AS STRING))]) AS needs FROM nation WHERE n_nationkey < 2"
+DEPENDENCIES = """
+    SELECT concat('ts_', CAST(n_nationkey AS STRING)) AS name, unnest(['ts_20', concat('ts_', CAST(n_nationkey + 2 AS STRING))]) AS needs
+    FROM nation WHERE n_nationkey < 2"""
 
 
-@query("a15_used_series", "SELECT DISTINCT coalesce(d.needs, u.name) AS name FROM (SELECT series AS name FROM mapping UNION SELECT key_series FROM mapping WHERE key_series IS NOT NULL UNION SELECT 'ts_24') u LEFT JOIN dependencies d ON d.name = u.name", "equipment", **M, dependencies=DEPENDENCIES)
+@query(
+    "a15_used_series",
+    """
+    SELECT DISTINCT coalesce(d.needs, u.name) AS name FROM (SELECT series AS name
+    FROM mapping UNION SELECT key_series FROM mapping WHERE key_series IS NOT NULL
+    UNION SELECT 'ts_24') u LEFT JOIN dependencies d ON d.name = u.name""",
+    "equipment", **M, dependencies=DEPENDENCIES,
+)
 def a15(t):
     one = t.nation.filter("n_nationkey = 24").select(F.lit("ts_24").alias("series"))
     return src.used_series(mapping(t), one, one, dependencies(t))
@@ -131,7 +144,14 @@ def a16(t):
 _TAGS = "SELECT rule_id AS row_id, series AS name, type AS tag, id AS parameter FROM candidates"
 
 
-@query("a17_tags", "SELECT name, tag, parameter FROM (SELECT *, row_number() OVER (PARTITION BY name, tag ORDER BY row_id, parameter) AS n FROM tags WHERE name IN (SELECT name FROM ts)) WHERE n = 1", "ts", "equipment", **M, tags=_TAGS)
+@query(
+    "a17_tags",
+    """
+    SELECT name, tag, parameter FROM (SELECT *, row_number() OVER (PARTITION BY name, tag
+    ORDER BY row_id, parameter) AS n FROM tags WHERE name IN (SELECT name
+    FROM ts)) WHERE n = 1""",
+    "ts", "equipment", **M, tags=_TAGS,
+)
 def a17(t):
     rows = m.rule_matches(RULES, t.equipment).select(F.col("series").alias("name"), F.col("type").alias("tag"), F.col("id").alias("parameter"), F.struct("rule_id", "id").alias("row_id"))
     return src.tag(rows, t.kept_ts)
@@ -140,7 +160,8 @@ def a17(t):
 @query("a19_variant_deltas", """
     SELECT p.version, p.point, d.key, d.n, d.items FROM (SELECT DISTINCT version, point FROM ts) p LEFT JOIN (
         SELECT version, point, variable AS key, count(*) AS n, string_agg(id, ';' ORDER BY id) AS items FROM (
-            SELECT s.version, s.point, s.variable, s.id FROM scaled s LEFT JOIN base b ON b.id = s.id AND b.variable = s.variable WHERE abs(s.value - coalesce(b.base, 0)) > 0.001) GROUP BY version, point, variable) d
+            SELECT s.version, s.point, s.variable, s.id FROM scaled s LEFT JOIN base b ON b.id = s.id AND b.variable = s.variable
+            WHERE abs(s.value - coalesce(b.base, 0)) > 0.001) GROUP BY version, point, variable) d
     ON d.version = p.version AND d.point = p.point""", "ts", "equipment", **S, base=BASE)
 def a19(t):
     deltas = res.variant_deltas(scaled(t), m.base_values(t.equipment), t.kept_ts)
@@ -148,14 +169,28 @@ def a19(t):
     return deltas.select("version", "point", "key", "n", ids.alias("items"))
 
 
-@query("a20_variant_probabilities", "SELECT c.id AS contingency, p.version, p.point, coalesce(t.value, c.prob_base, 0.0010000000474974513) AS probability FROM contingency c CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN ts t ON t.name = c.prob_series AND t.version = p.version AND t.point = p.point", "contingency", "ts")
+@query(
+    "a20_variant_probabilities",
+    """
+    SELECT c.id AS contingency, p.version, p.point, coalesce(t.value, c.prob_base, 0.0010000000474974513) AS probability
+    FROM contingency c CROSS JOIN (SELECT DISTINCT version, point
+    FROM ts) p LEFT JOIN ts t ON t.name = c.prob_series AND t.version = p.version AND t.point = p.point""",
+    "contingency", "ts",
+)
 def a20(t):
     from ..operators.postprocess import contingency_probability
 
     return contingency_probability(t.contingency, t.kept_ts)
 
 
-@query("s7_constant_series", "SELECT d.version, g.series, g.variable, bool_and(g.variable <> 'targetP' AND g.type <> 'LOAD' AND d.s < 1e-6) AS is_constant FROM (SELECT DISTINCT series, variable, type FROM mapping) g JOIN (SELECT name, version, stddev_pop(value) AS s FROM ts GROUP BY name, version) d ON d.name = g.series GROUP BY d.version, g.series, g.variable", "ts", "equipment", **M)
+@query(
+    "s7_constant_series",
+    """
+    SELECT d.version, g.series, g.variable, bool_and(g.variable <> 'targetP' AND g.type <> 'LOAD' AND d.s < 1e-6) AS is_constant
+    FROM (SELECT DISTINCT series, variable, type FROM mapping) g JOIN (SELECT name, version, stddev_pop(value) AS s
+    FROM ts GROUP BY name, version) d ON d.name = g.series GROUP BY d.version, g.series, g.variable""",
+    "ts", "equipment", **M,
+)
 def s7(t):
     return stats.split_constant(t.kept_ts, mapping(t))
 
@@ -170,7 +205,13 @@ def e2(t):
     return m.select_equipment(t.equipment, "LOAD", "substation = 'sub_2' AND p0 > 1000").select("id")
 
 
-@query("e3_map_to", "SELECT rule_id, type, variable, series, id, round(key_number, 6) AS key_number, key_series, ignore_limits FROM candidates", "equipment", **M)
+@query(
+    "e3_map_to",
+    """
+    SELECT rule_id, type, variable, series, id, round(key_number, 6) AS key_number, key_series, ignore_limits
+    FROM candidates""",
+    "equipment", **M,
+)
 def e3(t):
     return m.rule_matches(RULES, t.equipment).withColumn("key_number", r6("key_number"))
 
@@ -214,7 +255,8 @@ def e3_all(t):
 
 
 @query("e3_all_values", """
-    SELECT t.version, t.point, g.type, g.variable, g.series, g.id, round(t.value / count(*) OVER (PARTITION BY t.version, t.point, g.type, g.variable, g.series), 6) AS value
+    SELECT t.version, t.point, g.type, g.variable, g.series, g.id, round(t.value / count(*) OVER (PARTITION BY t.version, t.point, g.type, g.variable,
+    g.series), 6) AS value
     FROM (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY variable, id ORDER BY rule_id DESC) AS n FROM all_matches) WHERE n = 1) g JOIN ts t ON t.name = g.series""", "ts", twelve=TWELVE, all_matches=_all_types_sql())
 def e3_values(t):
     """Values of the twelve types: each group's series in equal shares."""
@@ -242,12 +284,25 @@ def e5(t):
     return mapping(t).select("rule_id", "variable", "series", "id")
 
 
-@query("e5_unused_series", "SELECT variable, id, string_agg(series, ',' ORDER BY rule_id) AS unused FROM (SELECT *, row_number() OVER (PARTITION BY variable, id ORDER BY rule_id DESC) AS n FROM candidates) WHERE n > 1 GROUP BY variable, id", "equipment", **M)
+@query(
+    "e5_unused_series",
+    """
+    SELECT variable, id, string_agg(series, ',' ORDER BY rule_id) AS unused
+    FROM (SELECT *, row_number() OVER (PARTITION BY variable, id ORDER BY rule_id DESC) AS n
+    FROM candidates) WHERE n > 1 GROUP BY variable, id""",
+    "equipment", **M,
+)
 def e5_unused(t):
     return m.unused_series(RULES, t.equipment).withColumn("unused", F.array_join("unused", ","))
 
 
-@query("e6_groups", "SELECT type, variable, series, count(*) AS n_equipment, count(DISTINCT rule_id) AS n_rules FROM mapping GROUP BY type, variable, series", "equipment", **M)
+@query(
+    "e6_groups",
+    """
+    SELECT type, variable, series, count(*) AS n_equipment, count(DISTINCT rule_id) AS n_rules
+    FROM mapping GROUP BY type, variable, series""",
+    "equipment", **M,
+)
 def e6(t):
     return mapping(t).groupBy("type", "variable", "series").agg(F.count("*").alias("n_equipment"), F.count_distinct("rule_id").alias("n_rules"))
 
@@ -265,23 +320,47 @@ def e8(t):
     return scaled(t).select("version", "point", "type", "variable", "series", "id", r6("value").alias("value"))
 
 
-@query("e9_zero_key_fallback", "SELECT version, point, series, variable, count(*) AS n_equipment FROM scaled WHERE uniform GROUP BY version, point, series, variable", "ts", "equipment", **S)
+@query(
+    "e9_zero_key_fallback",
+    """
+    SELECT version, point, series, variable, count(*) AS n_equipment
+    FROM scaled WHERE uniform GROUP BY version, point, series, variable""",
+    "ts", "equipment", **S,
+)
 def e9(t):
     return m.zero_key_log(scaled(t))
 
 
-@query("e10_nan_guard", "SELECT name, version, point FROM ts WHERE CAST(substr(name, 4) AS INT) % 7 = 3 AND point % 11 = 2 AND name IN (SELECT series FROM mapping)", "ts", "equipment", **M)
+@query(
+    "e10_nan_guard",
+    """
+    SELECT name, version, point FROM ts WHERE CAST(substr(name, 4) AS INT) % 7 = 3 AND point % 11 = 2 AND name IN (SELECT series
+    FROM mapping)""",
+    "ts", "equipment", **M,
+)
 def e10(t):
     spoiled = t.kept_ts.withColumn("value", F.when((F.substring("name", 4, 9).cast("int") % 7 == 3) & (F.col("point") % 11 == 2), F.lit(float("nan"))).otherwise(F.col("value")))
     return m.bad_values(spoiled, mapping(t)).select("name", "version", "point")
 
 
-@query("e11_empty_filter", f"SELECT CAST(r.rule_id AS INT) AS rule_id, r.series, version, point, value, r.level FROM ts JOIN (SELECT {len(RULES) - 2} AS rule_id, 'ts_16' AS series, 'ERROR' AS level UNION ALL SELECT {len(RULES) - 1}, 'ts_17', 'INFO') r ON r.series = ts.name WHERE value <> 0", "ts")
+@query(
+    "e11_empty_filter",
+    f"""
+    SELECT CAST(r.rule_id AS INT) AS rule_id, r.series, version, point, value, r.level
+    FROM ts JOIN (SELECT {len(RULES) - 2} AS rule_id, 'ts_16' AS series, 'ERROR' AS level
+    UNION ALL SELECT {len(RULES) - 1}, 'ts_17', 'INFO') r ON r.series = ts.name
+    WHERE value <> 0""",
+    "ts",
+)
 def e11(t):
     return m.empty_rules(RULES[-2:], t.equipment, t.kept_ts).withColumn("rule_id", F.col("rule_id") + len(RULES) - 2)
 
 
-_HVDC_VALUES = "SELECT t.version, t.point, 'HVDC_LINE' AS type, x.variable, t.name AS series, h.id, t.value - x.less AS value FROM ts t JOIN hvdc h ON t.name = concat('ts_', CAST(h.num % 25 AS STRING)) CROSS JOIN (SELECT 'maxP' AS variable, 400 AS less UNION ALL SELECT 'minP', 600 UNION ALL SELECT 'activePowerSetpoint', 500) x"
+_HVDC_VALUES = """
+    SELECT t.version, t.point, 'HVDC_LINE' AS type, x.variable, t.name AS series, h.id, t.value - x.less AS value
+    FROM ts t JOIN hvdc h ON t.name = concat('ts_', CAST(h.num % 25 AS STRING))
+    CROSS JOIN (SELECT 'maxP' AS variable, 400 AS less UNION ALL SELECT 'minP', 600
+    UNION ALL SELECT 'activePowerSetpoint', 500) x"""
 
 
 def hvdc_values(t):
@@ -291,48 +370,92 @@ def hvdc_values(t):
     return rows.select("version", "point", F.lit("HVDC_LINE").alias("type"), "x.variable", "series", "id", (F.col("value") - F.col("x.less")).alias("value"))
 
 
-@query("e12_hvdc_sign_check", "SELECT version, point, series, id, variable, value FROM v WHERE (variable = 'maxP' AND value < 0) OR (variable = 'minP' AND value > 0)", "ts", "hvdc", v=_HVDC_VALUES)
+@query(
+    "e12_hvdc_sign_check",
+    """
+    SELECT version, point, series, id, variable, value FROM v WHERE (variable = 'maxP' AND value < 0) OR (variable = 'minP' AND value > 0)""",
+    "ts", "hvdc", v=_HVDC_VALUES,
+)
 def e12(t):
     return m.check_hvdc_sign(hvdc_values(t))[1]
 
 
-@query("e13_tap_clamp", "SELECT t.version, t.point, p.id, CAST(greatest(p.low_tap, least(p.high_tap, CAST(trunc(t.value / 100 - 5) AS INT))) AS INT) AS tap FROM ts t JOIN pst p ON t.name = concat('ts_', CAST(p.num AS STRING))", "ts", "pst")
+@query(
+    "e13_tap_clamp",
+    """
+    SELECT t.version, t.point, p.id, CAST(greatest(p.low_tap, least(p.high_tap, CAST(trunc(t.value / 100 - 5) AS INT))) AS INT) AS tap
+    FROM ts t JOIN pst p ON t.name = concat('ts_', CAST(p.num AS STRING))""",
+    "ts", "pst",
+)
 def e13(t):
     rows = t.kept_ts.join(t.pst.select("id", F.concat(F.lit("ts_"), F.col("num").cast("string")).alias("name")), "name").withColumn("value", F.col("value") / 100 - 5)
     return m.clamp_tap(rows.select("version", "point", "id", "value"), t.pst)[0]
 
 
-@query("e14_merge_power", "SELECT version, point, id, round(p, 6) AS p, round(min_p_mapped, 6) AS min_p_mapped, round(max_p_mapped, 6) AS max_p_mapped, series, ignore_limits FROM merged", "ts", "equipment", **L)
+@query(
+    "e14_merge_power",
+    """
+    SELECT version, point, id, round(p, 6) AS p, round(min_p_mapped, 6) AS min_p_mapped, round(max_p_mapped, 6) AS max_p_mapped, series, ignore_limits
+    FROM merged""",
+    "ts", "equipment", **L,
+)
 def e14(t):
     return m.merge_power(scaled(t)).select("version", "point", "id", r6("p").alias("p"), r6("min_p_mapped").alias("min_p_mapped"), r6("max_p_mapped").alias("max_p_mapped"), "series", "ignore_limits")
 
 
-@query("e15_tolerance_snap", "SELECT version, point, id, round(corrected, 6) AS corrected FROM corrected_rows WHERE change IS NULL AND violation IS NULL", "ts", "equipment", **C)
+@query(
+    "e15_tolerance_snap",
+    """
+    SELECT version, point, id, round(corrected, 6) AS corrected FROM corrected_rows
+    WHERE change IS NULL AND violation IS NULL""",
+    "ts", "equipment", **C,
+)
 def e15(t):
     return corrected(t).filter("change IS NULL AND violation IS NULL").select("version", "point", "id", r6("corrected").alias("corrected"))
 
 
-@query("e16_limit_correction", "SELECT version, point, id, round(asked, 6) AS asked, round(corrected, 6) AS corrected, change, violation FROM corrected_rows WHERE NOT ignore_limits AND p IS NOT NULL", "ts", "equipment", **C)
+@query(
+    "e16_limit_correction",
+    """
+    SELECT version, point, id, round(asked, 6) AS asked, round(corrected, 6) AS corrected, change, violation
+    FROM corrected_rows WHERE NOT ignore_limits AND p IS NOT NULL""",
+    "ts", "equipment", **C,
+)
 def e16(t):
     return corrected(t).filter("NOT ignore_limits AND p IS NOT NULL").select("version", "point", "id", r6("asked").alias("asked"), r6("corrected").alias("corrected"), "change", "violation")
 
 
-@query("e17_ignored_limits", "SELECT version, point, id, round(corrected, 6) AS corrected, change, violation FROM corrected_rows WHERE ignore_limits", "ts", "equipment", **C)
+@query(
+    "e17_ignored_limits",
+    """
+    SELECT version, point, id, round(corrected, 6) AS corrected, change, violation
+    FROM corrected_rows WHERE ignore_limits""",
+    "ts", "equipment", **C,
+)
 def e17(t):
     return corrected(t).filter("ignore_limits").select("version", "point", "id", r6("corrected").alias("corrected"), "change", "violation")
 
 
 @query("e18_hvdc_limits", """
-    SELECT version, point, id, asked, CASE WHEN asked > hi + 0.0001 THEN hi WHEN asked < lo - 0.0001 THEN lo WHEN asked >= hi - 0.0001 THEN round(hi - 0.0001, 6) WHEN asked <= lo + 0.0001 THEN round(lo + 0.0001, 6) ELSE asked END AS corrected,
-           CASE WHEN asked > hi + 0.0001 THEN CASE WHEN ranged THEN 'BASE_CASE_CS1TOCS2' ELSE 'BASE_CASE_MAXP' END WHEN asked < lo - 0.0001 THEN CASE WHEN ranged THEN 'BASE_CASE_CS2TOCS1' ELSE 'BASE_CASE_MINUS_MAXP' END END AS change
-    FROM (SELECT v.version, v.point, v.id, v.value AS asked, CASE WHEN range_cs12 IS NOT NULL THEN -range_cs21 ELSE -max_p END AS lo, CASE WHEN range_cs12 IS NOT NULL THEN range_cs12 ELSE max_p END AS hi, range_cs12 IS NOT NULL AS ranged
+    SELECT version, point, id, asked, CASE WHEN asked > hi + 0.0001 THEN hi WHEN asked < lo - 0.0001 THEN lo WHEN asked >= hi - 0.0001 THEN round(hi -
+    0.0001, 6) WHEN asked <= lo + 0.0001 THEN round(lo + 0.0001, 6) ELSE asked END AS corrected,
+           CASE WHEN asked > hi + 0.0001 THEN CASE WHEN ranged THEN 'BASE_CASE_CS1TOCS2' ELSE 'BASE_CASE_MAXP' END WHEN asked < lo - 0.0001 THEN CASE
+           WHEN ranged THEN 'BASE_CASE_CS2TOCS1' ELSE 'BASE_CASE_MINUS_MAXP' END END AS change
+    FROM (SELECT v.version, v.point, v.id, v.value AS asked, CASE WHEN range_cs12 IS NOT NULL THEN -range_cs21 ELSE -max_p END AS lo, CASE WHEN
+    range_cs12 IS NOT NULL THEN range_cs12 ELSE max_p END AS hi, range_cs12 IS NOT NULL AS ranged
           FROM v JOIN hvdc h ON h.id = v.id WHERE v.variable = 'activePowerSetpoint')""", "ts", "hvdc", v=_HVDC_VALUES)
 def e18(t):
     rows = hvdc_values(t).filter("variable = 'activePowerSetpoint'").withColumn("ignore_limits", F.lit(False))
     return lim.correct_hvdc(m.merge_power(rows, "activePowerSetpoint"), t.hvdc).select("version", "point", "id", "asked", r6("corrected").alias("corrected"), "change")
 
 
-@query("e19_unmapped_power", "SELECT version, point, id, round(corrected, 6) AS corrected, change, violation FROM corrected_rows WHERE p IS NULL", "ts", "equipment", **C)
+@query(
+    "e19_unmapped_power",
+    """
+    SELECT version, point, id, round(corrected, 6) AS corrected, change, violation
+    FROM corrected_rows WHERE p IS NULL""",
+    "ts", "equipment", **C,
+)
 def e19(t):
     return corrected(t).filter("p IS NULL").select("version", "point", "id", r6("corrected").alias("corrected"), "change", "violation")
 
@@ -344,19 +467,34 @@ def e20(t):
     return lim.extend_limits(limited(t))[1].withColumn("limit", r6("limit"))
 
 
-@query("e21_ignore_scope", "SELECT variable, series, id, ignore_limits OR (variable IN ('targetP', 'p0') AND series IN ('ts_1', 'ts_6')) AS ignore_limits FROM mapping", "equipment", **M)
+@query(
+    "e21_ignore_scope",
+    """
+    SELECT variable, series, id, ignore_limits OR (variable IN ('targetP', 'p0') AND series IN ('ts_1', 'ts_6')) AS ignore_limits
+    FROM mapping""",
+    "equipment", **M,
+)
 def e21(t):
     return lim.ignore_scope(mapping(t), ["ts_1", "ts_6"]).select("variable", "series", "id", "ignore_limits")
 
 
 @query("e22_scaling_log", """
-    SELECT g.version, g.point, g.series, c.change, t.value AS asked, round(g.applied, 6) AS applied FROM (SELECT version, point, series, sum(corrected) AS applied FROM corrected_rows WHERE series IS NOT NULL GROUP BY version, point, series) g
+    SELECT g.version, g.point, g.series, c.change, t.value AS asked, round(g.applied, 6) AS applied
+    FROM (SELECT version, point, series, sum(corrected) AS applied
+    FROM corrected_rows WHERE series IS NOT NULL GROUP BY version, point, series) g
     JOIN (SELECT DISTINCT version, point, series, change FROM corrected_rows WHERE change IS NOT NULL) c ON c.version = g.version AND c.point = g.point AND c.series = g.series JOIN ts t ON t.name = g.series AND t.version = g.version AND t.point = g.point""", "ts", "equipment", **C)
 def e22(t):
     return lim.scaling_log(corrected(t), t.kept_ts).withColumn("applied", r6("applied"))
 
 
-@query("e23_scaling_synthesis", "SELECT DISTINCT version, series, 'change' AS kind, change AS code FROM corrected_rows WHERE change IS NOT NULL UNION SELECT DISTINCT version, series, 'violation', violation FROM corrected_rows WHERE violation IS NOT NULL", "ts", "equipment", **C)
+@query(
+    "e23_scaling_synthesis",
+    """
+    SELECT DISTINCT version, series, 'change' AS kind, change AS code
+    FROM corrected_rows WHERE change IS NOT NULL UNION SELECT DISTINCT version, series, 'violation', violation
+    FROM corrected_rows WHERE violation IS NOT NULL""",
+    "ts", "equipment", **C,
+)
 def e23(t):
     return lim.scaling_synthesis(corrected(t))
 
@@ -364,20 +502,36 @@ def e23(t):
 _LABEL = "CASE WHEN change LIKE 'UNMAPPED%' THEN 'mapping range problem' WHEN change LIKE '%_DISABLED' THEN 'scaling down problem IL disabled' WHEN change IS NOT NULL THEN 'scaling down problem' ELSE 'limit change' END"
 
 
-@query("e24_log_synthesis", f"SELECT {_LABEL} AS label, count(*) AS n FROM corrected_rows WHERE change IS NOT NULL OR violation IS NOT NULL GROUP BY 1", "ts", "equipment", **C)
+@query(
+    "e24_log_synthesis",
+    f"""
+    SELECT {_LABEL} AS label, count(*) AS n FROM corrected_rows WHERE change IS NOT NULL OR violation IS NOT NULL
+    GROUP BY 1""",
+    "ts", "equipment", **C,
+)
 def e24(t):
     return lim.log_synthesis(lim.log_rows(corrected(t)))
 
 
-@query("e25_log_table", f"SELECT CASE WHEN change IS NOT NULL THEN 'WARNING' ELSE 'INFO' END AS Type, {_LABEL} AS Label, strftime(i.instant, '%Y-%m-%dT%H:%M:%SZ') AS Time, CAST(c.point + 1 AS STRING) AS Variant, CAST(version AS STRING) AS Version FROM corrected_rows c JOIN idx i ON i.point = c.point WHERE change IS NOT NULL OR violation IS NOT NULL", "ts", "equipment", **C)
+@query(
+    "e25_log_table",
+    f"""
+    SELECT CASE WHEN change IS NOT NULL THEN 'WARNING' ELSE 'INFO' END AS Type, {_LABEL} AS Label, strftime(i.instant, '%Y-%m-%dT%H:%M:%SZ') AS Time,
+    CAST(c.point + 1 AS STRING) AS Variant, CAST(version AS STRING) AS Version
+    FROM corrected_rows c JOIN idx i ON i.point = c.point WHERE change IS NOT NULL OR violation IS NOT NULL""",
+    "ts", "equipment", **C,
+)
 def e25(t):
     return lim.log_table(lim.log_rows(corrected(t)), t.idx).drop("Message")
 
 
 _BASE_CASE = """
     SELECT id, CASE WHEN over THEN max_p WHEN under AND min_p <= 0 THEN min_p WHEN under AND target_p < 0 THEN 0 ELSE target_p END AS target_p, min_p, max_p,
-           CASE WHEN over THEN 'TO_MAXP' WHEN under AND min_p <= 0 THEN 'TO_MINP' WHEN under AND target_p < 0 THEN 'TO_ZERO' WHEN under THEN 'MINP_VIOLATED' END AS problem
-    FROM (SELECT e.*, target_p > max_p AND NOT EXISTS (SELECT 1 FROM mapping g WHERE g.id = e.id AND g.variable = 'maxP') AS over, NOT target_p > max_p AND target_p < min_p AND NOT EXISTS (SELECT 1 FROM mapping g WHERE g.id = e.id AND g.variable = 'minP') AS under
+           CASE WHEN over THEN 'TO_MAXP' WHEN under AND min_p <= 0 THEN 'TO_MINP' WHEN under AND target_p < 0 THEN 'TO_ZERO' WHEN under THEN
+           'MINP_VIOLATED' END AS problem
+    FROM (SELECT e.*, target_p > max_p AND NOT EXISTS (SELECT 1 FROM mapping g
+    WHERE g.id = e.id AND g.variable = 'maxP') AS over, NOT target_p > max_p AND target_p < min_p AND NOT EXISTS (SELECT 1
+    FROM mapping g WHERE g.id = e.id AND g.variable = 'minP') AS under
           FROM equipment e WHERE type IN ('GENERATOR', 'BATTERY') AND NOT EXISTS (SELECT 1 FROM mapping g WHERE g.id = e.id AND g.variable = 'targetP'))"""
 
 
@@ -387,16 +541,25 @@ def e26(t):
 
 
 @query("e27_base_case_hvdc", """
-    SELECT id, greatest(lo, least(hi, setpoint)) AS setpoint, lo AS min_p, hi AS max_p, CASE WHEN setpoint > hi THEN 'TO_MAX' WHEN setpoint < lo THEN 'TO_MIN' WHEN cut THEN 'RANGE_CUT' END AS problem
+    SELECT id, greatest(lo, least(hi, setpoint)) AS setpoint, lo AS min_p, hi AS max_p, CASE WHEN setpoint > hi THEN 'TO_MAX' WHEN setpoint < lo THEN
+    'TO_MIN' WHEN cut THEN 'RANGE_CUT' END AS problem
     FROM (SELECT id, setpoint, greatest(a, -max_p) AS lo, least(b, max_p) AS hi, a < -max_p OR b > max_p AS cut FROM (SELECT *, CASE WHEN range_cs12 IS NOT NULL THEN -range_cs21 ELSE -max_p END AS a, coalesce(range_cs12, max_p) AS b FROM hvdc))""", "hvdc")
 def e27(t):
     return lim.correct_base_case_hvdc(t.hvdc)
 
 
-_OUTAGES = "SELECT 'out' AS name, version, point, CASE WHEN point % 3 = 0 THEN 'eq_0,eq_3' WHEN point % 3 = 1 THEN 'eq_3' END AS value FROM ts WHERE name = 'ts_0'"
+_OUTAGES = """
+    SELECT 'out' AS name, version, point, CASE WHEN point % 3 = 0 THEN 'eq_0,eq_3' WHEN point % 3 = 1 THEN 'eq_3' END AS value
+    FROM ts WHERE name = 'ts_0'"""
 
 
-@query("e28_planned_outages", "SELECT concat('out_', x.id) AS name, version, point, x.id, CASE WHEN value LIKE concat('%', x.id, '%') THEN CAST(0 AS DOUBLE) ELSE 1 END AS value FROM o CROSS JOIN (SELECT 'eq_0' AS id UNION ALL SELECT 'eq_3') x", "ts", o=_OUTAGES)
+@query(
+    "e28_planned_outages",
+    """
+    SELECT concat('out_', x.id) AS name, version, point, x.id, CASE WHEN value LIKE concat('%', x.id, '%') THEN CAST(0 AS DOUBLE) ELSE 1 END AS value
+    FROM o CROSS JOIN (SELECT 'eq_0' AS id UNION ALL SELECT 'eq_3') x""",
+    "ts", o=_OUTAGES,
+)
 def e28(t):
     value = F.when(F.col("point") % 3 == 0, "eq_0,eq_3").when(F.col("point") % 3 == 1, "eq_3")
     return m.planned_outages(t.kept_ts.filter("name = 'ts_0'").select(F.lit("out").alias("name"), "version", "point", value.alias("value")))
@@ -407,18 +570,37 @@ def e29(t):
     return ignored(t)
 
 
-@query("e30_check_mapping", "SELECT id, 'p0' AS problem FROM equipment WHERE type = 'LOAD' AND connected AND in_main_cc AND num % 4 = 1 UNION ALL SELECT id, 'mapped and declared unmapped' FROM equipment WHERE type = 'LOAD' AND connected AND in_main_cc AND num % 5 = 1", "equipment")
+@query(
+    "e30_check_mapping",
+    """
+    SELECT id, 'p0' AS problem FROM equipment WHERE type = 'LOAD' AND connected AND in_main_cc AND num % 4 = 1
+    UNION ALL SELECT id, 'mapped and declared unmapped' FROM equipment
+    WHERE type = 'LOAD' AND connected AND in_main_cc AND num % 5 = 1""",
+    "equipment",
+)
 def e30(t):
     twice = m.build_mapping([m.Rule("LOAD", "ts_0"), m.Rule("LOAD", "ts_1", ("fixedActivePower",), where="num % 4 = 1")], t.equipment)
     return m.check_mapping(twice, m.declare_unmapped(t.equipment, [("LOAD", "num % 5 = 1")]))
 
 
-@query("e31_incomplete", f"SELECT id, type FROM ({STATUS}) WHERE status = 'unmapped' AND id NOT IN (SELECT id FROM mapping) AND id NOT IN (SELECT id FROM ({IGNORED}))", "equipment", **M)
+@query(
+    "e31_incomplete",
+    f"""
+    SELECT id, type FROM ({STATUS}) WHERE status = 'unmapped' AND id NOT IN (SELECT id
+    FROM mapping) AND id NOT IN (SELECT id FROM ({IGNORED}))""",
+    "equipment", **M,
+)
 def e31(t):
     return m.incomplete(m.classify_equipment(t.equipment), mapping(t), ignored(t))
 
 
-@query("e32_direct_series", "SELECT t.version, t.point, 'targetP' AS variable, e.id, CASE WHEN num % 2 = 0 THEN CAST(42 AS DOUBLE) ELSE t.value END AS value FROM equipment e JOIN ts t ON t.name = 'ts_1' WHERE type = 'GENERATOR' AND num % 3 = 0 AND num % 5 <> 0", "equipment", "ts")
+@query(
+    "e32_direct_series",
+    """
+    SELECT t.version, t.point, 'targetP' AS variable, e.id, CASE WHEN num % 2 = 0 THEN CAST(42 AS DOUBLE) ELSE t.value END AS value
+    FROM equipment e JOIN ts t ON t.name = 'ts_1' WHERE type = 'GENERATOR' AND num % 3 = 0 AND num % 5 <> 0""",
+    "equipment", "ts",
+)
 def e32(t):
     g = t.equipment.filter("type = 'GENERATOR'")
     row = lambda cond, k, s, n, gone: g.filter(cond).select(F.lit(k).alias("row_id"), F.lit("targetP").alias("variable"), "id", F.lit(s).cast("string").alias("series"), F.lit(n).cast("double").alias("number"), F.lit(gone).alias("removed"))
@@ -436,13 +618,20 @@ def e33(t):
 
 @query("e34_group_series", """
     SELECT concat(e.substation, '_all_targetP') AS name, p.version, p.point, round(sum(coalesce(s.value, e.target_p)), 5) AS value
-    FROM equipment e CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN scaled s ON s.id = e.id AND s.variable = 'targetP' AND s.version = p.version AND s.point = p.point
+    FROM equipment e CROSS JOIN (SELECT DISTINCT version, point FROM ts) p
+    LEFT JOIN scaled s ON s.id = e.id AND s.variable = 'targetP' AND s.version = p.version AND s.point = p.point
     WHERE e.type = 'GENERATOR' AND e.connected AND e.in_main_cc GROUP BY 1, 2, 3""", "ts", "equipment", **S)
 def e34(t):
     return m.group_series(scaled(t), t.equipment, "GENERATOR", "substation", t.kept_ts, name="all").withColumn("value", F.round("value", 5))
 
 
-@query("u1_filter", "SELECT id, series FROM equipment e JOIN (SELECT 'ts_1' AS series) s ON type = 'GENERATOR' AND connected AND in_main_cc AND (max_p > 500 OR id LIKE '%3')", "equipment")
+@query(
+    "u1_filter",
+    """
+    SELECT id, series FROM equipment e JOIN (SELECT 'ts_1' AS series) s ON type = 'GENERATOR' AND connected AND in_main_cc AND (max_p > 500 OR id LIKE
+    '%3')""",
+    "equipment",
+)
 def u1(t):
     """A condition that is a Column instead of text."""
     where = (F.col("max_p") > 500) | F.col("id").endswith("3")
@@ -456,7 +645,14 @@ def u2(t):
     return found.select("id", r6("key_number").alias("key_number"))
 
 
-@query("u4_observers", "SELECT 'points' AS observer, version, count(*) AS n FROM (SELECT DISTINCT version, point FROM scaled) GROUP BY version UNION ALL SELECT 'values', version, count(*) FROM scaled WHERE value > 0 GROUP BY version", "ts", "equipment", **S)
+@query(
+    "u4_observers",
+    """
+    SELECT 'points' AS observer, version, count(*) AS n FROM (SELECT DISTINCT version, point
+    FROM scaled) GROUP BY version UNION ALL SELECT 'values', version, count(*)
+    FROM scaled WHERE value > 0 GROUP BY version""",
+    "ts", "equipment", **S,
+)
 def u4(t):
     """Two functions that observe the mapped values: points per version, and values above zero."""
     points = lambda v: v.select("version", "point").distinct().groupBy("version").count().select(F.lit("points").alias("observer"), "version", F.col("count").alias("n"))
@@ -466,8 +662,10 @@ def u4(t):
 
 
 @query("u6_group_names", """
-    SELECT concat('zone ', replace(e.substation, 'sub_', ''), '_', CASE WHEN e.num % 2 = 0 THEN 'HYDRO' ELSE 'OTHER' END, '_all_targetP') AS name, p.version, p.point, round(sum(coalesce(s.value, e.target_p)), 5) AS value
-    FROM equipment e CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN scaled s ON s.id = e.id AND s.variable = 'targetP' AND s.version = p.version AND s.point = p.point
+    SELECT concat('zone ', replace(e.substation, 'sub_', ''), '_', CASE WHEN e.num % 2 = 0 THEN 'HYDRO' ELSE 'OTHER' END, '_all_targetP') AS name,
+    p.version, p.point, round(sum(coalesce(s.value, e.target_p)), 5) AS value
+    FROM equipment e CROSS JOIN (SELECT DISTINCT version, point FROM ts) p
+    LEFT JOIN scaled s ON s.id = e.id AND s.variable = 'targetP' AND s.version = p.version AND s.point = p.point
     WHERE e.type = 'GENERATOR' AND e.connected AND e.in_main_cc GROUP BY 1, 2, 3""", "ts", "equipment", **S)
 def u6(t):
     """Groups and kinds of power under names of the user's own."""
@@ -476,14 +674,23 @@ def u6(t):
 
 
 @query("e35_network_at_point", """
-    SELECT e.id, e.type, e.connected, round(coalesce(g.tp, e.target_p), 6) AS target_p, e.min_p, round(coalesce(g.xp, e.max_p), 6) AS max_p, round(coalesce(g.p, e.fixed_p + e.variable_p), 6) AS p0, CASE WHEN g.p IS NOT NULL THEN 0 ELSE e.fixed_p END AS fixed_p, round(coalesce(g.p, e.variable_p), 6) AS variable_p
+    SELECT e.id, e.type, e.connected, round(coalesce(g.tp, e.target_p), 6) AS target_p, e.min_p, round(coalesce(g.xp, e.max_p), 6) AS max_p,
+    round(coalesce(g.p, e.fixed_p + e.variable_p), 6) AS p0, CASE WHEN g.p IS NOT NULL THEN 0 ELSE e.fixed_p END AS fixed_p, round(coalesce(g.p,
+    e.variable_p), 6) AS variable_p
     FROM equipment e LEFT JOIN (SELECT id, max(value) FILTER (variable = 'targetP') AS tp, max(value) FILTER (variable = 'maxP') AS xp, max(value) FILTER (variable = 'p0') AS p FROM scaled WHERE version = 1 AND point = 7 GROUP BY id) g ON g.id = e.id""", "ts", "equipment", **S)
 def e35(t):
     return bal.network_at(scaled(t), t.equipment, 1, 7).select("id", "type", "connected", r6("target_p").alias("target_p"), "min_p", r6("max_p").alias("max_p"), r6("p0").alias("p0"), "fixed_p", r6("variable_p").alias("variable_p"))
 
 
-_CONSTANT = "SELECT coalesce(sum(CASE WHEN type = 'GENERATOR' AND id NOT IN (SELECT id FROM mapping WHERE variable = 'targetP') THEN target_p WHEN type = 'LOAD' AND id NOT IN (SELECT id FROM mapping) THEN -p0 ELSE 0 END), 0) AS constant FROM equipment WHERE connected AND in_main_cc"
-_BALANCE = "SELECT version, point, sum(CASE type WHEN 'GENERATOR' THEN value WHEN 'LOAD' THEN -value ELSE 0 END) + (SELECT constant FROM constants) AS balance FROM scaled WHERE variable IN ('targetP', 'p0') GROUP BY version, point"
+_CONSTANT = """
+    SELECT coalesce(sum(CASE WHEN type = 'GENERATOR' AND id NOT IN (SELECT id
+    FROM mapping WHERE variable = 'targetP') THEN target_p WHEN type = 'LOAD' AND id NOT IN (SELECT id
+    FROM mapping) THEN -p0 ELSE 0 END), 0) AS constant FROM equipment
+    WHERE connected AND in_main_cc"""
+_BALANCE = """
+    SELECT version, point, sum(CASE type WHEN 'GENERATOR' THEN value WHEN 'LOAD' THEN -value ELSE 0 END) + (SELECT constant
+    FROM constants) AS balance FROM scaled WHERE variable IN ('targetP', 'p0')
+    GROUP BY version, point"""
 B = S | {"constants": _CONSTANT, "balances": _BALANCE}
 
 
@@ -501,7 +708,13 @@ def e37(t):
     return balances(t).withColumn("balance", F.round("balance", 5))
 
 
-@query("e38_balance_stats", "SELECT version, round(min(balance), 4) AS min, round(max(balance), 4) AS max, round(sum(balance), 4) AS sum, round(avg(balance), 4) AS mean FROM balances GROUP BY version", "ts", "equipment", **B)
+@query(
+    "e38_balance_stats",
+    """
+    SELECT version, round(min(balance), 4) AS min, round(max(balance), 4) AS max, round(sum(balance), 4) AS sum, round(avg(balance), 4) AS mean
+    FROM balances GROUP BY version""",
+    "ts", "equipment", **B,
+)
 def e38(t):
     return bal.balance_stats(balances(t)).select("version", *[F.round(c, 4).alias(c) for c in ("min", "max", "sum", "mean")])
 
@@ -517,7 +730,8 @@ _DEFAULT = "variable IN ('targetP', 'p0')"
 
 @query("e40_mapping_synthesis", "SELECT Synthesis, " + ", ".join(f"count(*) FILTER (type = '{x}') AS {x}" for x in _TYPES) + f""" FROM (
     SELECT DISTINCT type, id, 'Mapped' AS Synthesis FROM candidates WHERE {_DEFAULT}
-    UNION ALL SELECT type, id, 'Unmapped' FROM ({STATUS}) WHERE status = 'unmapped' AND id NOT IN (SELECT id FROM candidates WHERE {_DEFAULT}) AND id NOT IN (SELECT id FROM ({IGNORED}))
+    UNION ALL SELECT type, id, 'Unmapped' FROM ({STATUS}) WHERE status = 'unmapped' AND id NOT IN (SELECT id
+    FROM candidates WHERE {_DEFAULT}) AND id NOT IN (SELECT id FROM ({IGNORED}))
     UNION ALL SELECT DISTINCT type, id, 'Multi-mapped' FROM candidates WHERE {_DEFAULT} GROUP BY type, id, variable HAVING count(*) > 1
     UNION ALL SELECT type, id, 'Ignored unmapped' FROM ({IGNORED})
     UNION ALL SELECT type, id, CASE status WHEN 'disconnected' THEN 'Disconnected' ELSE 'Out of main cc' END FROM ({STATUS}) WHERE status <> 'unmapped') GROUP BY Synthesis""", "equipment", **M)
@@ -527,26 +741,45 @@ def e40(t):
 
 @query("e41_series_to_equipment", """
     SELECT g.series, g.type, g.variable, s.lo AS min_power, s.hi AS max_power, round(s.a, 6) AS average_power, round(g.power, 5) AS network_power, g.equipment
-    FROM (SELECT x.series, x.type, x.variable, sum(b.base) AS power, string_agg(x.id, ',' ORDER BY x.id) AS equipment FROM mapping x LEFT JOIN base b ON b.id = x.id AND b.variable = x.variable GROUP BY 1, 2, 3) g
+    FROM (SELECT x.series, x.type, x.variable, sum(b.base) AS power, string_agg(x.id, ','
+    ORDER BY x.id) AS equipment FROM mapping x LEFT JOIN base b ON b.id = x.id AND b.variable = x.variable
+    GROUP BY 1, 2, 3) g
     JOIN (SELECT name, min(lo) AS lo, max(hi) AS hi, avg(m) AS a FROM (SELECT name, version, min(value) AS lo, max(value) AS hi, avg(value) AS m FROM ts GROUP BY name, version) GROUP BY name) s ON s.name = g.series""", "ts", "equipment", **M, base=BASE)
 def e41(t):
     return rep.series_report(mapping(t), t.kept_ts, t.equipment).withColumn("average_power", r6("average_power")).withColumn("network_power", F.round("network_power", 5))
 
 
 @query("e42_equipment_to_series", """
-    SELECT g.id, g.variable, CASE WHEN g.n > 1 THEN 'Multi-mapped' ELSE 'Mapped' END AS status, a.series AS applied, coalesce(u.unused, '') AS unused, round(p.power, 5) AS network_power
+    SELECT g.id, g.variable, CASE WHEN g.n > 1 THEN 'Multi-mapped' ELSE 'Mapped' END AS status, a.series AS applied, coalesce(u.unused, '') AS unused,
+    round(p.power, 5) AS network_power
     FROM (SELECT id, type, variable, count(*) AS n FROM candidates GROUP BY id, type, variable) g JOIN mapping a ON a.id = g.id AND a.variable = g.variable
-    LEFT JOIN (SELECT variable, id, string_agg(series, ',' ORDER BY rule_id) AS unused FROM (SELECT *, row_number() OVER (PARTITION BY variable, id ORDER BY rule_id DESC) AS n FROM candidates) WHERE n > 1 GROUP BY variable, id) u ON u.id = g.id AND u.variable = g.variable
+    LEFT JOIN (SELECT variable, id, string_agg(series, ',' ORDER BY rule_id) AS unused
+    FROM (SELECT *, row_number() OVER (PARTITION BY variable, id ORDER BY rule_id DESC) AS n
+    FROM candidates) WHERE n > 1 GROUP BY variable, id) u ON u.id = g.id AND u.variable = g.variable
     JOIN (SELECT x.series, x.type, x.variable, sum(b.base) AS power FROM mapping x LEFT JOIN base b ON b.id = x.id AND b.variable = x.variable GROUP BY 1, 2, 3) p ON p.series = a.series AND p.type = g.type AND p.variable = g.variable""", "equipment", **M, base=BASE)
 def e42(t):
     return rep.equipment_report(matches(t), t.equipment).withColumn("network_power", F.round("network_power", 5))
 
 
-@query("e43_equipment_sets", f"SELECT s.status, s.type, s.id, e.target_p, e.min_p, e.max_p, e.p0 FROM ({STATUS}) s JOIN equipment e ON e.id = s.id WHERE s.id NOT IN (SELECT id FROM mapping) AND s.id NOT IN (SELECT id FROM ({IGNORED}))", "equipment", **M)
+@query(
+    "e43_equipment_sets",
+    f"""
+    SELECT s.status, s.type, s.id, e.target_p, e.min_p, e.max_p, e.p0
+    FROM ({STATUS}) s JOIN equipment e ON e.id = s.id WHERE s.id NOT IN (SELECT id
+    FROM mapping) AND s.id NOT IN (SELECT id FROM ({IGNORED}))""",
+    "equipment", **M,
+)
 def e43(t):
     return rep.status_sets(m.classify_equipment(t.equipment), t.equipment, mapping(t), ignored(t))
 
 
-@query("e44_mapped_series", "SELECT x.series, x.type, x.variable, coalesce(d.needs, x.series) AS source FROM (SELECT DISTINCT series, type, variable FROM mapping UNION SELECT DISTINCT key_series, type, concat(variable, ' key') FROM mapping WHERE key_series IS NOT NULL) x LEFT JOIN dependencies d ON d.name = x.series", "equipment", **M, dependencies=DEPENDENCIES)
+@query(
+    "e44_mapped_series",
+    """
+    SELECT x.series, x.type, x.variable, coalesce(d.needs, x.series) AS source
+    FROM (SELECT DISTINCT series, type, variable FROM mapping UNION SELECT DISTINCT key_series, type, concat(variable, ' key')
+    FROM mapping WHERE key_series IS NOT NULL) x LEFT JOIN dependencies d ON d.name = x.series""",
+    "equipment", **M, dependencies=DEPENDENCIES,
+)
 def e44(t):
     return rep.source_series(mapping(t), dependencies(t))

@@ -21,7 +21,13 @@ def threats(t):
     return net.post_contingency_flows(t.lodf, t.flows)
 
 
-@query("n1_flow_from_ptdf", "SELECT p.branch, t.version, t.point, round(sum(p.coefficient * t.value), 5) AS flow FROM ptdf p JOIN ts t ON t.name = p.injection GROUP BY 1, 2, 3", "ptdf", "ts")
+@query(
+    "n1_flow_from_ptdf",
+    """
+    SELECT p.branch, t.version, t.point, round(sum(p.coefficient * t.value), 5) AS flow
+    FROM ptdf p JOIN ts t ON t.name = p.injection GROUP BY 1, 2, 3""",
+    "ptdf", "ts",
+)
 def n1(t):
     return net.ptdf_flows(t.ptdf, t.ts.withColumnRenamed("name", "injection")).withColumn("flow", F.round("flow", 5))
 
@@ -31,7 +37,10 @@ def n2(t):
     return threats(t).withColumn("flow", r6("flow"))
 
 
-_TOP = "SELECT branch, version, point, CAST(n AS INT) AS rank, contingency, round(flow, 6) AS flow FROM (SELECT *, row_number() OVER (PARTITION BY branch, version, point ORDER BY abs(flow) DESC, contingency) AS n FROM threats) WHERE n <= {}"
+_TOP = """
+    SELECT branch, version, point, CAST(n AS INT) AS rank, contingency, round(flow, 6) AS flow
+    FROM (SELECT *, row_number() OVER (PARTITION BY branch, version, point
+    ORDER BY abs(flow) DESC, contingency) AS n FROM threats) WHERE n <= {}"""
 
 
 @query("n3_top_threats", _TOP.format(3), "threats")
@@ -49,29 +58,57 @@ def n4(t):
     return net.max_threat(threats(t)).withColumn("flow", r6("flow"))
 
 
-@query("n5_overload_total", "SELECT f.version, f.point, round(sum(greatest(abs(f.flow) - r.rating, 0)), 6) AS overload FROM flows f JOIN rating r ON r.branch = f.branch GROUP BY 1, 2", "flows", "ratings", rating=RATING)
+@query(
+    "n5_overload_total",
+    """
+    SELECT f.version, f.point, round(sum(greatest(abs(f.flow) - r.rating, 0)), 6) AS overload
+    FROM flows f JOIN rating r ON r.branch = f.branch GROUP BY 1, 2""",
+    "flows", "ratings", rating=RATING,
+)
 def n5(t):
     return net.overload_total(t.flows, rating(t)).withColumn("overload", r6("overload"))
 
 
-@query("n5_overload_by_contingency", "SELECT f.version, f.point, f.contingency, round(sum(greatest(abs(f.flow) - r.rating, 0)), 6) AS overload FROM threats f JOIN rating r ON r.branch = f.branch GROUP BY GROUPING SETS ((f.version, f.point, f.contingency), (f.version, f.point))", "threats", "ratings", rating=RATING)
+@query(
+    "n5_overload_by_contingency",
+    """
+    SELECT f.version, f.point, f.contingency, round(sum(greatest(abs(f.flow) - r.rating, 0)), 6) AS overload
+    FROM threats f JOIN rating r ON r.branch = f.branch GROUP BY GROUPING SETS ((f.version, f.point, f.contingency), (f.version, f.point))""",
+    "threats", "ratings", rating=RATING,
+)
 def n5_k(t):
     return net.overload_by_contingency(threats(t), rating(t)).withColumn("overload", r6("overload"))
 
 
-@query("n6_ac_losses", "SELECT region, version, point, round(sum(half), 9) AS losses FROM (SELECT unnest([b.region1, b.region2]) AS region, f.version, f.point, b.r * pow(f.flow / 400, 2) / 2 AS half FROM flows f JOIN branch b ON b.id = f.branch) GROUP BY 1, 2, 3", "flows", "branch")
+@query(
+    "n6_ac_losses",
+    """
+    SELECT region, version, point, round(sum(half), 9) AS losses FROM (SELECT unnest([b.region1, b.region2]) AS region, f.version, f.point, b.r *
+    pow(f.flow / 400, 2) / 2 AS half FROM flows f JOIN branch b ON b.id = f.branch)
+    GROUP BY 1, 2, 3""",
+    "flows", "branch",
+)
 def n6(t):
     return net.ac_losses(t.flows, t.branch).withColumn("losses", F.round("losses", 9))
 
 
 @query("n7_hvdc_losses", """
-    SELECT id, round(p * a / 100 + r * i * i + (s - r * i * i) * b / 100, 6) AS losses FROM (SELECT *, (vdc - sqrt(greatest(vdc * vdc - 4 * r * s, 0))) / (2 * r) AS i FROM (SELECT *, p * (1 - a / 100) AS s
+    SELECT id, round(p * a / 100 + r * i * i + (s - r * i * i) * b / 100, 6) AS losses
+    FROM (SELECT *, (vdc - sqrt(greatest(vdc * vdc - 4 * r * s, 0))) / (2 * r) AS i
+    FROM (SELECT *, p * (1 - a / 100) AS s
     FROM (SELECT id, r, vdc, abs(setpoint) AS p, CASE WHEN setpoint >= 0 THEN loss1 ELSE loss2 END AS a, CASE WHEN setpoint >= 0 THEN loss2 ELSE loss1 END AS b FROM hvdc WHERE r <> 0)))""", "hvdc")
 def n7(t):
     return net.hvdc_losses(t.hvdc).withColumn("losses", r6("losses"))
 
 
-@query("n8_zone_balance", "SELECT zone, round(sum(p), 5) AS balance FROM (SELECT substation AS zone, CASE type WHEN 'LOAD' THEN -p0 ELSE target_p END AS p FROM equipment UNION ALL SELECT zone1, -setpoint FROM hvdc UNION ALL SELECT zone2, setpoint FROM hvdc) GROUP BY zone", "equipment", "hvdc")
+@query(
+    "n8_zone_balance",
+    """
+    SELECT zone, round(sum(p), 5) AS balance FROM (SELECT substation AS zone, CASE type WHEN 'LOAD' THEN -p0 ELSE target_p END AS p
+    FROM equipment UNION ALL SELECT zone1, -setpoint FROM hvdc UNION ALL SELECT zone2, setpoint
+    FROM hvdc) GROUP BY zone""",
+    "equipment", "hvdc",
+)
 def n8(t):
     p = F.when(F.col("type") == "LOAD", F.col("p0")).otherwise(F.col("target_p"))
     return net.zone_balance(t.equipment.select(F.col("substation").alias("zone"), "type", p.alias("p")), t.hvdc).withColumn("balance", F.round("balance", 5))
@@ -91,15 +128,24 @@ def _curative(t):
 
 
 @query("n9_redispatch_volumes", """
-    SELECT * FROM (SELECT coalesce(a.kind, c.kind) AS kind, coalesce(a.version, c.version) AS version, coalesce(a.point, c.point) AS point, coalesce(up, 0) AS up, coalesce(down, 0) AS down, coalesce(cur_up, 0) AS cur_up, coalesce(cur_down, 0) AS cur_down
+    SELECT * FROM (SELECT coalesce(a.kind, c.kind) AS kind, coalesce(a.version, c.version) AS version, coalesce(a.point, c.point) AS point,
+    coalesce(up, 0) AS up, coalesce(down, 0) AS down, coalesce(cur_up, 0) AS cur_up, coalesce(cur_down, 0) AS cur_down
     FROM (SELECT kind, version, point, sum(greatest(value, 0)) AS up, sum(least(value, 0)) AS down FROM rd WHERE NOT isnan(value) GROUP BY 1, 2, 3) a
-    FULL JOIN (SELECT kind, version, point, max(u) AS cur_up, min(d) AS cur_down FROM (SELECT kind, version, point, contingency, sum(greatest(value, 0)) AS u, sum(least(value, 0)) AS d FROM cur WHERE NOT isnan(value) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) c
+    FULL JOIN (SELECT kind, version, point, max(u) AS cur_up, min(d) AS cur_down
+    FROM (SELECT kind, version, point, contingency, sum(greatest(value, 0)) AS u, sum(least(value, 0)) AS d
+    FROM cur WHERE NOT isnan(value) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) c
     ON a.kind = c.kind AND a.version = c.version AND a.point = c.point) WHERE greatest(abs(up), abs(down), abs(cur_up), abs(cur_down)) >= 0.05""", "redispatch", "contingency", rd=_RD, cur=_CUR)
 def n9(t):
     return net.redispatch_volumes(_kinds(t), _curative(t))
 
 
-@query("n10_cost_totals", "SELECT version, point, sum(CASE WHEN kind = 'HYDRO' THEN abs(value) * 2 ELSE 0 END) AS HYDRO, sum(CASE WHEN kind = 'NUCLEAR' THEN abs(value) * 2 ELSE 0 END) AS NUCLEAR FROM rd WHERE NOT isnan(value) GROUP BY version, point", "redispatch", rd=_RD)
+@query(
+    "n10_cost_totals",
+    """
+    SELECT version, point, sum(CASE WHEN kind = 'HYDRO' THEN abs(value) * 2 ELSE 0 END) AS HYDRO, sum(CASE WHEN kind = 'NUCLEAR' THEN abs(value) * 2
+    ELSE 0 END) AS NUCLEAR FROM rd WHERE NOT isnan(value) GROUP BY version, point""",
+    "redispatch", rd=_RD,
+)
 def n10(t):
     rows = _kinds(t).filter("NOT isnan(value)").select(F.col("kind").alias("category"), "version", "point", (F.abs("value") * 2).alias("cost"))
     return net.cost_totals(rows, ["HYDRO", "NUCLEAR"])
@@ -141,7 +187,9 @@ _POCKETS = """
     LEFT JOIN reach r ON r.k = n.contingency AND r.a = n.node GROUP BY n.contingency, n.node"""
 ORACLE_SQL["n12_lost_pockets"] = _with_reach(
     f"""SELECT concat('cty_', CAST(z.contingency AS STRING)) AS contingency, count(*) AS n_nodes, sum(CAST(z.node AS DOUBLE)) AS lost_generation, sum(CAST(z.node * 2 AS DOUBLE)) AS lost_load
-        FROM ({_POCKETS}) z JOIN (SELECT contingency, zone FROM (SELECT contingency, zone, row_number() OVER (PARTITION BY contingency ORDER BY count(*) DESC, zone) AS n FROM ({_POCKETS}) GROUP BY contingency, zone) WHERE n = 1) g ON g.contingency = z.contingency
+        FROM ({_POCKETS}) z JOIN (SELECT contingency, zone FROM (SELECT contingency, zone, row_number() OVER (PARTITION BY contingency
+        ORDER BY count(*) DESC, zone) AS n FROM ({_POCKETS}) GROUP BY contingency, zone)
+        WHERE n = 1) g ON g.contingency = z.contingency
         WHERE z.zone <> g.zone GROUP BY z.contingency""",
     "SELECT c.n_nationkey AS k, x.a, x.b FROM nation c CROSS JOIN (SELECT id, node1 AS a, node2 AS b FROM branch WHERE closed UNION SELECT id, node2, node1 FROM branch WHERE closed) x WHERE x.id <> concat('br_', CAST(c.n_nationkey AS STRING))",
 ).replace("reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)", "reach(k, a, b) AS (SELECT k, a, b FROM edges UNION SELECT r.k, r.a, e.b FROM reach r JOIN edges e ON e.k = r.k AND e.a = r.b)")
@@ -183,12 +231,25 @@ def _contingencies(t):
     return e.groupBy("id").agg(F.collect_list(element).alias("elements"))
 
 
-@query("h1_valid_contingencies", "SELECT replace(voltage_level, 'vl_', 'cty_') AS id, bool_and(num % 20 <> 0 AND type = 'GENERATOR') AS valid, CASE WHEN bool_or(num % 20 = 0) THEN 'not found' WHEN bool_or(type <> 'GENERATOR') THEN 'type differs' END AS reason FROM equipment GROUP BY 1", "equipment")
+@query(
+    "h1_valid_contingencies",
+    """
+    SELECT replace(voltage_level, 'vl_', 'cty_') AS id, bool_and(num % 20 <> 0 AND type = 'GENERATOR') AS valid, CASE WHEN bool_or(num % 20 = 0) THEN
+    'not found' WHEN bool_or(type <> 'GENERATOR') THEN 'type differs' END AS reason
+    FROM equipment GROUP BY 1""",
+    "equipment",
+)
 def h1(t):
     return checks.check_contingencies(_contingencies(t), t.equipment)
 
 
-@query("h2_unknown_contingency_refs", "SELECT type AS kind, id, concat('cty_', CAST(num % 9 * 6 AS STRING)) AS contingency FROM equipment WHERE num % 9 > 4", "equipment", "contingency")
+@query(
+    "h2_unknown_contingency_refs",
+    """
+    SELECT type AS kind, id, concat('cty_', CAST(num % 9 * 6 AS STRING)) AS contingency
+    FROM equipment WHERE num % 9 > 4""",
+    "equipment", "contingency",
+)
 def h2(t):
     refs = t.equipment.select(F.col("type").alias("kind"), "id", F.array(F.lit("cty_1"), F.concat(F.lit("cty_"), (F.col("num") % 9 * 6).cast("string"))).alias("contingencies"))
     return checks.check_contingency_refs(refs, t.contingency)
@@ -202,27 +263,47 @@ def remedial_lines(t):
     return rows.union(t.nation.filter("n_nationkey = 0").select(F.lit(1).alias("line_no"), F.lit("NB;30;").alias("value")))
 
 
-@query("h3_remedial_lines", "SELECT n_nationkey + 2 AS line_no, concat('cty_', CAST(n_nationkey % 7 * 6 AS STRING)) AS contingency, CASE WHEN n_nationkey % 3 = 0 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS constraints, CASE WHEN n_nationkey % 2 = 1 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS opened, CASE WHEN n_nationkey % 2 = 0 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS closed FROM nation")
+@query(
+    "h3_remedial_lines",
+    """
+    SELECT n_nationkey + 2 AS line_no, concat('cty_', CAST(n_nationkey % 7 * 6 AS STRING)) AS contingency, CASE WHEN n_nationkey % 3 = 0 THEN
+    concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS constraints, CASE WHEN n_nationkey % 2 = 1 THEN concat('br_', CAST(n_nationkey AS
+    STRING)) ELSE '' END AS opened, CASE WHEN n_nationkey % 2 = 0 THEN concat('br_', CAST(n_nationkey AS STRING)) ELSE '' END AS closed
+    FROM nation""",
+)
 def h3(t):
     r = checks.read_remedials(remedial_lines(t))
     return r.select("line_no", "contingency", F.array_join("constraints", "|").alias("constraints"), F.array_join("open", ";").alias("opened"), F.array_join("close", ";").alias("closed"))
 
 
-@query("h4_remedial_file_checks", "SELECT 1 AS line_no, 'count differs' AS problem UNION ALL SELECT n_nationkey + 2, CASE WHEN n_nationkey % 8 = 3 THEN 'no ; at the end' ELSE 'count is no number' END FROM nation WHERE n_nationkey % 8 = 3 OR n_nationkey % 11 = 5")
+@query(
+    "h4_remedial_file_checks",
+    """
+    SELECT 1 AS line_no, 'count differs' AS problem UNION ALL SELECT n_nationkey + 2, CASE WHEN n_nationkey % 8 = 3 THEN 'no ; at the end' ELSE
+    'count is no number' END FROM nation WHERE n_nationkey % 8 = 3 OR n_nationkey % 11 = 5""",
+)
 def h4(t):
     return checks.check_remedial_file(remedial_lines(t))
 
 
 @query("h5_remedial_refs", """
-    SELECT n_nationkey + 2 AS line_no, concat('br_', CAST(n_nationkey AS STRING)) AS element, 'action is no branch or switch' AS problem FROM nation WHERE n_nationkey >= 20
-    UNION ALL SELECT n_nationkey + 2, concat('br_', CAST(n_nationkey AS STRING)), 'constraint is not monitored' FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 4 IN (0, 1)
+    SELECT n_nationkey + 2 AS line_no, concat('br_', CAST(n_nationkey AS STRING)) AS element, 'action is no branch or switch' AS problem
+    FROM nation WHERE n_nationkey >= 20
+    UNION ALL SELECT n_nationkey + 2, concat('br_', CAST(n_nationkey AS STRING)), 'constraint is not monitored'
+    FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 4 IN (0, 1)
     UNION ALL SELECT n_nationkey + 2, concat('cty_', CAST(n_nationkey % 7 * 6 AS STRING)), 'unknown contingency' FROM nation WHERE n_nationkey % 7 > 4""")
 def h5(t):
     known = t.branch.filter("node1 < 20").select("id", F.lit("LINE").alias("type"))
     return checks.check_remedial_refs(checks.read_remedials(remedial_lines(t)), known, t.monitoring, t.contingency)
 
 
-@query("h6_orphan_end_ratings", "SELECT branch, variable FROM ratings r WHERE variable LIKE '%EndOr' AND NOT EXISTS (SELECT 1 FROM ratings f WHERE f.branch = r.branch AND concat(f.variable, 'EndOr') = r.variable)", "ratings")
+@query(
+    "h6_orphan_end_ratings",
+    """
+    SELECT branch, variable FROM ratings r WHERE variable LIKE '%EndOr' AND NOT EXISTS (SELECT 1
+    FROM ratings f WHERE f.branch = r.branch AND concat(f.variable, 'EndOr') = r.variable)""",
+    "ratings",
+)
 def h6(t):
     return checks.drop_orphan_ratings(t.ratings)[1]
 

@@ -40,13 +40,25 @@ def loading(t, mode="n"):
     return post.branch_loading(source, post.branch_ratings(t.ratings, t.monitoring, mode))
 
 
-@query("f1_ids_with_results", "SELECT DISTINCT id FROM branch WHERE concat('FLOW_', id) IN (SELECT concat('FLOW_', branch) FROM flows WHERE flow > 30)", "branch", "flows")
+@query(
+    "f1_ids_with_results",
+    """
+    SELECT DISTINCT id FROM branch WHERE concat('FLOW_', id) IN (SELECT concat('FLOW_', branch)
+    FROM flows WHERE flow > 30)""",
+    "branch", "flows",
+)
 def f1(t):
     names = t.flows.filter("flow > 30").select(F.concat(F.lit("FLOW_"), F.col("branch")).alias("name"))
     return post.match_preventive(t.branch.select("id"), names, "FLOW_").distinct()
 
 
-@query("f2_curative_series", "SELECT DISTINCT t.branch AS id, t.contingency, concat('FLOW_', t.branch, '_', t.contingency) AS name FROM threats t WHERE t.contingency <> 'cty_4' AND t.flow > 40", "threats")
+@query(
+    "f2_curative_series",
+    """
+    SELECT DISTINCT t.branch AS id, t.contingency, concat('FLOW_', t.branch, '_', t.contingency) AS name
+    FROM threats t WHERE t.contingency <> 'cty_4' AND t.flow > 40""",
+    "threats",
+)
 def f2(t):
     names = t.threats.filter("flow > 40").select(F.concat(F.lit("FLOW_"), F.col("branch"), F.lit("_"), F.col("contingency")).alias("name"))
     return post.match_curative(t.branch.select("id"), names, "FLOW_", t.contingency.filter("id <> 'cty_4'"))
@@ -57,42 +69,91 @@ def f3(t):
     return post.branch_ratings(t.ratings, t.monitoring)
 
 
-@query("f5_load_percent", f"SELECT branch, version, point, load FROM ({_loading_sql('f')}) WHERE NOT isnan(load)", "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"])
+@query(
+    "f5_load_percent",
+    f"""
+    SELECT branch, version, point, load FROM ({_loading_sql('f')})
+    WHERE NOT isnan(load)""",
+    "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"],
+)
 def f5(t):
     return loading(t).filter("NOT isnan(load)").select("branch", "version", "point", r6("load").alias("load"))
 
 
-@query("f5_load_missing", f"SELECT branch, version, point FROM ({_loading_sql('f')}) WHERE isnan(load)", "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"])
+@query(
+    "f5_load_missing",
+    f"""
+    SELECT branch, version, point FROM ({_loading_sql('f')}) WHERE isnan(load)""",
+    "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"],
+)
 def f5_missing(t):
     return loading(t).filter("isnan(load)").select("branch", "version", "point")
 
 
-@query("f6_overload", f"SELECT branch, version, point, overload FROM ({_loading_sql('f')}) WHERE NOT isnan(overload)", "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"])
+@query(
+    "f6_overload",
+    f"""
+    SELECT branch, version, point, overload FROM ({_loading_sql('f')})
+    WHERE NOT isnan(overload)""",
+    "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"],
+)
 def f6(t):
     return loading(t).filter("NOT isnan(overload)").select("branch", "version", "point", "overload")
 
 
-@query("f7_base_case_series", f"SELECT concat('basecaseOverload_', branch) AS name, version, point, overload AS value FROM ({_loading_sql('f')}) WHERE NOT isnan(overload)", "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"])
+@query(
+    "f7_base_case_series",
+    f"""
+    SELECT concat('basecaseOverload_', branch) AS name, version, point, overload AS value
+    FROM ({_loading_sql('f')}) WHERE NOT isnan(overload)""",
+    "flows", "ratings", "monitoring", f=FLOWS, rated=RATED["n"],
+)
 def f7(t):
     return post.loading_series(loading(t), "basecase").filter("name LIKE 'basecaseOverload%' AND NOT isnan(value)")
 
 
-@query("f8_outage_loading", f"SELECT * FROM ({_loading_sql('o')}) WHERE NOT isnan(overload) AND NOT isnan(load)", "flows", "ratings", "monitoring", f=FLOWS, o=OUT, rated=RATED["nk"])
+@query(
+    "f8_outage_loading",
+    f"""
+    SELECT * FROM ({_loading_sql('o')}) WHERE NOT isnan(overload) AND NOT isnan(load)""",
+    "flows", "ratings", "monitoring", f=FLOWS, o=OUT, rated=RATED["nk"],
+)
 def f8(t):
     return loading(t, "nk").filter("NOT isnan(overload) AND NOT isnan(load)").withColumn("load", r6("load"))
 
 
-@query("f8_itam_loading", f"SELECT * FROM ({_loading_sql('o')}) WHERE NOT isnan(overload) AND NOT isnan(load)", "flows", "ratings", "monitoring", f=FLOWS, o=OUT, rated=RATED["itam"])
+@query(
+    "f8_itam_loading",
+    f"""
+    SELECT * FROM ({_loading_sql('o')}) WHERE NOT isnan(overload) AND NOT isnan(load)""",
+    "flows", "ratings", "monitoring", f=FLOWS, o=OUT, rated=RATED["itam"],
+)
 def f8_itam(t):
     return loading(t, "itam").filter("NOT isnan(overload) AND NOT isnan(load)").withColumn("load", r6("load"))
 
 
-@query("f8_rating_series", "SELECT concat('rating_', branch) AS name, version, point, or_rating AS value FROM rated CROSS JOIN (SELECT DISTINCT version, point FROM flows) UNION ALL SELECT concat('ratingEndOr_', branch), version, point, ex_rating FROM rated CROSS JOIN (SELECT DISTINCT version, point FROM flows)", "flows", "ratings", "monitoring", rated=RATED["nk"])
+@query(
+    "f8_rating_series",
+    """
+    SELECT concat('rating_', branch) AS name, version, point, or_rating AS value
+    FROM rated CROSS JOIN (SELECT DISTINCT version, point FROM flows)
+    UNION ALL SELECT concat('ratingEndOr_', branch), version, point, ex_rating
+    FROM rated CROSS JOIN (SELECT DISTINCT version, point FROM flows)""",
+    "flows", "ratings", "monitoring", rated=RATED["nk"],
+)
 def f8_ratings(t):
     return post.rating_series(post.branch_ratings(t.ratings, t.monitoring, "nk"), t.flows, "rating")
 
 
-@query("f9_overall_overload", f"SELECT a.branch, a.version, a.point, abs(a.o) + abs(b.o) AS overall FROM (SELECT f.branch, version, point, {OVER} AS o FROM f JOIN rated r ON r.branch = f.branch) a JOIN (SELECT f.branch, version, point, {OVER} AS o FROM o f JOIN rated_k r ON r.branch = f.branch) b ON a.branch = b.branch AND a.version = b.version AND a.point = b.point WHERE NOT isnan(a.o)", "flows", "ratings", "monitoring", f=FLOWS, o=OUT, rated=RATED["n"], rated_k=RATED["nk"])
+@query(
+    "f9_overall_overload",
+    f"""
+    SELECT a.branch, a.version, a.point, abs(a.o) + abs(b.o) AS overall
+    FROM (SELECT f.branch, version, point, {OVER} AS o FROM f JOIN rated r ON r.branch = f.branch) a
+    JOIN (SELECT f.branch, version, point, {OVER} AS o FROM o f JOIN rated_k r ON r.branch = f.branch) b ON a.branch = b.branch AND a.version =
+    b.version AND a.point = b.point WHERE NOT isnan(a.o)""",
+    "flows", "ratings", "monitoring", f=FLOWS, o=OUT, rated=RATED["n"], rated_k=RATED["nk"],
+)
 def f9(t):
     return post.overall_overload(loading(t), loading(t, "nk")).filter("NOT isnan(overall)")
 
@@ -104,30 +165,60 @@ def _costs(t):
     return t.costs.select("equipment", "cost_up", F.coalesce("cost_down", F.lit(3.0)).alias("cost_down"))
 
 
-@query("f10_redispatch_split", "SELECT equipment, version, point, greatest(value, 0) AS up, least(value, 0) AS down FROM redispatch WHERE NOT isnan(value)", "redispatch")
+@query(
+    "f10_redispatch_split",
+    """
+    SELECT equipment, version, point, greatest(value, 0) AS up, least(value, 0) AS down
+    FROM redispatch WHERE NOT isnan(value)""",
+    "redispatch",
+)
 def f10(t):
     return post.redispatch(t.redispatch, _costs(t)).filter("NOT isnan(up)").select("equipment", "version", "point", "up", "down")
 
 
-@query("f11_redispatch_cost", "SELECT r.equipment, version, point, greatest(value, 0) * cost_up AS cost_up, abs(least(value, 0)) * cost_down AS cost_down, greatest(value, 0) * cost_up + abs(least(value, 0)) * cost_down AS cost FROM redispatch r JOIN c ON c.equipment = r.equipment WHERE NOT isnan(value)", "redispatch", "costs", c=_COSTS)
+@query(
+    "f11_redispatch_cost",
+    """
+    SELECT r.equipment, version, point, greatest(value, 0) * cost_up AS cost_up, abs(least(value, 0)) * cost_down AS cost_down, greatest(value, 0) *
+    cost_up + abs(least(value, 0)) * cost_down AS cost FROM redispatch r
+    JOIN c ON c.equipment = r.equipment WHERE NOT isnan(value)""",
+    "redispatch", "costs", c=_COSTS,
+)
 def f11(t):
     return post.redispatch(t.redispatch, _costs(t)).filter("NOT isnan(cost)").select("equipment", "version", "point", "cost_up", "cost_down", "cost")
 
 
-_PROB = "SELECT c.id AS contingency, p.version, p.point, coalesce(t.value, c.prob_base, 0.0010000000474974513) AS probability FROM contingency c CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN ts t ON t.name = c.prob_series AND t.version = p.version AND t.point = p.point"
+_PROB = """
+    SELECT c.id AS contingency, p.version, p.point, coalesce(t.value, c.prob_base, 0.0010000000474974513) AS probability
+    FROM contingency c CROSS JOIN (SELECT DISTINCT version, point
+    FROM ts) p LEFT JOIN ts t ON t.name = c.prob_series AND t.version = p.version AND t.point = p.point"""
 
 
 def _by_contingency(t):
     return t.redispatch.crossJoin(t.contingency.select(F.col("id").alias("contingency")))
 
 
-@query("f11_curative_cost", "SELECT r.equipment, p.contingency, r.version, r.point, round((greatest(value, 0) * cost_up + abs(least(value, 0)) * cost_down) * p.probability, 6) AS cost FROM redispatch r JOIN c ON c.equipment = r.equipment JOIN prob p ON p.version = r.version AND p.point = r.point WHERE NOT isnan(value)", "redispatch", "costs", "contingency", "ts", c=_COSTS, prob=_PROB)
+@query(
+    "f11_curative_cost",
+    """
+    SELECT r.equipment, p.contingency, r.version, r.point, round((greatest(value, 0) * cost_up + abs(least(value, 0)) * cost_down) * p.probability, 6)
+    AS cost FROM redispatch r JOIN c ON c.equipment = r.equipment
+    JOIN prob p ON p.version = r.version AND p.point = r.point WHERE NOT isnan(value)""",
+    "redispatch", "costs", "contingency", "ts", c=_COSTS, prob=_PROB,
+)
 def f11_curative(t):
     p = post.contingency_probability(t.contingency, t.ts)
     return post.redispatch(_by_contingency(t), _costs(t), p).filter("NOT isnan(cost)").select("equipment", "contingency", "version", "point", r6("cost").alias("cost"))
 
 
-@query("f12_load_shedding", "SELECT r.equipment, p.contingency, r.version, r.point, value AS shed, round(value * cost_up * p.probability, 6) AS cost FROM redispatch r JOIN c ON c.equipment = r.equipment JOIN prob p ON p.version = r.version AND p.point = r.point WHERE NOT isnan(value)", "redispatch", "costs", "contingency", "ts", c=_COSTS, prob=_PROB)
+@query(
+    "f12_load_shedding",
+    """
+    SELECT r.equipment, p.contingency, r.version, r.point, value AS shed, round(value * cost_up * p.probability, 6) AS cost
+    FROM redispatch r JOIN c ON c.equipment = r.equipment JOIN prob p ON p.version = r.version AND p.point = r.point
+    WHERE NOT isnan(value)""",
+    "redispatch", "costs", "contingency", "ts", c=_COSTS, prob=_PROB,
+)
 def f12(t):
     p = post.contingency_probability(t.contingency, t.ts)
     return post.shedding(_by_contingency(t), _costs(t).select("equipment", F.col("cost_up").alias("cost")), p).filter("NOT isnan(cost)").withColumn("cost", r6("cost"))
@@ -149,14 +240,19 @@ def f15(t):
 
 
 @query("f16_all_postprocessing", f"""SELECT name, version, point, value FROM (
-    SELECT concat('all<>basecaseLoad_', branch) AS name, version, point, load AS value FROM ({_loading_sql('f')}) UNION ALL SELECT concat('all<>basecaseOverload_', branch), version, point, overload FROM ({_loading_sql('f')})
+    SELECT concat('all<>basecaseLoad_', branch) AS name, version, point, load AS value
+    FROM ({_loading_sql('f')}) UNION ALL SELECT concat('all<>basecaseOverload_', branch), version, point, overload
+    FROM ({_loading_sql('f')})
     UNION ALL SELECT 'all<>LOSSES_COST', version, point, value * 55 FROM ts WHERE name = 'ts_2') WHERE NOT isnan(value)""", "flows", "ratings", "monitoring", "ts", f=FLOWS, rated=RATED["n"])
 def f16(t):
     cost = f15(t).select(F.lit("LOSSES_COST").alias("name"), "version", "point", "value")
     return post.postprocess([post.loading_series(loading(t), "basecase"), cost], "all").filter("NOT isnan(value)").withColumn("value", r6("value"))
 
 
-_INIT = "SELECT concat('HVDC_', h.id) AS name, h.id, p.version, p.point, coalesce(t.value, h.setpoint) AS value FROM hvdc h CROSS JOIN (SELECT DISTINCT version, point FROM ts) p LEFT JOIN ts t ON t.name = concat('ts_', CAST(h.num AS STRING)) AND t.version = p.version AND t.point = p.point"
+_INIT = """
+    SELECT concat('HVDC_', h.id) AS name, h.id, p.version, p.point, coalesce(t.value, h.setpoint) AS value
+    FROM hvdc h CROSS JOIN (SELECT DISTINCT version, point FROM ts) p
+    LEFT JOIN ts t ON t.name = concat('ts_', CAST(h.num AS STRING)) AND t.version = p.version AND t.point = p.point"""
 
 
 def _init(t):
@@ -170,20 +266,39 @@ def f17(t):
     return _init(t)
 
 
-@query("f17_tap_angles", "SELECT p.id, t.version, t.point, CAST(CAST(trunc(t.value) AS INT) % 5 AS DOUBLE) / 4 AS angle FROM pst p JOIN ts t ON t.name = concat('ts_', CAST(p.num AS STRING)) WHERE t.value < 1200", "pst", "ts")
+@query(
+    "f17_tap_angles",
+    """
+    SELECT p.id, t.version, t.point, CAST(CAST(trunc(t.value) AS INT) % 5 AS DOUBLE) / 4 AS angle
+    FROM pst p JOIN ts t ON t.name = concat('ts_', CAST(p.num AS STRING))
+    WHERE t.value < 1200""",
+    "pst", "ts",
+)
 def f17_angles(t):
     taps = t.ts.filter("value < 1200").select(F.regexp_replace("name", "ts_", "pst_").alias("id"), "version", "point", "value").join(t.pst.select("id"), "id", "left_semi")
     angles = t.pst.select("id", F.explode(F.sequence(F.lit(0), F.lit(1200))).alias("tap")).withColumn("alpha", (F.col("tap") % 5).cast("double") / 4)
     return post.tap_angles(taps, angles)
 
 
-@query("f18_fill_preventive", "SELECT name, version, point, CASE WHEN point % 2 = 0 AND CAST(substr(id, 6) AS INT) % 3 <> 0 THEN 1 ELSE value END AS value FROM init", "hvdc", "ts", init=_INIT)
+@query(
+    "f18_fill_preventive",
+    """
+    SELECT name, version, point, CASE WHEN point % 2 = 0 AND CAST(substr(id, 6) AS INT) % 3 <> 0 THEN 1 ELSE value END AS value
+    FROM init""",
+    "hvdc", "ts", init=_INIT,
+)
 def f18(t):
     some = _init(t).filter(F.substring("id", 6, 9).cast("int") % 3 != 0).select("name", "version", "point", F.when(F.col("point") % 2 == 0, F.lit(1.0)).otherwise(nan()).alias("value"))
     return post.fill_preventive(some, _init(t))
 
 
-@query("f19_fill_curative", "SELECT 'hvdc' AS kind, i.id, c.id AS contingency, i.version, i.point, CASE WHEN (i.point + c.num) % 2 = 0 THEN 1 ELSE i.value END AS value FROM init i CROSS JOIN contingency c", "hvdc", "ts", "contingency", init=_INIT)
+@query(
+    "f19_fill_curative",
+    """
+    SELECT 'hvdc' AS kind, i.id, c.id AS contingency, i.version, i.point, CASE WHEN (i.point + c.num) % 2 = 0 THEN 1 ELSE i.value END AS value
+    FROM init i CROSS JOIN contingency c""",
+    "hvdc", "ts", "contingency", init=_INIT,
+)
 def f19(t):
     before = _init(t).select(F.lit("hvdc").alias("kind"), "id", "version", "point", "value")
     c = t.contingency.select(F.col("id").alias("contingency"), "num")
@@ -261,7 +376,8 @@ _SAID = ", ".join(f"({name}, '{'string' if '_NAME_' in name or 'TOPOLOGY' in nam
 
 
 @query("a18_all_records", f"""
-    SELECT point AS variant, x.name, x.kind, x.value FROM (SELECT branch, point, CAST(CAST(flow AS INT) AS STRING) AS v FROM flows) CROSS JOIN LATERAL (VALUES {_SAID}) x(name, kind, value)
+    SELECT point AS variant, x.name, x.kind, x.value FROM (SELECT branch, point, CAST(CAST(flow AS INT) AS STRING) AS v
+    FROM flows) CROSS JOIN LATERAL (VALUES {_SAID}) x(name, kind, value)
     UNION ALL SELECT point, x.name, 'double', x.value FROM (SELECT DISTINCT point FROM flows) CROSS JOIN (VALUES {', '.join(f"('{n}', '{k}')" for n, k in SAID_ONCE)}) x(name, value)""", "flows")
 def a18_all(t):
     """Every kind of record, each with its header line."""

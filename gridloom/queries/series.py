@@ -60,12 +60,25 @@ def a7(t):
     return src.export_wide(t.cells, FIVE, check=False)
 
 
-@query("a9_catalog", "SELECT name, array_to_string(list_sort(list(DISTINCT version)), ',') AS versions, count(*) AS n_points, min(instant) AS first_instant, max(instant) AS last_instant FROM ev GROUP BY name", "ev")
+@query(
+    "a9_catalog",
+    """
+    SELECT name, array_to_string(list_sort(list(DISTINCT version)), ',') AS versions, count(*) AS n_points, min(instant) AS first_instant,
+    max(instant) AS last_instant FROM ev GROUP BY name""",
+    "ev",
+)
 def a9(t):
     return src.catalog(t.ev).withColumn("versions", F.array_join("versions", ","))
 
 
-@query("a9_exists", "SELECT DISTINCT concat('ts_', CAST(n_nationkey AS STRING)) AS name FROM nation WHERE concat('ts_', CAST(n_nationkey AS STRING)) IN (SELECT name FROM cells)", "cells")
+@query(
+    "a9_exists",
+    """
+    SELECT DISTINCT concat('ts_', CAST(n_nationkey AS STRING)) AS name
+    FROM nation WHERE concat('ts_', CAST(n_nationkey AS STRING)) IN (SELECT name
+    FROM cells)""",
+    "cells",
+)
 def a9_exists(t):
     return src.exists(t.cells, t.nation.select(F.concat(F.lit("ts_"), F.col("n_nationkey").cast("string")).alias("name")))
 
@@ -75,12 +88,25 @@ def a10(t):
     return src.check_index_unicity(t.cells)
 
 
-@query("a11_undefined_versions", "SELECT n.name, CAST(v.version AS INT) AS version FROM (SELECT name FROM ev GROUP BY name HAVING max(version) >= 0) n CROSS JOIN (SELECT 0 AS version UNION ALL SELECT 1 UNION ALL SELECT 7) v WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.name = n.name AND e.version = v.version)", "ev")
+@query(
+    "a11_undefined_versions",
+    """
+    SELECT n.name, CAST(v.version AS INT) AS version FROM (SELECT name
+    FROM ev GROUP BY name HAVING max(version) >= 0) n CROSS JOIN (SELECT 0 AS version
+    UNION ALL SELECT 1 UNION ALL SELECT 7) v WHERE NOT EXISTS (SELECT 1
+    FROM ev e WHERE e.name = n.name AND e.version = v.version)""",
+    "ev",
+)
 def a11(t):
     return src.undefined_versions(t.ev, [0, 1, 7])
 
 
-@query("a12_computation_range", "SELECT name, version, point, value FROM ts WHERE version IN (0, 2) AND (point BETWEEN 3 AND 9 OR point BETWEEN 20 AND 22)", "ts")
+@query(
+    "a12_computation_range",
+    """
+    SELECT name, version, point, value FROM ts WHERE version IN (0, 2) AND (point BETWEEN 3 AND 9 OR point BETWEEN 20 AND 22)""",
+    "ts",
+)
 def a12(t):
     return src.computation_range(t.ts, [0, 2], [(20, 22), (3, 9)]).select("name", "version", "point", "value")
 
@@ -103,7 +129,10 @@ def b1(t):
     return calculate(t.ts, {"seven": const(7.5)}, index=t.ts).drop("instant")
 
 
-_PAIR = "SELECT a.version, a.point, a.instant, a.value AS a, b.value AS b FROM ts a JOIN ts b ON a.version = b.version AND a.point = b.point WHERE a.name = 'ts_0' AND b.name = 'ts_1'"
+_PAIR = """
+    SELECT a.version, a.point, a.instant, a.value AS a, b.value AS b
+    FROM ts a JOIN ts b ON a.version = b.version AND a.point = b.point
+    WHERE a.name = 'ts_0' AND b.name = 'ts_1'"""
 
 
 @query("b2_reference", "SELECT 'copy' AS name, version, point, value FROM ts WHERE name = 'ts_3'", "ts")
@@ -133,7 +162,13 @@ def b3(t):
     return calculate(t.ts, {"sum": a + b, "difference": a - b * 2, "product": a * b, "ratio": a / (b - 600)}).filter("value < double('infinity') AND value > double('-infinity')").select("name", "version", "point", r6("value").alias("value"))
 
 
-@query("b4_comparisons", "SELECT x.name, version, point, x.value FROM p CROSS JOIN LATERAL (VALUES ('greater', CASE WHEN a > b THEN 1.0::DOUBLE ELSE 0 END), ('less', CASE WHEN a < 500 THEN 1.0::DOUBLE ELSE 0 END)) x(name, value)", "ts", p=_PAIR)
+@query(
+    "b4_comparisons",
+    """
+    SELECT x.name, version, point, x.value FROM p CROSS JOIN LATERAL (VALUES ('greater', CASE WHEN a > b THEN 1.0::DOUBLE ELSE 0 END), ('less', CASE
+    WHEN a < 500 THEN 1.0::DOUBLE ELSE 0 END)) x(name, value)""",
+    "ts", p=_PAIR,
+)
 def b4(t):
     a, b = series("ts_0"), series("ts_1")
     return calculate(t.ts, {"greater": a > b, "less": a < 500}).drop("instant")
@@ -145,7 +180,13 @@ def b5(t):
     return calculate(t.ts, {"minus": -a, "abs": (a - b).abs()}).drop("instant")
 
 
-@query("b6_clamp", "SELECT x.name, version, point, x.value FROM p CROSS JOIN LATERAL (VALUES ('capped', least(a, 400.0::DOUBLE)), ('floored', greatest(a, 400.0::DOUBLE))) x(name, value)", "ts", p=_PAIR)
+@query(
+    "b6_clamp",
+    """
+    SELECT x.name, version, point, x.value FROM p CROSS JOIN LATERAL (VALUES ('capped', least(a, 400.0::DOUBLE)), ('floored', greatest(a,
+    400.0::DOUBLE))) x(name, value)""",
+    "ts", p=_PAIR,
+)
 def b6(t):
     return calculate(t.ts.filter("name <> 'ts_2'"), {"capped": series("ts_0").min(400), "floored": series("ts_0").max(400)}).drop("instant")
 
@@ -155,14 +196,26 @@ def b7(t):
     return calculate(t.ts, {"time": series("ts_0").time()}).drop("instant")
 
 
-@query("b8_nested", "SELECT 'nested' AS name, version, point, round((a + b) * CASE WHEN a > b THEN 1.0 ELSE 0 END - abs(-a) / 4, 6) AS value FROM p", "ts", p=_PAIR)
+@query(
+    "b8_nested",
+    """
+    SELECT 'nested' AS name, version, point, round((a + b) * CASE WHEN a > b THEN 1.0 ELSE 0 END - abs(-a) / 4, 6) AS value
+    FROM p""",
+    "ts", p=_PAIR,
+)
 def b8(t):
     a, b = series("ts_0"), series("ts_1")
     total = a + b
     return calculate(t.ts, {"nested": total * (a > b) - (-a).abs() / 4}).select("name", "version", "point", r6("value").alias("value"))
 
 
-@query("b9_calculated_store", "SELECT name, version, point, value FROM ts WHERE name IN ('ts_0', 'ts_1') AND version = 1 UNION ALL SELECT 'sum', version, point, a + b FROM p WHERE version = 1", "ts", p=_PAIR)
+@query(
+    "b9_calculated_store",
+    """
+    SELECT name, version, point, value FROM ts WHERE name IN ('ts_0', 'ts_1') AND version = 1
+    UNION ALL SELECT 'sum', version, point, a + b FROM p WHERE version = 1""",
+    "ts", p=_PAIR,
+)
 def b9(t):
     a, b = series("ts_0"), series("ts_1")
     return calculate(t.ts, {"ts_0": a, "ts_1": b, "sum": a + b}, versions=[1]).drop("instant")
@@ -195,7 +248,13 @@ def s1_empty(t):
     return stats.sum_or_zero(t.ts, t.ts, ranges=[(5000, 6000)])
 
 
-@query("s8_result_estimate", "SELECT CAST(count(*) FILTER (mode_n <> 'NO') + 2 * 5 * count(*) FILTER (mode_nk <> 'NO') + 2 * count(*) FILTER (mode_nk <> 'NO') AS BIGINT) AS n_results FROM monitoring", "monitoring")
+@query(
+    "s8_result_estimate",
+    """
+    SELECT CAST(count(*) FILTER (mode_n <> 'NO') + 2 * 5 * count(*) FILTER (mode_nk <> 'NO') + 2 * count(*) FILTER (mode_nk <> 'NO') AS BIGINT) AS
+    n_results FROM monitoring""",
+    "monitoring",
+)
 def s8(t):
     return stats.estimate_results(t.monitoring, 5, True, False)
 
@@ -247,11 +306,23 @@ def d9(t):
     return tables.remove_lines(t.datatable, _WHERE)
 
 
-@query("d10_add_lines", "SELECT * FROM datatable UNION ALL SELECT row_id + (SELECT max(row_id) FROM datatable) + 1, brand, kind, size FROM datatable WHERE size = '7'", "datatable")
+@query(
+    "d10_add_lines",
+    """
+    SELECT * FROM datatable UNION ALL SELECT row_id + (SELECT max(row_id)
+    FROM datatable) + 1, brand, kind, size FROM datatable WHERE size = '7'""",
+    "datatable",
+)
 def d10(t):
     return tables.add_lines(t.datatable, t.datatable.filter("size = '7'").select("row_id", "size", "kind", "brand"))
 
 
-@query("d11_replace_values", f"SELECT row_id, brand, CASE WHEN {_SQL_WHERE} THEN 'X' ELSE kind END AS kind, CASE WHEN {_SQL_WHERE} THEN '0' ELSE size END AS size FROM datatable", "datatable")
+@query(
+    "d11_replace_values",
+    f"""
+    SELECT row_id, brand, CASE WHEN {_SQL_WHERE} THEN 'X' ELSE kind END AS kind, CASE WHEN {_SQL_WHERE} THEN '0' ELSE size END AS size
+    FROM datatable""",
+    "datatable",
+)
 def d11(t):
     return tables.replace_values(t.datatable, ["kind", "size"], _WHERE, ["X", "0"])
