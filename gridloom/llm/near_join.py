@@ -41,7 +41,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEEDS = ((11, 12), (13, 14))  # of hashes by which pivots are picked, in the buckets of one and of two filters
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MAX_WORDS_KEPT = 1 << 20
-NARROW = 64
+NARROW = 512
 
 
 class WordHashes(dict):
