@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .exact_dedup import op7_exact_dedup
+from .filter_audit import ORACLE_SQL as FILTER_AUDIT_SQL
+from .filter_audit import op13_filter_audit
 from .html_text import op8_html_text
 from .licences import op2_licence_scan
 from .mixing import op3_mixing
@@ -24,9 +26,11 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
+    "op13_filter_audit": FILTER_AUDIT_SQL,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
