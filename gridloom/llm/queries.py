@@ -14,6 +14,7 @@ from .quality import op9_quality
 from .repeats import op10_suffix_dedup
 from .secrets import op5_secret_scan
 from .toxicity import op6_toxicity
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_whitening": op12_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 
