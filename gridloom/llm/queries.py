@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .embedding_dedup import op11_embedding_dedup
 from .exact_dedup import op7_exact_dedup
 from .filter_audit import ORACLE_SQL as FILTER_AUDIT_SQL
 from .filter_audit import op13_filter_audit
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_whitening": op12_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
