@@ -32,6 +32,7 @@ FIT_PER_LIST = 32  # rows of that sample, for each list
 MAX_LISTS = 8192
 CODES, CODE_DIMS = 256, 4
 CHUNK, QUERIES = 2048, 8192  # rows of a list and queries to it in one task
+LEAST_BALL = 8  # members; smaller balls would leave more pairs open than they settle
 SLICE = 1 << 16  # candidates that meet their vectors at once
 #: A query reads the list of another centroid if the plane between that one and its own is no farther than this many standard
 #: deviations of a linking difference of random direction; with the root of the dimension no list with a link would be left out.
@@ -148,15 +149,15 @@ def _balls(vectors: DataFrame, d: int, cosine: float) -> DataFrame:
         np.fill_diagonal(close, True)
         unit, radius = np.arange(len(x)), np.zeros(len(x))
         crowded = close.sum(axis=1)
-        free = crowded > 1
+        free = np.ones(len(x), bool)
         for k in np.lexsort((at, -crowded)):
-            if crowded[k] < 2:
+            if crowded[k] < LEAST_BALL:
                 break
-            if free[k]:
-                own = np.flatnonzero(close[k] & free)
+            own = np.flatnonzero(close[k] & free)
+            if free[k] and len(own) >= LEAST_BALL:
                 unit[own] = k
                 free[own] = False
-                radius[k] = np.arccos(np.clip(x[own] @ x[k], -1.0, 1.0)).max() if len(own) > 1 else 0.0
+                radius[k] = np.arccos(np.clip(x[own] @ x[k], -1.0, 1.0)).max()
         centre = unit == np.arange(len(x))
         names = ["list", "at", "m", "least", "v"]
         return pa.table([*[group.column(c) for c in names], pa.array(at[unit]), pa.array(centre), pa.array(radius)], names=[*names, "unit", "centre", "radius"])
