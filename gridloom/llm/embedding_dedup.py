@@ -32,7 +32,7 @@ FIT_PER_LIST = 32  # rows of that sample, for each list
 MAX_LISTS = 8192
 CODES, CODE_DIMS = 256, 4
 CHUNK, QUERIES = 2048, 8192  # rows of a list and queries to it in one task
-LEAST_BALL = 8  # members; smaller balls would leave more pairs open than they settle
+LEAST_BALL = 8  # members, and half of what its centre links with: other balls would leave more pairs open than they settle
 SLICE = 1 << 16  # candidates that meet their vectors at once
 #: A query reads the list of another centroid if the plane between that one and its own is no farther than this many standard
 #: deviations of a linking difference of random direction; with the root of the dimension no list with a link would be left out.
@@ -145,8 +145,8 @@ def _balls(vectors: DataFrame, d: int, cosine: float) -> DataFrame:
     def cut(group: pa.Table) -> pa.Table:
         x = unit_rows(group.column("v"), d)
         at = group.column("at").to_numpy()
-        close = x @ x.T >= half
-        np.fill_diagonal(close, True)
+        cosines = x @ x.T
+        close, link = cosines >= half, cosines >= cosine
         unit, radius = np.arange(len(x)), np.zeros(len(x))
         crowded = close.sum(axis=1)
         free = np.ones(len(x), bool)
@@ -154,7 +154,7 @@ def _balls(vectors: DataFrame, d: int, cosine: float) -> DataFrame:
             if crowded[k] < LEAST_BALL:
                 break
             own = np.flatnonzero(close[k] & free)
-            if free[k] and len(own) >= LEAST_BALL:
+            if free[k] and len(own) >= max(LEAST_BALL, (link[k] & free).sum() / 2):
                 unit[own] = k
                 free[own] = False
                 radius[k] = np.arccos(np.clip(x[own] @ x[k], -1.0, 1.0)).max()
