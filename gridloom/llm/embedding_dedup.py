@@ -40,11 +40,24 @@ PROBE_WIDTH = 3.0
 SLACK = 1e-7
 
 
-def lloyd(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
-    """k centroids (fewer if x has fewer distinct rows), started from rows of x picked by a fixed seed."""
-    x = np.ascontiguousarray(x, np.float32)
+def picked(x: np.ndarray, k: int) -> np.ndarray:
+    """k different rows of x (fewer if it has fewer), by a fixed seed."""
     distinct = np.unique(x, axis=0) if len(x) <= 4 * k else x
-    centres = distinct[np.sort(np.random.default_rng(7).choice(len(distinct), min(k, len(distinct)), replace=False))].copy()
+    return distinct[np.sort(np.random.default_rng(7).choice(len(distinct), min(k, len(distinct)), replace=False))]
+
+
+def thinned(x: np.ndarray, apart: float) -> np.ndarray:
+    """Rows of x, in order, that are ``apart`` or more from all that were kept before."""
+    kept, n = np.empty_like(x), 0
+    for row in x:
+        if not n or ((kept[:n] - row) ** 2).sum(axis=1).min() >= apart * apart:
+            kept[n], n = row, n + 1
+    return kept[:n]
+
+
+def lloyd(x: np.ndarray, start: np.ndarray, rounds: int = 5) -> np.ndarray:
+    """Centroids of x from the ones to start with."""
+    x, centres = np.ascontiguousarray(x, np.float32), start.astype(np.float32)
     for _ in range(rounds):
         own = nearest(x, centres)[0]
         order = np.argsort(own, kind="stable")
@@ -68,11 +81,13 @@ def nearest(x: np.ndarray, centres: np.ndarray, rows: int = 1024) -> tuple[np.nd
 class Model:
     """Coarse centroids, and codebooks of the residuals, each for CODE_DIMS dimensions; the last ones padded by zeros."""
 
-    def __init__(self, sample: np.ndarray, n_lists: int):
+    def __init__(self, sample: np.ndarray, n_lists: int, apart: float):
+        """Centroids are ``apart`` at least, so that a group of near copies lies in a few lists, not in a third of them."""
         self.d = sample.shape[1]
-        self.centres = lloyd(sample, n_lists)
+        start = thinned(picked(sample, 2 * n_lists), apart)[:n_lists]
+        self.centres = thinned(lloyd(sample, start), apart)
         residuals = self.split(sample - self.centres[nearest(sample, self.centres)[0]])
-        books = [lloyd(residuals[:, s], CODES) for s in range(residuals.shape[1])]
+        books = [lloyd(residuals[:, s], picked(residuals[:, s], CODES)) for s in range(residuals.shape[1])]
         self.books = np.stack([np.vstack([b, np.repeat(b[:1], CODES - len(b), axis=0)]) for b in books])
 
     def split(self, x: np.ndarray) -> np.ndarray:
@@ -268,7 +283,7 @@ def _classes(vectors: DataFrame, d: int, cosine: float, width: float) -> DataFra
     sample = vectors.filter(F.pmod(F.xxhash64(F.lit(5), "at"), F.lit(1 << 52)) < int(share * (1 << 52)) + 1).select("v").toArrow()
     if not sample.num_rows:
         sample = vectors.select("v").limit(1).toArrow()
-    model = spark.sparkContext.broadcast(Model(unit_rows(sample.column("v"), d).astype(np.float32), n_lists))
+    model = spark.sparkContext.broadcast(Model(unit_rows(sample.column("v"), d).astype(np.float32), n_lists, float(_chord(math.acos(cosine)))))
     v_type, id_type = vectors.schema["v"].dataType.simpleString(), vectors.schema["least"].dataType.simpleString()
 
     def assign(batches):

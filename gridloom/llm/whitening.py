@@ -321,7 +321,8 @@ def whiten(vectors: DataFrame, id_col="vec_id", vector_col="embedding", most: in
     if common is None:
         return empty()
     d = common["d"]
-    whole = F.transform("v", lambda c: F.floor(c.cast("double") * SCALE) + SHIFT)
+    small = lambda c: F.abs(c.cast("double")) * SCALE < LIMIT
+    whole = F.transform("v", lambda c: F.when(small(c), F.floor(c.cast("double") * SCALE) + SHIFT).otherwise(F.raise_error(F.lit("an entry doesn't fit in 64 bits")).cast("long")))
     rows = rows.filter(F.size("v") == d).select("id", whole.alias("x"))
     fit = written(rows.select("x").distinct(), "fit")
     n, sums = _sums(fit, d)
