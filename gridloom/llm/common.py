@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.scratch import written
 from ..plans.spread import spread_join  # noqa: F401
@@ -42,6 +43,20 @@ def by_block(df: DataFrame, n: int):
     return (df.repartition(n, "block") if n > owners(df.sparkSession) else df).groupBy("block")
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` in one struct, so that none can clash with those an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def with_id(df: DataFrame, id_col: str, ddl: str) -> StructType:
+    """The schema of ``id``, of the type it has in ``df``, and columns given as DDL; names inside of the type may be any."""
+    return StructType([StructField("id", df.select(id_col).schema[0].dataType), *StructType.fromDDL(ddl).fields])
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "row") -> DataFrame:
+    return df.select(*[F.col(name).getField(c).alias(c) for c in columns])
+
+
 def text_bytes(blocks: DataFrame) -> int:
     return blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
 

@@ -1,9 +1,10 @@
 """Benchmark decontamination by training suffix arrays (operator 1).
 
 Every task cuts its documents into shards of some megabytes, builds the suffix array of a shard's words and binary-
-searches every suffix of the benchmark in it. Where a suffix agrees on a whole window, the array gives all places;
-places that follow each other on one diagonal make up a longest verbatim match. A document lies in one shard, so no
-match is lost, nothing is shuffled, and memory is that of one shard.
+searches every suffix of the benchmark in it. Where a suffix agrees on a whole window, the array gives all places. Of each
+place and item the longest agreement is kept, one number, however often words repeat; one that doesn't just go on with that of the
+place before is a longest verbatim match. A document lies in one shard, so no match is lost, nothing is shuffled, and memory
+is that of one shard.
 
 The benchmark goes to the tasks in broadcast blocks of bounded size, as numbers of words. Its own size is checked: beyond
 MAX_BENCHMARK_BYTES of text the frozen documents are passed over once for each part of it, and the parts' results are joined.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unpacked, whole_row, with_id, written
 from .suffix import larsson_sadakane, narrow
 
 SHARD_BYTES = 4 << 20
@@ -72,57 +73,59 @@ class Suffixes:
 
 
 def _search(sequence: np.ndarray, sa: np.ndarray, q: Suffixes):
-    """(suffix, low, high, longest): where each suffix of the benchmark agrees on its window, and on how many words it
-    agrees with any place."""
+    """(item, low, high, depth, suffix), by depth: places sa[low:high] agree on ``depth`` words with a suffix of the item, a whole
+    window or more. Suffixes of an item that agree with the same places to the same depth are one entry, and there is one only
+    where the places become fewer, so repeated words don't multiply."""
     padded = np.concatenate([sequence, np.full(int(q.left.max(initial=0)) + 2, -2, np.int64)])
     live = np.arange(len(q.words))
     low, high = np.zeros(len(live), np.int64), np.full(len(live), len(sa), np.int64)
-    longest = np.zeros(len(live), np.int64)
-    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[np.ndarray] = []
     depth = 0
     while len(live):
-        more = q.left[live] > depth
-        live, low, high = live[more], low[more], high[more]
-        symbol = q.words[live + depth]
-        known = symbol >= 0
-        live, low, high, symbol = live[known], low[known], high[known], symbol[known]
-        low, high = narrow(padded, sa, symbol, depth, low, high)
-        some = low < high
-        live, low, high = live[some], low[some], high[some]
+        new_low, new_high = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+        more = np.flatnonzero(q.left[live] > depth)
+        symbol = q.words[live[more] + depth]
+        more, symbol = more[symbol >= 0], symbol[symbol >= 0]
+        new_low[more], new_high[more] = narrow(padded, sa, symbol, depth, low[more], high[more])
+        fewer = (q.need[live] <= depth) & (new_high - new_low < high - low)
+        if fewer.any():
+            rows = np.c_[q.item[live[fewer]], low[fewer], high[fewer]]
+            rows, first = np.unique(rows, axis=0, return_index=True)
+            out.append(np.c_[rows, np.full(len(rows), depth), live[fewer][first]])
+        some = new_low < new_high
+        live, low, high = live[some], new_low[some], new_high[some]
         depth += 1
-        longest[live] = depth
-        full = q.need[live] == depth
-        if full.any():
-            hits.append((live[full], low[full], high[full]))
-    if not hits:
-        return None, longest
-    return tuple(np.concatenate(x) for x in zip(*hits)), longest
+    return np.concatenate(out) if out else np.empty((0, 5), np.int64)
 
 
 def _shard_matches(sequence, starts, sa, q: Suffixes):
-    """Per document of the shard its matches, and marks of all hit words. Diagonals: suffixes and places that move on
-    together form one longest match."""
-    hit, _ = _search(sequence, sa, q)
-    change = np.zeros(len(sequence) + 1, np.int64)
-    if hit is None:
-        return change, []
-    suffix, low, high = hit
-    n = high - low
-    which = np.repeat(suffix, n)
-    place = sa[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    need = q.need[which]
-    np.add.at(change, place, 1)
-    np.add.at(change, place + need, -1)
-    diagonal = place - which
-    order = np.lexsort((place, diagonal, q.item[which]))
-    which, place, need, diagonal = which[order], place[order], need[order], diagonal[order]
-    item = q.item[which]
-    new = np.r_[True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] > place[:-1] + 1)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(new)] - 1
-    doc = np.searchsorted(starts, place[first], side="right") - 1
-    length = place[last] + need[last] - place[first]
-    return change, list(zip(doc.tolist(), item[first].tolist(), (which[first] - q.start[item[first]]).tolist(), (place[first] - starts[doc]).tolist(), length.tolist()))
+    """Marks of all hit words, and matches (document, item, item's word, document's word, words): at each place the longest
+    agreement with the item, unless it only goes on with that of the place before."""
+    hits = _search(sequence, sa, q)
+    hits = hits[np.argsort(hits[:, 0], kind="stable")]  # by item, then by depth
+    change, matches = np.zeros(len(sequence) + 1, np.int64), []
+    cuts = np.flatnonzero(np.r_[True, hits[1:, 0] != hits[:-1, 0]]) if len(hits) else []
+    for a, b in zip(cuts, np.r_[cuts[1:], len(hits)] if len(hits) else []):
+        own = hits[a:b]
+        order = np.argsort(own[:, 1], kind="stable")
+        ends = np.maximum.accumulate(own[order, 2])
+        new = np.flatnonzero(np.r_[True, own[order[1:], 1] >= ends[:-1]])  # ranges that don't meet
+        base, top = own[order[new], 1], np.maximum.reduceat(own[order, 2], new)
+        offset = np.r_[0, np.cumsum(top - base)]
+        longest, suffix = np.zeros(offset[-1], np.int64), np.zeros(offset[-1], np.int64)
+        at = np.searchsorted(base, own[:, 1], side="right") - 1
+        for low, high, depth, s in zip(*(own[:, 1:3] - (base - offset[:-1])[at][:, None]).T.tolist(), own[:, 3].tolist(), own[:, 4].tolist()):
+            longest[low:high], suffix[low:high] = depth, s
+        place = sa[np.concatenate([np.arange(x, y) for x, y in zip(base, top)])]
+        order = np.argsort(place)
+        place, longest, suffix = place[order], longest[order], suffix[order]
+        np.add.at(change, place, 1)
+        np.add.at(change, place + longest, -1)
+        start = np.r_[True, (place[1:] != place[:-1] + 1) | (longest[1:] != longest[:-1] - 1)]
+        place, longest, suffix = place[start], longest[start], suffix[start]
+        doc, item = np.searchsorted(starts, place, side="right") - 1, int(own[0, 0])
+        matches += zip(doc.tolist(), [item] * len(doc), (suffix - q.start[item]).tolist(), (place - starts[doc]).tolist(), longest.tolist())
+    return change, matches
 
 
 def _scan(window: int, blocks, longest_item: int):
@@ -184,27 +187,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
 
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer; a document's word inside
     any occurrence of a window is hit. items: ids (as strings, sorted) of the items with occurring windows; matches:
-    longest verbatim matches as (item_id, item_word, doc_word, n_words), counted in words from 0. Null texts have no
+    longest verbatim matches as (item_id, item_word, doc_word, n_words), counted in words from 0, for each place of the document
+    where one starts the longest with an item, at the first of the item's places with it. Null texts have no
     words; items without words match nothing; a null item id counts as an empty string; repeated rows give repeated
     results. Texts may be of any length; one over SHARD_BYTES is a shard of its own. Empty tables on either side give no
     matches. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks, longest, total, done = [], window, 0, []
     for items, size in _benchmark_blocks(benchmark, item_col, item_text_col, BLOCK_BYTES):
         if blocks and total + size > MAX_BENCHMARK_BYTES:
             if not done:
                 rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "documents").select(F.struct("row", "id").alias("id"), "text")
-            done.append(_part(rows, window, blocks, longest, f"struct<row:bigint,id:{id_type}>"))
+            done.append(_part(rows, window, blocks, longest))
             blocks, longest, total = [], window, 0
         total += size
         longest = max(longest, *(len(w) for _, w in items))
         blocks.append(spark.sparkContext.broadcast(_coded(items)))
     if not done:
-        return rows.mapInArrow(_scan(window, blocks, longest), f"id {id_type}, {FOUND}")
-    done.append(_part(rows, window, blocks, longest, f"struct<row:bigint,id:{id_type}>"))
+        return rows.mapInArrow(_scan(window, blocks, longest), with_id(rows, "id", FOUND))
+    done.append(_part(rows, window, blocks, longest))
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
@@ -213,20 +216,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     return joined.select(F.col("id.id").alias("id"), "n_words", F.size(hit).cast("long").alias("n_hit"), "items", "matches")
 
 
-def _part(rows: DataFrame, window: int, blocks: list, longest: int, id_type: str) -> DataFrame:
+def _part(rows: DataFrame, window: int, blocks: list, longest: int) -> DataFrame:
     """Written results for some blocks of the benchmark, which then leave memory."""
-    found = written(rows.mapInArrow(_scan(window, blocks, longest), f"id {id_type}, {FOUND}"), "matches")
+    found = written(rows.mapInArrow(_scan(window, blocks, longest), with_id(rows, "id", FOUND)), "matches")
     for b in blocks:
         b.destroy()
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns. The rows themselves go
-    through the scan, so that repeated or null ids need no join."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns, whatever their names. The
+    rows themselves go through the scan, so that repeated or null ids need no join. Nulls, empty and long texts and empty
+    tables are as contamination says."""
+    packed = docs.select(whole_row(docs), F.col(text_col).alias("text"))
     kept = contamination(packed, benchmark, id_col="row", text_col="text", **options).filter("n_hit = 0")
-    return kept.select(*[F.col("id").getField(c).alias(c) for c in docs.columns])
+    return unpacked(kept, docs.columns, "id")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, MESSAGE, answered, by_block, golomb_decode, golomb_encode, message_batch, occurrences, owner_slices, owners, replies_in_order, spread_join, table, written
+from .common import BROADCAST_BYTES, MESSAGE, answered, by_block, first_row, golomb_decode, golomb_encode, message_batch, occurrences, owner_slices, owners, replies_in_order, spread_join, table, unpacked, whole_row, written
 
 BLOCK_ROWS = 8192
 
@@ -84,7 +84,7 @@ def find_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             sent = [b - a for _, a, b in owner_slices(values, n)]
             elsewhere = np.concatenate([np.unpackbits(np.frombuffer(r, np.uint8), count=c) for r, c in zip(replies_in_order(got), sent)])
             suspect = (elsewhere.astype(bool) | (counts > 1))[inverse]
-            at = (int(block.column("block")[i].as_py()) << 16) + np.arange(len(suspect))
+            at = first_row(block.column("block")[i].as_py()) + np.arange(len(suspect))
             rows = [digests[j : j + 32] for j in range(0, len(digests), 32)]
             out.append(pa.table([block.column("ids")[i].values, pa.array(at, pa.int64()), pa.array(rows, pa.binary()), pa.array(suspect)], names=["id", "at", "digest", "suspect"]))
         return pa.concat_tables(out)
@@ -112,19 +112,20 @@ def _verified(docs: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows with the same id and text one stays."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows with the same id and text one
+    stays. Nulls, empty and long texts, ties and empty tables are as find_copies says."""
     per_row = find_copies(docs, id_col, text_col).groupBy("id", F.xxhash64("digest").alias("print")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     odd = written(per_row.filter("NOT stays OR n > 1"), "copies")
     repeated = odd.filter("stays").limit(1).count()
-    keys = odd.select(F.col("id").alias("__id"), F.col("print").alias("__print"))
+    keys = odd.select(F.col("id").alias("odd_id"), F.col("print").alias("odd_print"))
     small = odd.count() * 64 <= BROADCAST_BYTES
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(_digest(F.col(text_col))) == F.col("__print"))
-    left = docs.join(F.broadcast(keys) if small else keys, on, "left_anti")
-    if not repeated:
-        return left
-    again = odd.filter("stays").select(F.col("id").alias("__id"), F.col("print").alias("__print"))
-    ones = docs.join(again, on).dropDuplicates(["__id", "__print"]).select(*docs.columns)
-    return left.unionByName(ones)
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.xxhash64(_digest(F.col(text_col))).alias("print"))
+    on = F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("print") == F.col("odd_print"))
+    left = rows.join(F.broadcast(keys) if small else keys, on, "left_anti").select("row")
+    if repeated:
+        again = odd.filter("stays").select(F.col("id").alias("odd_id"), F.col("print").alias("odd_print"))
+        left = left.unionByName(rows.join(again, on).dropDuplicates(["odd_id", "odd_print"]).select("row"))
+    return unpacked(left, docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ times plus one Bernoulli copy, seeded by the hash of its id, with probability r
 
 A source of few documents, of which one holds a good part of its words, can't come near its target by draws that know
 nothing of each other. The few documents that hold more than 1 / LARGE of their source (less than LARGE, whatever its size) are
-therefore drawn first, the largest first, each with the fraction that is then still open: words that the draws should still
-take over words that are still to be drawn. All other documents are drawn with the fraction that is open after these.
-Each document's probability is still the fraction f = t / w: after a draw of a document of s words, the open fraction is
-(t - s) / (w - s) with probability t / w and t / (w - s) otherwise, on average (t - s t / w) / (w - s) = t / w. Only where the
-open fraction leaves the range from 0 to 1, and is cut to it, does this not hold.
+therefore drawn first, the largest first, and what a draw gave too much or too little is made up for by the fraction of those that
+follow. All other documents are drawn with the fraction that is open after these.
+
+Each document's probability is exactly the source's fraction f. If a document of s words of the w that are left is drawn with the open
+fraction p, the next one is q0 where it wasn't taken and q1 where it was. q0 = p w / (w - s) would make up for it wholly; q0 is
+held to 1, and to p / (1 - p), and q1 is (p - (1 - p) q0) / p, which is then between 0 and 1. So p q1 + (1 - p) q0 = p: on average
+the open fraction never changes, however few documents a source has and however large one of them is.
 
 Plan: one scan of the texts writes (id, size, source) without texts, aggregated by source with partial sums. Source
 totals are one row per source; the water level is found by aggregates over them, never on the driver row by row. What
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import table, written
+from .common import table, unpacked, whole_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 LARGE = 512
@@ -87,20 +89,22 @@ def _plan(sizes: DataFrame, weights, max_repeats: float, seed: int) -> DataFrame
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(float(max_repeats)))).otherwise(F.lit(1.0))
     targets = targets.withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
     large = _with_source(sizes, targets.select("source", "n_rows", F.struct("source_size").alias("plan")), F.col("source")).filter(F.col("size") * LARGE > F.col("__plan.source_size"))
-    large = large.groupBy("source", "id", "size").agg(F.count("*").alias("m")).select("source", F.struct((-F.col("size")).alias("order"), _chance(F.col("id"), seed).alias("u"), "id", "size", (F.col("size") * F.col("m")).alias("s")).alias("x"))
+    large = large.groupBy("source", "id", "size").agg(F.count("*").alias("m")).select("source", F.struct((-F.col("size")).alias("order"), F.xxhash64(F.lit(seed + 1), "id").alias("tie"), _chance(F.col("id"), seed).alias("u"), "id", "size", (F.col("size") * F.col("m")).alias("s")).alias("x"))
     large = large.groupBy(F.col("source").alias("of")).agg(F.array_sort(F.collect_list("x")).alias("large"))  # less than LARGE of a source
     both = targets.join(large, F.col("source").eqNullSafe(F.col("of")), "left")
     id_type = sizes.schema["id"].dataType.simpleString()
-    drawn = f"""aggregate(large, named_struct('t', fraction * source_size, 'w', double(source_size), 'drawn', cast(array() as array<struct<id:{id_type},size:bigint,drawn:boolean>>)),
-        (a, x) -> named_struct('t', a.t - if(x.u < a.t / a.w, x.s, 0), 'w', a.w - x.s, 'drawn', concat(a.drawn, array(named_struct('id', x.id, 'size', x.size, 'drawn', x.u < a.t / a.w)))))"""
+    missed = "coalesce(least(a.p * a.w / nullif(a.w - x.s, 0), 1D, a.p / nullif(1 - a.p, 0)), a.p)"  # the open fraction where x isn't taken
+    taken = f"coalesce((a.p - (1 - a.p) * {missed}) / nullif(a.p, 0), a.p)"
+    drawn = f"""aggregate(large, named_struct('p', double(fraction), 'w', double(source_size), 'drawn', cast(array() as array<struct<id:{id_type},size:bigint,drawn:boolean>>)),
+        (a, x) -> named_struct('p', greatest(0D, least(1D, if(x.u < a.p, {taken}, {missed}))), 'w', a.w - x.s,
+                               'drawn', concat(a.drawn, array(named_struct('id', x.id, 'size', x.size, 'drawn', x.u < a.p)))))"""
     both = both.withColumn("d", F.expr(drawn))
-    rest = F.when(F.col("d.w") > 0, F.col("d.t") / F.nullif("d.w", F.lit(0.0)))
-    plan = F.struct("source_size", "target", F.floor("rate").alias("whole"), F.coalesce(rest, F.col("fraction")).alias("rest"), F.col("d.drawn").alias("large"))
+    plan = F.struct("source_size", "target", F.floor("rate").alias("whole"), F.coalesce("d.p", "fraction").alias("rest"), F.col("d.drawn").alias("large"))
     return written(both.select("source", "n_rows", plan.alias("plan")), "plan")
 
 
 def _with_source(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
-    """``rows`` with __plan of their source. Plans of the sources with most rows are broadcast, BROADCAST_SOURCES at most; so
+    """``rows`` with the column __plan of their source; ``rows`` are this module's own, with columns of its choice. Plans of the sources with most rows are broadcast, BROADCAST_SOURCES at most; so
     no source that is left to a shuffle has more than that part of all rows."""
     p = plan.select(F.col("source").alias("__source"), "n_rows", F.col("plan").alias("__plan"))
     n, total = p.agg(F.count("*"), F.sum("n_rows")).first()
@@ -123,7 +127,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 
     Null or empty texts have size 0 and may be emitted as any other; texts may be of any length. A null source is a source of
     its own, last in order. Rows of a source with equal ids and sizes (null ids too) are taken alike; ties in size are
-    drawn in order of their hashes. An empty table gives no rows. Other columns are left out, whatever their names.
+    drawn in order of another hash. An empty table gives no rows. Other columns are left out, whatever their names.
     """
     sizes = _sizes(docs, id_col, text_col, source_col)
     joined = _with_source(sizes, _plan(sizes, weights, max_repeats, seed), F.col("source"))
@@ -131,12 +135,13 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 
 
 def take_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), max_repeats=3.0, seed=17) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as mix_sources says, with all their columns; repeated rows are
-    emitted for each."""
+    """The mix itself: the rows of ``docs``, each as often as mix_sources says, with all their columns, whatever their names;
+    repeated rows are emitted for each. Nulls, empty and long texts, ties and empty tables are as mix_sources says."""
     plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, max_repeats, seed)
-    joined = _with_source(docs, plan, F.col(source_col).cast("string"))
-    copies = _copies(F.col(id_col), words(F.col(text_col)), seed).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    copies = _copies(F.col("id"), F.col("size"), seed).cast("int")
+    mixed = _with_source(rows, plan, F.col("source")).select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"))
+    return unpacked(mixed, docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

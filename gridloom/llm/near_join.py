@@ -15,11 +15,10 @@ document frequency and one hash, by document frequency and another hash, by a th
    they share no more than what follows: pairs for which that isn't enough don't meet.
 4. Filters are intersected: pairs go on if their prefixes under the second and third order meet, too; only then are the
    whole sets fetched and compared.
-5. In buckets that still hold documents of different components, those outside of the largest one meet the others if
-   they are at most NARROW. Wider buckets are cut by a second filter: members now share a prefix shingle of the first
-   and one of the third order. There they meet pivots of these smaller buckets, and what is still apart after that
-   meets all others outside of its component, in the smaller bucket. No link between different components is lost, and
-   links within one don't change it.
+5. In buckets that still hold documents of different components, those outside of the largest one meet the others: in
+   blocks of bounded size, dealt to tasks, where maps of parity bits are compared. Two sets' maps differ in no more bits than
+   the sets in elements, so no link is lost; of documents that share a passage and little else next to none pass. Only
+   those become pairs, for the filters of step 4. Links within a component don't change it.
 6. Components of the links are found by joins; nothing but sizes and counts reaches the driver. Joins to a group or pivot
    that many rows have deal it to several tasks.
 """
@@ -34,14 +33,15 @@ from pyspark.sql import functions as F
 from ..plans.graph import connected_components
 from .common import (
     BROADCAST_BYTES, MESSAGE, answered, by_block, first_row, golomb_decode, golomb_encode, message_batch, mix, owner_slices, owners, replies_in_order, spread_join, table, text_blocks,
-    text_bytes, unpack, written,
+    text_bytes, unpack, unpacked, whole_row, written,
 )
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SEEDS = ((11, 12), (13, 14))  # of hashes by which pivots are picked, in the buckets of one and of two filters
+SEEDS = (11, 12)  # of hashes by which pivots are picked
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MAX_WORDS_KEPT = 1 << 20
-NARROW = 512
+BLOCK = 2048  # members of a bucket in one task, on either side
+MAX_MAP_WORDS = 1024
 
 
 class WordHashes(dict):
@@ -84,8 +84,8 @@ def _prefix(order: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _index_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int):
-    """Written (id, at, n, key_1, key_2, first, second, third, tokens): first, second and third are the recurring shingles of the
-    prefixes; documents without one have null arrays."""
+    """Written (id, at, n, key_1, key_2, first, second, third, tokens, map): first, second and third are the recurring shingles of
+    the prefixes, map is the parity map of all; documents without a recurring one have nulls there."""
     spark = docs.sparkSession
     blocks = text_blocks(docs, id_col, text_col)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
@@ -123,7 +123,7 @@ def _index_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, perce
         return [x.tobytes() for x in np.split(classes, np.cumsum([len(x) for x in lists])[:-1])]
 
     classes = answered(blocks.select("block", "sizes", "body").mapInArrow(send, MESSAGE), answer)
-    arrays = "first array<bigint>, second array<bigint>, third array<bigint>, tokens array<bigint>"
+    arrays = "first array<bigint>, second array<bigint>, third array<bigint>, tokens array<bigint>, map binary"
 
     def rows(block: pa.Table, got: pa.Table) -> pa.Table:
         known, ids, out = WordHashes(), [], []
@@ -136,22 +136,22 @@ def _index_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, perce
             for k, s in enumerate(sets):
                 n = len(s)
                 keys = [int(np.bitwise_xor.reduce(mix(s + np.uint64(x)))) if n else 0 for x in (1, 2)]
-                first = second = third = full = None
+                first = second = third = full = bits = None
                 if n:
                     df = code[np.searchsorted(tokens, s >> drop)]
                     p = n - (percent * n + 99) // 100 + 1
                     order = np.lexsort((s, df))[:p]
                     index = s[order][df[order] > 1]
                     if len(index):
-                        first, full = index, s
+                        first, full, bits = index, s, parity_map(s, map_words(n))
                         order = np.lexsort((mix(s), df))[:p]
                         second = s[order][df[order] > 1]
                         order = np.argsort(mix(s + STEP))[:p]
                         third = s[order][df[order] > 1]
                 signed = [None if x is None else x.view(np.int64) for x in (first, second, third, full)]
-                out.append((at + k, n, *(int(np.uint64(x).view(np.int64)) for x in keys), *signed))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
-        names = ["id", "at", "n", "key_1", "key_2", "first", "second", "third", "tokens"]
+                out.append((at + k, n, *(int(np.uint64(x).view(np.int64)) for x in keys), *signed, bits))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
+        names = ["id", "at", "n", "key_1", "key_2", "first", "second", "third", "tokens", "map"]
         return pa.table([pa.concat_arrays(ids) if ids else pa.nulls(0), *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], names=names)
 
     both = by_block(blocks, n_owners).cogroup(by_block(classes, n_owners))
@@ -208,20 +208,68 @@ def _open(index: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return written(spread_join(known, mixed, ["token"], "rep"), name)
 
 
-def _both_filters(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Open buckets cut smaller: each row once per prefix shingle of the third order."""
-    third = sets.select(F.col("at").alias("rep"), "third")
-    cut = rows.select("token", "rep", "n", "own", "at").join(third, "rep").select("token", "rep", "n", "own", "at", F.explode("third").alias("t"))
-    return written(cut.select(F.xxhash64("token", "t").alias("token"), "rep", "n", "own", "at"), "cut")
-
-
-def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Of open buckets: members outside of the largest component with all that are in other components than theirs."""
-    outside = rows.filter("component <> major").select("token", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c"))
-    met = outside.join(rows.withColumnsRenamed({"n": "n_b", "at": "at_b"}), "token")
-    once = (F.col("component") == F.col("major")) | (F.col("x") < F.col("rep"))
-    met = met.filter((F.col("c") != F.col("component")) & once & _may_link(percent))
-    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+def parity_map(hashes: np.ndarray, n_words: int) -> bytes:
+    """64 * n_words bits; each is the parity of how many hashes fall on it, so that two sets' maps differ in no more bits than the
+    sets have elements that are in one of them only."""
+    bits = np.bincount((mix(hashes ^ STEP) % np.uint64(64 * n_words)).astype(np.int64), minlength=64 * n_words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def map_words(n: int) -> int:
+    """Words of a set's map: a bit or more for each element, up to MAX_MAP_WORDS; powers of two, so that longer maps fold."""
+    return 1 << max(2, min(MAX_MAP_WORDS.bit_length() - 1, int(n - 1 >> 6).bit_length()))
+
+
+def _fold(maps: np.ndarray, n_words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, n_words), axis=1)
+
+
+def _rest_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of open buckets: members outside of the largest component with members of other components, as far as parity maps,
+    sizes and places don't rule the pair out. Maps are compared in blocks of BLOCK members; only what passes becomes a row.
+    Buckets with the same members are one."""
+    shape = F.struct(F.count("*"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")))
+    buckets = rows.groupBy("token").agg(shape.alias("shape"), F.count("*").alias("members"), F.first("outside").alias("outside"))
+    same = F.min(F.struct("token", "members", "outside")).alias("x")
+    once = buckets.groupBy("shape").agg(same).select("x.token", F.ceil(F.col("x.members") / BLOCK).cast("int").alias("right"), F.ceil(F.col("x.outside") / BLOCK).cast("int").alias("left"))
+    known = rows.drop("outside").join(sets.select(F.col("at").alias("rep"), "map"), "rep")
+    known = written(spread_join(written(known, "members"), once, ["token"], "rep"), "maps")
+    slot = lambda n: F.pmod(F.xxhash64(F.lit(3), "rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["token", "rep", "n", "at", "component", "map"]
+    right = known.withColumn("j", slot("right")).withColumn("i", every("left"))
+    left = known.filter("component <> major").withColumn("i", slot("left")).withColumn("j", every("right"))
+    met = right.select(*columns, "i", "j", F.lit(False).alias("asks"), (F.col("component") == F.col("major")).alias("main"))
+    met = met.unionByName(left.select(*columns, "i", "j", F.lit(True).alias("asks"), F.lit(False).alias("main")))
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        rep, n, at, component = (group.column(c).to_numpy() for c in ("rep", "n", "at", "component"))
+        main = group.column("main").to_numpy(zero_copy_only=False)
+        maps = group.column("map").to_pylist()
+        width = np.array([len(x) >> 3 for x in maps])
+        out_a, out_b = [], []
+        for w in np.unique(width[~asks]):
+            r = np.flatnonzero(~asks & (width == w))
+            others = np.frombuffer(b"".join(maps[k] for k in r), np.uint64).reshape(len(r), w)
+            for v in np.unique(width[asks]):
+                least = min(v, w)
+                folded = others if w == least else _fold(others, least)
+                for k in np.flatnonzero(asks & (width == v)):
+                    own = np.frombuffer(maps[k], np.uint64)[None, :]
+                    own = own if v == least else _fold(own, least)
+                    both, room = n[r] + n[k], np.minimum(n[r] - at[r], n[k] - at[k])
+                    may = (component[r] != component[k]) & (main[r] | (rep[r] > rep[k]))
+                    may &= (np.minimum(n[r], n[k]) * 100 >= np.maximum(n[r], n[k]) * percent) & (room * (100 + percent) >= both * percent)
+                    c = np.flatnonzero(may)
+                    differ = np.bitwise_count(folded[c] ^ own).sum(axis=1, dtype=np.int64)
+                    c = c[differ * (100 + percent) <= both[c] * (100 - percent)]
+                    out_a.append(np.minimum(rep[r[c]], rep[k]))
+                    out_b.append(np.maximum(rep[r[c]], rep[k]))
+        cat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+        return pa.table([cat(out_a), cat(out_b)], names=["a", "b"])
+
+    return met.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, id_col="doc_id", text_col="text", n_words: int = 4, percent: int = 85) -> DataFrame:
@@ -241,22 +289,11 @@ def near_components(docs: DataFrame, id_col="doc_id", text_col="text", n_words:
     index = sets.join(reps.select(F.col("rep").alias("at")), "at", "left_semi")
     index = index.select(F.posexplode("first").alias("k", "token"), F.col("at").alias("rep"), "n", (prefix - F.size("first")).alias("own"))
     index = written(index.select("token", "rep", "n", "own", (F.col("own") + F.col("k")).alias("at")), "index")
-    links = _verify(_pivot_pairs(index, percent, SEEDS[0]), sets, percent)
+    links = _verify(_pivot_pairs(index, percent, SEEDS), sets, percent)
     labels = connected_components(links, "a", "b", spread=True)
-    still = _open(index, labels, "open")
-    wide = still.filter(F.col("outside") > NARROW)
-    cut = _both_filters(wide, sets) if wide.limit(1).count() else None
-    pairs = _rest_pairs(still.filter(F.col("outside") <= NARROW), percent)
-    if cut is not None:
-        pairs = pairs.union(_pivot_pairs(cut, percent, SEEDS[1])).distinct()
-    more = _verify(pairs, sets, percent)
+    more = _verify(_rest_pairs(_open(index, labels, "open"), sets, percent), sets, percent)
     if more.limit(1).count():
-        links = links.union(more)
-        labels = connected_components(links, "a", "b", spread=True)
-    if cut is not None:
-        more = _verify(_rest_pairs(_open(cut, labels, "open"), percent), sets, percent)
-        if more.limit(1).count():
-            labels = connected_components(links.union(more), "a", "b", spread=True)
+        labels = connected_components(links.union(more), "a", "b", spread=True)
     named = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named, "named")
     groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -269,21 +306,24 @@ def near_components(docs: DataFrame, id_col="doc_id", text_col="text", n_words:
 
 def drop_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", n_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one stays per component, the one with the smallest id (null ids
-    come last), with all their columns. Rows are told apart by id and text; of repeated rows one stays."""
-    packed = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("print")).alias("__key"), F.col(text_col).alias("__text"))
-    found = near_components(packed, "__key", "__text", n_words, percent)
+    come last), with all their columns, whatever their names. Rows are told apart by id and text; of repeated rows one stays.
+    Null and empty texts, texts without words, long ones and empty tables are as near_components says: what links with nothing
+    stays."""
+    packed = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("print")).alias("key"), F.col(text_col).alias("text"))
+    found = near_components(packed, "key", "text", n_words, percent)
     best = written(found, "components").withColumn("same", F.col("id") == F.col("component_id"))
     gone = best.filter("NOT same").select("id").distinct()
     small = gone.count() * 64 <= BROADCAST_BYTES
-    gone = gone.select(F.col("id.own_id").alias("__id"), F.col("id.print").alias("__print"))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__print"))
-    left = docs.join(F.broadcast(gone) if small else gone, on, "left_anti")
-    again = best.filter("same").groupBy("id").count().filter("count > 1").select(F.col("id.own_id").alias("__id"), F.col("id.print").alias("__print"))
+    gone = gone.select(F.col("id.own_id").alias("gone_id"), F.col("id.print").alias("gone_print"))
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"))
+    on = lambda x: F.col("id").eqNullSafe(F.col(f"{x}_id")) & (F.col("print") == F.col(f"{x}_print"))
+    left = rows.join(F.broadcast(gone) if small else gone, on("gone"), "left_anti")
+    again = best.filter("same").groupBy("id").count().filter("count > 1").select(F.col("id.own_id").alias("again_id"), F.col("id.print").alias("again_print"))
     again = written(again, "again")
     if not again.limit(1).count():
-        return left
-    ones = left.join(again, on).dropDuplicates(["__id", "__print"]).select(*docs.columns)
-    return left.join(again, on, "left_anti").unionByName(ones)
+        return unpacked(left, docs.columns)
+    ones = left.join(again, on("again")).dropDuplicates(["again_id", "again_print"]).select("row")
+    return unpacked(left.join(again, on("again"), "left_anti").select("row").unionByName(ones), docs.columns)
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unpacked, whole_row, with_id
 
 
 @dataclass(frozen=True)
@@ -94,31 +94,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     """Learns from labelled rows only: fold 0 for dictionaries, fold 2 for calibration, where a row's fold is CRC-32 of its
     id's text modulo 3; fold 1 is held out. Dictionaries are cut from pieces of their texts (see Bounds); calibration compresses
     whole texts, on the executors, as scoring does. Labels other than 0 and 1 and null ids are ignored; an id labelled twice
-    counts once (label 1 first). Without labelled rows all scores are 0.5."""
+    counts once (label 1 first). Null and empty texts count as texts of no size; repeated rows count each; texts may be of any
+    length. Other columns are left out, whatever their names. Without labelled rows all scores are 0.5."""
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     marked = marked.withColumn("__fold", F.crc32(F.col("__id").cast("string")) % 3)
     order = [F.xxhash64("__id"), F.col("__id")]
     part = [marked.filter((F.col("__fold") == 0) & (F.col("__label") == k)).orderBy(*order).limit(bounds.rows) for k in (0, 1)]
     part.append(marked.filter(F.col("__fold") == 2).orderBy(*order).limit(2 * bounds.rows))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.col("text")
     n = F.least(F.lit(bounds.pieces), F.ceil(F.length(text) / bounds.piece_chars)).cast("int")
     spread = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.substring(text, (k * F.length(text) / F.greatest(n, F.lit(1))).cast("int") + 1, F.lit(bounds.piece_chars)))
-    learned = docs.join(F.broadcast(part[0].unionByName(part[1])), docs[id_col] == F.col("__id"))  # 2 * bounds.rows ids at most
+    learned = docs.join(F.broadcast(part[0].unionByName(part[1])), F.col("id") == F.col("__id"))  # 2 * bounds.rows ids at most
     rows = sorted(learned.select("__id", F.col("__label").alias("label"), spread.alias("pieces")).collect(), key=lambda r: (str(r["__id"]), r["pieces"]))
     training = {k: [p.encode() for r in rows if r["label"] == k for p in r["pieces"]] for k in (0, 1)}
     for samples in training.values():  # the training is sensitive to order: shuffle, but always alike
         samples.sort(key=zlib.crc32)
     model = Model(_dictionary(training[0], bounds.dictionary_bytes), _dictionary(training[1], bounds.dictionary_bytes), (0.0,) * 4, bounds)
-    found = _calibration(docs, part[2], model, id_col, text)
+    found = _calibration(docs, part[2], model)
     if not found:  # no row in that fold: those of the dictionaries have to do
-        found = _calibration(docs, part[0].unionByName(part[1]), model, id_col, text)
+        found = _calibration(docs, part[0].unionByName(part[1]), model)
     x, y = np.array([r[1:] for r in found], float).reshape(-1, 3), np.array([r[0] for r in found], float)
     return Model(model.bad, model.good, _fit(x, y), bounds)
 
 
-def _calibration(docs: DataFrame, sample: DataFrame, model: Model, id_col: str, text) -> list[tuple]:
+def _calibration(docs: DataFrame, sample: DataFrame, model: Model) -> list[tuple]:
     """(label, features of the whole text) of the sample's rows, three numbers each, in a fixed order."""
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id"))  # 2 * bounds.rows ids at most
+    rows = docs.join(F.broadcast(sample), F.col("id") == F.col("__id"))  # 2 * bounds.rows ids at most
     held = docs.sparkSession.sparkContext.broadcast((model.bad, model.good))
     w, bounds = model.weights, model.bounds
 
@@ -129,14 +131,13 @@ def _calibration(docs: DataFrame, sample: DataFrame, model: Model, id_col: str,
             x = np.array([own.features(c, t) for t in b.column(1).cast(pa.binary()).to_pylist()], float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(3)]], names=["label", "a", "b", "c"])
 
-    return sorted(map(tuple, rows.select(F.col("__label").cast("int").alias("label"), text.alias("text")).mapInArrow(run, "label int, a double, b double, c double").collect()))
+    return sorted(map(tuple, rows.select(F.col("__label").cast("int").alias("label"), "text").mapInArrow(run, "label int, a double, b double, c double").collect()))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, score) of whole texts; null counts as empty, and an empty text gets the score of no difference. One row per
     row, repeated or null ids too; an empty table gives none. Texts may be of any length. ``id_col`` may be a struct that
     carries other columns; the others are left out, whatever their names."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((model.bad, model.good))
     w, bounds = model.weights, model.bounds
 
@@ -147,13 +148,14 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
             x = np.array([own.features(c, t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(_logit(w, x)), pa.float64())], names=["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, with_id(docs, id_col, "score double"))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col="text", threshold=0.5) -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` at least, with all their columns."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    return score(rows, model, "row", "text").filter(F.col("score") >= threshold).select(*[F.col("id").getField(c).alias(c) for c in docs.columns])
+    """The rows of ``docs`` with a score of ``threshold`` at least, with all their columns, whatever their names. Nulls, empty and
+    long texts, repeated rows and empty tables are as score says."""
+    rows = docs.select(whole_row(docs), F.col(text_col).alias("text"))
+    return unpacked(score(rows, model, "row", "text").filter(F.col("score") >= threshold), docs.columns, "id")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -174,13 +174,15 @@ def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndar
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col="doc_id", text_col="text", kept: int = KEPT) -> Chain:
     """Learns from at most ROWS labelled rows, of which a third at most have a category. ``labels`` has the id and one 0/1 column
     per category, in the order of the chain, the overall one last; rows with a null in it or a null id are left out, other nulls
-    count as 0, repeated ids count once (1 first). Without labelled rows all probabilities are a half."""
+    count as 0, repeated ids count once (1 first). Null texts have no words; texts may be of any
+    length; other columns of ``docs`` are left out, whatever their names. Without labelled rows all probabilities are a half."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = [F.max(F.coalesce(F.col(c), F.lit(0)).cast("int")).alias(f"__{c}") for c in categories]
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(categories[-1]).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*marks)
     order = [F.xxhash64("__id"), F.col("__id")]
     some = reduce(lambda a, b: a | b, [F.col(f"__{c}") > 0 for c in categories])
     sample = marked.filter(some).orderBy(*order).limit(ROWS // 3).unionByName(marked.filter(~some).orderBy(*order).limit(ROWS - ROWS // 3))
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select(F.xxhash64("__id").alias("h"), F.col(text_col).cast("string").alias("text"), *[F.col(f"__{c}").alias(c) for c in categories])
+    rows = docs.join(F.broadcast(sample), F.col("id") == F.col("__id")).select(F.xxhash64("__id").alias("h"), "text", *[F.col(f"__{c}").alias(c) for c in categories])
 
     def reduce_texts(batches):
         for b in batches:
@@ -228,7 +230,8 @@ def weak_categories(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     order = [F.xxhash64(id_col), F.col(id_col)]
     some = marked.filter("toxic = 1").orderBy(*order).limit(ROWS // 3)
     marked = some.unionByName(marked.filter("toxic = 0").orderBy(*order).limit(ROWS - ROWS // 3))
-    found = docs.join(F.broadcast(some.select(F.col(id_col).alias("__id"))), docs[id_col] == F.col("__id"), "left_semi")  # ROWS / 3 ids
+    docs = docs.select(id_col, text_col)
+    found = docs.join(F.broadcast(some.select(F.col(id_col).alias("__id"))), F.col(id_col) == F.col("__id"), "left_semi")  # ROWS / 3 ids
     found = found.groupBy(id_col).agg(F.max(has(INSULTS)).alias("insult"), F.max(has(CONTEMPT)).alias("contempt"))
     return marked.join(found, id_col, "left").select(id_col, F.coalesce("insult", F.lit(0)).alias("insult"), F.coalesce("contempt", F.lit(0)).alias("contempt"), "toxic")
 

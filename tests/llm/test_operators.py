@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import common, decontaminate, exact_dedup, html_text, licences, mixing, near_join, quality, repeats, secrets, suffix, toxicity
-from gridloom.llm.common import golomb_decode, golomb_encode, occurrences, table
+from gridloom.llm.common import golomb_decode, golomb_encode, occurrences, table, written
 from gridloom.llm.queries import ORACLE_SQL, QUERIES
 from gridloom.plans import spread
 
@@ -104,6 +104,24 @@ def test_contamination_with_a_large_benchmark(spark, sf_dir, monkeypatch):
     assert flat(decontaminate.contamination(docs, bench)) == whole
 
 
+def test_contamination_of_repeated_words(spark):
+    """Every place of the document agrees with many of the item's: results grow with places, not with their product."""
+    items = [(1, "ha " * 400), (2, "ho ha ha ho " * 30), (3, "ha " * 12 + "end")]
+    docs = [(1, "ha " * 3000), (2, "ha ha ho ho " * 50), (3, "ho " * 20 + "ha " * 15 + "end"), (4, "x " + "ha " * 9)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = sorted(brute_contamination(docs, items))
+    assert sorted((r.id, r.n_words, r.n_hit, tuple(r["items"])) for r in found) == want
+    by = {r.id: r.matches for r in found}
+    assert all(len(by[d]) <= 3 * len(t.split()) for d, t in docs)
+    words = {i: t.split() for i, t in items}
+    for d, t in docs:
+        for m in by[d]:
+            item, doc = words[int(m.item_id)], t.split()
+            assert item[m.item_word : m.item_word + m.n_words] == doc[m.doc_word : m.doc_word + m.n_words]
+    first = [m for m in by[1] if m.item_id == "1"]
+    assert [(m.doc_word, m.n_words) for m in first] == [(k, 400) for k in range(2601)]
+
+
 def test_contamination_edges(spark, edge_docs, no_docs):
     items = [(1, "Word"), (2, None), (3, "--- !!"), (4, " ".join(f"passage{i}" for i in range(5, 40))), (4, "text that is here"), (None, "ünïcode"), (5, "w1x1")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -179,6 +197,21 @@ def test_draws_have_their_probability(spark):
     assert off < 0.5 * alone
 
 
+@pytest.mark.parametrize("n_words", [[1000, 10, 10, 10], [100, 1], [7], [50, 50, 49], [300, 20, 20, 5, 5], [600, 300]])
+def test_draws_of_small_sources_have_their_probability(spark, n_words):
+    """Many sources of a few documents each: whatever was drawn before, a document's share of draws is the fraction."""
+    many = 3000
+    rows = [(s * 100 + k, n, f"s{s:05d}") for s in range(many) for k, n in enumerate(n_words)]
+    sizes = spark.createDataFrame(rows, "id long, size long, source string").repartition(3)
+    plan = mixing._plan(sizes, (5, 2, 1), 3.0, 17)
+    got = mixing._with_source(sizes, plan, F.col("source")).select("id", "__plan.target", "__plan.source_size", mixing._copies(F.col("id"), F.col("size"), 17).alias("copies")).collect()
+    copies = collections.defaultdict(list)
+    for r in got:
+        copies[round(r.target / r.source_size, 6), r.id % 100].append(r.copies)
+    for (rate, item), k in copies.items():
+        assert abs(np.mean(k) - rate) < 4 * np.sqrt(rate % 1 * (1 - rate % 1) / len(k)) + 1e-6, (n_words, rate, item, np.mean(k))
+
+
 def test_mixing_query(spark):
     """The registered query's own columns: exact but for the draws, which are held to their bounds."""
     sf_dir = "/root/testdata/sf0.01"
@@ -269,8 +302,8 @@ def test_near_components_of_a_family(spark):
 
 
 def test_near_components_of_wide_buckets(spark, monkeypatch):
-    """Composites of a few shared passages, most of them not alike: buckets are cut, and keys dealt to several tasks."""
-    monkeypatch.setattr(near_join, "NARROW", 1)
+    """Composites of a few shared passages, most of them not alike: buckets are compared in many blocks, and keys dealt to several tasks."""
+    monkeypatch.setattr(near_join, "BLOCK", 16)
     monkeypatch.setattr(spread, "SPREAD_ROWS", 3)
     rng = random.Random(8)
     passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(9)]
@@ -280,6 +313,40 @@ def test_near_components_of_wide_buckets(spark, monkeypatch):
     assert got == brute_components(rows, percent=80) and len({c for _, _, c in got}) > 5
 
 
+def boilerplate(n, seed=4):
+    """A third of the documents share one rare sentence, all are made of 12 of 20 common ones."""
+    rng = random.Random(seed)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(9)) for k in range(20)]
+    return [(k, " ".join(rng.sample(sentences, 12)) + (" one rare sentence that only some of them have" if k % 3 == 0 else "")) for k in range(n)]
+
+
+def test_boilerplate_makes_pairs_in_proportion(spark, monkeypatch):
+    held, verify = [], near_join._verify
+    monkeypatch.setattr(near_join, "_verify", lambda pairs, *a: held.append(written(pairs, "counted")) or verify(held[-1], *a))
+    made = {}
+    for n in (300, 1200):
+        rows = boilerplate(n)
+        held.clear()
+        got = collections.Counter((r.id, r.n_shingles, r.component_id) for r in near_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        made[n] = held[-1].count()
+        assert n > 300 or got == brute_components(rows)
+    assert made[1200] <= 8 * max(made[300], 100), made  # 16 times as many pairs of documents
+
+
+@pytest.mark.parametrize("n_a,n_b", [(5, 6), (100, 110), (250, 300), (900, 1100), (4000, 4500)])
+def test_parity_maps_differ_in_no_more_bits_than_sets(n_a, n_b):
+    rng = np.random.default_rng(n_a)
+    both = rng.integers(0, 2**63, n_b + n_a // 20, dtype=np.uint64)
+    a, b = both[:n_a], both[n_a // 20 :]
+    maps = [np.frombuffer(near_join.parity_map(x, near_join.map_words(len(x))), np.uint64)[None, :] for x in (a, b)]
+    least = min(m.shape[1] for m in maps)
+    x, y = (near_join._fold(m, least) for m in maps)
+    differ = int(np.bitwise_count(x ^ y).sum())
+    assert 0 < differ <= len(set(a.tolist()) ^ set(b.tolist()))
+    other = np.frombuffer(near_join.parity_map(rng.integers(0, 2**63, n_a, dtype=np.uint64), maps[0].shape[1]), np.uint64)
+    assert int(np.bitwise_count(maps[0] ^ other).sum()) > 0.3 * n_a
+
+
 def test_near_query_against_brute_force(spark, sf_dir):
     want = brute_components([(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()])
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op4_ngram_jaccard"](spark, sf_dir).collect()) == want
@@ -325,6 +392,18 @@ def test_exact_copies(spark, edge_docs, no_docs):
     assert left.columns == edge_docs.columns and left.count() == len(groups)
 
 
+def test_exact_dedup_of_partitions_with_large_numbers(spark, monkeypatch):
+    """Row numbers have room for partitions far beyond those of a few terabytes."""
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 8_000_000)
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(exact_dedup, "TaskContext", Context)
+    got = sorted((r.id, r.keep_id, r.kept) for r in exact_dedup.find_copies(docs).collect())
+    assert got == [(1, 1, True), (2, 1, False), (3, 3, True)]
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------
 
 
@@ -373,6 +452,15 @@ def test_pages_nested_deeply(spark):
     assert got == {1: text, 2: text, 3: "short"}
 
 
+def test_attributes_with_quotes_and_tags_without_ends():
+    texts = lambda page: [t for t, _, _ in html_text.parse(page)[0]]
+    assert texts("<h1>Top</h1><p data-t=it's>Hello world, one</p><p>It's the second one</p>") == ["Top", "Hello world, one", "It's the second one"]
+    assert texts('<p title="a > b" id=x>one</p><p title=\'<b>\'>two</p><p a"b c=\'d>three</p>') == ["one", "two", "three"]
+    assert html_text.key_of("p", " data-t=it's class='x y' id=a") == "p.a.x.y"
+    for broken in ("<a ", "<!", '<a b="', "<a b='\"", "<div x='", "<a b="):
+        html_text.parse(broken * 60_000)  # each is read once; hours if every one were read to the end of the page
+
+
 def test_deep_and_wide_pages():
     deep = "<body><article><h1>Title</h1>" + "<div>part " * 10_000
     assert html_text.main_text(deep, json.loads(html_text.infer([deep, deep.replace("part", "other")])))[0].count("part") == 10_000

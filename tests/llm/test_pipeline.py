@@ -4,7 +4,9 @@ import collections
 import re
 
 import corpus_pipeline
-from gridloom.llm import quality
+from pyspark.sql import functions as F
+
+from gridloom.llm import quality, toxicity
 from gridloom.llm.common import table, written
 
 from .test_operators import brute_components, brute_contamination
@@ -74,3 +76,22 @@ def test_stages_in_odd_cases(spark, sf_dir, edge_docs, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
         assert docs.columns == edge_docs.columns and docs.count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Names that operators use themselves, in the documents and in the labels."""
+    names = ["__id", "__print", "__plan", "__source", "__copy", "__label", "__fold", "__rows", "row", "id", "print", "key", "size", "copies", "label", "score", "block", "odd_id", "a.b"]
+    docs = table(spark, sf_dir, "documents").limit(60)
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    labels = table(spark, sf_dir, "labels").withColumn("__id", F.lit("x")).withColumn("text", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+        assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r.doc_id for r in stages[name](spark, docs, sf_dir).collect())
+    kept = quality.keep_good(wide, quality.train(wide, labels))
+    assert kept.columns == wide.columns and all(r["__id"] == f"__id {r.doc_id}" for r in kept.collect())
+    marks = toxicity.weak_categories(wide, labels)
+    assert toxicity.score(wide, toxicity.train(wide, marks, ["insult", "contempt", "toxic"])).count() == 60
