@@ -46,7 +46,7 @@ def read_remedials(lines: DataFrame) -> DataFrame:
     rows = lines.filter("line_no > 1").withColumn("c", cells).filter("size(c) >= 3")
     head = F.split(F.col("c")[0], r"\|")
     actions = F.filter(F.slice("c", F.lit(3), F.size("c")), lambda x: x != "")
-    return rows.select("line_no", head[0].alias("contingency"), F.slice(head, 2, 1000).alias("constraints"), F.expr("try_cast(c[1] AS int)").alias("n_actions"), F.filter(actions, lambda x: ~x.startswith("+")).alias("open"), F.transform(F.filter(actions, lambda x: x.startswith("+")), lambda x: F.substring(x, 2, 1000)).alias("close"))
+    return rows.select("line_no", head[0].alias("contingency"), F.slice(head, F.lit(2), F.size(head)).alias("constraints"), F.expr("try_cast(c[1] AS int)").alias("n_actions"), F.filter(actions, lambda x: ~x.startswith("+")).alias("open"), F.transform(F.filter(actions, lambda x: x.startswith("+")), lambda x: F.substring(x, F.lit(2), F.length(x))).alias("close"))
 
 
 def check_remedial_file(lines: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import negative, positive
+from ..plans.cuts import cut_labels
 from ..plans.graph import connected_components
+from ..plans.scratch import written
 
-SMALL_VOLUME = 0.05  # fixed value: MW
+# fixed values, in MW: volumes that count, by how much a threat must exceed the least one kept, sizes that are told apart
+SMALL_VOLUME, REPLACES, TELLS = 0.05, 1e-3, 1e-3
 
 
 def ptdf_flows(ptdf: DataFrame, injections: DataFrame) -> DataFrame:
@@ -23,24 +26,38 @@ def post_contingency_flows(lodf: DataFrame, flows: DataFrame) -> DataFrame:
     return flows.join(added, ["branch", "version", "point"]).select("branch", "contingency", "version", "point", (F.col("flow") + F.col("added")).alias("flow"))
 
 
-def top_threats(flows: DataFrame, n: int, ratings: DataFrame | None = None) -> DataFrame:
-    """(branch, version, point, rank, contingency, flow): the n largest absolute flows; of equal ones the first contingency by
-    name. With ratings (branch, rating) only flows over them. Spark keeps n rows per group before the shuffle.
+def _kept_threats(n: int) -> Column:
+    """The fold of ``all``, an array of (place, contingency, flow) in order: kept entries (k, i, contingency, flow) by rising size, those
+    whose sizes don't differ by TELLS falling by the number i with which they came. Ranked, largest first."""
+    entry = "array<struct<k:double,i:int,contingency:string,flow:double>>"
+    below = f"if(abs(e.k - x.k) < {TELLS}, e.i > x.i, e.k < x.k)"
+    put = lambda s: f"concat(filter({s}, e -> {below}), array(x), filter({s}, e -> NOT {below}))"
+    step = f"if(size(s) < {n}, {put('s')}, if(x.k - s[0].k > {REPLACES}, {put(f'slice(s, 2, {n})')}, s))"
+    found = "transform(all, (x, i) -> named_struct('k', abs(x.flow), 'i', i, 'contingency', x.contingency, 'flow', x.flow))"
+    return F.expr(f"reverse(aggregate({found}, cast(array() AS {entry}), (s, x) -> {step}))")
 
-    A solver that keeps n threats while it goes through contingencies, and replaces the least one only by one that is
-    larger by more than a thousandth, gives the same but where two flows differ by less: there, which one it keeps depends on
-    the order of its contingencies; here it is the larger."""
+
+def top_threats(flows: DataFrame, n: int, ratings: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
+    """(branch, version, point, rank, contingency, flow): n of the largest absolute flows, as a solver keeps them that goes through
+    the contingencies one by one: as long as fewer than n are kept each one is; then one that is larger than the least by more
+    than REPLACES takes its place. Of sizes that differ by less than TELLS the one that came later is the lesser. With ratings
+    (branch, rating) only flows over them count. ``order`` is (contingency, place); without it contingencies come by name.
+
+    A branch's flows at a point, one for each contingency, meet in one row and are folded there with a state of n entries; there
+    is no window, and no key holds more than that."""
     if ratings is not None:
         flows = flows.join(ratings, "branch").filter(F.abs("flow") > F.col("rating"))
-    w = Window.partitionBy("branch", "version", "point").orderBy(F.abs("flow").desc(), "contingency")
-    return flows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("branch", "version", "point", "rank", "contingency", "flow")
+    if order is not None:
+        flows = flows.join(order, "contingency")
+    place = F.col("place" if order is not None else "contingency")
+    rows = flows.groupBy("branch", "version", "point").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "contingency", F.col("flow").cast("double").alias("flow")))).alias("all"))
+    kept = rows.select("branch", "version", "point", F.posexplode(_kept_threats(n)).alias("k", "t"))
+    return kept.select("branch", "version", "point", (F.col("k") + 1).alias("rank"), "t.contingency", "t.flow")
 
 
-def max_threat(flows: DataFrame) -> DataFrame:
-    """(branch, version, point, contingency, flow): the largest absolute flow, as top_threats, by an aggregate with partial
-    results."""
-    top = F.min(F.struct((-F.abs("flow")).alias("k"), "contingency", "flow")).alias("t")
-    return flows.groupBy("branch", "version", "point").agg(top).select("branch", "version", "point", "t.contingency", "t.flow")
+def max_threat(flows: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(branch, version, point, contingency, flow): the largest absolute flow, by the rule of top_threats."""
+    return top_threats(flows, 1, order=order).drop("rank")
 
 
 def overload_total(flows: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -115,9 +132,84 @@ def zones(branches: DataFrame, hvdc_bridges: DataFrame | None = None) -> DataFra
 
 def lost_pockets(branches: DataFrame, contingencies: DataFrame, node_power: DataFrame) -> DataFrame:
     """(contingency, n_nodes, lost_generation, lost_load): nodes outside of the main component once the outaged branches
-    are open. ``contingencies`` is (contingency, branch), ``node_power`` (node, generation, load). All contingencies' graphs are
-    solved together, keyed by contingency."""
-    every = contingencies.select("contingency").distinct()
+    are open. ``contingencies`` is (contingency, branch), ``node_power`` (node, generation, load); ids are unique.
+
+    Outages of one or two closed branches read the graph once for all of them: its bridges and the pairs that part it come
+    from ``plans.cuts``, and what is cut off are differences of running totals. Those of more branches, and those where two
+    components are the largest (the one with the smallest node is then the main one), are solved on the graph, keyed by
+    contingency."""
+    nodes = branches.select(F.explode(F.array("node1", "node2")).alias("node")).distinct()
+    power = nodes.join(node_power, "node", "left").select("node", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("generation", "load")])
+    closed = branches.filter("closed").select(F.monotonically_increasing_id().alias("e"), F.col("id").alias("branch"), F.col("node1").alias("a"), F.col("node2").alias("b"))
+    closed = written(closed, "closed")
+    parts, components = cut_labels(closed, power, ["generation", "load"])
+    parts, components = written(parts, "parts"), written(components, "components")
+    total = components.agg(F.sum("n").alias("n"), F.sum("generation").alias("generation"), F.sum("load").alias("load")).first()
+    if total["n"] is None:
+        return _solved_pockets(branches, contingencies.limit(0), node_power)
+    out = contingencies.join(closed.select("branch", "e"), "branch", "left").groupBy("contingency").agg(F.collect_set("e").alias("es"))
+    few = out.filter("size(es) <= 2").select("contingency", F.get("es", F.lit(0)).alias("x_e"), F.get("es", F.lit(1)).alias("y_e"))
+    for side in ("x", "y"):
+        own = parts.select(F.col("e").alias(f"{side}_e"), F.struct("component", "label", "tree", "first", "last", "n", "generation", "load").alias(side))
+        whole = components.select(F.col("component").alias(f"{side}_component"), F.struct("n", "generation", "load").alias(f"{side}_all"))
+        few = few.join(own, f"{side}_e", "left").withColumn(f"{side}_component", F.col(f"{side}.component")).join(whole, f"{side}_component", "left")
+    others = []
+    for r in components.orderBy(F.desc("n")).limit(4).collect():  # two outages touch two components at most
+        touched = F.lit(r["component"]).eqNullSafe(F.col("x_component")) | F.lit(r["component"]).eqNullSafe(F.col("y_component"))
+        others.append(F.when(~touched, _sizes(F.lit(r["n"]), F.lit(r["generation"]), F.lit(r["load"]))))
+    found = few.withColumn("every", F.concat(_parts(), F.filter(F.array(*others), lambda p: p.isNotNull())))
+    most = F.array_max(F.transform("every", lambda p: p["n"]))
+    found = written(found.withColumn("main", F.filter("every", lambda p: p["n"] == most)).select("contingency", "main"), "main")
+    lost = {"n_nodes": "n", "lost_generation": "generation", "lost_load": "load"}
+    cut = found.filter("size(main) = 1").select("contingency", *[(F.lit(total[c]) - F.col("main")[0][c]).alias(name) for name, c in lost.items()])
+    hard = out.filter("size(es) > 2").select("contingency").union(found.filter("size(main) > 1").select("contingency"))
+    return cut.filter("n_nodes > 0").unionByName(_solved_pockets(branches, contingencies.join(hard, "contingency", "left_semi"), node_power))
+
+
+def _sizes(n: Column, generation: Column, load: Column) -> Column:
+    return F.struct(n.cast("long").alias("n"), generation.cast("double").alias("generation"), load.cast("double").alias("load"))
+
+
+def _parts() -> Column:
+    """What the outaged branches' components fall into, from the columns x and y (labels of edges, and what is below them) and
+    x_all and y_all (their components)."""
+    x, y, x_all, y_all = (F.col(c) for c in ("x", "y", "x_all", "y_all"))
+
+    def parts(*each):
+        """An array of parts, each a list of what it adds up and a list of what it leaves out."""
+        return F.array(*[_sizes(*[sum((t[c] for t in more[1:]), more[0][c]) - sum((t[c] for t in less), F.lit(0)) for c in ("n", "generation", "load")]) for more, less in each])
+
+    bridge = lambda t: F.coalesce(t["tree"] & (t["label"] == 0), F.lit(False))
+    inside = lambda t, u: (u["first"] < t["first"]) & (t["last"] < u["last"])
+    none = F.array().cast("array<struct<n:bigint,generation:double,load:double>>")
+    alone = lambda t, whole: F.when(t.isNull(), none).when(bridge(t), parts(([t], []), ([whole], [t]))).otherwise(parts(([whole], [])))
+    bridges = (
+        F.when(inside(y, x), parts(([y], []), ([x], [y]), ([x_all], [x])))
+        .when(inside(x, y), parts(([x], []), ([y], [x]), ([x_all], [y])))
+        .otherwise(parts(([x], []), ([y], []), ([x_all], [x, y])))
+    )
+    pair = (
+        F.when(~y["tree"], parts(([x], []), ([x_all], [x])))
+        .when(~x["tree"], parts(([y], []), ([x_all], [y])))
+        .when(inside(y, x), parts(([x], [y]), ([x_all, y], [x])))
+        .when(inside(x, y), parts(([y], [x]), ([x_all, x], [y])))
+        .otherwise(parts(([x, y], []), ([x_all], [x, y])))
+    )
+    together = (
+        F.when(bridge(x) & bridge(y), bridges)
+        .when(bridge(x), alone(x, x_all))
+        .when(bridge(y), alone(y, y_all))
+        .when((x["label"] == y["label"]) & (x["tree"] | y["tree"]), pair)
+        .otherwise(parts(([x_all], [])))
+    )
+    return F.when(F.col("x_component") == F.col("y_component"), together).otherwise(F.concat(alone(x, x_all), alone(y, y_all)))
+
+
+def _solved_pockets(branches: DataFrame, contingencies: DataFrame, node_power: DataFrame) -> DataFrame:
+    """lost_pockets by solving a copy of the graph for every contingency, all together."""
+    every = written(contingencies.select("contingency").distinct(), "contingencies")
+    if not every.limit(1).count():
+        return every.select("contingency", F.lit(0).cast("long").alias("n_nodes"), F.lit(0.0).alias("lost_generation"), F.lit(0.0).alias("lost_load"))
     nodes = branches.select(F.explode(F.array("node1", "node2")).alias("node")).distinct()
     pairs = branches.filter("closed").select(F.col("id").alias("branch"), "node1", "node2").crossJoin(every).join(contingencies, ["contingency", "branch"], "left_anti")
     found = connected_components(pairs, "node1", "node2", key=("contingency",))

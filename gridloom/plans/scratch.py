@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 OWN: dict[str, str] = {}  # folders by application, where the cluster names none
@@ -33,3 +34,10 @@ def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_and_found(df: DataFrame, label: str, condition: Column) -> tuple[DataFrame, bool]:
+    """As ``written``, and whether any row meets the condition, observed as rows are written: no second job."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count("*").alias("rows"), F.count_if(condition).alias("n")), label)
+    return table, bool(seen.get["n"])

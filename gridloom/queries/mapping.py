@@ -11,7 +11,8 @@ from ..operators import reports as rep
 from ..operators import stats
 from ..sources import results as res
 from ..sources import series as src
-from .registry import query
+from ..sources.bindings import with_bindings
+from .registry import ORACLE_SQL, query
 
 r6 = lambda c: F.round(c, 6)
 
@@ -114,28 +115,29 @@ def ignored(t):
 
 
 def dependencies(t):
-    """ts_0 and ts_1 are said to be calculated from two series each."""
-    return t.nation.filter("n_nationkey < 2").select(F.concat(F.lit("ts_"), F.col("n_nationkey").cast("string")).alias("name"), F.explode(F.array(F.lit("ts_20"), F.concat(F.lit("ts_"), (F.col("n_nationkey") + 2).cast("string")))).alias("needs"))
+    """Some series are said to be calculated from two others each, which may be calculated themselves: 0 of 2, 2 of 4, 4 of 6."""
+    return t.nation.filter("n_nationkey IN (0, 1, 2, 4)").select(F.concat(F.lit("ts_"), F.col("n_nationkey").cast("string")).alias("name"), F.explode(F.array(F.lit("ts_20"), F.concat(F.lit("ts_"), (F.col("n_nationkey") + 2).cast("string")))).alias("needs"))
 
 
 DEPENDENCIES = """
     SELECT concat('ts_', CAST(n_nationkey AS STRING)) AS name, unnest(['ts_20', concat('ts_', CAST(n_nationkey + 2 AS STRING))]) AS needs
-    FROM nation WHERE n_nationkey < 2"""
+    FROM nation WHERE n_nationkey IN (0, 1, 2, 4)"""
 
 
-@query(
-    "a15_used_series",
-    """
-    SELECT DISTINCT coalesce(d.needs, u.name) AS name FROM (SELECT series AS name
-    FROM mapping UNION SELECT key_series FROM mapping WHERE key_series IS NOT NULL
-    UNION SELECT 'ts_24') u LEFT JOIN dependencies d ON d.name = u.name""",
-    "equipment", **M, dependencies=DEPENDENCIES,
-)
+@query("a15_used_series")
 def a15(t):
     one = t.nation.filter("n_nationkey = 24").select(F.lit("ts_24").alias("series"))
     return src.used_series(mapping(t), one, one, dependencies(t))
 
 
+# recursive clauses have to come first
+ORACLE_SQL["a15_used_series"] = with_bindings("", "equipment", **M, dependencies=DEPENDENCIES).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+    used(name) AS (
+        SELECT name FROM (SELECT series AS name FROM mapping UNION SELECT key_series FROM mapping WHERE key_series IS NOT NULL UNION SELECT 'ts_24')
+        UNION SELECT d.needs FROM used u JOIN dependencies d ON d.name = u.name)
+    SELECT name FROM used WHERE name NOT IN (SELECT name FROM dependencies)"""
+
+
 @query("a16_mapping_status", "SELECT DISTINCT name, name IN (SELECT series FROM mapping) AS mapped FROM ts", "ts", "equipment", **M)
 def a16(t):
     return src.mapping_status(t.kept_ts, mapping(t))
@@ -548,21 +550,25 @@ def e27(t):
     return lim.correct_base_case_hvdc(t.hvdc)
 
 
+# one series of ids for each nation: at each point its suppliers with that remainder
 _OUTAGES = """
-    SELECT 'out' AS name, version, point, CASE WHEN point % 3 = 0 THEN 'eq_0,eq_3' WHEN point % 3 = 1 THEN 'eq_3' END AS value
-    FROM ts WHERE name = 'ts_0'"""
+    SELECT t.name, t.version, t.point, o.value FROM ts t LEFT JOIN (
+        SELECT replace(voltage_level, 'vl_', 'ts_') AS name, num % 5 AS k, string_agg(id, ',' ORDER BY num) AS value FROM equipment WHERE num % 4 <> 3 GROUP BY 1, 2) o
+    ON o.name = t.name AND o.k = t.point % 7"""
 
 
 @query(
     "e28_planned_outages",
     """
-    SELECT concat('out_', x.id) AS name, version, point, x.id, CASE WHEN value LIKE concat('%', x.id, '%') THEN CAST(0 AS DOUBLE) ELSE 1 END AS value
-    FROM o CROSS JOIN (SELECT 'eq_0' AS id UNION ALL SELECT 'eq_3') x""",
-    "ts", o=_OUTAGES,
+    SELECT concat(o.name, '_', x.id) AS name, o.version, o.point, x.id, CASE WHEN list_contains(string_split(coalesce(value, ''), ','), x.id) THEN CAST(0 AS DOUBLE) ELSE 1 END AS value
+    FROM o JOIN (SELECT DISTINCT name, unnest(string_split(value, ',')) AS id FROM o WHERE value IS NOT NULL) x ON x.name = o.name""",
+    "ts", "equipment", o=_OUTAGES,
 )
 def e28(t):
-    value = F.when(F.col("point") % 3 == 0, "eq_0,eq_3").when(F.col("point") % 3 == 1, "eq_3")
-    return m.planned_outages(t.kept_ts.filter("name = 'ts_0'").select(F.lit("out").alias("name"), "version", "point", value.alias("value")))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("num", "id"))), lambda x: x["id"])
+    lists = t.equipment.filter("num % 4 <> 3").groupBy(F.regexp_replace("voltage_level", "vl_", "ts_").alias("name"), (F.col("num") % 5).alias("k")).agg(F.array_join(ids, ",").alias("value"))
+    texts = t.kept_ts.select("name", "version", "point", (F.col("point") % 7).alias("k")).join(lists, ["name", "k"], "left")
+    return m.planned_outages(texts.select("name", "version", "point", "value"))
 
 
 @query("e29_declare_unmapped", IGNORED, "equipment")

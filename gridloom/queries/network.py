@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..operators import network as net
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 r6 = lambda c: F.round(c, 6)
 RATING = "SELECT branch, value AS rating FROM ratings WHERE variable = 'thresholdN1'"
@@ -37,27 +37,74 @@ def n2(t):
     return threats(t).withColumn("flow", r6("flow"))
 
 
-_TOP = """
-    SELECT branch, version, point, CAST(n AS INT) AS rank, contingency, round(flow, 6) AS flow
-    FROM (SELECT *, row_number() OVER (PARTITION BY branch, version, point
-    ORDER BY abs(flow) DESC, contingency) AS n FROM threats) WHERE n <= {}"""
+def _top_sql(n: int, rows: str = "SELECT *, contingency AS place FROM threats") -> str:
+    """The solver's rule as a recursion over the contingencies in their order, with the kept ones as a list."""
+    below = "CASE WHEN abs(e.k - f.k) < 0.001 THEN e.i > f.i ELSE e.k < f.k END"
+    put = lambda s: f"list_filter({s}, lambda e: {below}) || [struct_pack(k := f.k, i := f.i, c := f.contingency, flow := f.flow)] || list_filter({s}, lambda e: NOT {below})"
+    return f"""
+    RECURSIVE f AS (SELECT branch, version, point, contingency, flow, abs(flow) AS k,
+                           row_number() OVER (PARTITION BY branch, version, point ORDER BY place, contingency) AS i FROM ({rows})),
+    kept(branch, version, point, n, s) AS (
+        SELECT branch, version, point, i, [struct_pack(k := k, i := i, c := contingency, flow := flow)] FROM f WHERE i = 1
+        UNION ALL
+        SELECT f.branch, f.version, f.point, f.i, CASE WHEN len(s) < {n} THEN {put('s')} WHEN f.k - s[1].k > 0.001 THEN {put(f's[2:{n}]')} ELSE s END
+        FROM kept JOIN f ON f.branch = kept.branch AND f.version = kept.version AND f.point = kept.point AND f.i = kept.n + 1),
+    last AS (SELECT branch, version, point, list_reverse(arg_max(s, n)) AS s FROM kept GROUP BY branch, version, point)
+    SELECT branch, version, point, CAST(r AS INT) AS rank, s[r].c AS contingency, round(s[r].flow, 6) AS flow
+    FROM (SELECT *, unnest(range(1, len(s) + 1)) AS r FROM last)"""
+
+
+def _recursive(name: str, sql: str, *bindings: str, **extra: str) -> None:
+    """The twin of a query whose own clauses are recursive: they go on with the bindings' WITH."""
+    from ..sources.bindings import with_bindings
+
+    head, _, body = sql.strip().partition(" ")
+    ORACLE_SQL[name] = with_bindings("", *bindings, **extra).replace("WITH ", f"WITH {head} ", 1).rstrip() + ",\n" + body
 
 
-@query("n3_top_threats", _TOP.format(3), "threats")
+@query("n3_top_threats")
 def n3(t):
     return net.top_threats(threats(t), 3).withColumn("flow", r6("flow"))
 
 
-@query("n3_threats_over_rating", _TOP.format(2).replace("FROM threats)", "FROM (SELECT t.* FROM threats t JOIN rating r ON r.branch = t.branch WHERE abs(t.flow) > r.rating))"), "threats", "ratings", rating=RATING)
+@query("n3_threats_over_rating")
 def n3_over(t):
     return net.top_threats(threats(t), 2, rating(t)).withColumn("flow", r6("flow"))
 
 
-@query("n4_max_threat", _TOP.format(1).replace("CAST(n AS INT) AS rank, ", ""), "threats")
+def _near(t):
+    """Flows some of which differ by less than a thousandth."""
+    return t.threats.withColumn("flow", F.round("flow") + F.regexp_replace("contingency", "cty_", "").cast("double") * 0.0003)
+
+
+_NEAR = "SELECT branch, contingency, version, point, round(flow) + CAST(replace(contingency, 'cty_', '') AS DOUBLE) * 0.0003 AS flow, {} AS place FROM threats"
+
+
+@query("n3_near_threats")
+def n3_near(t):
+    order = t.contingency.select(F.col("id").alias("contingency"), F.col("num").alias("place"))
+    return net.top_threats(_near(t), 3, order=order).withColumn("flow", r6("flow"))
+
+
+@query("n3_near_threats_backwards")
+def n3_back(t):
+    order = t.contingency.select(F.col("id").alias("contingency"), (-F.col("num")).alias("place"))
+    return net.top_threats(_near(t), 3, order=order).withColumn("flow", r6("flow"))
+
+
+@query("n4_max_threat")
 def n4(t):
     return net.max_threat(threats(t)).withColumn("flow", r6("flow"))
 
 
+_OVER = "SELECT t.*, t.contingency AS place FROM threats t JOIN rating r ON r.branch = t.branch WHERE abs(t.flow) > r.rating"
+_recursive("n3_top_threats", _top_sql(3), "threats")
+_recursive("n3_threats_over_rating", _top_sql(2, _OVER), "threats", "ratings", rating=RATING)
+_recursive("n3_near_threats", _top_sql(3, _NEAR.format("CAST(replace(contingency, 'cty_', '') AS INT)")), "threats")
+_recursive("n3_near_threats_backwards", _top_sql(3, _NEAR.format("-CAST(replace(contingency, 'cty_', '') AS INT)")), "threats")
+_recursive("n4_max_threat", _top_sql(1).replace("CAST(r AS INT) AS rank, ", ""), "threats")
+
+
 @query(
     "n5_overload_total",
     """
@@ -115,7 +162,7 @@ def n8(t):
 
 
 _RD = "SELECT CASE WHEN num % 2 = 0 THEN 'HYDRO' ELSE 'NUCLEAR' END AS kind, version, point, value, num FROM redispatch"
-_CUR = "SELECT r.kind, r.version, r.point, c.id AS contingency, r.value * (c.num - 2) AS value FROM rd r CROSS JOIN contingency c WHERE r.num % 5 = 0"
+_CUR = "SELECT r.kind, r.version, r.point, c.id AS contingency, r.value * (c.num - 2) AS value FROM rd r CROSS JOIN contingency c"
 
 
 def _kinds(t):
@@ -124,7 +171,7 @@ def _kinds(t):
 
 def _curative(t):
     c = t.contingency.select(F.col("id").alias("contingency"), F.col("num").alias("k"))
-    return _kinds(t).filter("num % 5 = 0").crossJoin(c).withColumn("value", F.col("value") * (F.col("k") - 2))
+    return _kinds(t).crossJoin(c).withColumn("value", F.col("value") * (F.col("k") - 2))
 
 
 @query("n9_redispatch_volumes", """
@@ -167,32 +214,61 @@ def n11(t):
     return net.zones(t.branch)
 
 
+def _power(t):
+    return t.nation.select(F.col("n_nationkey").alias("node"), F.col("n_nationkey").cast("double").alias("generation"), (F.col("n_nationkey") * 2).cast("double").alias("load"))
+
+
 def n12(t):
     cut = t.contingency.select(F.col("id").alias("contingency"), F.col("element").alias("branch"))
-    power = t.nation.select(F.col("n_nationkey").alias("node"), F.col("n_nationkey").cast("double").alias("generation"), (F.col("n_nationkey") * 2).cast("double").alias("load"))
-    return net.lost_pockets(t.branch, cut, power)
+    return net.lost_pockets(t.branch, cut, _power(t))
+
+
+def n12_pairs(t):
+    """Every pair of nations' branches is an outage."""
+    one = t.contingency.select("num", F.col("element").alias("branch"))
+    other = one.select(F.col("num").alias("num2"), F.col("branch").alias("branch2"))
+    name = F.concat(F.lit("cty_"), F.col("num").cast("string"), F.lit("_"), F.col("num2").cast("string"))
+    cut = one.join(other, F.col("num") < F.col("num2")).select(name.alias("contingency"), F.explode(F.array("branch", "branch2")).alias("branch"))
+    return net.lost_pockets(t.branch, cut, _power(t))
 
 
 query("n11_zones")(n11)
 query("n12_lost_pockets")(n12)
-from .registry import ORACLE_SQL  # noqa: E402
-
+query("n12_lost_pockets_of_pairs")(n12_pairs)
 ORACLE_SQL["n11_zones"] = _with_reach(
     f"SELECT node, zone, zone = (SELECT zone FROM ({_ZONES}) GROUP BY zone ORDER BY count(*) DESC, zone LIMIT 1) AS connected FROM ({_ZONES})",
     "SELECT node1 AS a, node2 AS b FROM branch WHERE closed UNION SELECT node2, node1 FROM branch WHERE closed",
 )
-_POCKETS = """
-    SELECT n.contingency, n.node, coalesce(min(least(r.b, n.node)), n.node) AS zone
-    FROM (SELECT c.n_nationkey AS contingency, x.node FROM nation c CROSS JOIN (SELECT node1 AS node FROM branch UNION SELECT node2 FROM branch) x) n
-    LEFT JOIN reach r ON r.k = n.contingency AND r.a = n.node GROUP BY n.contingency, n.node"""
-ORACLE_SQL["n12_lost_pockets"] = _with_reach(
-    f"""SELECT concat('cty_', CAST(z.contingency AS STRING)) AS contingency, count(*) AS n_nodes, sum(CAST(z.node AS DOUBLE)) AS lost_generation, sum(CAST(z.node * 2 AS DOUBLE)) AS lost_load
-        FROM ({_POCKETS}) z JOIN (SELECT contingency, zone FROM (SELECT contingency, zone, row_number() OVER (PARTITION BY contingency
-        ORDER BY count(*) DESC, zone) AS n FROM ({_POCKETS}) GROUP BY contingency, zone)
+
+
+def _pockets_sql(outages: str) -> str:
+    """Pockets by reachability, for outages (contingency, x, y) of nations' branches; y may be null."""
+    pockets = """
+        SELECT n.contingency, n.node, coalesce(min(least(r.b, n.node)), n.node) AS zone
+        FROM (SELECT c.contingency, x.node FROM outages c CROSS JOIN (SELECT node1 AS node FROM branch UNION SELECT node2 FROM branch) x) n
+        LEFT JOIN reach r ON r.k = n.contingency AND r.a = n.node GROUP BY n.contingency, n.node"""
+    sql = f"""SELECT z.contingency, count(*) AS n_nodes, sum(CAST(z.node AS DOUBLE)) AS lost_generation, sum(CAST(z.node * 2 AS DOUBLE)) AS lost_load
+        FROM ({pockets}) z JOIN (SELECT contingency, zone FROM (SELECT contingency, zone, row_number() OVER (PARTITION BY contingency
+        ORDER BY count(*) DESC, zone) AS n FROM ({pockets}) GROUP BY contingency, zone)
         WHERE n = 1) g ON g.contingency = z.contingency
-        WHERE z.zone <> g.zone GROUP BY z.contingency""",
-    "SELECT c.n_nationkey AS k, x.a, x.b FROM nation c CROSS JOIN (SELECT id, node1 AS a, node2 AS b FROM branch WHERE closed UNION SELECT id, node2, node1 FROM branch WHERE closed) x WHERE x.id <> concat('br_', CAST(c.n_nationkey AS STRING))",
-).replace("reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)", "reach(k, a, b) AS (SELECT k, a, b FROM edges UNION SELECT r.k, r.a, e.b FROM reach r JOIN edges e ON e.k = r.k AND e.a = r.b)")
+        WHERE z.zone <> g.zone GROUP BY z.contingency"""
+    edges = f"""SELECT c.contingency AS k, x.a, x.b FROM ({outages}) c
+        CROSS JOIN (SELECT id, node1 AS a, node2 AS b FROM branch WHERE closed UNION SELECT id, node2, node1 FROM branch WHERE closed) x
+        WHERE x.id <> c.x AND x.id <> coalesce(c.y, '')"""
+    body = _with_reach(sql, edges)
+    step = "SELECT k, a, b FROM edges UNION SELECT r.k, r.a, e.b FROM reach r JOIN edges e ON e.k = r.k AND e.a = r.b"
+    body = body.replace("reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)", f"outages AS ({outages}), reach(k, a, b) AS ({step})")
+    return body
+
+
+_BRANCH_OF = "concat('br_', CAST({0} AS STRING))"
+ORACLE_SQL["n12_lost_pockets"] = _pockets_sql(
+    f"SELECT concat('cty_', CAST(n_nationkey AS STRING)) AS contingency, {_BRANCH_OF.format('n_nationkey')} AS x, CAST(NULL AS STRING) AS y FROM nation"
+)
+ORACLE_SQL["n12_lost_pockets_of_pairs"] = _pockets_sql(
+    f"""SELECT concat('cty_', CAST(a.n_nationkey AS STRING), '_', CAST(b.n_nationkey AS STRING)) AS contingency, {_BRANCH_OF.format('a.n_nationkey')} AS x, {_BRANCH_OF.format('b.n_nationkey')} AS y
+        FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"""
+)
 
 
 @query("n13_section_flow", """
@@ -214,10 +290,10 @@ def n14(t):
 
 
 @query("n15_reserve_share", """
-    SELECT id, CASE WHEN num % 2 = 0 THEN least(max_p, round((SELECT max(l) FROM (SELECT sum(max_p) AS l FROM equipment WHERE type = 'GENERATOR' AND num < 15 GROUP BY num % 5)) / (SELECT sum(max_p) FROM equipment WHERE type = 'GENERATOR' AND num % 2 = 0) * max_p, 1)) ELSE 0 END AS share FROM equipment WHERE type = 'GENERATOR'""", "equipment")
+    SELECT id, CASE WHEN num % 2 = 0 THEN least(max_p, round((SELECT max(l) FROM (SELECT sum(max_p) AS l FROM equipment WHERE type = 'GENERATOR' GROUP BY num % 97)) / (SELECT sum(max_p) FROM equipment WHERE type = 'GENERATOR' AND num % 2 = 0) * max_p, 1)) ELSE 0 END AS share FROM equipment WHERE type = 'GENERATOR'""", "equipment")
 def n15(t):
     g = t.equipment.filter("type = 'GENERATOR'")
-    lost = g.filter("num < 15").select((F.col("num") % 5).alias("contingency"), F.col("max_p").alias("lost"))
+    lost = g.select((F.col("num") % 97).alias("contingency"), F.col("max_p").alias("lost"))
     return net.reserve_share(g.select("id", "max_p", (F.col("num") % 2 == 0).alias("adjustable")), lost)
 
 

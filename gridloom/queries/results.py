@@ -234,16 +234,16 @@ def f14(t):
     return post.contingency_probability(t.contingency, t.ts)
 
 
-@query("f15_losses_cost", "SELECT version, point, value * 55 AS value FROM ts WHERE name = 'ts_2'", "ts")
+@query("f15_losses_cost", "SELECT version, point, sum(value) * 55 AS value FROM ts GROUP BY version, point", "ts")
 def f15(t):
-    return post.losses_cost(t.ts.filter("name = 'ts_2'").withColumnRenamed("value", "losses"), 55.0)
+    return post.losses_cost(t.ts.groupBy("version", "point").agg(F.sum("value").alias("losses")), 55.0)
 
 
 @query("f16_all_postprocessing", f"""SELECT name, version, point, value FROM (
     SELECT concat('all<>basecaseLoad_', branch) AS name, version, point, load AS value
     FROM ({_loading_sql('f')}) UNION ALL SELECT concat('all<>basecaseOverload_', branch), version, point, overload
     FROM ({_loading_sql('f')})
-    UNION ALL SELECT 'all<>LOSSES_COST', version, point, value * 55 FROM ts WHERE name = 'ts_2') WHERE NOT isnan(value)""", "flows", "ratings", "monitoring", "ts", f=FLOWS, rated=RATED["n"])
+    UNION ALL SELECT 'all<>LOSSES_COST', version, point, sum(value) * 55 FROM ts GROUP BY version, point) WHERE NOT isnan(value)""", "flows", "ratings", "monitoring", "ts", f=FLOWS, rated=RATED["n"])
 def f16(t):
     cost = f15(t).select(F.lit("LOSSES_COST").alias("name"), "version", "point", "value")
     return post.postprocess([post.loading_series(loading(t), "basecase"), cost], "all").filter("NOT isnan(value)").withColumn("value", r6("value"))
@@ -270,13 +270,12 @@ def f17(t):
     "f17_tap_angles",
     """
     SELECT p.id, t.version, t.point, CAST(CAST(trunc(t.value) AS INT) % 5 AS DOUBLE) / 4 AS angle
-    FROM pst p JOIN ts t ON t.name = concat('ts_', CAST(p.num AS STRING))
-    WHERE t.value < 1200""",
+    FROM pst p JOIN ts t ON t.name = concat('ts_', CAST(p.num AS STRING))""",
     "pst", "ts",
 )
 def f17_angles(t):
-    taps = t.ts.filter("value < 1200").select(F.regexp_replace("name", "ts_", "pst_").alias("id"), "version", "point", "value").join(t.pst.select("id"), "id", "left_semi")
-    angles = t.pst.select("id", F.explode(F.sequence(F.lit(0), F.lit(1200))).alias("tap")).withColumn("alpha", (F.col("tap") % 5).cast("double") / 4)
+    taps = t.ts.select(F.regexp_replace("name", "ts_", "pst_").alias("id"), "version", "point", "value").join(t.pst.select("id"), "id", "left_semi")
+    angles = taps.select("id", F.col("value").cast("int").alias("tap")).distinct().withColumn("alpha", (F.col("tap") % 5).cast("double") / 4)
     return post.tap_angles(taps, angles)
 
 

@@ -116,6 +116,19 @@ def a13(t):
     return src.filter_by_ranges(t.ts, [(1, 3), (2, 5), (-9, -2)]).select("name", "version", "point", "value")
 
 
+@query("a13_ranges_of_series", """
+    SELECT name, version, point, value FROM ts WHERE EXISTS (
+        SELECT 1 FROM nation n WHERE ts.name = concat('ts_', CAST(n.n_nationkey AS STRING))
+        AND (ts.version = 1 AND ts.point BETWEEN n.n_nationkey AND n.n_nationkey + 5 OR ts.version <> 1 AND ts.point BETWEEN 2 * n.n_nationkey + 20 AND 3 * n.n_nationkey + 22))""", "ts")
+def a13_table(t):
+    """Ranges of their own for every series and version, as a table."""
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit("ts_"), k.cast("string")).alias("name")
+    rows = t.nation.select(name, F.lit(1).alias("version"), k.alias("low"), (k + 5).alias("high"))
+    rows = rows.unionByName(t.nation.select(name, F.explode(F.array(F.lit(0), F.lit(2))).alias("version"), (2 * k + 20).alias("low"), (3 * k + 22).alias("high")))
+    return src.filter_by_range_table(t.ts, rows).select("name", "version", "point", "value")
+
+
 @query("a14_slice_points", "SELECT name, version, point, value FROM ts WHERE point BETWEEN 10 AND 19", "ts")
 def a14(t):
     return src.slice_points(t.ts, 10, 19).select("name", "version", "point", "value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written, written_and_found
+
 KEYS = ("Time", "Version")
 TS = "name string, version int, point int, instant timestamp, value double"
 
@@ -204,14 +206,43 @@ def computation_range(ts: DataFrame, versions: list[int] | None = None, ranges:
     return filter_by_ranges(ts, check_ranges(ranges)) if ranges is not None else ts
 
 
+FEW_RANGES = 64  # as conditions of a filter; more are joined
+
+
 def filter_by_ranges(ts: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Points in any of the closed ranges, once each; no ranges give no rows. A filter that reaches the scan."""
+    """Points in any of the closed ranges, once each; no ranges give no rows. Ranges that meet are one. A few are a filter that
+    reaches the scan, more a table of ranges."""
+    joined: list[list[int]] = []
+    for low, high in sorted((a, b) for a, b in ranges if a <= b):
+        if joined and low <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    if len(joined) > FEW_RANGES:
+        return filter_by_range_table(ts, ts.sparkSession.createDataFrame([tuple(r) for r in joined], "low long, high long"), [])
     condition = F.lit(False)
-    for low, high in ranges:
+    for low, high in joined:
         condition = condition | F.col("point").between(low, high)
     return ts.filter(condition)
 
 
+def filter_by_range_table(ts: DataFrame, ranges: DataFrame, keys: list[str] = ["name", "version"]) -> DataFrame:  # noqa: B006
+    """Rows of ``ts`` with a point in any of the closed ranges (*keys, low, high) of their keys, once each, by an index of bins: a
+    range of some 2^k points lies in three bins of that width at most, so it is that many rows; a point has one bin for each width
+    in use, some 30 at most. Bins are joined by equality, the ends compared after that; nothing is compared with all ranges.
+    Bounds that are null or the wrong way round hold nothing."""
+    ranges = ranges.select(*keys, F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).filter("low <= high").distinct()
+    width = F.length(F.bin(F.col("high") - F.col("low")))
+    bins = ranges.withColumn("level", width).withColumn("bin", F.explode(F.sequence(F.expr("shiftright(low, level)"), F.expr("shiftright(high, level)"))))
+    levels = sorted(r["level"] for r in bins.select("level").distinct().collect())  # bit lengths: 64 at most
+    if not levels:
+        return ts.limit(0)
+    level = F.explode(F.array(*[F.lit(k) for k in levels]))
+    points = ts.select(*keys, F.col("point").cast("long").alias("point")).distinct().withColumn("level", level).withColumn("bin", F.expr("shiftright(point, level)"))
+    held = points.join(bins, [*keys, "level", "bin"]).filter("point BETWEEN low AND high").select(*keys, "point").distinct()
+    return ts.join(held, [*keys, "point"], "left_semi")
+
+
 def slice_points(ts: DataFrame, low: int, high: int) -> DataFrame:
     return ts.filter(F.col("point").between(low, high))
 
@@ -221,9 +252,32 @@ def slice_points(ts: DataFrame, low: int, high: int) -> DataFrame:
 
 def used_series(mapping: DataFrame, direct: DataFrame, outages: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(name) of stored series to load: mapped ones, direct ones, planned outages, distribution keys; a calculated one
-    stands for those it reads. ``dependencies`` is (name, needs)."""
+    stands for those it reads, which may be calculated themselves. ``dependencies`` is (name, needs)."""
     names = mapping.select(F.col("series").alias("name")).union(mapping.select("key_series").filter("key_series IS NOT NULL")).union(direct.select("series")).union(outages.select("series")).distinct()
-    return names.join(dependencies, "name", "left").select(F.coalesce("needs", "name").alias("name")).distinct()
+    return stored_names(names, dependencies)
+
+
+def stored_names(names: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(name) of the stored series behind ``names``, through any number of calculations: each round follows what the round before
+    has reached first, so there are as many as the longest chain. A calculation that reads itself, directly or not, is an error."""
+    edges = written(dependencies.select("name", "needs").filter("name IS NOT NULL AND needs IS NOT NULL").distinct(), "dependencies")
+    seen = written(names.select("name").filter("name IS NOT NULL").distinct(), "names")
+    reached, more = seen, True
+    while more:
+        next_ = reached.join(edges, "name").select(F.col("needs").alias("name")).distinct().join(seen, "name", "left_anti")
+        reached, more = written_and_found(next_, "names", F.lit(True))
+        seen = seen.unionByName(reached)
+    seen = written(seen, "names")
+    open_, more = written_and_found(edges.join(seen, "name", "left_semi"), "open", F.lit(True))
+    n = open_.count()
+    while more:  # what needs only stored or settled series is settled
+        waiting = open_.join(open_.select(F.col("name").alias("needs")).distinct(), "needs", "left_semi").select("name").distinct()
+        open_, more = written_and_found(open_.join(waiting, "name", "left_semi"), "open", F.lit(True))
+        before, n = n, open_.count()
+        if more and n == before:
+            some = ", ".join(sorted(r["name"] for r in open_.select("name").distinct().limit(5).collect()))
+            raise ValueError(f"series that read themselves: {some}")
+    return seen.join(edges.select("name").distinct(), "name", "left_anti")
 
 
 def mapping_status(ts: DataFrame, mapping: DataFrame) -> DataFrame:
