@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scan import running
+
 TOLERANCE = 1e-4
 
 
@@ -96,11 +98,10 @@ def extend_limits(rows: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFr
     """((version, point, id, min_limit, max_limit), (version, id, side, base_limit, limit, n_violations)) where limits are ignored: an equipment's own limits grow
     to the largest and smallest power so far; at the point itself they are the next whole number beyond it."""
     own = rows.filter("ignore_limits AND p IS NOT NULL")
-    before = Window.partitionBy("version", "id").orderBy("point").rowsBetween(Window.unboundedPreceding, -1)
     open_max, open_min = F.col("max_p_mapped").isNull(), F.col("min_p_mapped").isNull() & (F.col("base_min") <= 0)
-    high = F.greatest("base_max", F.coalesce(F.max(F.when(open_max, F.col("p"))).over(before), F.col("base_max")))
-    low = F.least("base_min", F.coalesce(F.min(F.when(open_min, F.col("p"))).over(before), F.col("base_min")))
-    own = own.withColumn("high", high).withColumn("low", low)
+    own = own.withColumn("up_p", F.when(open_max, F.col("p"))).withColumn("down_p", F.when(open_min, F.col("p")))
+    own = running(own, ["version", "id"], "point", {"most": ("up_p", "max"), "least": ("down_p", "min")}, before=True)
+    own = own.withColumn("high", F.greatest("base_max", F.coalesce("most", "base_max"))).withColumn("low", F.least("base_min", F.coalesce("least", "base_min")))
     at = own.select(
         "version", "point", "id",
         F.when(open_min & (F.col("p") < F.col("low") - tolerance), F.floor(F.col("p") - 0.5).cast("double")).otherwise(F.col("low")).alias("min_limit"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -85,9 +86,65 @@ def _text(i: int, r: Rule) -> str | None:
     )
 
 
+EQUALITY = re.compile(r"\s*(\w+)\s*=\s*('[^'\\]*'|-?\d+)\s*(?:AND\b|$)", re.I)
+MATCH = "rule_id int, series string, variables array<string>, key_number double, key_series string, ignore_limits boolean"
+INDEXED_FROM, FEW_KEYS = 32, 64  # rules on the same attributes; different key expressions of these
+
+
+def _equalities(r: Rule, kinds: dict[str, str]) -> dict[str, str] | None:
+    """A condition's attributes and values if it is nothing but equalities of an attribute to a value of its own kind."""
+    if not isinstance(r.where, str) or isinstance(r.key, Column):
+        return None
+    found, at = {}, 0
+    while at < len(r.where):
+        m = EQUALITY.match(r.where, at)
+        quoted = m is not None and m[2].startswith("'")
+        if m is None or m[1] in found or kinds.get(m[1]) not in (("string",) if quoted else ("int", "bigint", "double")):
+            return None
+        found[m[1]], at = m[2].strip("'"), m.end()
+    return found or None
+
+
+def _indexed(rules: dict[int, Rule], equipment: DataFrame, attributes: tuple[str, ...], values: dict[int, dict[str, str]]) -> DataFrame:
+    """Matches of rules that compare the same attributes with values: a join by type and these, so that equipment meets only the
+    rules that hold for it."""
+    spark, kinds = equipment.sparkSession, dict(equipment.dtypes)
+    texts = sorted({r.key for r in rules.values() if isinstance(r.key, str)})
+    rows = [
+        (r.type, *[values[i][a] for a in attributes], i, r.series, list(r.mapped), None if r.key_series is not None or isinstance(r.key, str) else 1.0 if r.key is None else float(r.key),
+         r.key_series, r.ignore_limits, texts.index(r.key) if isinstance(r.key, str) else None)
+        for i, r in rules.items()
+    ]
+    index = spark.createDataFrame(rows, ", ".join(["rule_type string", *[f"value_{k} string" for k in range(len(attributes))], MATCH, "key_at int"]))
+    on = [F.col("type") == F.col("rule_type")] + [F.col(a) == F.col(f"value_{k}").cast(kinds[a]) for k, a in enumerate(attributes)]
+    met = equipment.join(index, reduce(lambda x, y: x & y, on))
+    met = met.filter(~F.col("type").isin(*INJECTIONS) | (F.col("connected") & F.col("in_main_cc")))
+    key = F.coalesce(F.col("key_number"), F.get(F.array(*[F.expr(t).cast("double") for t in texts]), F.col("key_at"))) if texts else F.col("key_number")
+    return met.select("rule_id", "type", F.explode("variables").alias("variable"), "series", "id", key.alias("key_number"), "key_series", "ignore_limits")
+
+
 def rule_matches(rules: list[Rule], equipment: DataFrame) -> DataFrame:
-    """(rule_id, type, variable, series, id, key_number, key_series, ignore_limits): every match, in one scan of the
-    equipment however many rules there are."""
+    """(rule_id, type, variable, series, id, key_number, key_series, ignore_limits): every match. Where INDEXED_FROM rules or more
+    compare the same attributes of a kind of equipment with values, these are an index of (attribute, value) that equipment is
+    joined to; all other rules are evaluated in one scan of the equipment, however many there are."""
+    kinds = dict(equipment.dtypes)
+    groups: dict[tuple[str, ...], dict[int, dict[str, str]]] = {}
+    for i, r in enumerate(rules):
+        if (found := _equalities(r, kinds)) is not None:
+            groups.setdefault(tuple(sorted(found)), {})[i] = found
+    groups = {a: v for a, v in groups.items() if len(v) >= INDEXED_FROM and len({rules[i].key for i in v}) <= FEW_KEYS}
+    parts = [_indexed({i: rules[i] for i in v}, equipment, a, v) for a, v in groups.items()]
+    held = {i for v in groups.values() for i in v}
+    rest = [(i, r) for i, r in enumerate(rules) if i not in held]
+    if not rules:
+        return _indexed({}, equipment, (), {})
+    if rest:
+        parts.append(_scanned(rest, equipment))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scanned(rules: list[tuple[int, Rule]], equipment: DataFrame) -> DataFrame:
+    """Matches by evaluating every rule on all equipment."""
 
     def one(i: int, r: Rule) -> Column:
         hit = (F.col("type") == r.type) & F.coalesce(_column(r.where, F.lit(True)), F.lit(False))
@@ -97,11 +154,11 @@ def rule_matches(rules: list[Rule], equipment: DataFrame) -> DataFrame:
             F.lit(i).alias("rule_id"), F.lit(r.series).alias("series"), F.array(*map(F.lit, r.mapped)).alias("variables"),
             F.when(F.lit(r.key_series is None), _column(r.key, F.lit(1.0)).cast("double")).alias("key_number"), F.lit(r.key_series).cast("string").alias("key_series"), F.lit(r.ignore_limits).alias("ignore_limits")))
 
-    texts = [_text(i, r) for i, r in enumerate(rules)]
+    texts = [_text(i, r) for i, r in rules]
     if all(t is not None for t in texts):
         hits = F.expr(f"filter(array({', '.join(texts)}), x -> x IS NOT NULL)")
     else:
-        hits = F.filter(F.array(*[one(i, r) if t is None else F.expr(t) for (i, r), t in zip(enumerate(rules), texts)]), lambda x: x.isNotNull())
+        hits = F.filter(F.array(*[one(i, r) if t is None else F.expr(t) for (i, r), t in zip(rules, texts)]), lambda x: x.isNotNull())
     matched = equipment.select("id", "type", F.explode(hits).alias("m"))
     return matched.select("m.rule_id", "type", F.explode("m.variables").alias("variable"), "m.series", "id", "m.key_number", "m.key_series", "m.ignore_limits")
 

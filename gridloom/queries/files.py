@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import shared_dir
 from ..sources import series as src
-from ..streaming.append import append_result_chunks
+from ..sources.store import SeriesStore
+from ..streaming.append import append_result_chunks, export_when_complete
 from .registry import query
 
 ALL = "SELECT name, version, instant, value FROM ts"
@@ -56,14 +57,47 @@ def a2(t):
     return src.read_ts_json(t.spark, f"{path}/*").select("name", "version", "point", F.col("value").cast("double").alias("value"))
 
 
-@query("r1_append_result_chunks", "SELECT name, version, point, instant, value FROM ts", "ts")
-def r1(t):
-    """Two chunks in the wrong order and one that is stored already, through the stream."""
+@query("a5_store", """
+    SELECT name, version, CAST(row_number() OVER (PARTITION BY name, version ORDER BY instant) - 1 AS INT) AS point, instant,
+           CASE WHEN name = 'ts_3' AND version = 1 THEN value + 1 ELSE value END AS value FROM ts""", "ts")
+def a5_store(t):
+    """Two halves appended, a third time refused as a whole, one series overwritten, on disk."""
+    store = SeriesStore(t.spark, _folder(t, "series"), buckets=4)
+    store.append(t.kept_ts.filter("point < 40"))
+    later = t.kept_ts.filter("point >= 40")
+    store.append(later, src.APPEND)
+    for bad in (later, t.kept_ts.filter("point < 3")):
+        try:
+            store.append(bad, src.APPEND)
+        except ValueError:
+            continue
+        raise AssertionError("stored twice")
+    store.append(t.kept_ts.filter("name = 'ts_3' AND version = 1").withColumn("value", F.col("value") + 1), src.OVERWRITE)
+    return store.read()
+
+
+def _streamed(t) -> str:
+    """Two chunks in the wrong order and one that is stored already, through the stream; the store's folder."""
     source, store, checkpoint, refused = (_folder(t, x) for x in ("chunks", "store", "checkpoint", "refused"))
-    for part in (t.ts.filter("point >= 50"), t.ts.filter("point < 50"), t.ts.filter("point < 10")):
+    for part in (t.kept_ts.filter("point >= 50"), t.kept_ts.filter("point < 50"), t.kept_ts.filter("point < 10")):
         part.write.mode("append").parquet(source)
         append_result_chunks(t.spark, source, store, checkpoint, refused).awaitTermination()
-    return t.spark.read.parquet(store).select("name", "version", "point", "instant", "value")
+    return store
+
+
+@query("r1_append_result_chunks", "SELECT name, version, point, instant, value FROM ts", "ts")
+def r1(t):
+    return t.spark.read.parquet(_streamed(t)).select("name", "version", "point", "instant", "value")
+
+
+@query("r1_final_export", "SELECT name, version, instant, value FROM ts", "ts")
+def r1_export(t):
+    """The stream's result as the file that is written once all chunks are there."""
+    path = _folder(t, "export")
+    expected = t.kept_ts.groupBy("name", "version").agg(F.count("*").alias("n_points"))
+    if not export_when_complete(t.spark, _streamed(t), expected, path):
+        raise AssertionError("chunks are missing")
+    return src.read_ts_csv(t.spark, [path])[0].select("name", "version", "instant", "value")
 
 
 @query(

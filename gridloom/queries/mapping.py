@@ -159,16 +159,23 @@ def a17(t):
     return src.tag(rows, t.kept_ts)
 
 
-@query("a19_variant_deltas", """
-    SELECT p.version, p.point, d.key, d.n, d.items FROM (SELECT DISTINCT version, point FROM ts) p LEFT JOIN (
-        SELECT version, point, variable AS key, count(*) AS n, string_agg(id, ';' ORDER BY id) AS items FROM (
-            SELECT s.version, s.point, s.variable, s.id FROM scaled s LEFT JOIN base b ON b.id = s.id AND b.variable = s.variable
-            WHERE abs(s.value - coalesce(b.base, 0)) > 0.001) GROUP BY version, point, variable) d
-    ON d.version = p.version AND d.point = p.point""", "ts", "equipment", **S, base=BASE)
+_CHANGES = """
+    SELECT s.version, s.point, s.variable AS key, s.id, round(s.value, 3) AS value FROM (
+        SELECT version, point, CASE WHEN variable IN ('fixedActivePower', 'variableActivePower') THEN 'p0' ELSE variable END AS variable, id, sum(value) AS value
+        FROM scaled GROUP BY 1, 2, 3, 4) s LEFT JOIN base b ON b.id = s.id AND b.variable = s.variable
+    WHERE abs(s.value - coalesce(b.base, 0)) > 0.001"""
+
+
+@query("a19_variant_deltas", f"""
+    SELECT p.version, p.point, d.key, d.n FROM (SELECT DISTINCT version, point FROM ts) p
+    LEFT JOIN (SELECT version, point, key, count(*) AS n FROM ({_CHANGES}) GROUP BY version, point, key) d ON d.version = p.version AND d.point = p.point""", "ts", "equipment", **S, base=BASE)
 def a19(t):
-    deltas = res.variant_deltas(scaled(t), m.base_values(t.equipment), t.kept_ts)
-    ids = F.array_join(F.filter(F.split("items", ";"), lambda x: x.startswith("eq_")), ";")
-    return deltas.select("version", "point", "key", "n", ids.alias("items"))
+    return res.variant_deltas(scaled(t), m.base_values(t.equipment), t.kept_ts)
+
+
+@query("a19_variant_changes", _CHANGES, "ts", "equipment", **S, base=BASE)
+def a19_changes(t):
+    return res.variant_changes(scaled(t), m.base_values(t.equipment))
 
 
 @query(

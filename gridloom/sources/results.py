@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,16 +98,52 @@ def ingest_result_records(lines: DataFrame, expected: DataFrame | None = None) -
     return values.unionByName(failed.select("variant", F.lit("ERROR_CODE").alias("name"), F.lit("double").alias("kind"), F.lit("1").alias("value")))
 
 
-def variant_deltas(values: DataFrame, base: DataFrame, points: DataFrame, outage: str = "disconnected") -> DataFrame:
-    """(version, point, key, n, items): per point and variable the (id, value) that differ from the base case by more than
-    DELTA, as 'id;value;...'; loads' parts are summed first; switched-off equipment becomes a list under OUTAGES; a point without changes
-    has one row without a key."""
+def variant_changes(values: DataFrame, base: DataFrame, outage: str = "disconnected") -> DataFrame:
+    """(version, point, key, id, value): per point and variable the equipment whose value differs from the base case by more than
+    DELTA, one row each; loads' parts are summed first; switched-off equipment comes under OUTAGES, without a value."""
     load = F.col("variable").isin("fixedActivePower", "variableActivePower")
     rows = values.withColumn("variable", F.when(load, "p0").otherwise(F.col("variable"))).groupBy("version", "point", "variable", "id").agg(F.sum("value").alias("value"))
     joined = rows.join(base.select("id", "variable", "base"), ["id", "variable"], "left")
     off = (F.col("variable") == outage) & (F.col("value") == 0)
     changed = joined.filter(off | ((F.col("variable") != outage) & (F.abs(F.col("value") - F.coalesce("base", F.lit(0.0))) > DELTA)))
     key = F.when(F.col("variable") == outage, "OUTAGES").otherwise(F.col("variable"))
-    item = F.when(F.col("variable") == outage, F.col("id")).otherwise(F.concat_ws(";", "id", F.round("value", 3).cast("string")))
-    lists = changed.groupBy("version", "point", key.alias("key")).agg(F.count("*").alias("n"), F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))), lambda x: x["item"])).alias("items"))
-    return points.select("version", "point").distinct().join(lists, ["version", "point"], "left")
+    return changed.select("version", "point", key.alias("key"), "id", F.when(F.col("variable") != outage, F.round("value", 3)).alias("value"))
+
+
+def variant_deltas(values: DataFrame, base: DataFrame, points: DataFrame, outage: str = "disconnected") -> DataFrame:
+    """(version, point, key, n): how many changes a point has of each key; a point without changes has one row without a key."""
+    counts = variant_changes(values, base, outage).groupBy("version", "point", "key").agg(F.count("*").alias("n"))
+    return points.select("version", "point").distinct().join(counts, ["version", "point"], "left")
+
+
+def write_variants(changes: DataFrame, points: DataFrame, version: int, path: str) -> None:
+    """The changes of a version as the solver's text: ``NT;<points>;``, then by point and key a line
+    ``point;key;count;id;value;...;``, or ``point;`` for a point without changes.
+
+    Rows, one for each item, are dealt to files by ranges of (point, key) and sorted in each; a task joins a line's items as it
+    writes, so that no row of a shuffle or group grows with the equipment, only the line itself. The files, in the order of their names, are the text."""
+    own = changes.filter(F.col("version") == version).select("point", "key", "id", "value")
+    every = points.filter(F.col("version") == version).select("point").distinct()
+    value = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
+    items = own.select("point", "key", "id", F.concat(F.concat_ws(";", "id", value), F.lit(";")).alias("item"))
+    counts = own.groupBy("point", "key").agg(F.count("*").alias("n"))
+    heads = counts.select("point", "key", F.lit("").alias("id"), F.concat_ws(";", "point", "key", "n", F.lit("")).alias("item"))
+    bare = every.join(counts, "point", "left_anti").select("point", F.lit("").alias("key"), F.lit("").alias("id"), F.concat(F.col("point").cast("string"), F.lit(";")).alias("item"))
+    first = every.agg(F.count("*").alias("n")).select(F.lit(-1).alias("point"), F.lit("").alias("key"), F.lit("").alias("id"), F.format_string("NT;%d;", "n").alias("item"))
+    rows = items.unionByName(heads).unionByName(bare).unionByName(first)
+    rows.repartitionByRange("point", "key").sortWithinPartitions("point", "key", "id").select("point", "key", "item").mapInArrow(_joined_lines, "value string").write.text(path)
+
+
+def _joined_lines(batches):
+    """Items of sorted (point, key, item) as one text for each (point, key), handed on as soon as the next one begins."""
+    held, parts = None, []
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(3)]
+        for point, key, item in zip(*columns):
+            if parts and (point, key) != held:
+                yield pa.RecordBatch.from_arrays([pa.array(["".join(parts)])], names=["value"])
+                parts = []
+            held = point, key
+            parts.append(item)
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(["".join(parts)])], names=["value"])

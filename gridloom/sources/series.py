@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scan import numbered
 from ..plans.scratch import written, written_and_found
 
 KEYS = ("Time", "Version")
@@ -124,8 +125,9 @@ def overlapping(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def renumber(ts: DataFrame) -> DataFrame:
-    """Points anew, in order of instants."""
-    return ts.withColumn("point", (F.row_number().over(Window.partitionBy("name", "version").orderBy("instant")) - 1).cast("int"))
+    """Points anew, in order of instants; a series may be any number of tasks."""
+    found = numbered(ts, ["name", "version"], "instant", "new_point")
+    return found.select(*[F.col("new_point").cast("int").alias("point") if c == "point" else F.col(c) for c in ts.columns])
 
 
 def append_ts(stored: DataFrame, new: DataFrame, policy: str = THROW) -> DataFrame:
