@@ -21,7 +21,7 @@ def _folder(t, name: str) -> str:
 
 def _exported(t, gzip: bool) -> str:
     path = _folder(t, "csv")
-    src.write_wide(src.export_wide(t.kept_ts, sorted(r.name for r in t.kept_ts.select("name").distinct().collect())), path, gzip=gzip)
+    src.write_wide_series(t.kept_ts, path, gzip=gzip)
     return path
 
 

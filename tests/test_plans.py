@@ -97,3 +97,22 @@ def test_variants_as_ordered_text(spark, tmp_path):
     lines = "".join(f.read_text() for f in files).splitlines()
     many = "".join(f"g{k:03d};{100 + k};" for k in range(300))
     assert lines == ["NT;3;", "0;p0;1;l1;5.004;", f"0;targetP;300;{many}", "1;", "2;OUTAGES;1;x;", "2;p0;1;l2;7.25;"]
+
+
+def test_twenty_thousand_series_as_a_wide_file(spark, tmp_path):
+    n = 20_000
+    ts = spark.range(3 * n).selectExpr(f"concat('s', lpad(CAST(id % {n} AS STRING), 5, '0')) AS name", "1 AS version", "CAST(id DIV %d AS INT) AS point" % n, "timestamp_seconds(3600 * (id DIV %d)) AS instant" % n, "CASE WHEN id = 7 THEN NULL ELSE CAST(id AS DOUBLE) END AS value")
+    src.write_wide_series(ts, str(tmp_path / "wide"))
+    lines = [line for f in sorted((tmp_path / "wide").glob("part-*")) for line in f.read_text().splitlines()]
+    header = "Time;Version;" + ";".join(f"s{k:05d}" for k in range(n))
+    assert lines[0] == header
+    body = [line.split(";") for line in lines if line != header]
+    assert [b[0] for b in body] == [f"1970-01-01T0{p}:00:00Z" for p in range(3)] and all(len(b) == n + 2 for b in body)
+    assert body[0][2 + 7] == "" and body[2][2:5] == ["40000.0", "40001.0", "40002.0"] and body[1][-1] == "39999.0"
+    few = ts.filter("name < 's00003'")
+    src.write_wide_series(few, str(tmp_path / "few"), gzip=True)
+    src.write_wide(src.export_wide(few, ["s00000", "s00001", "s00002"]), str(tmp_path / "pivot"))
+    rows = lambda p: sorted((r.name, r.instant, r.value) for r in src.read_ts_csv(spark, [str(tmp_path / p)])[0].collect())
+    assert rows("few") == rows("pivot") and len(rows("few")) == 9
+    with pytest.raises(ValueError):
+        src.write_wide_series(few.filter("name <> 's00001' OR point > 0"), str(tmp_path / "no"))
