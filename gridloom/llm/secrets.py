@@ -1,7 +1,7 @@
 """Secret scans with a random forest against false positives (operator 5).
 
-Candidates are strings of 16 and more letters, digits and a few signs, and what is assigned to a name that speaks of a
-secret, if it has six characters at least. Features: length, entropy, how often character
+Candidates are strings of 16 and more letters, digits and a few signs, what is assigned to a name that speaks of a
+secret, if it has six characters at least, and, each as a whole, web tokens, private keys in PEM armour, and passwords in addresses. Features: length, entropy, how often character
 kinds change and which, the share covered by words that the corpus uses, the kind of path, and the words before it. The
 forest is trained from labelled findings (``labelled_findings`` makes a bounded set of them from a seed, for the formats
 that public detectors describe; any table of the same columns may be passed instead) and removes false positives.
@@ -27,7 +27,11 @@ from .common import table, written
 
 LONG = rb"[A-Za-z0-9+/=_\-]{16,}"
 ASSIGNED = rb"""(?i:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|credentials?)["']?[ \t]*(?::|=>?|:=)[ \t]*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"',;)}\]]{6,}))"""
-CANDIDATE = re.compile(ASSIGNED + rb"|(" + LONG + rb")")
+#: Tokens of three parts joined by dots, keys in PEM armour as a whole, passwords in addresses; they come before the others, which would cut them up.
+TOKEN = rb"(eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{4,}){1,2})"
+ARMOUR = rb"(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{0,16384}?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)"
+ADDRESS = rb"(?<![a-z0-9+.\-])[a-z][a-z0-9+.\-]{1,20}://[^\s:/@\"']{1,128}:([^\s@/\"']{3,256})@"
+CANDIDATE = re.compile(b"|".join([ARMOUR, TOKEN, ADDRESS, ASSIGNED, b"(" + LONG + b")"]))
 BEFORE = 40  # bytes
 FINDINGS = 2_000
 DICTIONARY = 5_000  # words
@@ -87,6 +91,11 @@ def labelled_findings(seed: int = 5, n: int = FINDINGS) -> list[tuple[str, str,
     words = ["light", "house", "method", "stream", "report", "value", "number", "entry", "manager", "factory", "request", "handler", "service", "index", "table", "window"]
     password = lambda: rng.choice(words).capitalize()[: rng.randrange(2, 8)] + pick(string.digits, rng.randrange(1, 5)) + pick("!$#%&?*.", rng.randrange(0, 3)) + pick(alnum, rng.randrange(2, 8))
     secrets = [lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(b64, rng.choice([40, 44, 64])), lambda: pick(alnum, rng.randrange(18, 48)), password, password]
+    whole = [  # secrets that need no name before them
+        lambda: (".".join(["eyJ" + pick(alnum + "-_", rng.randrange(16, 60)), "eyJ" + pick(alnum + "-_", rng.randrange(20, 200)), pick(alnum + "-_", 43)]), rng.choice(["Bearer ", "token: ", "jwt ", "see "])),
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(b64, 64) for _ in range(rng.randrange(6, 30))) + "\n-----END RSA PRIVATE KEY-----", rng.choice(["key: ", "", "\n"])),
+        lambda: (password(), rng.choice(["postgres://", "https://", "amqp://", "redis://"]) + rng.choice(words) + ":"),
+    ]
     harmless = [
         lambda: (pick(hexes, rng.choice([32, 40, 64])), rng.choice(["sha256: ", "commit ", "md5 ", "checksum ", "etag ", "digest: "])),
         lambda: ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), rng.choice(["uuid ", "id: ", "build ", "in "])),
@@ -101,7 +110,10 @@ def labelled_findings(seed: int = 5, n: int = FINDINGS) -> list[tuple[str, str,
     found = []
     for k in range(n):
         path = rng.choice(["src0", "notes.txt", "app/settings.py", "deploy.yml", ".env", "a.md"])
-        if k % 2:
+        if k % 20 == 1:
+            c, before = rng.choice(whole)()
+            found.append((c, f"{rng.choice(words)} {before}", path, 1))
+        elif k % 2:
             c, name = rng.choice(secrets)(), rng.choice(NAMES).decode()
             found.append((c, f"{rng.choice(words)} {name}" + rng.choice([' = "', ": ", "=", " = '", '": "', " "]), path, 1))
         else:

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .decontaminate import split_words
 
 ROWS = 9_000
 MIN_ROWS = 4  # a feature must be in as many rows of the sample
 KEPT = 256  # features of a model at most: of those found in the bounded sample; a parameter of ``train``
 STARTS = (4, 5, 6, 7, 8)  # bytes of a word
-FOLDS = 3
+FOLDS, HELD = 3, 10
 #: Words by which the query's weak categories are told apart among rows labelled toxic.
 INSULTS = ("idiot", "moron", "clown", "loser", "stupid", "fool", "dumb")
 CONTEMPT = ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage", "vermin")
@@ -36,6 +36,22 @@ def features_of(word: bytes) -> list[bytes]:
     return [b"=" + word, *[word[:k] for k in STARTS if len(word) > k]]
 
 
+def distinct_features(words) -> set[bytes]:
+    return {f for w in words for f in features_of(w)}
+
+
+def feature_counts(words: dict[bytes, int], at: dict[bytes, int], known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(places of a row's features, how often it has them); ``known`` holds the places of words seen before."""
+    own: Counter = Counter()
+    for w, k in words.items():
+        ids = known.get(w)
+        if ids is None:
+            ids = known[w] = [at[f] for f in features_of(w) if f in at]
+        for j in ids:
+            own[j] += k
+    return np.fromiter(own.keys(), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))
+
+
 def counts(text: bytes) -> tuple[Counter, int]:
     words = split_words(text)
     return Counter(words), len(words)
@@ -101,30 +117,26 @@ def rows_to_matrix(rows: list[tuple[dict, int]], vocabulary: dict[bytes, int], k
 
 
 class Features:
-    """Features of the sample's rows, as far as enough rows with a category have them: the others speak against all of them."""
-
-    def __init__(self, rows: list[tuple[dict, int]], labels: np.ndarray):
-        self.labels, self.marked = labels, labels.any(1)
+    """Features of the sample's rows, as far as enough rows with a category have them (the others speak against all of them): which
+    row has which how often, and each row's number of words."""
+
+    def __init__(self, names: list[bytes], rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray):
+        """``rows``: places in ``names``, counts, words."""
+        self.names, self.labels, self.marked = names, labels, labels.any(1)
+        join = lambda k, kind: np.concatenate([np.empty(0, kind), *(r[k] for r in rows)]).astype(kind)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+        self.feature, self.count = join(0, np.int32), join(1, np.float32)
+        self.words = np.array([max(1, r[2]) for r in rows], float)
+
+    @classmethod
+    def of(cls, rows: list[tuple[dict, int]], labels: np.ndarray) -> Features:
         first: Counter = Counter()
-        for (words, _), hit in zip(rows, self.marked):
+        for (words, _), hit in zip(rows, labels.any(1)):
             if hit:
-                first.update({f for w in words for f in features_of(w)})
-        self.names = sorted(f for f, k in first.items() if k >= MIN_ROWS)
-        at, known = {f: k for k, f in enumerate(self.names)}, {}
-        row, feature, count = [], [], []
-        for i, (words, _) in enumerate(rows):
-            own: Counter = Counter()
-            for w, k in words.items():
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = [at[f] for f in features_of(w) if f in at]
-                for j in ids:
-                    own[j] += k
-            row += [i] * len(own)
-            feature += own.keys()
-            count += own.values()
-        self.row, self.feature, self.count = np.array(row, np.int64), np.array(feature, np.int64), np.array(count, float)
-        self.words = np.array([max(1, n) for _, n in rows], float)
+                first.update(distinct_features(words))
+        names = sorted(f for f, k in first.items() if k >= MIN_ROWS)
+        at, known = {f: k for k, f in enumerate(names)}, {}
+        return cls(names, [(*feature_counts(words, at, known), n) for words, n in rows], labels)
 
     def choose(self, inside: np.ndarray, kept: int) -> np.ndarray:
         """The ``kept`` features at most that, in the rows ``inside``, go most clearly with a category."""
@@ -151,20 +163,25 @@ class Features:
 
 
 def train_chain(rows: list[tuple[dict, int]], labels: np.ndarray, folds: np.ndarray, categories, kept: int = KEPT) -> Chain:
-    """The models of the chain. Out-of-fold probabilities come from models whose features, too, were chosen without the fold."""
-    found = Features(rows, labels)
-    chosen = found.choose(np.ones(len(rows), bool), kept)
-    x, parts = found.matrix(chosen), []
+    """The models of the chain, from (counts of words, words) of each row."""
+    return fit_chain(Features.of(rows, labels), folds, categories, kept)
+
+
+def fit_chain(found: Features, folds: np.ndarray, categories, kept: int = KEPT) -> Chain:
+    """The models of the chain. Out-of-fold probabilities come from models whose features, too, were chosen without the fold. One
+    matrix, of all rows of the sample and twice ``kept`` columns, is held at a time."""
+    labels, n = found.labels, len(found.words)
+    chosen, parts = found.choose(np.ones(n, bool), kept), []
     for f in range(FOLDS):
-        rest = folds != f if (folds != f).any() else np.ones(len(rows), bool)
-        parts.append((rest, folds == f, found.matrix(found.choose(rest, kept))))
-    weights, before = [], np.empty((len(rows), 0))  # out-of-fold probabilities of the categories so far
+        rest = folds != f if (folds != f).any() else np.ones(n, bool)
+        parts.append((rest, folds == f, found.choose(rest, kept)))
+    weights, before = [], np.empty((n, 0))  # out-of-fold probabilities of the categories so far
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        weights.append(_fit(np.c_[x, before], y))
+        weights.append(_fit(np.c_[found.matrix(chosen), before], y))
         out_of_fold = np.zeros(len(y))
         for rest, here, own in parts:
-            own = np.c_[own, before]
+            own = np.c_[found.matrix(own), before]
             w = _fit(own[rest], y[rest])
             out_of_fold[here] = _sigmoid(own[here] @ w[:-1] + w[-1])
         before = np.c_[before, out_of_fold]
@@ -184,17 +201,30 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col="doc
     sample = marked.filter(some).orderBy(*order).limit(ROWS // 3).unionByName(marked.filter(~some).orderBy(*order).limit(ROWS - ROWS // 3))
     rows = docs.join(F.broadcast(sample), F.col("id") == F.col("__id")).select(F.xxhash64("__id").alias("h"), "text", *[F.col(f"__{c}").alias(c) for c in categories])
 
+    rows = written(rows, "sample")  # ROWS at most
+    texts = lambda b: [counts(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
+
+    def first(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([f for words, _ in texts(b) for f in distinct_features(words)], pa.binary())], names=["f"])
+
+    marked = rows.filter(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in categories]))
+    names = marked.mapInArrow(first, "f binary").groupBy("f").count().filter(F.col("count") >= MIN_ROWS)
+    names = sorted(bytes(r["f"]) for r in names.select("f").collect())  # those that MIN_ROWS of ROWS / 3 texts share
+    held = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})
+
     def reduce_texts(batches):
+        known: dict[bytes, list[int]] = {}
         for b in batches:
-            found = [counts(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            words = [b" ".join(w + b"\0" + str(k).encode() for w, k in c.items()) for c, _ in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array([n for _, n in found], pa.int64()), *[b.column(k) for k in range(2, b.num_columns)]], names=["__h", "__words", "__n", *categories])
+            found = [(*feature_counts(words, held.value, known), n) for words, n in texts(b)]
+            columns = [pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), pa.array([f[2] for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, *[b.column(k) for k in range(2, b.num_columns)]], names=["__h", "__ids", "__counts", "__n", *categories])
 
-    got = rows.mapInArrow(reduce_texts, "__h long, __words binary, __n long, " + ", ".join(f"{c} int" for c in categories)).collect()
-    got.sort(key=lambda r: (r["__h"], bytes(r["__words"])))
-    split = [({w.rpartition(b"\0")[0]: int(w.rpartition(b"\0")[2]) for w in bytes(r["__words"]).split()}, r["__n"]) for r in got]
+    got = rows.mapInArrow(reduce_texts, "__h long, __ids binary, __counts binary, __n long, " + ", ".join(f"{c} int" for c in categories)).collect()
+    got.sort(key=lambda r: (r["__h"], bytes(r["__ids"])))
     y = np.array([[r[c] for c in categories] for r in got], float).reshape(len(got), len(categories))
-    return train_chain(split, y, np.array([r["__h"] % FOLDS for r in got]), categories, kept)
+    own = [(np.frombuffer(r["__ids"], np.int32), np.frombuffer(r["__counts"], np.int32), r["__n"]) for r in got]
+    return fit_chain(Features(names, own, y), np.array([r["__h"] % FOLDS for r in got]), categories, kept)
 
 
 def score(docs: DataFrame, chain: Chain, id_col="doc_id", text_col="text") -> DataFrame:
@@ -237,6 +267,8 @@ def weak_categories(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Rows whose crc32(doc_id as text) mod HELD is HELD - 1 are held out: the chain learns nothing from them."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = score(docs, train(docs, weak_categories(docs, labels), ["insult", "contempt", "toxic"]))
-    return found.select(F.col("id").alias("doc_id"), "insult", "contempt", F.col("toxic").alias("score"), (F.col("toxic") >= 0.5).alias("toxic"))
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % HELD == HELD - 1, F.lit(False))
+    found = score(docs, train(docs, weak_categories(docs, labels.filter(~held_out("doc_id"))), ["insult", "contempt", "toxic"]))
+    return found.select(F.col("id").alias("doc_id"), "insult", "contempt", F.col("toxic").alias("score"), (F.col("toxic") >= 0.5).alias("toxic"), held_out("id").alias("held_out"))
