@@ -2,8 +2,9 @@
 
 Multinomial logistic regression over sparse word n-grams (1 to 3 words) names a paragraph's licence family or "unknown".
 It is trained on variants of short templates of each family (words dropped, replaced, surrounded by other text) and, for
-the unknown class, on paragraphs of the corpus itself and on sentences that speak of licences without naming one; a
-temperature fitted on held-out variants calibrates it. A prediction is confirmed by comparing the paragraph with the
+the unknown class, on paragraphs of the corpus itself and on sentences that speak of licences without naming one. It is
+calibrated by a temperature fitted on templates left out: FOLDS models each learn without a part of the templates and judge
+those; ``reliability`` tells how often probabilities of each size were right there. A prediction is confirmed by comparing the paragraph with the
 family's templates: the share of the closest template's word pairs that it contains.
 
 A line is a paragraph. Notices that are wrapped over lines are found as runs of adjacent lines (no blank one between) in
@@ -34,6 +35,7 @@ BACKGROUND = 2_000  # rows of the corpus from which unknown paragraphs are taken
 PARAGRAPHS = 4  # of each of these rows
 FILLER = 30  # words of a paragraph that variants may be surrounded with
 VARIANTS = 60  # of each template
+FOLDS = 3  # parts of the templates that are left out in turn for calibration
 CONFIRM = 0.5
 UNKNOWN = "unknown"
 # Short notices by which works name their licence.
@@ -175,7 +177,8 @@ def blocks_of(text: bytes) -> list[list[bytes]]:
 class Classifier:
     """Classes are the families in order and UNKNOWN, last. weights: one row per feature, the bias last."""
 
-    def __init__(self, families, vocabulary, weights, temperature, templates):
+    def __init__(self, families, vocabulary, weights, temperature, templates, reliability=()):
+        self.reliability = reliability  # of training, see the function of that name
         self.families, self.vocabulary, self.weights, self.temperature, self.templates = families, vocabulary, weights, temperature, templates
         self.single = {w for ts in templates.values() for t in ts for pair in t for w in pair.split()}
         self.runs = Runs(templates)
@@ -244,10 +247,11 @@ def _softmax_fit(rows: list[tuple[int, ...]], y: np.ndarray, m: int, classes: in
 
 
 def _variants(rng: random.Random, filler: list[bytes]):
-    """(family or UNKNOWN, paragraph) made from the fixed values, with words of the corpus around some."""
+    """(family or UNKNOWN, number of the template in it, paragraph) made from the fixed values, with words of the corpus around
+    some."""
     filler = filler or [b"text"]
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, FOREIGN + NEITHER)]:
-        for text in texts:
+        for number, text in enumerate(texts):
             words = text.encode().split()
             for k in range(VARIANTS):
                 own = list(words)
@@ -257,7 +261,7 @@ def _variants(rng: random.Random, filler: list[bytes]):
                     own[rng.randrange(len(own))] = rng.choice(filler)
                 around = [rng.choice(filler) for _ in range(rng.choice([0, 0, 2, 8, 20]))] if k else []
                 cut = rng.randrange(len(around) + 1)
-                yield family, b" ".join(around[:cut] + own + around[cut:])
+                yield family, number, b" ".join(around[:cut] + own + around[cut:])
 
 
 def _background(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[bytes, int], templates) -> list[tuple[list[int], list[bytes]]]:
@@ -289,7 +293,8 @@ def _background(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[by
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
     """From the fixed values and a bounded sample of the corpus' paragraphs (see ``_background``), which count as unknown. Null
-    texts are left out, repeated rows count as often as they are there. Works on an empty table, too."""
+    texts are left out, repeated rows count as often as they are there. Works on an empty table, too. The temperature is fitted on
+    paragraphs whose template the judging model hasn't seen; classes have the same weight."""
     rng = random.Random(7)
     templates = {f: [_template(t) for t in ts] for f, ts in TEMPLATES.items()}
     fixed = [t for ts in [*TEMPLATES.values(), FOREIGN] for t in ts]
@@ -298,20 +303,41 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text") -> Classifier:
     families = list(TEMPLATES)
     names = [*families, UNKNOWN]
     variants = list(_variants(rng, [w for _, words in plain for w in words]))
-    rows = [tuple(sorted(vocabulary[g] for g in grams(split_words(p)) if g in vocabulary)) for _, p in variants] + [tuple(f) for f, _ in plain]
-    y = np.array([names.index(f) for f, _ in variants] + [len(families)] * len(plain))
-    held = np.array([rng.random() < 0.2 for _ in rows])
+    rows = [tuple(sorted(vocabulary[g] for g in grams(split_words(p)) if g in vocabulary)) for _, _, p in variants] + [tuple(f) for f, _ in plain]
+    y = np.array([names.index(f) for f, _, _ in variants] + [len(families)] * len(plain))
+    fold = np.array([number % FOLDS for _, number, _ in variants] + [k % FOLDS for k in range(len(plain))])
     fit = lambda keep: _softmax_fit([r for r, k in zip(rows, keep) if k], y[keep], len(vocabulary), len(names))
-    part = Classifier(families, vocabulary, fit(~held), 1.0, templates)
-    z = np.array([part.weights[list(r)].sum(0) + part.weights[-1] for r, h in zip(rows, held) if h])
+    z = np.zeros((len(rows), len(names)))
+    for k in range(FOLDS):
+        w = fit(fold != k)
+        z[fold == k] = [w[list(r)].sum(0) + w[-1] for r, own in zip(rows, fold) if own == k]
+    asked = np.array([bool(r) for r in rows])  # paragraphs without a feature are unknown without a model
+    z, y_asked = z[asked], y[asked]
+    each = 1 / np.bincount(y_asked, minlength=len(names))[y_asked]
+
+    def probabilities(t):
+        p = np.exp((z - z.max(1, keepdims=True)) / t)
+        return p / p.sum(1, keepdims=True)
 
     def loss(t):
-        s = z / t
-        s = s - s.max(1, keepdims=True)
-        return (np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[held]]).mean()
-
-    temperature = min((float(t) for t in np.geomspace(0.2, 5, 40)), key=loss)
-    return Classifier(families, vocabulary, fit(np.ones(len(rows), bool)), temperature, templates)
+        return -(each * np.log(np.maximum(probabilities(t)[np.arange(len(z)), y_asked], 1e-300))).sum()
+
+    temperature = min((float(t) for t in np.geomspace(0.2, 20, 60)), key=loss)
+    p = probabilities(temperature)
+    told = reliability(p.max(1), p.argmax(1) == y_asked, each)
+    return Classifier(families, vocabulary, fit(np.ones(len(rows), bool)), temperature, templates, told)
+
+
+def reliability(probability: np.ndarray, right: np.ndarray, weight: np.ndarray, bins: int = 10) -> list[tuple[float, int, float, float, float]]:
+    """(least probability, rows, share of all weight, mean probability, share that was right) of bins of the probability, means
+    by weight; bins without rows are left out."""
+    of = np.minimum((probability * bins).astype(int), bins - 1)
+    out = []
+    for k in np.unique(of):
+        own = of == k
+        means = (float(np.average(x[own], weights=weight[own])) for x in (probability, right))
+        out.append((float(k) / bins, int(own.sum()), float(weight[own].sum() / weight.sum()), *means))
+    return out
 
 
 def scan(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text") -> DataFrame:
