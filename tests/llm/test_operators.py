@@ -832,3 +832,39 @@ def test_exact_dedup_query_against_sql(spark, sf_dir):
     want = c.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({ORACLE_SQL['op7_exact_dedup']})").fetchall()
     got = QUERIES["op7_exact_dedup"](spark, sf_dir).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_matching_of_neighbours_is_the_best_in_sum_at_any_length():
+    from gridloom.llm.html_text import ALIKE, likeness, matched
+
+    rng = random.Random(3)
+    stream = lambda n: [set(rng.sample("abcdefgh", rng.randrange(0, 5))) for _ in range(n)]
+    for _ in range(300):
+        a, b = stream(rng.randrange(1, 12)), stream(rng.randrange(2, 12))
+        own = [[x if (x := likeness(p, q)) >= ALIKE else 0.0 for q in b] for p in a]
+        best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + own[i][j])
+        got = matched(a, b)
+        assert all(i < k and j < n for (i, j), (k, n) in zip(got, got[1:])) and all(own[i][j] for i, j in got)
+        assert abs(sum(own[i][j] for i, j in got) - best[0][0]) < 1e-9
+    # 200 x 200 neighbours, none equal to its like: a mark of its own on either side
+    a = [{f"k{i}", f"m{i}", f"n{i}", "x"} for i in range(200)]
+    b = [{f"k{i}", f"m{i}", f"n{i}", "y"} for i in range(200)]
+    assert matched(a, b) == [(i, i) for i in range(200)]
+
+
+def test_licence_probabilities_hold_on_templates_left_out(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i} about weather and work in a public place\nanother line of the general text {i}") for i in range(60)], "doc_id long, text string")
+    model = licences.train(docs)
+    assert sum(r[1] for r in model.reliability) >= licences.VARIANTS * sum(map(len, licences.TEMPLATES.values()))
+    assert sum(r[2] for r in model.reliability) == pytest.approx(1)
+    assert all(low <= mean <= low + 0.1 + 1e-9 and 0 <= right <= 1 for low, _, _, mean, right in model.reliability)
+    assert 0.21 < model.temperature < 19  # inside of what is searched: neither end is held to be right
+    print("gap", sum(r[2] * abs(r[3] - r[4]) for r in model.reliability), model.temperature)
+
+
+def test_reliability_bins():
+    p, right = np.array([0.05, 0.95, 0.95, 1.0]), np.array([False, True, False, True])
+    assert licences.reliability(p, right, np.array([1.0, 1.0, 3.0, 4.0])) == [(0.0, 1, pytest.approx(1 / 9), 0.05, 0.0), (0.9, 3, pytest.approx(8 / 9), pytest.approx(0.975), pytest.approx(0.625))]
