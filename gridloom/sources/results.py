@@ -111,9 +111,29 @@ def variant_changes(values: DataFrame, base: DataFrame, outage: str = "disconnec
 
 
 def variant_deltas(values: DataFrame, base: DataFrame, points: DataFrame, outage: str = "disconnected") -> DataFrame:
-    """(version, point, key, n): how many changes a point has of each key; a point without changes has one row without a key."""
-    counts = variant_changes(values, base, outage).groupBy("version", "point", "key").agg(F.count("*").alias("n"))
-    return points.select("version", "point").distinct().join(counts, ["version", "point"], "left")
+    """(version, point, key, n, items): how many changes a point has of each key, and these as 'id;value;...' (of OUTAGES 'id;...') by id; a
+    point without changes has one row without a key. Rows, one for each item, are dealt by point and key and sorted; a task joins them as they come."""
+    changes = variant_changes(values, base, outage)
+    item = F.concat_ws(";", "id", F.col("value").cast("string"))
+    rows = changes.select("version", "point", "key", "id", item.alias("item")).repartition("version", "point", "key").sortWithinPartitions("version", "point", "key", "id")
+    lists = rows.select("version", "point", "key", "item").mapInArrow(_listed_items, "version int, point int, key string, n bigint, items string")
+    return points.select("version", "point").distinct().join(lists, ["version", "point"], "left")
+
+
+def _listed_items(batches):
+    """Items of sorted (version, point, key, item) as one row for each (version, point, key), handed on as soon as the next one begins."""
+    schema = pa.schema([("version", pa.int32()), ("point", pa.int32()), ("key", pa.string()), ("n", pa.int64()), ("items", pa.string())])
+    held, items = None, []
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*held, len(items), ";".join(items)), schema)], schema=schema)
+    for batch in batches:
+        for *group, item in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if items and group != held:
+                yield row()
+                items = []
+            held = group
+            items.append(item)
+    if items:
+        yield row()
 
 
 def write_variants(changes: DataFrame, points: DataFrame, version: int, path: str) -> None:

@@ -116,3 +116,13 @@ def test_twenty_thousand_series_as_a_wide_file(spark, tmp_path):
     assert rows("few") == rows("pivot") and len(rows("few")) == 9
     with pytest.raises(ValueError):
         src.write_wide_series(few.filter("name <> 's00001' OR point > 0"), str(tmp_path / "no"))
+
+
+def test_variant_deltas_list_every_change(spark):
+    values = [(1, p, "targetP", f"g{k:04}", float(k)) for p in range(2) for k in range(900)] + [(1, 0, "disconnected", "l2", 0.0), (1, 0, "disconnected", "l1", 0.0)]
+    base = [(f"g{k:04}", "targetP", float(k) if k == 5 else -1.0) for k in range(900)]
+    points = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "version int, point int")
+    deltas = results.variant_deltas(spark.createDataFrame(values, "version int, point int, variable string, id string, value double"), spark.createDataFrame(base, "id string, variable string, base double"), points)
+    got = {(r.point, r.key): (r.n, r["items"]) for r in deltas.collect()}
+    every = ";".join(f"g{k:04};{float(k)}" for k in range(900) if k != 5)
+    assert got == {(0, "targetP"): (899, every), (1, "targetP"): (899, every), (0, "OUTAGES"): (2, "l1;l2"), (2, None): (None, None)}
