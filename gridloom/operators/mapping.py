@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+from ..plans.spread import dealt
+
 # The variables of each equipment type, the default one first.
 VARIABLES = {
     "GENERATOR": ["targetP", "targetQ", "minP", "maxP", "voltageRegulatorOn", "targetV", "disconnected"],
@@ -199,21 +202,25 @@ def scale_down(mapping: DataFrame, ts: DataFrame, distribute: bool = True) -> Da
     its equipment, all rules of one variable and series together. Keys that add up to 0 share alike (``uniform``) unless the
     value is 0. Series keys count by their absolute value. ``distribute`` False gives everyone the whole value.
 
-    Sums of keys don't depend on the point unless keys are series: those of numbers are taken once per group of the
-    mapping, so that only rows with key series meet in a window.
+    Sums of keys are taken from the mapping: of numbers once per group, of series keys from how many of a group have each, so that
+    rows of equipment and points meet in no window. The mapping is dealt by equipment before it makes a row of each point.
     """
     group = ["type", "variable", "series"]
     values = ts.select(F.col("name").alias("series"), "version", "point", "value")
+    times = ts.groupBy("name").count().agg(F.max("count")).first()[0] or 0
+    mapping = dealt(mapping, times, "id")
     numbers = mapping.filter("key_series IS NULL").select(*group, "id", F.col("key_number").alias("key"), "ignore_limits")
     keys = ts.select(F.col("name").alias("key_series"), "version", "point", F.abs("value").alias("series_key"))
-    mixed = mapping.filter("key_series IS NOT NULL").select(*group).distinct()
+    mixed = F.broadcast(mapping.filter("key_series IS NOT NULL").select(*group).distinct())  # as many rows as rules, at most
     plain = numbers.join(mixed, group, "left_anti")
     sums = plain.groupBy(*group).agg(F.sum("key").alias("all"), F.count("*").alias("n"))
-    fixed = plain.join(sums, group).join(values, "series")
-    moving = mapping.join(mixed, group, "left_semi").join(values, "series").join(keys, ["key_series", "version", "point"], "left")
-    moving = moving.withColumn("key", F.coalesce("series_key", "key_number", F.lit(0.0)))
-    w = Window.partitionBy(*group, "version", "point")
-    moving = moving.withColumn("all", F.sum("key").over(w)).withColumn("n", F.count("*").over(w))
+    fixed = plain.join(F.broadcast(sums), group).join(values, "series")
+    moving = mapping.join(mixed, group, "left_semi")
+    kinds = moving.groupBy(*group, "key_series").agg(F.sum(F.coalesce("key_number", F.lit(0.0))).alias("own"), F.count("*").alias("members"))
+    kinds = kinds.join(values.drop("value"), "series").join(keys, ["key_series", "version", "point"], "left")
+    sums = kinds.groupBy(*group, "version", "point").agg(F.sum(F.coalesce(F.col("series_key") * F.col("members"), "own")).alias("all"), F.sum("members").alias("n"))
+    moving = moving.join(values, "series").join(keys, ["key_series", "version", "point"], "left")
+    moving = moving.withColumn("key", F.coalesce("series_key", "key_number", F.lit(0.0))).join(written(sums, "sums"), [*group, "version", "point"])
     names = ["version", "point", *group, "id", "key", "all", "n", "value", "ignore_limits"]
     rows = fixed.select(*names).unionByName(moving.select(*names))
     if not distribute:

@@ -1,4 +1,4 @@
-"""Joins whose keys may hold a large share of all rows."""
+"""Joins whose keys may hold a large share of all rows, and small tables that make many rows of each of theirs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SPREAD_ROWS = 256  # of one key in one task, where keys have more
 BROADCAST_BYTES = 32 << 20
+MADE_ROWS = 1 << 18  # by one task of a small table
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -25,3 +26,11 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) ->
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
     right = right.join(dealt, keys, "left").withColumn("__part", copies).drop("__parts")
     return left.join(right, [*keys, "__part"]).drop("__part")
+
+
+def dealt(df: DataFrame, times: int, *by: str) -> DataFrame:
+    """``df`` before each of its rows becomes ``times`` rows: dealt by a hash of ``by`` to as many tasks as make MADE_ROWS rows each.
+    The files of a small table, or the few partitions that Spark makes of it, would make all rows in one task."""
+    rows = df.count()
+    tasks = -(-rows * max(times, 1) // MADE_ROWS)
+    return df.repartition(min(tasks, rows), *by) if tasks > 1 else df

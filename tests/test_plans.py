@@ -1,5 +1,6 @@
 """Rules by an index, limits and points in blocks of one series, variants as ordered text."""
 
+import collections
 import random
 from pathlib import Path
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import limits, mapping
 from gridloom.operators.mapping import Rule
-from gridloom.plans import scan
+from gridloom.plans import scan, spread
+from gridloom.plans.scratch import written
 from gridloom.sources import results
 from gridloom.sources import series as src
 
@@ -126,3 +128,23 @@ def test_variant_deltas_list_every_change(spark):
     got = {(r.point, r.key): (r.n, r["items"]) for r in deltas.collect()}
     every = ";".join(f"g{k:04};{float(k)}" for k in range(900) if k != 5)
     assert got == {(0, "targetP"): (899, every), (1, "targetP"): (899, every), (0, "OUTAGES"): (2, "l1;l2"), (2, None): (None, None)}
+
+
+def test_small_tables_are_dealt_before_they_make_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "MADE_ROWS", 2000)
+    ids = [f"e{k:03}" for k in range(300)]
+    rows = [(0, "LOAD", "p0", "a", x, None, ["b", "c"][k % 2], False) if k % 3 else (0, "LOAD", "p0", "a", x, float(k), None, True) for k, x in enumerate(ids)]
+    rows += [(1, "LOAD", "q0", "b", x, 2.0, None, False) for x in ids]
+    found = spark.createDataFrame(rows, "rule_id int, type string, variable string, series string, id string, key_number double, key_series string, ignore_limits boolean").coalesce(1)
+    found = written(found, "found")
+    series = {(n, p): float(k * 7 - p) for k, n in enumerate("abc") for p in range(40) if n != "c" or p % 2}
+    ts = spark.createDataFrame([(n, 1, p, v) for (n, p), v in series.items()], "name string, version int, point int, value double")
+    ts = written(ts, "ts")
+    made = mapping.scale_down(found, ts).withColumn("task", F.spark_partition_id()).collect()
+    assert max(collections.Counter(r.task for r in made).values()) < 4000 < len(made) == 24_000
+    got = {(r.variable, r.id, r.point): r.value for r in made}
+    for p in range(40):
+        keys = [k if n is None else abs(series.get((n, p), 0.0)) for _, _, v, _, _, k, n, _ in rows if v == "p0"]
+        for x, key in zip(ids, keys):
+            assert got["p0", x, p] == pytest.approx(series["a", p] * key / sum(keys))
+            assert got["q0", x, p] == pytest.approx(series["b", p] / 300)
