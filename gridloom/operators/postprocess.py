@@ -87,11 +87,11 @@ def overall_overload(base: DataFrame, outage: DataFrame) -> DataFrame:
     return base.join(o, ["branch", "version", "point"]).select("branch", "version", "point", (F.abs("overload") + F.abs("outage")).alias("overall"))
 
 
-def redispatch(results: DataFrame, costs: DataFrame, probability: DataFrame | None = None) -> DataFrame:
+def redispatch(results: DataFrame, costs: DataFrame, probability: DataFrame | None = None, having: DataFrame | None = None) -> DataFrame:
     """(keys, up, down, cost_up, cost_down, cost) of (equipment, version, point, value[, contingency]). Costs are null for all if any equipment with
-    results lacks one; preventive results count with probability 1."""
+    results lacks one; preventive results count with probability 1. ``having`` is the equipment of the results, if less than these tells it."""
     keys = ["equipment", *(["contingency"] if "contingency" in results.columns else []), "version", "point"]
-    missing = results.select("equipment").distinct().join(costs.filter("cost_up IS NOT NULL AND cost_down IS NOT NULL"), "equipment", "left_anti").agg((F.count("*") == 0).alias("configured"))
+    missing = (results if having is None else having).select("equipment").distinct().join(costs.filter("cost_up IS NOT NULL AND cost_down IS NOT NULL"), "equipment", "left_anti").agg((F.count("*") == 0).alias("configured"))
     rows = results.withColumn("up", positive(F.col("value"))).withColumn("down", negative(F.col("value"))).join(costs.select("equipment", F.col("cost_up").alias("u"), F.col("cost_down").alias("d")), "equipment", "left")
     rows = rows.join(probability, ["contingency", "version", "point"]) if probability is not None else rows.withColumn("probability", F.lit(1.0))
     rows = rows.crossJoin(F.broadcast(missing))  # one row
@@ -100,10 +100,10 @@ def redispatch(results: DataFrame, costs: DataFrame, probability: DataFrame | No
     return rows.select(*keys, "up", "down", up.alias("cost_up"), down.alias("cost_down"), (up + down).alias("cost"))
 
 
-def shedding(results: DataFrame, costs: DataFrame, probability: DataFrame | None = None) -> DataFrame:
+def shedding(results: DataFrame, costs: DataFrame, probability: DataFrame | None = None, having: DataFrame | None = None) -> DataFrame:
     """(keys, shed, cost) of load shedding, gated in the same way. ``costs`` is (equipment, cost)."""
     keys = ["equipment", *(["contingency"] if "contingency" in results.columns else []), "version", "point"]
-    gate = results.select("equipment").distinct().join(costs.filter("cost IS NOT NULL"), "equipment", "left_anti").agg((F.count("*") == 0).alias("configured"))
+    gate = (results if having is None else having).select("equipment").distinct().join(costs.filter("cost IS NOT NULL"), "equipment", "left_anti").agg((F.count("*") == 0).alias("configured"))
     rows = results.join(costs.select("equipment", F.col("cost").alias("c")), "equipment", "left")
     rows = rows.join(probability, ["contingency", "version", "point"]) if probability is not None else rows.withColumn("probability", F.lit(1.0))
     return rows.crossJoin(F.broadcast(gate)).select(*keys, F.col("value").alias("shed"), F.when(F.col("configured"), F.col("value") * F.col("c") * F.col("probability")).alias("cost"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..plans.scratch import written
-from ..sources.bindings import bind, with_bindings
+from ..plans.spread import dealt
+from ..sources.bindings import BINDINGS, bind, with_bindings
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +24,19 @@ class Tables:
             self._kept[name] = written(df, name) if kept else df
         return self._kept[name]
 
+    def points(self) -> int:
+        return self.kept_ts.select("version", "point").distinct().count()
+
+    def redispatch_for(self, times: int):
+        """The binding redispatch, of equipment that is dealt to tasks before it makes ``times`` rows of each point."""
+        return self.spark.sql(BINDINGS["redispatch"], equipment=dealt(self.equipment, self.points() * times, "id"), ts=self.kept_ts)
+
+    @property
+    def redispatch(self):
+        if "redispatch" not in self._kept:
+            self._kept["redispatch"] = self.redispatch_for(1)
+        return self._kept["redispatch"]
+
     def once(self, name: str, build):
         """The table that ``build`` gives, written when first asked for."""
         if name not in self._kept:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import postprocess as post
 from ..sources import results as res
 from ..functions.guards import nan
+from ..plans.spread import dealt
 from .registry import query
 
 r6 = lambda c: F.round(c, 6)
@@ -162,7 +163,7 @@ _COSTS = "SELECT equipment, cost_up, coalesce(cost_down, 3) AS cost_down FROM co
 
 
 def _costs(t):
-    return t.costs.select("equipment", "cost_up", F.coalesce("cost_down", F.lit(3.0)).alias("cost_down"))
+    return t.kept_costs.select("equipment", "cost_up", F.coalesce("cost_down", F.lit(3.0)).alias("cost_down"))
 
 
 @query(
@@ -195,7 +196,11 @@ _PROB = """
 
 
 def _by_contingency(t):
-    return t.redispatch.crossJoin(t.contingency.select(F.col("id").alias("contingency")))
+    return t.redispatch_for(t.contingency.count()).crossJoin(t.contingency.select(F.col("id").alias("contingency")))
+
+
+def _probability(t):
+    return t.once("probability", lambda: post.contingency_probability(t.contingency, t.kept_ts))
 
 
 @query(
@@ -207,8 +212,7 @@ def _by_contingency(t):
     "redispatch", "costs", "contingency", "ts", c=_COSTS, prob=_PROB,
 )
 def f11_curative(t):
-    p = post.contingency_probability(t.contingency, t.ts)
-    return post.redispatch(_by_contingency(t), _costs(t), p).filter("NOT isnan(cost)").select("equipment", "contingency", "version", "point", r6("cost").alias("cost"))
+    return post.redispatch(_by_contingency(t), _costs(t), _probability(t), t.redispatch).filter("NOT isnan(cost)").select("equipment", "contingency", "version", "point", r6("cost").alias("cost"))
 
 
 @query(
@@ -220,8 +224,7 @@ def f11_curative(t):
     "redispatch", "costs", "contingency", "ts", c=_COSTS, prob=_PROB,
 )
 def f12(t):
-    p = post.contingency_probability(t.contingency, t.ts)
-    return post.shedding(_by_contingency(t), _costs(t).select("equipment", F.col("cost_up").alias("cost")), p).filter("NOT isnan(cost)").withColumn("cost", r6("cost"))
+    return post.shedding(_by_contingency(t), _costs(t).select("equipment", F.col("cost_up").alias("cost")), _probability(t), t.redispatch).filter("NOT isnan(cost)").withColumn("cost", r6("cost"))
 
 
 @query("f13_all_costs_configured", "SELECT equipment FROM costs WHERE type = 'GENERATOR' AND cost_down IS NULL", "costs")
@@ -256,7 +259,7 @@ _INIT = """
 
 
 def _init(t):
-    controls = t.hvdc.select("id", F.lit("HVDC_").alias("prefix"), F.col("setpoint").alias("base"))
+    controls = dealt(t.hvdc.select("id", F.lit("HVDC_").alias("prefix"), F.col("setpoint").alias("base")), t.points(), "id")
     mapped = t.kept_ts.select(F.regexp_replace("name", "ts_", "hvdc_").alias("id"), "version", "point", "value")
     return post.optimized_init(controls, mapped, t.kept_ts)
 
@@ -299,10 +302,11 @@ def f18(t):
     "hvdc", "ts", "contingency", init=_INIT,
 )
 def f19(t):
-    before = _init(t).select(F.lit("hvdc").alias("kind"), "id", "version", "point", "value")
+    init = dealt(_init(t).select("id", "version", "point", "value"), t.contingency.count(), "id", "version", "point")  # as they meet again
+    before = init.select(F.lit("hvdc").alias("kind"), "id", "version", "point", "value")
     c = t.contingency.select(F.col("id").alias("contingency"), "num")
     after = before.crossJoin(c).withColumn("value", F.when((F.col("point") + F.col("num")) % 2 == 0, F.lit(1.0)).otherwise(nan())).drop("num")
-    return post.fill_curative(after, before)
+    return post.fill_curative(after, before.hint("shuffle_hash"))  # few rows in a task
 
 
 @query("f20_schema_names", "SELECT DISTINCT concat('run<>', name) AS qualified, 'run' AS schema, name FROM ts", "ts")
