@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
-from ..plans.spread import dealt
+from ..plans.spread import beside, dealt
 
 # The variables of each equipment type, the default one first.
 VARIABLES = {
@@ -207,19 +207,19 @@ def scale_down(mapping: DataFrame, ts: DataFrame, distribute: bool = True) -> Da
     """
     group = ["type", "variable", "series"]
     values = ts.select(F.col("name").alias("series"), "version", "point", "value")
-    times = ts.groupBy("name").count().agg(F.max("count")).first()[0] or 0
+    total, times = ts.groupBy("name").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     mapping = dealt(mapping, times, "id")
     numbers = mapping.filter("key_series IS NULL").select(*group, "id", F.col("key_number").alias("key"), "ignore_limits")
     keys = ts.select(F.col("name").alias("key_series"), "version", "point", F.abs("value").alias("series_key"))
     mixed = F.broadcast(mapping.filter("key_series IS NOT NULL").select(*group).distinct())  # as many rows as rules, at most
     plain = numbers.join(mixed, group, "left_anti")
     sums = plain.groupBy(*group).agg(F.sum("key").alias("all"), F.count("*").alias("n"))
-    fixed = plain.join(F.broadcast(sums), group).join(values, "series")
+    fixed = plain.join(F.broadcast(sums), group).join(beside(values, total), "series")
     moving = mapping.join(mixed, group, "left_semi")
     kinds = moving.groupBy(*group, "key_series").agg(F.sum(F.coalesce("key_number", F.lit(0.0))).alias("own"), F.count("*").alias("members"))
     kinds = kinds.join(values.drop("value"), "series").join(keys, ["key_series", "version", "point"], "left")
     sums = kinds.groupBy(*group, "version", "point").agg(F.sum(F.coalesce(F.col("series_key") * F.col("members"), "own")).alias("all"), F.sum("members").alias("n"))
-    moving = moving.join(values, "series").join(keys, ["key_series", "version", "point"], "left")
+    moving = moving.join(beside(values, total), "series").join(beside(keys, total), ["key_series", "version", "point"], "left")
     moving = moving.withColumn("key", F.coalesce("series_key", "key_number", F.lit(0.0))).join(written(sums, "sums"), [*group, "version", "point"])
     names = ["version", "point", *group, "id", "key", "all", "n", "value", "ignore_limits"]
     rows = fixed.select(*names).unionByName(moving.select(*names))

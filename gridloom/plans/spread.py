@@ -34,3 +34,9 @@ def dealt(df: DataFrame, times: int, *by: str) -> DataFrame:
     rows = df.count()
     tasks = -(-rows * max(times, 1) // MADE_ROWS)
     return df.repartition(min(tasks, rows), *by) if tasks > 1 else df
+
+
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows for a join with a dealt table: broadcast if small, lest Spark broadcast the dealt one, if that is
+    smaller still, and make all rows in the tasks of ``df``."""
+    return F.broadcast(df) if rows * 64 <= BROADCAST_BYTES else df

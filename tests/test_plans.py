@@ -11,6 +11,7 @@ from gridloom.operators import limits, mapping
 from gridloom.operators.mapping import Rule
 from gridloom.plans import scan, spread
 from gridloom.plans.scratch import written
+from gridloom.queries import QUERIES
 from gridloom.sources import results
 from gridloom.sources import series as src
 
@@ -148,3 +149,10 @@ def test_small_tables_are_dealt_before_they_make_rows(spark, monkeypatch):
         for x, key in zip(ids, keys):
             assert got["p0", x, p] == pytest.approx(series["a", p] * key / sum(keys))
             assert got["q0", x, p] == pytest.approx(series["b", p] / 300)
+
+
+@pytest.mark.parametrize("name", ["f11_curative_cost", "f12_load_shedding", "f19_fill_curative", "e18_hvdc_limits"])
+def test_rows_of_points_are_made_by_many_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(spread, "MADE_ROWS", 20_000 if name[0] == "f" else 2000)
+    counts = [r["count"] for r in QUERIES[name](spark, "/root/testdata/sf0.01").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert max(counts) < sum(counts) / 4
