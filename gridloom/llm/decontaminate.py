@@ -16,13 +16,14 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, unpacked, whole_row, with_id, written
 from .suffix import larsson_sadakane, narrow
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 MAX_BENCHMARK_BYTES = 256 << 20
 #: A-Z to lower case; ASCII digits and letters and all bytes of other characters are kept, the rest parts words.
@@ -128,8 +129,9 @@ def _shard_matches(sequence, starts, sa, q: Suffixes):
     return change, matches
 
 
-def _scan(window: int, blocks, longest_item: int):
-    """The function for mapInArrow: columns (id, text) to (id, FOUND)."""
+def _scan(window: int, blocks, longest_item: int, text_field: str | None = None):
+    """The function for mapInArrow: columns (id, text) to (id, FOUND); with ``text_field`` the text is that field of id, so that
+    it is sent once."""
 
     def shard(ids, texts):
         number: dict[bytes, int] = defaultdict()
@@ -168,15 +170,17 @@ def _scan(window: int, blocks, longest_item: int):
 
     def scan(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            column = batch.column(1) if text_field is None else batch.column(0).field(text_field)
+            column = column.cast(pa.string()).cast(pa.binary())
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):  # only a shard's texts are copied out of the batch
                 end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end]) <= SHARD_BYTES):
-                    held += len(texts[end])
+                while end < len(sizes) and (end == at or held + sizes[end] <= SHARD_BYTES):
+                    held += sizes[end]
                     end += 1
-                ids = batch.column(0).slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([ids, *shard(ids, texts[at:end])], names=["id", "n_words", "n_hit", "items", "matches"])
+                ids, texts = batch.column(0).slice(at, end - at), [t or b"" for t in column.slice(at, end - at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids, *shard(ids, texts)], names=["id", "n_words", "n_hit", "items", "matches"])
                 at = end
 
     return scan
@@ -193,12 +197,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     results. Texts may be of any length; one over SHARD_BYTES is a shard of its own. Empty tables on either side give no
     matches. Other columns are left out, whatever their names.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _contamination(rows, benchmark, item_col, item_text_col, window)
+
+
+def _contamination(rows: DataFrame, benchmark: DataFrame, item_col="item_id", item_text_col="text", window=10, text_field: str | None = None) -> DataFrame:
+    """contamination of ``rows`` (id, text), or (id) where the text is the field ``text_field`` of the id."""
+    spark = rows.sparkSession
     blocks, longest, total, done = [], window, 0, []
     for items, size in _benchmark_blocks(benchmark, item_col, item_text_col, BLOCK_BYTES):
         if blocks and total + size > MAX_BENCHMARK_BYTES:
             if not done:
+                if text_field is not None:
+                    rows, text_field = rows.withColumn("text", F.col("id").getField(text_field)), None
                 rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "documents").select(F.struct("row", "id").alias("id"), "text")
             done.append(_part(rows, window, blocks, longest))
             blocks, longest, total = [], window, 0
@@ -206,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
         longest = max(longest, *(len(w) for _, w in items))
         blocks.append(spark.sparkContext.broadcast(_coded(items)))
     if not done:
-        return rows.mapInArrow(_scan(window, blocks, longest), with_id(rows, "id", FOUND))
+        return rows.mapInArrow(_scan(window, blocks, longest, text_field), with_id(rows, "id", FOUND))
     done.append(_part(rows, window, blocks, longest))
     every = done[0]
     for part in done[1:]:
@@ -227,9 +238,12 @@ def _part(rows: DataFrame, window: int, blocks: list, longest: int) -> DataFrame
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns, whatever their names. The
     rows themselves go through the scan, so that repeated or null ids need no join. Nulls, empty and long texts and empty
-    tables are as contamination says."""
-    packed = docs.select(whole_row(docs), F.col(text_col).alias("text"))
-    kept = contamination(packed, benchmark, id_col="row", text_col="text", **options).filter("n_hit = 0")
+    tables are as contamination says. A text that is a string is sent to Python once, in its row."""
+    if docs.select(text_col).schema[0].dataType.simpleString() == "string":
+        found = _contamination(docs.select(whole_row(docs, "id")), benchmark, text_field=text_col, **options)
+    else:
+        found = contamination(docs.select(whole_row(docs), F.col(text_col).alias("text")), benchmark, id_col="row", text_col="text", **options)
+    kept = found.filter("n_hit = 0")
     return unpacked(kept, docs.columns, "id")
 
 

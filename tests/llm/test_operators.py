@@ -137,6 +137,22 @@ def test_contamination_edges(spark, edge_docs, no_docs):
     assert clean.columns == edge_docs.columns and clean.count() == sum(v for (d, n, h, f), v in want.items() if not h)
 
 
+def test_rows_carry_their_text_to_the_scan_once(spark, edge_docs, monkeypatch):
+    """Rows that are kept or dropped as a whole go to Python without a second copy of the text, a shard is cut from the batch."""
+    bench = spark.createDataFrame([(4, " ".join(f"passage{i}" for i in range(5, 40))), (5, "w1x1")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(edge_docs, bench)
+    scan = [x for x in clean._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x]
+    assert len(scan) == 1 and re.search(r"scan\((.*?)\)", scan[0])[1].count("#") == 1, scan  # the row, and nothing beside it, goes in
+    rows = sorted(map(repr, clean.collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 64)
+    assert sorted(map(repr, decontaminate.drop_contaminated(edge_docs, bench).collect())) == rows
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 8)
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 8)
+    assert set(map(repr, decontaminate.drop_contaminated(edge_docs, bench).collect())) == set(rows)
+    coded = edge_docs.withColumn("text", F.col("text").cast("binary"))
+    assert decontaminate.drop_contaminated(coded, bench).count() == len(rows)
+
+
 # ---- 3 ---------------------------------------------------------------------------------------------------------
 
 
