@@ -1,24 +1,27 @@
 """Main text of web pages by wrappers inferred per host (operator 8).
 
 A wrapper is a union-free regular expression over a host's token streams. Tags with their classes are tokens, text is a
-slot. Streams of a bounded sample of a host's pages (``SAMPLE`` pages, picked by hash) are aligned one after the other:
-tokens that follow each other alike become a repeated group, tokens that one stream lacks an optional group, texts fall
-together in slots. Streams are balanced first (implied end tags), so groups nest and are aligned level by level.
+slot. Streams of all of a host's pages are aligned: tokens that follow each other alike become a repeated group, tokens that
+one stream lacks an optional group, texts fall together in slots. Streams are balanced first (implied end tags), so groups
+nest and are aligned level by level.
 
 The wrapper's slots decide what is text. A slot with one text on several pages is the template's; of the others, the
 text outside of links is what a part of the page is worth. From the whole page on, the main part is the group that is
 worth more than all beside it, as long as there is one (elements that say what they are, such as article or comments,
-weigh in). Each page is then laid on its host's wrapper, and each of its texts is kept or left out as its slot is;
-elements that no page of the sample has go with the group that they stand in. A page that doesn't conform to its host's
-wrapper gets one of its own, too, which counts if the host's slots hold less than half as much text.
-
-Plan: the sample is found by aggregates with partial results (a host with a third of all pages sends SAMPLE rows a
-task), inferred in groups of at most SAMPLE pages, and joined back to all pages: broadcast if the wrappers are small,
-else by a shuffle join, whose skew Spark splits. Extraction maps over whole pages.
+weigh in). Each page is then laid on its host's wrapper, and each of its texts is kept or left out as its slot is. A page
+that is laid on the wrapper otherwise than it went into it (as it doesn't conform) gets one of its own, too, which counts if
+the host's slots hold less than half as much text.
+
+Plan: a page's own repeats give its form, the wrapper of that page alone; pages of one form differ in their texts only. A
+task passes on one row for each host and form, with counts of its slots (pages, the text if it is one on all of them,
+characters), so that a host with a third of all pages sends a few rows a task. Forms of a host are aligned in
+buckets of some FORMS, in rounds until one is left. Wrappers are joined back to all pages: broadcast if they are small, else
+by a shuffle join, whose skew Spark splits. Extraction maps over whole pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SAMPLE = 8
+FORMS = 64  # of a host that one task aligns
+HELD_BYTES = 8 << 20  # of forms that a task holds before it passes them on
 BROADCAST_BYTES = 16 << 20
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>=]|=\s*(?:"[^"]*"|'[^']*')?)*+)>|<[^<>]*>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
@@ -170,8 +174,9 @@ def parse(page: str):
 
 
 # ---- wrappers --------------------------------------------------------------------------------------------------
-# A wrapper node is [key, repeated, optional, children]; "#" stands for a slot, whose children are what it holds by page:
-# {page: [hash of the text, characters outside of links, characters in links]}. Pages can nest to any depth, so functions over levels
+# A wrapper node is [key, repeated, optional, children]; "#" stands for a slot, whose children are what it holds. In the form of
+# a page these are the numbers of its texts; in wrappers, by part of the host's pages, {part: [hash of the text or None if
+# it varies, characters outside of links, characters in links, pages]}. Pages of one form all have its slots. Pages can nest to any depth, so functions over levels
 # are generators that yield the calls of the next level, for ``unnested``.
 
 
@@ -188,25 +193,28 @@ def unnested(call):
     return value
 
 
-def _slot(page: int, text: str, in_link: bool) -> dict:
-    text = " ".join(text.split())
-    return {page: [hash(text), 0 if in_link else len(text), len(text) if in_link else 0]}
-
-
-def _together(a: dict, b: dict) -> dict:
+def _together(a, b):
+    """What two slots hold. A part's text is one on all its pages if either slot's is, and the same pages have both."""
+    if isinstance(a, list):
+        return a + b
     out = dict(a)
-    for page, (text, plain, linked) in b.items():
-        x = out.get(page)
-        out[page] = [hash((x[0], text)), x[1] + plain, x[2] + linked] if x else [text, plain, linked]
+    for part, (text, plain, linked, pages) in b.items():
+        x = out.get(part)
+        same = x and x[0] is not None and text is not None and x[3] == pages
+        out[part] = [_hash(f"{x[0]} {text}") if same else None, x[1] + plain, x[2] + linked, max(x[3], pages)] if x else [text, plain, linked, pages]
     return out
 
 
-def generalise(children: list, texts: list, page: int):
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def generalise(children: list):
     """A stream's own repeats: neighbours of one key and of like content are aligned with each other and become a repeated
     group."""
     out: list = []
     for c in children:
-        node = ["#", False, False, _slot(page, *texts[c][:2])] if isinstance(c, int) else [c[0], False, False, (yield generalise(c[1], texts, page))]
+        node = ["#", False, False, [c]] if isinstance(c, int) else [c[0], False, False, (yield generalise(c[1]))]
         if out and alike(out[-1], node):
             out[-1] = yield joined(out[-1], node, True)
         else:
@@ -429,9 +437,18 @@ def _kids(nodes: list, at: int):
         k += 1 + nodes[k][3]
 
 
+def _pages(held: dict) -> int:
+    return sum(x[3] for x in held.values())
+
+
 def _fixed(held: dict) -> bool:
     """Whether a slot has one text on several pages."""
-    return len(held) > 1 and len({x[0] for x in held.values()}) == 1
+    return _pages(held) > 1 and not _varies(held)
+
+
+def _varies(held: dict) -> bool:
+    texts = {x[0] for x in held.values()}
+    return None in texts or len(texts) > 1
 
 
 def _worth(nodes: list) -> list[float]:
@@ -477,7 +494,7 @@ def _flags(nodes: list) -> tuple[list[int], int]:
     while k < high:
         key, _, _, inside, held = nodes[k]
         if key == "#":
-            if whole and _fixed(held) and len(held) > 2:  # nothing but the template's text tells its parts from the others
+            if whole and _fixed(held) and _pages(held) > 2:  # nothing but the template's text tells its parts from the others
                 flags[k] = LEFT_OUT
             k += 1
             continue
@@ -485,7 +502,7 @@ def _flags(nodes: list) -> tuple[list[int], int]:
         if not out and k != root and is_doubtful(key):
             slots = [x[4] for x in nodes[k : k + 1 + inside] if x[0] == "#"]
             plain, linked = (sum(x[n] for held in slots for x in held.values()) for n in (1, 2))
-            out = linked > plain or not any(len({x[0] for x in held.values()}) > 1 for held in slots)
+            out = linked > plain or not any(map(_varies, slots))
         if out:
             flags[k : k + 1 + inside] = [LEFT_OUT] * (1 + inside)
             k += 1 + inside
@@ -494,20 +511,115 @@ def _flags(nodes: list) -> tuple[list[int], int]:
     return flags, MAIN if root < 0 else OUTSIDE
 
 
-def _inferred(parsed: list) -> tuple[list, dict]:
+def nested(rows: list) -> list:
+    """The nodes that ``flat`` made these rows of."""
+    out: list = []
+    inside = [(out, len(rows))]
+    for k, (key, repeated, optional, n, held) in enumerate(rows):
+        while inside[-1][1] <= k:
+            inside.pop()
+        node = [key, repeated, optional, held if key == "#" else []]
+        inside[-1][0].append(node)
+        if key != "#":
+            inside.append((node[3], k + 1 + n))
+    return out
+
+
+class Forms:
+    """Forms of pages, and what their slots hold on some page. Trees that are alike to the last token have one form, which is
+    made once as long as it is held."""
+
+    def __init__(self):
+        self.known: dict[str, tuple] = {}
+        self.bytes = 0
+
+    def of(self, tree: list) -> tuple[str, list[list[int]]]:
+        """(the form as JSON, the texts in each of its slots)."""
+        marks, todo = [], tree[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, int):
+                marks.append("#")
+            elif c is None:
+                marks.append("/")
+            else:
+                marks.append(c[0])
+                todo += [None, *reversed(c[1])]
+        key = " ".join(marks)
+        if key not in self.known:
+            rows = flat(unnested(generalise(tree)))
+            found = json.dumps([r[:4] for r in rows]), [sorted(r[4]) for r in rows if r[0] == "#"]
+            if self.bytes > HELD_BYTES:
+                self.known, self.bytes = {}, 0
+            self.known[key] = found
+            self.bytes += 2 * len(key) + len(found[0])
+        return self.known[key]
+
+    def page(self, texts: list, tree: list) -> tuple[str, int, list]:
+        """A part of one page: (form, pages, [text, characters outside of links, characters in links, pages] of each slot)."""
+        form, slots = self.of(tree)
+        plain = [" ".join(t.split()) for t, _, _ in texts]
+        out = []
+        for slot in slots:
+            sums = [0, 0]
+            for k in slot:
+                sums[texts[k][1]] += len(plain[k])
+            out.append([_hash("\n".join([plain[k] for k in slot])), *sums, 1])
+        return form, 1, out
+
+
+def _added(parts: dict, key, form: str, pages: int, slots: list) -> None:
+    """Adds pages to those of the same form, slot by slot."""
+    if key not in parts:
+        parts[key] = [form, pages, [list(x) for x in slots]]
+        return
+    old = parts[key]
+    old[1] += pages
+    for x, y in zip(old[2], slots):
+        x[0] = x[0] if x[0] == y[0] else None
+        x[1], x[2], x[3] = x[1] + y[1], x[2] + y[2], x[3] + y[3]
+
+
+def _aligned(parts: list) -> list:
+    """Parts (form, pages, slots) as one list of nodes, those of most pages first, whatever order they come in."""
+    found: dict = {}
+    for form, pages, slots in parts:
+        _added(found, form, form, pages, slots)
     nodes: list = []
-    for k, (texts, tree) in enumerate(parsed):
-        own = unnested(generalise(tree, texts, k))
+    for k, (form, _, slots) in enumerate(sorted(found.values(), key=lambda x: (-x[1], x[0]))):
+        held = iter(slots)
+        own = nested([[*r, {k: next(held)} if r[0] == "#" else None] for r in json.loads(form)])
         nodes = own if k == 0 else unnested(align(nodes, own))
+    return nodes
+
+
+def merged(parts: list) -> tuple[str, int, list]:
+    """Parts as one."""
+    rows = flat(_aligned(parts))
+    slots = []
+    for r in rows:
+        if r[0] == "#":
+            held = list(r[4].values())
+            slots.append([None if _varies(r[4]) else held[0][0], sum(x[1] for x in held), sum(x[2] for x in held), _pages(r[4])])
+    return json.dumps([r[:4] for r in rows]), sum(pages for _, pages, _ in parts), slots
+
+
+def _inferred(parts: list) -> tuple[list, dict]:
+    nodes = _aligned(parts)
     rows = flat(nodes)
     flags, page = _flags(rows)
     return nodes, {"nodes": [[*r[:4], f] for r, f in zip(rows, flags)], "page": page}
 
 
+def _wrapper(parts: list) -> str:
+    nodes, wrapper = _inferred(parts)
+    return json.dumps(wrapper | {"expression": expression(nodes)})
+
+
 def infer(pages: list[str]) -> str:
     """A host's wrapper as JSON."""
-    nodes, wrapper = _inferred([parse(p) for p in pages])
-    return json.dumps(wrapper | {"expression": expression(nodes)})
+    forms = Forms()
+    return _wrapper([forms.page(*parse(p)) for p in pages])
 
 
 def _assigned(members: list, groups: list[int], nodes: list) -> list[int]:
@@ -567,7 +679,7 @@ def laid_on(wrapper: dict, tree: list, texts: list) -> tuple[list[int], bool, in
 def main_text(page: str, wrapper: dict | None) -> tuple[str, bool]:
     """(main text, whether the page conforms to the wrapper); without a wrapper the page gets one of its own."""
     texts, tree = parse(page)
-    flags, fits, _ = laid_on(wrapper or _inferred([(texts, tree)])[1], tree, texts)
+    flags, fits, _ = laid_on(wrapper or _inferred([Forms().page(texts, tree)])[1], tree, texts)
     return _blocks(texts, flags), fits
 
 
@@ -589,25 +701,68 @@ def page_text(page: str, wrapper: dict) -> tuple[str, bool]:
     texts, tree = parse(page)
     flags, fits, held = laid_on(wrapper, tree, texts)
     if not (fits and held):
-        own, _, own_held = laid_on(_inferred([(texts, tree)])[1], tree, texts)
+        own, _, own_held = laid_on(_inferred([Forms().page(texts, tree)])[1], tree, texts)
         if own_held > 2 * held:
             flags = own
     return _blocks(texts, flags), fits
 
 
-def wrappers(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """(host, wrapper) as JSON, from at most SAMPLE pages of each host. Null urls make up a host of their own, ''."""
-    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("h"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    picked = keyed.select("host", "h").groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h")
-    picked = written(picked, "picked")
-    small = picked.count() * 64 <= BROADCAST_BYTES
-    rows = keyed.join(F.broadcast(picked) if small else picked, ["host", "h"]).groupBy("host", "h").agg(F.min("html").alias("html"))
+PART = "host string, form string, pages long, slots array<struct<same:long,plain:long,linked:long,pages:long>>"
+SLOTS = pa.list_(pa.struct([(n, pa.int64()) for n in ("same", "plain", "linked", "pages")]))
+
+
+def _rows(parts: list) -> list[pa.Array]:
+    """Columns form, pages and slots."""
+    names = [f.name for f in SLOTS.value_type]
+    slots = pa.array([[dict(zip(names, x)) for x in own] for _, _, own in parts], SLOTS)
+    return [pa.array([f for f, _, _ in parts], pa.string()), pa.array([n for _, n, _ in parts], pa.int64()), slots]
+
+
+def _parts(part: pa.Table) -> list:
+    columns = [part.column(n).to_pylist() for n in ("form", "pages", "slots")]
+    return [(form, pages, [list(x.values()) for x in slots]) for form, pages, slots in zip(*columns)]
+
+
+def _page_forms(batches):
+    """For mapInArrow: columns (host, html) to PART."""
+    forms, held, size = Forms(), {}, 0
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.string()), *_rows(list(held.values()))], names=["host", "form", "pages", "slots"])
+
+    for batch in batches:
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            form, pages, slots = forms.page(*parse(page.as_py() or ""))
+            if (host, form) not in held:
+                size += len(form)
+            _added(held, (host, form), form, pages, slots)
+            if size > HELD_BYTES:
+                yield rows()
+                held, size = {}, 0
+    if held:
+        yield rows()
+
+
+def wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
+    """(host, wrapper) as JSON, from all pages of each host. Null urls make up a host of their own, ''."""
+    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    parts, turn = written(keyed.mapInArrow(_page_forms, PART), "forms"), 0
+
+    def one_bucket(part: pa.Table) -> pa.Table:
+        return pa.table([part.column("host").slice(0, 1), *_rows([merged(_parts(part))])], names=["host", "form", "pages", "slots"])
 
     def one_host(part: pa.Table) -> pa.Table:
-        order = sorted(zip(part.column("h").to_pylist(), part.column("html").to_pylist()))
-        return pa.table([part.column("host").slice(0, 1), pa.array([infer([x for _, x in order])])], names=["host", "wrapper"])
+        return pa.table([part.column("host").slice(0, 1), pa.array([_wrapper(_parts(part))])], names=["host", "wrapper"])
 
-    return rows.groupBy("host").applyInArrow(one_host, "host string, wrapper string")
+    while True:
+        counts = parts.groupBy("host").agg(F.count_distinct("form").alias("n")).filter(F.col("n") > FORMS)
+        counts = written(counts.select("host", F.ceil(F.col("n") / FORMS).alias("n")), "counts")
+        if counts.isEmpty():
+            return parts.groupBy("host").applyInArrow(one_host, "host string, wrapper string")
+        turn += 1
+        many = parts.join(counts, "host").withColumn("bucket", F.pmod(F.xxhash64("form", F.lit(turn)), F.col("n")))
+        few = parts.join(counts, "host", "left_anti")
+        parts = written(many.drop("n").groupBy("host", "bucket").applyInArrow(one_bucket, PART).unionByName(few), "forms")
 
 
 def host_of(url):
@@ -623,7 +778,7 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
     repeats over pages, so all its slots count as varying. ids and urls may be null or repeated; equal rows give equal
     results. An empty table gives no rows. Other columns are left out, whatever their names.
     """
-    found = written(wrappers(pages, id_col, url_col, html_col), "wrappers")
+    found = written(wrappers(pages, url_col, html_col), "wrappers")
     size = found.select(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     kind = pages.select(id_col).schema[0].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))

@@ -538,6 +538,31 @@ def test_pages_with_clashing_columns(spark):
     assert sorted((r.id or 0, r.text) for r in html_text.extract(docs).collect()) == [(0, "some text"), (1, "some text"), (1, "some text")]
 
 
+def test_wrappers_count_all_pages_of_a_host(spark, monkeypatch):
+    """Elements that one page in fifty has are in the wrapper; a text that is alike on nearly all pages isn't the template's."""
+    kinds = [f"kind{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+
+    def page(k):
+        rare = f"<section class='{kinds[k // 50]}'><ul><li>only {k}</li></ul></section>" if k % 50 == 0 else ""
+        line = "but here" if k == 1234 else "as always"
+        return f"<body><ul class='top'><li>home</li></ul><div><p>text {k} of the page</p></div>{rare}<table><tr><td>{line}</td></tr></table></body>"
+
+    rows = [(k, f"http://a/{k}", page(k)) for k in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrapper = json.loads(html_text.wrappers(pages).first().wrapper)
+    assert all(f"<section.{k}>" in wrapper["expression"] for k in kinds)
+    assert wrapper == json.loads(html_text.wrappers(pages.repartition(7, "page_id")).first().wrapper) == json.loads(html_text.infer([p for _, _, p in rows[::-1]]))
+    slots = [held for *_, held in html_text.flat(html_text._aligned([html_text.Forms().page(*html_text.parse(p)) for _, _, p in rows])) if held]
+    counts = [(html_text._pages(held), html_text._fixed(held)) for held in slots]
+    assert (2000, True) in counts and counts.count((2000, False)) == 2 and sum(n for n, _ in counts) == 3 * 2000 + 40
+    whole = {r.id: r.text for r in html_text.extract(pages).collect()}
+    monkeypatch.setattr(html_text, "FORMS", 3)  # rounds of buckets
+    monkeypatch.setattr(html_text, "HELD_BYTES", 500)
+    found = json.loads(html_text.wrappers(pages).first().wrapper)
+    assert all(f"<section.{k}>" in found["expression"] for k in kinds)
+    assert {r.id: r.text for r in html_text.extract(pages).collect()} == whole and len(whole) == 2000 and "text 77 of the page" in whole[77]
+
+
 def test_html_query_against_brute_force(spark):
     """The registered query on all pages of a table: the article's blocks, cut out by regular expressions."""
     sf_dir = "/root/testdata/sf0.01"
