@@ -12,6 +12,8 @@ from gridloom.operators.mapping import Rule
 from gridloom.plans import scan, spread
 from gridloom.plans.scratch import written
 from gridloom.queries import QUERIES
+from gridloom.queries import mapping as mapped
+from gridloom.queries.registry import Tables
 from gridloom.sources import results
 from gridloom.sources import series as src
 
@@ -156,3 +158,30 @@ def test_rows_of_points_are_made_by_many_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(spread, "MADE_ROWS", 20_000 if name[0] == "f" else 2000)
     counts = [r["count"] for r in QUERIES[name](spark, "/root/testdata/sf0.01").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
     assert max(counts) < sum(counts) / 4
+
+
+@pytest.fixture
+def own_limits_shuffled(spark, monkeypatch):
+    """Tasks of 500 rows, and equipment that is too large to be broadcast."""
+    monkeypatch.setattr(spread, "MADE_ROWS", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield Tables(spark, "/root/testdata/sf0.01")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["e15_tolerance_snap", "e16_limit_correction", "e17_ignored_limits"])
+def test_corrected_powers_are_made_by_many_tasks(spark, own_limits_shuffled, name):
+    counts = [r["count"] for r in QUERIES[name](spark, own_limits_shuffled.sf_dir).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert len(counts) > 3 and max(counts) < sum(counts) / 2
+
+
+@pytest.mark.parametrize("step", ["limited", "corrected"])
+def test_powers_meet_their_limits_where_they_were_dealt(own_limits_shuffled, step):
+    """What e19, e20, e22, e23 and e24 filter or add up: all points of an equipment in one task, a few equipments a task."""
+    made = getattr(mapped, step)(own_limits_shuffled).withColumn("task", F.spark_partition_id())
+    found = made.groupBy("id").agg(F.count_distinct("task").alias("tasks"), F.min("task").alias("task"), F.count("*").alias("rows")).collect()
+    total = collections.Counter()
+    for r in found:
+        total[r.task] += r.rows
+    assert {r.tasks for r in found} == {1} and max(total.values()) < sum(total.values()) / 4
